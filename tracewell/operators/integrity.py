@@ -63,12 +63,13 @@ def resolve_symbols(
     )
 
 
-def missing_symbols(distros: DataFrame, symbols: DataFrame) -> DataFrame:
+def missing_symbols(
+    distros: DataFrame, symbols: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Distros whose family has no symbol file."""
     families = symbols.select("family").distinct()
-    return distros.withColumn("family", distro_family(F.col("distro_id"))).join(
-        families, "family", "left_anti"
-    )
+    named = distros.withColumn("family", distro_family(F.col("distro_id")))
+    return salted_join(named, families, ["family"], "left_anti", ["distro_id"], rows_per_task)
 
 
 def select_tests(

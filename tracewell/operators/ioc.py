@@ -67,11 +67,16 @@ def match_file_iocs(
     used = entries.select("run_id", "path", "size_bytes", "content")
     if wanted.where("__ioc_content_contains IS NOT NULL").isEmpty():
         used = used.withColumn("content", F.lit(None).cast("string"))
-    return (
-        checked_join(
-            used, wanted, ["path"], "inner", ["run_id", "size_bytes"], broadcast_rows, rows_per_task
+    if is_small(wanted, broadcast_rows):
+        joined = used.join(F.broadcast(wanted), "path")
+    else:
+        # Copies of an entry are dropped first; no two rows are alike after that,
+        # so their own hash deals a hot path out evenly.
+        joined = salted_join(
+            used.distinct(), wanted, ["path"], "inner", used.columns, rows_per_task
         )
-        .where(_entry_meets(lambda c: F.col(f"__ioc_{c}")))
+    return (
+        joined.where(_entry_meets(lambda c: F.col(f"__ioc_{c}")))
         .select("run_id", *IOC_KEY)
         .distinct()
     )
@@ -109,9 +114,10 @@ def content_hits(
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Pairs of an entry and a marker its content contains.
+    """Distinct pairs of an entry and a marker its content contains.
 
-    Keeps the entry's ``keep`` columns and the marker's other columns. Few
+    Keeps the entry's ``keep`` columns and the marker's other columns; only in a
+    stream, which cannot tell yet, a pair may come more than once. Few
     markers are broadcast and searched for in each text, which is read once and
     never moved. Many are first looked up by a word each (see ``_anchor``), so
     that a text is searched only for the markers whose word it has; those
@@ -128,16 +134,18 @@ def content_hits(
             F.broadcast(portion), F.contains(F.col("__text"), F.col(marker)), "inner"
         ).select(*out)
 
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs if pairs.isStreaming else pairs.distinct()
+
     if is_small(markers, scan_markers):
-        return scan(markers)
+        return once(scan(markers))
     anchored = markers.withColumn("__word", _anchor(F.col(marker)))
     by_word = _hits_by_word(
         texts, anchored.where("__word IS NOT NULL"), marker, broadcast_rows, rows_per_task
     ).select(*out)
     plain = anchored.where("__word IS NULL").drop("__word")
-    return reduce(
-        DataFrame.union, [scan(p) for p in _portions(plain, marker, broadcast_rows)], by_word
-    )
+    scans = [scan(p) for p in _portions(plain, marker, broadcast_rows)]
+    return once(reduce(DataFrame.union, scans, by_word))
 
 
 def _hits_by_word(
@@ -157,9 +165,12 @@ def _hits_by_word(
     # A word comes once per text at most, so no word has a large share of these
     # rows; AQE splits the partitions of frequent ones. Texts stay out of the
     # exchange, and copies of a text share their candidates.
-    keyed = texts.withColumn("__key", F.xxhash64("__text"))
+    keyed = texts.distinct().withColumn("__key", F.xxhash64("__text"))
     candidates = (
-        keyed.select("__key", words).join(markers, "__word").drop("__word").distinct()
+        texts.select(F.xxhash64("__text").alias("__key"), words)
+        .join(markers, "__word")
+        .drop("__word")
+        .distinct()
     )
     spread = [c for c in texts.columns if c != "__text"]
     return salted_join(keyed, candidates, ["__key"], "inner", spread, rows_per_task).where(found)
@@ -197,9 +208,8 @@ def match_content_iocs(
         broadcast_rows=broadcast_rows,
         rows_per_task=rows_per_task,
     )
-    return (
-        hits.where("__size IS NULL OR size_bytes = __size").select("run_id", *IOC_KEY).distinct()
-    )
+    sized = hits.where("__size IS NULL OR size_bytes = __size")
+    return sized.select("run_id", *IOC_KEY).distinct()
 
 
 # --- absence -----------------------------------------------------------------------
@@ -275,22 +285,27 @@ def match_process_iocs(
     )
     by_shape = named.where("__name IS NULL").drop("__name")
 
-    fields = rows.select(
-        "run_id",
-        "plugin",
-        "attrs",
-        F.to_json("attrs").alias("__row"),
-        F.explode("attrs").alias("__name", "__value"),
-    ).where("__value IS NOT NULL")
-    valued = checked_join(
-        fields,
-        by_value,
-        ["plugin", "__name", "__value"],
-        "inner",
-        ["run_id", "__row"],
-        broadcast_rows,
-        rows_per_task,
-    ).where(matches_attrs(F.col("__wanted"), F.col("attrs")))
+    def fields(rows: DataFrame) -> DataFrame:
+        field = F.explode("attrs").alias("__name", "__value")
+        return rows.select("*", field).where("__value IS NOT NULL")
+
+    on = ["plugin", "__name", "__value"]
+    if is_small(by_value, broadcast_rows):
+        named_rows = rows.select("run_id", "plugin", "attrs")
+        valued = fields(named_rows).join(F.broadcast(by_value), on)
+    else:
+        # Copies of a row are dropped first, by its text as a map has no order;
+        # after that a row's own hash deals a hot value out evenly.
+        as_text = F.to_json("attrs", {"ignoreNullFields": "false"}).alias("__row")
+        single = (
+            rows.select("run_id", "plugin", as_text)
+            .distinct()
+            .withColumn("attrs", F.from_json("__row", "map<string,string>"))
+        )
+        valued = salted_join(
+            fields(single), by_value, on, "inner", ["run_id", "__row"], rows_per_task
+        )
+    valued = valued.where(matches_attrs(F.col("__wanted"), F.col("attrs")))
     pairs = valued.select("run_id", *IOC_KEY)
     if not by_shape.isEmpty():
         shape = F.array_sort(F.map_keys(F.map_filter("attrs", lambda _, v: v.isNotNull())))
@@ -307,23 +322,20 @@ def match_process_iocs(
 
 # --- detection -------------------------------------------------------------------------
 
-Matcher = Callable[[DataFrame, Evidence], DataFrame]
-
-
-def _definitions(expected: DataFrame) -> DataFrame:
-    """Indicators without their runs, each once."""
-    return expected.drop("run_id", "ordinal").dropDuplicates(list(IOC_KEY))
+# Takes what each run was to show, the indicators without their runs, and the
+# evidence; gives (run, indicator) pairs.
+Matcher = Callable[[DataFrame, DataFrame, Evidence], DataFrame]
 
 
 def _no_pairs(expected: DataFrame) -> DataFrame:
     return expected.select("run_id", *IOC_KEY).limit(0)
 
 
-def match_files(expected: DataFrame, evidence: Evidence) -> DataFrame:
+def match_files(expected: DataFrame, iocs: DataFrame, evidence: Evidence) -> DataFrame:
     """File indicators: by path, by content alone, or by absence."""
     if evidence.entries is None:
         return _no_pairs(expected)
-    positive = _definitions(expected.where("coalesce(`exists`, true)"))
+    positive = iocs.where("coalesce(`exists`, true)")
     absent = match_absent_iocs(evidence.entries, expected)
     return (
         match_file_iocs(evidence.entries, positive)
@@ -332,11 +344,11 @@ def match_files(expected: DataFrame, evidence: Evidence) -> DataFrame:
     )
 
 
-def match_processes(expected: DataFrame, evidence: Evidence) -> DataFrame:
+def match_processes(expected: DataFrame, iocs: DataFrame, evidence: Evidence) -> DataFrame:
     """Process indicators, by the rows of the plugin they name."""
     if evidence.rows is None:
         return _no_pairs(expected)
-    return match_process_iocs(evidence.rows, _definitions(expected))
+    return match_process_iocs(evidence.rows, iocs)
 
 
 # Matcher by indicator type; a new type is a DataFrame function added here or
@@ -345,18 +357,25 @@ MATCHERS: dict[str, Matcher] = {"file": match_files, "process": match_processes}
 
 
 def detect_iocs(
-    expected: DataFrame, evidence: Evidence, matchers: dict[str, Matcher] | None = None
+    expected: DataFrame,
+    evidence: Evidence,
+    iocs: DataFrame | None = None,
+    matchers: dict[str, Matcher] | None = None,
 ) -> DataFrame:
     """One finding per run and expected indicator.
 
     Indicators go to the matcher of their type; of an unknown type none match.
     Matches are distinct (run, indicator) pairs before they meet the expected
-    ones, so repeated evidence never repeats a finding.
+    ones, so repeated evidence never repeats a finding. ``iocs``, the indicators
+    without their runs, is taken from ``expected`` if not given.
     """
     matchers = MATCHERS if matchers is None else matchers
+    if iocs is None:
+        iocs = expected.drop("run_id", "ordinal").dropDuplicates(list(IOC_KEY))
     key = ["run_id", *IOC_KEY]
+    of = lambda df, kind: df.where(F.col("type") == kind)
     pairs = [
-        match(expected.where(F.col("type") == kind), evidence).select(*key)
+        match(of(expected, kind), of(iocs, kind), evidence).select(*key)
         for kind, match in matchers.items()
     ]
     findings = expected.select(*key, "ordinal", "type")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import has_value
-from tracewell.operators.skew import ROWS_PER_TASK, running, salted_join
+from tracewell.operators.skew import ROWS_PER_TASK, checked_join, running
 
 PROCESS_LIST = "linux.pslist"
 
@@ -115,6 +115,8 @@ def detection_metrics(
 
 def missed_iocs(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs only one side has: ``missed`` if expected, ``unexpected`` if found."""
+    # Distinct first: a pair repeated many times is then one row per map task.
+    expected, found = expected.distinct(), found.distinct()
     missed = expected.subtract(found).withColumn("status", F.lit("missed"))
     return missed.unionByName(found.subtract(expected).withColumn("status", F.lit("unexpected")))
 
@@ -182,14 +184,13 @@ def exact_percentiles(
     Equal values are counted first; the running count then tells which values
     stand at the wanted ranks. No group is ever held in one place.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(by, F.col(value).alias("__value"))
-        .agg(F.count("*").alias("__n"))
-    )
+    given = df.select(by, F.col(value).alias("__value")).where("__value IS NOT NULL")
+    counts = given.groupBy(by, "__value").agg(F.count("*").alias("__n"))
     ranked = running(counts, [by], ["__value"], {"__upto": ("sum", "__n")}, rows_per_task)
-    totals = counts.groupBy(by).agg(F.sum("__n").alias("__total"))
-    placed = salted_join(ranked, totals, [by], "inner", ["__value"], rows_per_task)
+    totals = given.groupBy(by).agg(F.count("*").alias("__total"))
+    placed = checked_join(
+        ranked, totals, [by], "inner", ["__value"], rows_per_task=rows_per_task
+    )
 
     def value_at(rank: Column) -> Column:
         here = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)

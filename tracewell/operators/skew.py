@@ -213,10 +213,10 @@ def running(
     carried = (
         chunked.where("__chunk > 0")
         .groupBy(*groups)
-        .agg(*[summary[k](c).alias(f"__{n}") for n, (k, c) in values.items()])
-        .withColumns({f"__{n}": carry[k](f"__{n}") for n, (k, _) in values.items()})
+        .agg(*[summary[k](c).alias(f"__carry_{n}") for n, (k, c) in values.items()])
+        .withColumns({f"__carry_{n}": carry[k](f"__carry_{n}") for n, (k, _) in values.items()})
         .select(
-            *[F.col(g).alias(f"__at_{g}") for g in groups], *[f"__{n}" for n in values]
+            *[F.col(g).alias(f"__at_{g}") for g in groups], *[f"__carry_{n}" for n in values]
         )
     )
     same = F.lit(True)
@@ -227,13 +227,10 @@ def running(
         .join(carried, same, "left")
     )
     combine = {
-        "last": lambda n: F.coalesce(F.col(n), F.col(f"__{n}")),
-        "sum": lambda n: F.when(
-            F.col(n).isNotNull() | F.col(f"__{n}").isNotNull(),
-            F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"__{n}"), F.lit(0)),
-        ),
+        "last": lambda n: F.coalesce(n, f"__carry_{n}"),
+        "sum": lambda n: F.coalesce(F.col(n) + F.col(f"__carry_{n}"), n, f"__carry_{n}"),
         "previous": lambda n: F.when(
-            F.col("__first"), F.col(f"__{n}").getField(values[n][1])
+            F.col("__first"), F.col(f"__carry_{n}").getField(values[n][1])
         ).otherwise(F.col(n)),
     }
     result = joined.withColumns({n: combine[k](n) for n, (k, _) in values.items()})

@@ -163,6 +163,7 @@ def absent_iocs(spark, folder):
     run = lambda key: F.concat(F.lit("customer-"), _text(key)).alias("run_id")
     iocs = (
         orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+        .distinct()
         .join(customers, "c_custkey")
         .select("c_mktsegment", "o_orderpriority")
         .distinct()
@@ -226,13 +227,12 @@ def _scenario():
     return F.expr(f"CAST(item_id DIV {ITEMS_PER_SCENARIO} AS STRING)")
 
 
-def _expected(spark, folder):
-    """What each source was to show: every scenario of the benchmark.
+def _item_iocs(spark, folder):
+    """An item's indicators.
 
-    An item gives an indicator of its text, one of a file that must not exist
-    and one of a type nothing can match.
+    One of its text, one of a file that must not exist and one of a type nothing
+    can match.
     """
-    items = table(spark, folder, "benchmark")
     item = _text("item_id")
     want = lambda n, kind, type_, path, text, exists: F.struct(
         (F.col("item_id") * 3 + n).alias("ordinal"),
@@ -243,7 +243,7 @@ def _expected(spark, folder):
         F.lit(exists).cast("boolean").alias("exists"),
     )
     none = F.lit(None)
-    iocs = items.select(
+    iocs = table(spark, folder, "benchmark").select(
         _scenario().alias("scenario_id"),
         F.explode(
             F.array(
@@ -253,6 +253,19 @@ def _expected(spark, folder):
             )
         ).alias("ioc"),
     ).select("scenario_id", "ioc.*")
+    return iocs.withColumns(
+        {
+            "size_bytes": F.lit(None).cast("bigint"),
+            "plugin": F.lit(None).cast("string"),
+            "attrs": F.lit(None).cast("map<string,string>"),
+            "sources": F.lit(None).cast("array<string>"),
+        }
+    )
+
+
+def _expected(spark, folder):
+    """What each source was to show: every scenario of the benchmark."""
+    items = table(spark, folder, "benchmark")
     last = items.agg(F.max("item_id")).scalar()
     scenarios = F.sequence(
         F.lit(0).cast("bigint"), F.floor(last / F.lit(ITEMS_PER_SCENARIO)).cast("bigint")
@@ -264,14 +277,7 @@ def _expected(spark, folder):
         .select("run_id", F.explode(scenarios).alias("n"))
         .select("run_id", _text("n").alias("scenario_id"))
     )
-    return runs.join(iocs, "scenario_id").withColumns(
-        {
-            "size_bytes": F.lit(None).cast("bigint"),
-            "plugin": F.lit(None).cast("string"),
-            "attrs": F.lit(None).cast("map<string,string>"),
-            "sources": F.lit(None).cast("array<string>"),
-        }
-    )
+    return runs.join(_item_iocs(spark, folder), "scenario_id")
 
 
 def _document_entries(spark, folder):
@@ -286,7 +292,9 @@ def _document_entries(spark, folder):
 
 def detection(spark, folder):
     return ioc.detect_iocs(
-        _expected(spark, folder), ioc.Evidence(entries=_document_entries(spark, folder))
+        _expected(spark, folder),
+        ioc.Evidence(entries=_document_entries(spark, folder)),
+        _item_iocs(spark, folder),
     )
 
 

@@ -154,19 +154,16 @@ def step_sequence_chunked(spark, folder):
 @query(
     "wn04_acquisition_order",
     """
-    SELECT o_orderkey AS run_id, strftime(o_orderdate, '%Y-%m-%d') AS memory_day,
-           strftime(min(l_shipdate), '%Y-%m-%d') AS disk_day, o_orderdate <= min(l_shipdate) AS ordered
-    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+    SELECT coalesce(o_orderkey, l_orderkey) AS run_id, strftime(min(o_orderdate), '%Y-%m-%d') AS memory_day,
+           strftime(min(l_shipdate), '%Y-%m-%d') AS disk_day, min(o_orderdate) <= min(l_shipdate) AS ordered
+    FROM orders FULL JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
     """,
 )
 def acquisition_order(spark, folder):
     image = lambda key, kind, ts: [
         F.col(key).alias("run_id"), F.lit(kind).alias("kind"), F.col(ts).alias("timestamp")
     ]
-    orders = table(spark, folder, "orders")
-    lines = table(spark, folder, "lineitem").join(
-        orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"
-    )
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     images = orders.select(*image("o_orderkey", "memory", "o_orderdate")).union(
         lines.select(*image("l_orderkey", "disk", "l_shipdate"))
     )

@@ -45,16 +45,22 @@ class PowerState(StatefulProcessor):
         for batch in rows:
             events = list(zip(batch["ts_us"], batch["event_id"], batch["kind"]))
             self.waiting.appendList([(int(t), int(i), k) for t, i, k in events])
-            for ms in {int(t) // 1000 + 1 for t, _, _ in events}:
-                self.handle.registerTimer(ms)
+            self.wake(events)
         return iter([])
 
+    def wake(self, events: list[tuple]) -> None:
+        """One timer, for the earliest event; it looks after the later ones."""
+        if events:
+            self.handle.registerTimer(int(min(e[0] for e in events)) // 1000 + 1)
+
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         events = sorted(self.waiting.get())
-        keep(self.waiting, [e for e in events if e[0] >= passed])
+        ahead = [e for e in events if e[0] >= passed]
+        keep(self.waiting, ahead)
+        self.wake(ahead)
         state = self.power.get()[0] if self.power.exists() else None
         broken = []
         for ts, event_id, kind in events:

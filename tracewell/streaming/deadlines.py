@@ -49,14 +49,18 @@ class Deadline(StatefulProcessor):
             if starts:
                 self.starts.appendList(starts)
             # A ready is timed as well: if no start waits for it, it is dropped then.
-            for ms in {(t[0] + self.limit_us) // 1000 + 1 for t in starts + readies}:
-                self.handle.registerTimer(ms)
+            self.wake(starts + readies)
         return iter([])
 
+    def wake(self, events: list[tuple]) -> None:
+        """One timer, for the earliest deadline; it looks after the later ones."""
+        if events:
+            self.handle.registerTimer((min(e[0] for e in events) + self.limit_us) // 1000 + 1)
+
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.limit_us
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 - self.limit_us
         starts, readies = sorted(self.starts.get()), sorted(self.readies.get())
         decided, at = [], 0
         for ts, start_id in starts:
@@ -68,8 +72,11 @@ class Deadline(StatefulProcessor):
             if ready is not None and ready > ts + self.limit_us:
                 ready = None
             decided.append((key[0], start_id, ts, ready, ready is None))
-        keep(self.starts, [s for s in starts if s[0] >= passed])
-        keep(self.readies, [r for r in readies if r[0] >= passed])
+        starts = [s for s in starts if s[0] >= passed]
+        readies = [r for r in readies if r[0] >= passed]
+        keep(self.starts, starts)
+        keep(self.readies, readies)
+        self.wake(starts + readies)
         if decided:
             yield pd.DataFrame(
                 decided, columns=["vm", "start_id", "ts_us", "ready_us", "timed_out"]
