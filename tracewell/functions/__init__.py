@@ -15,9 +15,8 @@ from tracewell.functions.naming import (
 )
 from tracewell.functions.text import (
     json_value,
-    lines_of,
+    plain_lines,
     strip_space,
-    words_of,
 )
 from tracewell.functions.values import (
     digest,
@@ -38,9 +37,9 @@ __all__ = [
     "format_bytes",
     "has_value",
     "json_value",
-    "lines_of",
     "matches_attrs",
     "parse_run_id",
+    "plain_lines",
     "rebase_path",
     "relative_path",
     "render_template",
@@ -53,5 +52,4 @@ __all__ = [
     "technique_parts",
     "url_filename",
     "with_defaults",
-    "words_of",
 ]

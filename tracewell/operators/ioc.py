@@ -11,15 +11,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tracewell.functions import matches_attrs
 from tracewell.operators.skew import (
+    BROADCAST_CHARS,
     BROADCAST_ROWS,
     ROWS_PER_TASK,
-    checked_join,
-    is_small,
+    fits,
+    measure,
     salted_join,
 )
 
@@ -65,9 +66,10 @@ def match_file_iocs(
     entries = _with_columns(entries, {"content": "string", "size_bytes": "bigint"})
     wanted = _prefixed(iocs.where("path IS NOT NULL"), ["size_bytes", "content_contains"])
     used = entries.select("run_id", "path", "size_bytes", "content")
-    if wanted.where("__ioc_content_contains IS NOT NULL").isEmpty():
+    size = measure(wanted, markers=F.count("__ioc_content_contains"))
+    if not size["markers"]:
         used = used.withColumn("content", F.lit(None).cast("string"))
-    if is_small(wanted, broadcast_rows):
+    if fits(size["rows"], size["chars"], broadcast_rows):
         joined = used.join(F.broadcast(wanted), "path")
     else:
         # Copies of an entry are dropped first; no two rows are alike after that,
@@ -137,19 +139,26 @@ def content_hits(
     def once(pairs: DataFrame) -> DataFrame:
         return pairs if pairs.isStreaming else pairs.distinct()
 
-    if is_small(markers, scan_markers):
-        return once(scan(markers))
     anchored = markers.withColumn("__word", _anchor(F.col(marker)))
-    by_word = _hits_by_word(
-        texts, anchored.where("__word IS NOT NULL"), marker, broadcast_rows, rows_per_task
-    ).select(*out)
+    size = measure(anchored, plain=F.count_if(F.col("__word").isNull()))
+    if size["rows"] <= scan_markers and fits(size["rows"], size["chars"], broadcast_rows):
+        return once(scan(markers))
+    worded = anchored.where("__word IS NOT NULL")
+    by_word = _hits_by_word(texts, worded, marker, size, broadcast_rows, rows_per_task).select(*out)
+    if not size["plain"]:
+        return once(by_word)
     plain = anchored.where("__word IS NULL").drop("__word")
-    scans = [scan(p) for p in _portions(plain, marker, broadcast_rows)]
+    scans = [scan(p) for p in _portions(plain, size, broadcast_rows)]
     return once(reduce(DataFrame.union, scans, by_word))
 
 
 def _hits_by_word(
-    texts: DataFrame, markers: DataFrame, marker: str, broadcast_rows: int, rows_per_task: int
+    texts: DataFrame,
+    markers: DataFrame,
+    marker: str,
+    size: Row,
+    broadcast_rows: int,
+    rows_per_task: int,
 ) -> DataFrame:
     found = F.contains(F.col("__text"), F.col(marker))
     words = F.explode(F.array_distinct(F.split("__text", " "))).alias("__word")
@@ -158,31 +167,28 @@ def _hits_by_word(
         # Nothing is shuffled.
         return texts.select("*", words).join(F.broadcast(portion), "__word").where(found)
 
-    if is_small(markers, broadcast_rows):
-        return one_pass(markers)
-    if texts.isStreaming:
-        return reduce(DataFrame.union, map(one_pass, _portions(markers, marker, broadcast_rows)))
+    if texts.isStreaming or fits(size["rows"], size["chars"], broadcast_rows):
+        return reduce(DataFrame.union, map(one_pass, _portions(markers, size, broadcast_rows)))
     # A word comes once per text at most, so no word has a large share of these
     # rows; AQE splits the partitions of frequent ones. Texts stay out of the
     # exchange, and copies of a text share their candidates.
-    keyed = texts.distinct().withColumn("__key", F.xxhash64("__text"))
     candidates = (
         texts.select(F.xxhash64("__text").alias("__key"), words)
         .join(markers, "__word")
         .drop("__word")
         .distinct()
     )
+    keyed = texts.distinct().withColumn("__key", F.xxhash64("__text"))
     spread = [c for c in texts.columns if c != "__text"]
     return salted_join(keyed, candidates, ["__key"], "inner", spread, rows_per_task).where(found)
 
 
-def _portions(markers: DataFrame, marker: str, max_rows: int) -> list[DataFrame]:
+def _portions(markers: DataFrame, size: Row, max_rows: int) -> list[DataFrame]:
     """Markers in portions that are each small enough to broadcast."""
-    size = markers.agg(F.count("*").alias("rows"), F.sum(F.length(marker)).alias("chars")).first()
-    if not size["rows"]:
-        return []
+    if fits(size["rows"], size["chars"], max_rows):
+        return [markers]
     # Half-filled on average, so that an uneven deal still fits.
-    parts = -(-2 * size["rows"] // max_rows) if size["rows"] > max_rows else 1
+    parts = 2 * max(-(-size["rows"] // max_rows), -(-size["chars"] // BROADCAST_CHARS))
     part = F.pmod(F.xxhash64(*markers.columns), F.lit(parts))
     return [markers.where(part == i) for i in range(parts)]
 
@@ -215,6 +221,10 @@ def match_content_iocs(
 # --- absence -----------------------------------------------------------------------
 
 
+# Stands for every source; no tool has an empty name.
+ANY_SOURCE = ""
+
+
 def match_absent_iocs(entries: DataFrame, expected: DataFrame) -> DataFrame:
     """Absence indicators of each run: ``matched`` and ``assessed``.
 
@@ -222,38 +232,23 @@ def match_absent_iocs(entries: DataFrame, expected: DataFrame) -> DataFrame:
     if the run was looked at: with no entry from any of the indicator's sources
     (from any source, if it names none) it is neither assessed nor matched.
     """
-    absent = expected.where("path IS NOT NULL AND `exists` = false").select(
-        "run_id", *IOC_KEY, "path", "sources"
-    )
     key = ["run_id", *IOC_KEY]
-    present = entries.select("run_id", "path").distinct()
-    sources = entries.select("run_id", "source").distinct()
-    looked = (
-        absent.select(*key, F.explode("sources").alias("source"))
-        .join(sources, ["run_id", "source"], "left_semi")
-        .select(*key)
-        .union(
-            absent.where("sources IS NULL OR size(sources) = 0")
-            .join(sources, "run_id", "left_semi")
-            .select(*key)
-        )
-        .distinct()
-        .withColumn("__looked", F.lit(True))
-    )
-    found = (
-        absent.join(present, ["run_id", "path"], "left_semi")
-        .select(*key)
-        .withColumn("__found", F.lit(True))
+    named = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(ANY_SOURCE)))
+    absent = expected.where("path IS NOT NULL AND `exists` = false").select(
+        *key, "path", F.explode(named).alias("source")
     )
+    present = entries.select("run_id", "path").distinct().withColumn("__found", F.lit(True))
+    sources = F.explode(F.array(F.col("source"), F.lit(ANY_SOURCE))).alias("source")
+    looked = entries.select("run_id", sources).distinct().withColumn("__looked", F.lit(True))
     return (
-        absent.select(*key)
-        .join(looked, key, "left")
-        .join(found, key, "left")
-        .select(
-            *key,
-            F.col("__looked").isNotNull().alias("assessed"),
-            (F.col("__looked").isNotNull() & F.col("__found").isNull()).alias("matched"),
+        absent.join(present, ["run_id", "path"], "left")
+        .join(looked, ["run_id", "source"], "left")
+        .groupBy(*key)
+        .agg(
+            F.coalesce(F.bool_or("__looked"), F.lit(False)).alias("assessed"),
+            F.coalesce(F.bool_or("__found"), F.lit(False)).alias("__found"),
         )
+        .select(*key, "assessed", (F.col("assessed") & ~F.col("__found")).alias("matched"))
     )
 
 
@@ -286,13 +281,15 @@ def match_process_iocs(
     by_shape = named.where("__name IS NULL").drop("__name")
 
     def fields(rows: DataFrame) -> DataFrame:
-        field = F.explode("attrs").alias("__name", "__value")
+        # The outer form, as Spark would evaluate the map again to drop empty ones.
+        field = F.explode_outer("attrs").alias("__name", "__value")
         return rows.select("*", field).where("__value IS NOT NULL")
 
+    size = measure(named, bare=F.count_if(F.col("__name").isNull()))
+    small = fits(size["rows"], size["chars"], broadcast_rows)
     on = ["plugin", "__name", "__value"]
-    if is_small(by_value, broadcast_rows):
-        named_rows = rows.select("run_id", "plugin", "attrs")
-        valued = fields(named_rows).join(F.broadcast(by_value), on)
+    if small:
+        valued = fields(rows.select("run_id", "plugin", "attrs")).join(F.broadcast(by_value), on)
     else:
         # Copies of a row are dropped first, by its text as a map has no order;
         # after that a row's own hash deals a hot value out evenly.
@@ -302,21 +299,24 @@ def match_process_iocs(
             .distinct()
             .withColumn("attrs", F.from_json("__row", "map<string,string>"))
         )
-        valued = salted_join(
-            fields(single), by_value, on, "inner", ["run_id", "__row"], rows_per_task
-        )
-    valued = valued.where(matches_attrs(F.col("__wanted"), F.col("attrs")))
-    pairs = valued.select("run_id", *IOC_KEY)
-    if not by_shape.isEmpty():
+        spread = ["run_id", "__row"]
+        valued = salted_join(fields(single), by_value, on, "inner", spread, rows_per_task)
+    pairs = valued.where(matches_attrs(F.col("__wanted"), F.col("attrs"))).select(
+        "run_id", *IOC_KEY
+    )
+    if size["bare"]:
         shape = F.array_sort(F.map_keys(F.map_filter("attrs", lambda _, v: v.isNotNull())))
         shapes = rows.select("run_id", "plugin", shape.alias("__shape")).distinct()
         lacking = F.forall(
             F.map_keys("__wanted"), lambda k: ~F.array_contains(F.col("__shape"), k)
         )
-        bare = checked_join(
-            shapes, by_shape, ["plugin"], "inner", ["run_id"], broadcast_rows, rows_per_task
-        )
-        pairs = pairs.union(bare.where(lacking).select("run_id", *IOC_KEY))
+        if small:
+            met = shapes.join(F.broadcast(by_shape), "plugin")
+        else:
+            met = salted_join(
+                shapes, by_shape, ["plugin"], "inner", ["run_id", "__shape"], rows_per_task
+            )
+        pairs = pairs.union(met.where(lacking).select("run_id", *IOC_KEY))
     return pairs.distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -22,19 +22,22 @@ BROADCAST_CHARS = 32 * 1024 * 1024
 MAX_CHUNKS = 2_000
 
 
-def is_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS
-) -> bool:
-    """Whether a table is proven small. Reads at most ``max_rows`` + 1 rows."""
-    size = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count("*").alias("rows"),
-            F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars"),
-        )
-        .first()
-    )
-    return size["rows"] <= max_rows and size["chars"] <= max_chars
+def measure(df: DataFrame, **more: Column) -> Row:
+    """Rows and characters of a table, and what else is asked, in one job."""
+    chars = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    extra = [column.alias(name) for name, column in more.items()]
+    return df.agg(F.count("*").alias("rows"), chars.alias("chars"), *extra).first()
+
+
+def fits(rows: int, chars: int, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of that size may be broadcast."""
+    return rows <= max_rows and chars <= BROADCAST_CHARS
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table is proven small. Looks at no more than ``max_rows`` + 1 rows."""
+    size = measure(df.limit(max_rows + 1))
+    return fits(size["rows"], size["chars"], max_rows)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> DataFrame:

@@ -73,7 +73,7 @@ def file_iocs_shuffled(spark, folder):
 def _event_rows(spark, folder):
     props = F.from_json("props", "map<string,string>")
     more = F.create_map(F.lit("user"), _text("user_id"))
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events", spread=True).select(
         F.concat(F.lit("user-"), _text("user_id")).alias("run_id"),
         F.col("event_type").alias("plugin"),
         F.map_concat(props, more).alias("attrs"),
@@ -189,7 +189,7 @@ def absent_iocs(spark, folder):
 
 def _content(spark, folder, **sizes):
     return ioc.content_hits(
-        table(spark, folder, "documents"),
+        table(spark, folder, "documents", spread=True),
         table(spark, folder, "benchmark").withColumnRenamed("text", "marker"),
         content="text",
         marker="marker",
@@ -281,7 +281,7 @@ def _expected(spark, folder):
 
 
 def _document_entries(spark, folder):
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", spread=True).select(
         F.col("source").alias("run_id"),
         F.concat(F.lit("/doc/"), _text("doc_id")).alias("path"),
         F.col("n_chars").alias("size_bytes"),

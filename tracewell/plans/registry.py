@@ -22,5 +22,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; ``spread`` deals out the rows of one too small to be split.
+
+    Heavy work on texts would otherwise keep a single core busy. A table of many
+    files has splits enough and is left alone.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -24,7 +24,7 @@ from tracewell.session import work_path
 )
 def plugin_rows(spark, folder):
     payload = F.concat(F.lit('{"rows":['), F.col("props"), F.lit(",3]}"))
-    docs = table(spark, folder, "events").select("event_id", payload.alias("payload"))
+    docs = table(spark, folder, "events", spread=True).select("event_id", payload.alias("payload"))
     return sources.plugin_rows(docs, "payload").select(
         "event_id", "pos", F.col("attrs")["k"].cast("bigint").alias("k")
     )
@@ -300,7 +300,7 @@ def profiles(spark, folder):
     """,
 )
 def checksum_lines(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
     return sources.checksum_lines(docs, "text")
 
 
@@ -402,7 +402,7 @@ def run_log(spark, folder):
         F.format_string('\nconv-%d\n  conv-%d {"role":"%s",', "conv_id", "conv_id", "role"),
         F.format_string('"turn":%d}\nconv-%d {"turn":-1}', "turn", "conv_id"),
     )
-    logs = table(spark, folder, "conversations").select(
+    logs = table(spark, folder, "conversations", spread=True).select(
         "conv_id",
         "turn",
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("guid"),

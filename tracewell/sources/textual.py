@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions import json_value, lines_of, strip_marker, strip_space, words_of
+from tracewell.functions import json_value, plain_lines, strip_marker, strip_space
 
 
 def checksum_lines(df: DataFrame, text: str) -> DataFrame:
@@ -16,13 +16,12 @@ def checksum_lines(df: DataFrame, text: str) -> DataFrame:
     a file is listed twice.
     """
     rest = [c for c in df.columns if c != text]
-    lines = df.select(*rest, F.posexplode(lines_of(F.col(text))).alias("line_no", "__line"))
-    words = lines.select(*rest, "line_no", words_of(F.col("__line")).alias("__words"))
-    return words.where(F.size("__words") >= 2).select(
+    lines = df.select(*rest, F.posexplode(plain_lines(F.col(text))).alias("line_no", "__line"))
+    return lines.where(F.contains("__line", F.lit(" "))).select(
         *rest,
         "line_no",
-        F.lower(F.element_at("__words", 1)).alias("hash"),
-        strip_marker(F.element_at("__words", -1)).alias("file_name"),
+        F.lower(F.substring_index("__line", " ", 1)).alias("hash"),
+        strip_marker(F.substring_index("__line", " ", -1)).alias("file_name"),
     )
 
 
