@@ -119,7 +119,11 @@ def _as_number(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.TimestampNTZType):
         since = F.col(column) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         return since.cast("interval second").cast("decimal(20,6)").cast("double")
-    return F.col(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, (T.NumericType, T.TimestampType)):
+        return F.col(column).cast("double")
+    raise TypeError(f"cannot order by {column}, a {kind.simpleString()}")
 
 
 def ordered_chunks(
@@ -133,6 +137,7 @@ def ordered_chunks(
     Returns whether anything had to be cut.
     """
     keys = list(keys)
+    number = _as_number(df, order)
     hot = hot_keys(df, keys, rows_per_task)
     total = hot.agg(F.sum("__rows").alias("n")).first()["n"]
     if not total:
@@ -147,7 +152,7 @@ def ordered_chunks(
     marked = (
         df.join(hot, same_key, "left")
         .drop(*[f"__hot_{k}" for k in keys])
-        .withColumn("__order", F.when(F.col("__hot"), _as_number(df, order)))
+        .withColumn("__order", F.when(F.col("__hot"), number))
     )
     chunks = min(-(-total // rows_per_task), MAX_CHUNKS)
     probs = [i / chunks for i in range(1, chunks)]

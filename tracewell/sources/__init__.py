@@ -13,7 +13,7 @@ from tracewell.sources.documents import (
     scenario_iocs,
     scenario_steps,
 )
-from tracewell.sources.files import file_digests, list_segments, list_symbols
+from tracewell.sources.files import file_digests, list_files, list_segments, list_symbols
 from tracewell.sources.sinks import write_findings, write_ground_truth, write_manifests
 from tracewell.sources.textual import checksum_lines, parse_run_log, run_log_payload
 from tracewell.sources.yaml_docs import (
@@ -31,6 +31,7 @@ __all__ = [
     "file_digests",
     "ground_truth_iocs",
     "ioc_columns",
+    "list_files",
     "list_segments",
     "list_symbols",
     "parse_run_log",

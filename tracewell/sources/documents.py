@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schemas
 from tracewell.functions import json_value
+from tracewell.sources.files import list_files
 
 # Attribute names of a file indicator that have a column of their own.
 TYPED_ATTRIBUTES = ("path", "content_contains", "exists", "size_bytes")
@@ -59,24 +60,31 @@ def plugin_quarantine(df: DataFrame, payload: str) -> DataFrame:
     return df.where(json_value(F.col(payload)).isNull())
 
 
-def _tool_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    name = F.input_file_name()
-    return spark.read.text(paths, wholetext=True).select(
-        F.url_decode(F.regexp_extract(name, TOOL_FILE, 1)).alias("run_id"),
-        F.url_decode(F.regexp_extract(name, TOOL_FILE, 2)).alias("plugin"),
+def _tool_files(spark: SparkSession, folders: str | list[str]) -> DataFrame:
+    """Files ``<run id>__<plugin>.json`` as run_id, plugin and payload."""
+    folders = [folders] if isinstance(folders, str) else folders
+    full = spark.read.text([f"{f}/*.json" for f in folders], wholetext=True).select(
+        F.url_decode(F.input_file_name()).alias("path"), "value"
+    )
+    # Spark skips empty files; here they are invalid documents.
+    empty = list_files(spark, folders).where("size_bytes = 0 AND path LIKE '%.json'")
+    return full.union(empty.select("path", F.lit(""))).select(
+        F.regexp_extract("path", TOOL_FILE, 1).alias("run_id"),
+        F.regexp_extract("path", TOOL_FILE, 2).alias("plugin"),
         F.col("value").alias("payload"),
     )
 
 
 def read_plugin_rows(
-    spark: SparkSession, paths: str | list[str], mode: str = "fail"
+    spark: SparkSession, folders: str | list[str], mode: str = "fail"
 ) -> DataFrame:
-    """Rows of tool-output files named ``<run id>__<plugin>.json``."""
-    return plugin_rows(_tool_files(spark, paths), "payload", mode)
+    """Rows of the tool-output files in folders."""
+    return plugin_rows(_tool_files(spark, folders), "payload", mode)
 
 
-def read_plugin_quarantine(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return plugin_quarantine(_tool_files(spark, paths), "payload")
+def read_plugin_quarantine(spark: SparkSession, folders: str | list[str]) -> DataFrame:
+    """Tool-output files that are not valid JSON."""
+    return plugin_quarantine(_tool_files(spark, folders), "payload")
 
 
 # --- indicators ----------------------------------------------------------------

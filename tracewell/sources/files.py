@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,32 +14,64 @@ from pyspark.sql import functions as F
 CHUNK = 4 * 1024 * 1024
 
 
-def _listing(spark: SparkSession, glob: str) -> DataFrame:
-    """Names and sizes; the pruned scan never opens a file's content."""
-    return spark.read.format("binaryFile").load(glob).select("path", "length", "modificationTime")
+FILE = "path STRING, size_bytes BIGINT, mtime TIMESTAMP"
 
 
-def list_segments(spark: SparkSession, glob: str) -> DataFrame:
-    """Evidence segments ``<prefix>.E??``: image_id, path and size_bytes."""
+def _store(uri: str) -> tuple[Any, str, str]:
+    """File system of a URI or path, the path in it, and what to put before one."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(uri)
+    return store, inner, uri[: len(uri) - len(inner)] if uri.endswith(inner) else ""
+
+
+def list_files(spark: SparkSession, folders: str | Sequence[str] | DataFrame) -> DataFrame:
+    """Files below folders: path, size_bytes and mtime.
+
+    Spark's own listing leaves out empty files, and an empty file is a finding
+    here. ``folders`` may be a table with a column ``folder``, one for each run;
+    they are listed in parallel.
+    """
+    if not isinstance(folders, DataFrame):
+        names = [folders] if isinstance(folders, str) else list(folders)
+        folders = spark.createDataFrame([(name,) for name in names], "folder STRING")
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch["folder"]:
+                store, inner, prefix = _store(folder)
+                found = store.get_file_info(fs.FileSelector(inner, recursive=True))
+                files = [f for f in found if f.type == fs.FileType.File]
+                yield pd.DataFrame(
+                    {
+                        "path": [prefix + f.path for f in files],
+                        "size_bytes": [f.size for f in files],
+                        "mtime": pd.to_datetime([f.mtime for f in files], utc=True),
+                    }
+                )
+
+    tasks = spark.sparkContext.defaultParallelism
+    return folders.select("folder").repartition(tasks).mapInPandas(listing, FILE)
+
+
+def list_segments(spark: SparkSession, folders: str | Sequence[str] | DataFrame) -> DataFrame:
+    """Evidence segments ``<prefix>.E??``: image_id, path, size_bytes and mtime."""
+    pattern = r"([^/]+)\.E..$"
     return (
-        _listing(spark, glob)
-        .where(F.col("path").rlike(r"\.E..$"))
-        .select(
-            F.regexp_extract("path", r"([^/]+)\.E..$", 1).alias("image_id"),
-            "path",
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("mtime"),
-        )
+        list_files(spark, folders)
+        .where(F.col("path").rlike(pattern))
+        .select(F.regexp_extract("path", pattern, 1).alias("image_id"), "*")
     )
 
 
-def list_symbols(spark: SparkSession, directory: str) -> DataFrame:
-    """Symbol files ``<family>_<kernel>.json`` of a folder."""
-    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
+def list_symbols(spark: SparkSession, folders: str | Sequence[str] | DataFrame) -> DataFrame:
+    """Symbol files ``<family>_<kernel>.json``."""
     pattern = r"^([^_]+)_(.*)\.json$"
     return (
-        _listing(spark, f"{directory}/*.json")
-        .select(name.alias("file_name"))
+        list_files(spark, folders)
+        .select(F.substring_index("path", "/", -1).alias("file_name"))
         .where(F.col("file_name").rlike(pattern))
         .select(
             F.regexp_extract("file_name", pattern, 1).alias("family"),
@@ -58,10 +91,8 @@ def file_digests(files: DataFrame, path: str = "path", algo: str = "algo") -> Da
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", digest STRING"
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         def one(uri: str, name: str) -> str:
-            store, inner = fs.FileSystem.from_uri(uri)
+            store, inner, _ = _store(uri)
             state = hashlib.new(name)
             with store.open_input_stream(inner) as stream:
                 while block := stream.read(CHUNK):
