@@ -92,9 +92,30 @@ def test_findings_are_runs_times_indicators(spark):
     ]
 
 
+def test_many_indicators_ask_for_the_same(spark):
+    """The same condition in many scenarios and runs, and another run's scenario."""
+    runs = [f"r{i}" for i in range(6)]
+    data = [(r, *i) for r in runs for i in (KEY_FILE, ANY)]
+    expected = expected_of(spark, data).withColumn(
+        "scenario_id", F.expr("concat('s', substr(run_id, 2) % 2)")
+    )
+    definitions = expected.drop("run_id", "ordinal").dropDuplicates(["scenario_id", "ioc_id"])
+    entries = entries_of(
+        spark, [("r0", KEYS, 1, "marker", "l"), ("r1", "/x", 1, "two words and more", "l")] * 20
+    )
+    for given in (None, definitions):
+        findings = ioc.detect_iocs(expected, ioc.Evidence(entries), given)
+        assert findings.count() == 12
+        assert rows(findings.where("matched"), "run_id", "scenario_id", "ioc_id") == [
+            ("r0", "s0", "key"), ("r1", "s1", "any")
+        ]
+    for match, n in ((ioc.match_file_iocs, 2), (ioc.match_content_iocs, 2)):
+        assert match(entries, definitions).count() == n
+
+
 def test_matchers_by_type(spark):
     expected = expected_of(spark, [("r", *REGISTRY), ("r", *LOG)])
-    everything = lambda expected, iocs, evidence: expected
+    everything = lambda expected, definitions, evidence: expected
     findings = ioc.detect_iocs(expected, ioc.Evidence(), matchers={"registry": everything})
     assert rows(findings, "ioc_id", "matched") == [("log", False), ("reg", True)]
     assert rows(ioc.detect_iocs(expected, ioc.Evidence(), matchers={}), "matched") == [(False,), (False,)]
@@ -147,7 +168,7 @@ def test_content_hits(spark, seed, sizes):
         spark.createDataFrame(texts, "doc int, content string"),
         spark.createDataFrame([*markers, (999, None)], "m int, content_contains string"),
         keep=["doc"],
-        **sizes,
+        limits=ioc.Limits(**sizes),
     )
     assert sorted((r.doc, r.m) for r in got.collect()) == want
 
@@ -174,7 +195,7 @@ def test_file_iocs_both_ways(spark, broadcast_rows):
         [("s", i, p, z, k) for i, p, z, k in wanted],
         "scenario_id string, ioc_id string, path string, size_bytes bigint, content_contains string",
     )
-    got = ioc.match_file_iocs(entries_of(spark, entries), iocs, broadcast_rows, 10)
+    got = ioc.match_file_iocs(entries_of(spark, entries), iocs, limits=ioc.Limits(64, broadcast_rows, 10))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
@@ -202,8 +223,7 @@ def test_process_iocs_both_ways(spark, broadcast_rows):
             [("s", *i) for i in iocs],
             "scenario_id string, ioc_id string, plugin string, attrs map<string,string>",
         ),
-        broadcast_rows,
-        10,
+        limits=ioc.Limits(64, broadcast_rows, 10),
     )
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 

@@ -116,7 +116,7 @@ def test_findings(spark, arrivals, scan_markers, broadcast_rows):
     )
     stream, table = arrivals(batches, schema, add_time=False)
     got = streaming.run_available(
-        streaming.stream_findings(stream, iocs, scan_markers, broadcast_rows), "findings"
+        streaming.stream_findings(stream, iocs, ioc.Limits(scan_markers, broadcast_rows)), "findings"
     )
     assert rows(got, "run_id", "ioc_id") == [("r1", "long"), ("r2", "empty"), ("r2", "short")]
     batch = ioc.match_file_iocs(table, iocs.where("`exists` IS NULL OR `exists`")).union(

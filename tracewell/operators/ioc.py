@@ -1,8 +1,10 @@
 """Matching indicators of compromise against collected evidence.
 
-Indicators are tables as ``schemas.EXPECTED_IOC`` describes them. The matchers
-take their definitions (no run) and give the distinct (run, indicator) pairs
-that hold; ``detect_iocs`` joins those pairs to what each run was to show.
+Indicators are tables as ``schemas.EXPECTED_IOC`` describes them; with a
+``run_id`` they say what a run was to show, without it they are definitions for
+every run. Many of them ask for the same thing: the same path in a thousand
+scenarios. So evidence meets each distinct condition once, which gives distinct
+(run, condition) pairs, and only those meet the indicators.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from tracewell.operators.skew import (
     BROADCAST_CHARS,
     BROADCAST_ROWS,
     ROWS_PER_TASK,
+    checked_join,
     fits,
     measure,
     salted_join,
@@ -29,6 +32,9 @@ IOC_KEY = ("scenario_id", "ioc_id")
 # Markers a text is searched for one by one. More are found by their words.
 SCAN_MARKERS = 64
 
+# Stands for every source; no tool has an empty name.
+ANY_SOURCE = ""
+
 
 @dataclass
 class Evidence:
@@ -38,58 +44,99 @@ class Evidence:
     rows: DataFrame | None = None
 
 
-# --- files ---------------------------------------------------------------------
+@dataclass
+class Limits:
+    """Where the way to join changes; tests set them low to take every way."""
 
+    scan_markers: int = SCAN_MARKERS
+    broadcast_rows: int = BROADCAST_ROWS
+    rows_per_task: int = ROWS_PER_TASK
+
+
+def _with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    missing = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns}
+    return df.withColumns(missing) if missing else df
+
+
+# --- conditions ------------------------------------------------------------------
 
-def _entry_meets(ioc: Callable[[str], Column]) -> Column:
-    """Conditions on an entry beyond its path; those not given hold."""
-    size, marker = ioc("size_bytes"), ioc("content_contains")
-    return (size.isNull() | F.coalesce(F.col("size_bytes") == size, F.lit(False))) & (
-        marker.isNull() | F.coalesce(F.contains(F.col("content"), marker), F.lit(False))
-    )
 
+def _condition(columns: Sequence[str]) -> Column:
+    """One text for what an indicator asks for; nulls count."""
+    asked = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.sha2(asked, 256)
 
-def _prefixed(iocs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return iocs.select(*IOC_KEY, "path", *[F.col(c).alias(f"__ioc_{c}") for c in columns])
+
+def _conditions(iocs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each distinct condition with its key."""
+    keyed = iocs.select(_condition(columns).alias("__cond"), *columns)
+    return keyed.dropDuplicates(["__cond"])
+
+
+def _pairs(
+    iocs: DataFrame, hits: DataFrame, columns: Sequence[str], limits: Limits
+) -> DataFrame:
+    """(run, indicator) pairs from distinct (run, condition) hits."""
+    keyed = iocs.withColumn("__cond", _condition(columns))
+    if "run_id" in iocs.columns:
+        met = keyed.join(hits, ["run_id", "__cond"], "left_semi")
+    else:
+        met = checked_join(
+            hits,
+            keyed.select("__cond", *IOC_KEY),
+            ["__cond"],
+            "inner",
+            ["run_id"],
+            limits.broadcast_rows,
+            limits.rows_per_task,
+        )
+    return met.select("run_id", *IOC_KEY).distinct()
+
+
+# --- files -------------------------------------------------------------------------
 
 
 def match_file_iocs(
     entries: DataFrame,
     iocs: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
+    definitions: DataFrame | None = None,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """Runs with an entry at an indicator's path that meets its size and content.
 
-    ``content`` is read only if an indicator asks for it.
+    ``content`` is read only if an indicator asks for it. ``definitions`` saves
+    taking the conditions from a long table of what every run was to show.
     """
+    columns = ["path", "size_bytes", "content_contains"]
+    iocs = iocs.where("path IS NOT NULL")
+    wanted = _conditions(
+        iocs if definitions is None else definitions.where("path IS NOT NULL"), columns
+    ).select(
+        "__cond",
+        "path",
+        F.col("size_bytes").alias("__size"),
+        F.col("content_contains").alias("__marker"),
+    )
     entries = _with_columns(entries, {"content": "string", "size_bytes": "bigint"})
-    wanted = _prefixed(iocs.where("path IS NOT NULL"), ["size_bytes", "content_contains"])
     used = entries.select("run_id", "path", "size_bytes", "content")
-    size = measure(wanted, markers=F.count("__ioc_content_contains"))
+    size = measure(wanted, markers=F.count("__marker"))
     if not size["markers"]:
         used = used.withColumn("content", F.lit(None).cast("string"))
-    if fits(size["rows"], size["chars"], broadcast_rows):
+    if fits(size["rows"], size["chars"], limits.broadcast_rows):
         joined = used.join(F.broadcast(wanted), "path")
     else:
-        # Copies of an entry are dropped first; no two rows are alike after that,
-        # so their own hash deals a hot path out evenly.
-        joined = salted_join(
-            used.distinct(), wanted, ["path"], "inner", used.columns, rows_per_task
-        )
-    return (
-        joined.where(_entry_meets(lambda c: F.col(f"__ioc_{c}")))
-        .select("run_id", *IOC_KEY)
+        spread = ["run_id", "size_bytes"]
+        joined = salted_join(used, wanted, ["path"], "inner", spread, limits.rows_per_task)
+    hits = (
+        joined.where("__size IS NULL OR size_bytes = __size")
+        .where("__marker IS NULL OR contains(content, __marker)")
+        .select("run_id", "__cond")
         .distinct()
     )
+    return _pairs(iocs, hits, columns, limits)
 
 
-def _with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    missing = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns}
-    return df.withColumns(missing) if missing else df
-
-
-# --- content ---------------------------------------------------------------------
+# --- content -------------------------------------------------------------------------
 
 
 def _anchor(marker: Column) -> Column:
@@ -112,117 +159,122 @@ def content_hits(
     content: str = "content",
     marker: str = "content_contains",
     keep: Sequence[str] = ("run_id",),
-    scan_markers: int = SCAN_MARKERS,
-    broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """Distinct pairs of an entry and a marker its content contains.
 
     Keeps the entry's ``keep`` columns and the marker's other columns; only in a
-    stream, which cannot tell yet, a pair may come more than once. Few
-    markers are broadcast and searched for in each text, which is read once and
-    never moved. Many are first looked up by a word each (see ``_anchor``), so
-    that a text is searched only for the markers whose word it has; those
-    without such a word are searched for in portions of a few at a time.
+    stream, which cannot tell yet, a pair may come more than once.
+
+    Few markers are broadcast and searched for in each text, which is read once
+    and never moved. Many are first looked up by a word each (see ``_anchor``),
+    so that a text is searched only for the markers whose word it has; those
+    without such a word are searched for in portions that can be broadcast.
     """
     keep = list(keep)
     other = [c for c in markers.columns if c != marker]
     markers = markers.where(F.col(marker).isNotNull())
     texts = entries.select(*keep, F.col(content).alias("__text")).where("__text IS NOT NULL")
-    out = [*keep, *other]
+    unique = (
+        markers.select(F.col(marker).alias("__marker"))
+        .distinct()
+        .withColumn("__word", _anchor(F.col("__marker")))
+    )
+    size = measure(unique, plain=F.count_if(F.col("__word").isNull()))
+    small = fits(size["rows"], size["chars"], limits.broadcast_rows)
+    found = F.contains(F.col("__text"), F.col("__marker"))
 
     def scan(portion: DataFrame) -> DataFrame:
-        return texts.join(
-            F.broadcast(portion), F.contains(F.col("__text"), F.col(marker)), "inner"
-        ).select(*out)
+        return texts.join(F.broadcast(portion), found, "inner").select(*keep, "__marker")
 
     def once(pairs: DataFrame) -> DataFrame:
         return pairs if pairs.isStreaming else pairs.distinct()
 
-    anchored = markers.withColumn("__word", _anchor(F.col(marker)))
-    size = measure(anchored, plain=F.count_if(F.col("__word").isNull()))
-    if size["rows"] <= scan_markers and fits(size["rows"], size["chars"], broadcast_rows):
-        return once(scan(markers))
-    worded = anchored.where("__word IS NOT NULL")
-    by_word = _hits_by_word(texts, worded, marker, size, broadcast_rows, rows_per_task).select(*out)
-    if not size["plain"]:
-        return once(by_word)
-    plain = anchored.where("__word IS NULL").drop("__word")
-    scans = [scan(p) for p in _portions(plain, size, broadcast_rows)]
-    return once(reduce(DataFrame.union, scans, by_word))
-
-
-def _hits_by_word(
-    texts: DataFrame,
-    markers: DataFrame,
-    marker: str,
-    size: Row,
-    broadcast_rows: int,
-    rows_per_task: int,
-) -> DataFrame:
-    found = F.contains(F.col("__text"), F.col(marker))
+    if small and size["rows"] <= limits.scan_markers:
+        hits = once(scan(unique.drop("__word")))
+    else:
+        worded = unique.where("__word IS NOT NULL")
+        hits = _hits_by_word(texts, worded, size, limits).select(*keep, "__marker")
+        if size["plain"]:
+            plain = unique.where("__word IS NULL").drop("__word")
+            scans = [scan(p) for p in _portions(plain, size, limits)]
+            hits = reduce(DataFrame.union, scans, hits)
+        hits = once(hits)
+    named = markers.select(F.col(marker).alias("__marker"), *other)
+    if entries.isStreaming:
+        joined = hits.join(named, "__marker")
+    else:
+        sizes = (limits.broadcast_rows, limits.rows_per_task)
+        joined = checked_join(hits, named, ["__marker"], "inner", keep, *sizes)
+    return joined.select(*keep, *other)
+
+
+def _hits_by_word(texts: DataFrame, markers: DataFrame, size: Row, limits: Limits) -> DataFrame:
+    found = F.contains(F.col("__text"), F.col("__marker"))
     words = F.explode(F.array_distinct(F.split("__text", " "))).alias("__word")
 
     def one_pass(portion: DataFrame) -> DataFrame:
         # Nothing is shuffled.
         return texts.select("*", words).join(F.broadcast(portion), "__word").where(found)
 
-    if texts.isStreaming or fits(size["rows"], size["chars"], broadcast_rows):
-        return reduce(DataFrame.union, map(one_pass, _portions(markers, size, broadcast_rows)))
-    # A word comes once per text at most, so no word has a large share of these
-    # rows; AQE splits the partitions of frequent ones. Texts stay out of the
-    # exchange, and copies of a text share their candidates.
+    if texts.isStreaming or fits(size["rows"], size["chars"], limits.broadcast_rows):
+        return reduce(DataFrame.union, map(one_pass, _portions(markers, size, limits)))
+    # Words travel with the key of their text only. Texts move once, and copies
+    # of a text share their candidates.
+    keyed = texts.withColumn("__key", F.xxhash64("__text"))
     candidates = (
-        texts.select(F.xxhash64("__text").alias("__key"), words)
-        .join(markers, "__word")
-        .drop("__word")
+        salted_join(
+            keyed.select("__key", words),
+            markers,
+            ["__word"],
+            "inner",
+            ["__key"],
+            limits.rows_per_task,
+        )
+        .select("__key", "__marker")
         .distinct()
     )
-    keyed = texts.distinct().withColumn("__key", F.xxhash64("__text"))
     spread = [c for c in texts.columns if c != "__text"]
-    return salted_join(keyed, candidates, ["__key"], "inner", spread, rows_per_task).where(found)
+    return salted_join(
+        keyed, candidates, ["__key"], "inner", spread, limits.rows_per_task
+    ).where(found)
 
 
-def _portions(markers: DataFrame, size: Row, max_rows: int) -> list[DataFrame]:
+def _portions(markers: DataFrame, size: Row, limits: Limits) -> list[DataFrame]:
     """Markers in portions that are each small enough to broadcast."""
-    if fits(size["rows"], size["chars"], max_rows):
+    if fits(size["rows"], size["chars"], limits.broadcast_rows):
         return [markers]
     # Half-filled on average, so that an uneven deal still fits.
-    parts = 2 * max(-(-size["rows"] // max_rows), -(-size["chars"] // BROADCAST_CHARS))
-    part = F.pmod(F.xxhash64(*markers.columns), F.lit(parts))
+    by_rows = -(-size["rows"] // limits.broadcast_rows)
+    parts = 2 * max(by_rows, -(-size["chars"] // BROADCAST_CHARS))
+    part = F.pmod(F.xxhash64("__marker"), F.lit(parts))
     return [markers.where(part == i) for i in range(parts)]
 
 
 def match_content_iocs(
     entries: DataFrame,
     iocs: DataFrame,
-    scan_markers: int = SCAN_MARKERS,
-    broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
+    definitions: DataFrame | None = None,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """Runs with an entry, at whatever path, whose content holds the marker."""
-    markers = iocs.where("path IS NULL AND content_contains IS NOT NULL").select(
-        *IOC_KEY, "content_contains", F.col("size_bytes").alias("__size")
-    )
+    anywhere = "path IS NULL AND content_contains IS NOT NULL"
+    columns = ["size_bytes", "content_contains"]
+    iocs = iocs.where(anywhere)
+    wanted = _conditions(
+        iocs if definitions is None else definitions.where(anywhere), columns
+    ).select("__cond", "content_contains", F.col("size_bytes").alias("__size"))
     entries = _with_columns(entries, {"size_bytes": "bigint"})
-    keep = ["run_id", "path", "size_bytes"]
-    hits = content_hits(
-        entries,
-        markers,
-        keep=keep,
-        scan_markers=scan_markers,
-        broadcast_rows=broadcast_rows,
-        rows_per_task=rows_per_task,
+    hits = (
+        content_hits(entries, wanted, keep=["run_id", "size_bytes"], limits=limits)
+        .where("__size IS NULL OR size_bytes = __size")
+        .select("run_id", "__cond")
+        .distinct()
     )
-    sized = hits.where("__size IS NULL OR size_bytes = __size")
-    return sized.select("run_id", *IOC_KEY).distinct()
-
-
-# --- absence -----------------------------------------------------------------------
+    return _pairs(iocs, hits, columns, limits)
 
 
-# Stands for every source; no tool has an empty name.
-ANY_SOURCE = ""
+# --- absence ---------------------------------------------------------------------------
 
 
 def match_absent_iocs(entries: DataFrame, expected: DataFrame) -> DataFrame:
@@ -252,57 +304,52 @@ def match_absent_iocs(entries: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-# --- processes -----------------------------------------------------------------------
+# --- processes ---------------------------------------------------------------------------
 
 
 def match_process_iocs(
     rows: DataFrame,
     iocs: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
+    definitions: DataFrame | None = None,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """Runs with a tool row that has every attribute of an indicator.
 
-    A row meets only the indicators that share one attribute value with it, the
-    first in name order, and is then checked for the others. An indicator
+    A row meets only the conditions that share one attribute value with it, the
+    first in name order, and is then checked for the others. A condition
     without any value is met by a row that lacks the named fields; the few
     distinct sets of fields of a run and plugin decide that.
     """
-    named = iocs.where("plugin IS NOT NULL").select(
-        *IOC_KEY,
-        "plugin",
-        F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("__wanted"),
+    columns = ["plugin", "attrs"]
+    nothing = F.create_map().cast("map<string,string>")
+    of_plugin = lambda df: df.where("plugin IS NOT NULL").withColumn(
+        "attrs", F.coalesce("attrs", nothing)
     )
+    iocs = of_plugin(iocs)
     given = F.array_sort(F.map_keys(F.map_filter("__wanted", lambda _, v: v.isNotNull())))
-    named = named.withColumn("__name", F.get(given, F.lit(0)))
-    by_value = named.where("__name IS NOT NULL").withColumn(
+    wanted = (
+        _conditions(iocs if definitions is None else of_plugin(definitions), columns)
+        .withColumnRenamed("attrs", "__wanted")
+        .withColumn("__name", F.get(given, F.lit(0)))
+    )
+    by_value = wanted.where("__name IS NOT NULL").withColumn(
         "__value", F.element_at("__wanted", F.col("__name"))
     )
-    by_shape = named.where("__name IS NULL").drop("__name")
-
-    def fields(rows: DataFrame) -> DataFrame:
-        # The outer form, as Spark would evaluate the map again to drop empty ones.
-        field = F.explode_outer("attrs").alias("__name", "__value")
-        return rows.select("*", field).where("__value IS NOT NULL")
-
-    size = measure(named, bare=F.count_if(F.col("__name").isNull()))
-    small = fits(size["rows"], size["chars"], broadcast_rows)
+    by_shape = wanted.where("__name IS NULL").drop("__name")
+    size = measure(wanted, bare=F.count_if(F.col("__name").isNull()))
+    small = fits(size["rows"], size["chars"], limits.broadcast_rows)
+
+    # The outer form, as Spark would evaluate the map again to drop empty ones.
+    fields = rows.select(
+        "run_id", "plugin", "attrs", F.explode_outer("attrs").alias("__name", "__value")
+    ).where("__value IS NOT NULL")
     on = ["plugin", "__name", "__value"]
     if small:
-        valued = fields(rows.select("run_id", "plugin", "attrs")).join(F.broadcast(by_value), on)
+        valued = fields.join(F.broadcast(by_value), on)
     else:
-        # Copies of a row are dropped first, by its text as a map has no order;
-        # after that a row's own hash deals a hot value out evenly.
-        as_text = F.to_json("attrs", {"ignoreNullFields": "false"}).alias("__row")
-        single = (
-            rows.select("run_id", "plugin", as_text)
-            .distinct()
-            .withColumn("attrs", F.from_json("__row", "map<string,string>"))
-        )
-        spread = ["run_id", "__row"]
-        valued = salted_join(fields(single), by_value, on, "inner", spread, rows_per_task)
-    pairs = valued.where(matches_attrs(F.col("__wanted"), F.col("attrs"))).select(
-        "run_id", *IOC_KEY
+        valued = salted_join(fields, by_value, on, "inner", ["run_id"], limits.rows_per_task)
+    hits = valued.where(matches_attrs(F.col("__wanted"), F.col("attrs"))).select(
+        "run_id", "__cond"
     )
     if size["bare"]:
         shape = F.array_sort(F.map_keys(F.map_filter("attrs", lambda _, v: v.isNotNull())))
@@ -314,16 +361,16 @@ def match_process_iocs(
             met = shapes.join(F.broadcast(by_shape), "plugin")
         else:
             met = salted_join(
-                shapes, by_shape, ["plugin"], "inner", ["run_id", "__shape"], rows_per_task
+                shapes, by_shape, ["plugin"], "inner", ["run_id"], limits.rows_per_task
             )
-        pairs = pairs.union(met.where(lacking).select("run_id", *IOC_KEY))
-    return pairs.distinct()
+        hits = hits.union(met.where(lacking).select("run_id", "__cond"))
+    return _pairs(iocs, hits.distinct(), columns, limits)
 
 
-# --- detection -------------------------------------------------------------------------
+# --- detection -----------------------------------------------------------------------------
 
-# Takes what each run was to show, the indicators without their runs, and the
-# evidence; gives (run, indicator) pairs.
+# Takes what each run was to show, the same indicators without their runs, and
+# the evidence; gives (run, indicator) pairs.
 Matcher = Callable[[DataFrame, DataFrame, Evidence], DataFrame]
 
 
@@ -331,24 +378,25 @@ def _no_pairs(expected: DataFrame) -> DataFrame:
     return expected.select("run_id", *IOC_KEY).limit(0)
 
 
-def match_files(expected: DataFrame, iocs: DataFrame, evidence: Evidence) -> DataFrame:
+def match_files(expected: DataFrame, definitions: DataFrame, evidence: Evidence) -> DataFrame:
     """File indicators: by path, by content alone, or by absence."""
     if evidence.entries is None:
         return _no_pairs(expected)
-    positive = iocs.where("coalesce(`exists`, true)")
+    to_exist = "coalesce(`exists`, true)"
+    positive, defined = expected.where(to_exist), definitions.where(to_exist)
     absent = match_absent_iocs(evidence.entries, expected)
     return (
-        match_file_iocs(evidence.entries, positive)
-        .union(match_content_iocs(evidence.entries, positive))
+        match_file_iocs(evidence.entries, positive, defined)
+        .union(match_content_iocs(evidence.entries, positive, defined))
         .union(absent.where("matched").select("run_id", *IOC_KEY))
     )
 
 
-def match_processes(expected: DataFrame, iocs: DataFrame, evidence: Evidence) -> DataFrame:
+def match_processes(expected: DataFrame, definitions: DataFrame, evidence: Evidence) -> DataFrame:
     """Process indicators, by the rows of the plugin they name."""
     if evidence.rows is None:
         return _no_pairs(expected)
-    return match_process_iocs(evidence.rows, iocs)
+    return match_process_iocs(evidence.rows, expected, definitions)
 
 
 # Matcher by indicator type; a new type is a DataFrame function added here or
@@ -359,23 +407,21 @@ MATCHERS: dict[str, Matcher] = {"file": match_files, "process": match_processes}
 def detect_iocs(
     expected: DataFrame,
     evidence: Evidence,
-    iocs: DataFrame | None = None,
+    definitions: DataFrame | None = None,
     matchers: dict[str, Matcher] | None = None,
 ) -> DataFrame:
     """One finding per run and expected indicator.
 
     Indicators go to the matcher of their type; of an unknown type none match.
     Matches are distinct (run, indicator) pairs before they meet the expected
-    ones, so repeated evidence never repeats a finding. ``iocs``, the indicators
-    without their runs, is taken from ``expected`` if not given.
+    ones, so repeated evidence never repeats a finding.
     """
     matchers = MATCHERS if matchers is None else matchers
-    if iocs is None:
-        iocs = expected.drop("run_id", "ordinal").dropDuplicates(list(IOC_KEY))
+    definitions = expected if definitions is None else definitions
     key = ["run_id", *IOC_KEY]
     of = lambda df, kind: df.where(F.col("type") == kind)
     pairs = [
-        match(of(expected, kind), of(iocs, kind), evidence).select(*key)
+        match(of(expected, kind), of(definitions, kind), evidence).select(*key)
         for kind, match in matchers.items()
     ]
     findings = expected.select(*key, "ordinal", "type")

@@ -64,17 +64,21 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
-    A hot key's left rows are dealt over several tasks by the hash of the
-    ``spread`` columns, and the right rows of that key are repeated once per
-    task. Every other key keeps salt 0. Rows without a key match nothing, so
-    they are dealt out freely. Right for inner, left, left_semi and left_anti.
+    A hot key's left rows are dealt over several tasks, and the right rows of
+    that key are repeated once per task. Every other key keeps salt 0. Rows
+    without a key match nothing, so they are dealt out freely. Right for inner,
+    left, left_semi and left_anti.
+
+    Rows are dealt by the hash of the ``spread`` columns and the number of the
+    partition they come from: copies of a row differ in the latter, and a task
+    that runs again deals its rows in the same way.
     """
     on = list(on)
     # Bounded by rows / rows_per_task, see hot_keys.
     hot = F.broadcast(
         hot_keys(left.dropna(subset=on), on, rows_per_task).select(*on, "__splits")
     )
-    spread_hash = F.xxhash64(*[F.col(c) for c in spread])
+    spread_hash = F.xxhash64(*[F.col(c) for c in spread], F.spark_partition_id())
     no_key = F.lit(False)
     for c in on:
         no_key = no_key | F.col(c).isNull()

@@ -62,8 +62,7 @@ def file_iocs_shuffled(spark, folder):
     return ioc.match_file_iocs(
         _lineitem_entries(spark, folder),
         _part_iocs(spark, folder),
-        broadcast_rows=0,
-        rows_per_task=500,
+        limits=ioc.Limits(broadcast_rows=0, rows_per_task=500),
     )
 
 
@@ -134,7 +133,9 @@ def process_iocs(spark, folder):
 @query("jn02_process_iocs_shuffled", JN02)
 def process_iocs_shuffled(spark, folder):
     return ioc.match_process_iocs(
-        _event_rows(spark, folder), _event_iocs(spark, folder), broadcast_rows=0, rows_per_task=500
+        _event_rows(spark, folder),
+        _event_iocs(spark, folder),
+        limits=ioc.Limits(broadcast_rows=0, rows_per_task=500),
     )
 
 
@@ -187,14 +188,14 @@ def absent_iocs(spark, folder):
 # --- content: documents as entries, benchmark texts as markers -------------------
 
 
-def _content(spark, folder, **sizes):
+def _content(spark, folder, **limits):
     return ioc.content_hits(
         table(spark, folder, "documents", spread=True),
         table(spark, folder, "benchmark").withColumnRenamed("text", "marker"),
         content="text",
         marker="marker",
         keep=["doc_id"],
-        **sizes,
+        limits=ioc.Limits(**limits),
     )
 
 

@@ -7,16 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.ioc import IOC_KEY, SCAN_MARKERS, content_hits
-from tracewell.operators.skew import BROADCAST_ROWS
+from tracewell.operators.ioc import IOC_KEY, Limits, content_hits
 
 
-def stream_findings(
-    entries: DataFrame,
-    iocs: DataFrame,
-    scan_markers: int = SCAN_MARKERS,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def stream_findings(entries: DataFrame, iocs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Distinct (run, indicator) matches of a stream of file entries.
 
     Positive indicators only: that something is absent can be said of a closed
@@ -40,13 +34,7 @@ def stream_findings(
         *IOC_KEY, "content_contains", F.col("size_bytes").alias("__size")
     )
     text_hits = (
-        content_hits(
-            entries,
-            markers,
-            keep=["run_id", "size_bytes"],
-            scan_markers=scan_markers,
-            broadcast_rows=broadcast_rows,
-        )
+        content_hits(entries, markers, keep=["run_id", "size_bytes"], limits=limits)
         .where("__size IS NULL OR size_bytes = __size")
         .select("run_id", *IOC_KEY)
     )
