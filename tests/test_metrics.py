@@ -63,15 +63,15 @@ def test_scenario_keys(spark):
     assert [r.key for r in m.scenario_keys(keys).collect()] == ["B", "a", "b"]
 
 
-@pytest.mark.parametrize("rows_per_task", [3, 1000])
-def test_percentiles(spark, rows_per_task):
-    groups = {"one": [5], "two": [1, 2], "many": [1, 1, 1, 7, 9, 9, 30, 2, 2], "none": [None]}
+@pytest.mark.parametrize("buckets", [1, 2, 5, 2000])
+def test_percentiles(spark, buckets):
+    groups = {"one": [5], "two": [1, 2], "many": [1, 1, 1, 7, 9, 9, 30, 2, 2], "none": [None], None: [4, 6]}
     df = spark.createDataFrame(
         [(g, v) for g, values in groups.items() for v in values], "g string, v int"
     )
     probs = {"low": 0.0, "mid": 0.5, "p95": 0.95, "top": 1.0}
-    got = {r.g: r for r in m.exact_percentiles(df, "g", "v", probs, rows_per_task).collect()}
-    assert set(got) == {"one", "two", "many"}
+    got = {r.g: r for r in m.exact_percentiles(df, "g", "v", probs, buckets).collect()}
+    assert set(got) == {"one", "two", "many", None}
     for g, r in got.items():
         values = sorted(groups[g])
         assert (r.low, r.mid, r.top) == (values[0], statistics.median(values), values[-1])
@@ -81,9 +81,9 @@ def test_percentiles(spark, rows_per_task):
 
 def test_acquisition_stats(spark):
     images = spark.createDataFrame(
-        [("d", 1.0, 10, 100), ("d", 3.0, 30, 100), ("e", None, None, None)],
+        [("d", 1.0, 10, 100), ("d", 3.0, 30, 100), ("e", None, None, None), (None, 7.0, 1, 2)],
         "distro_id string, acquisition_seconds double, ewf_size_bytes bigint, virtual_size_bytes bigint",
     )
     assert rows(m.acquisition_stats(images)) == [
-        ("d", 2, 2.0, 0.2, 2.0, 2.9), ("e", 1, None, None, None, None)
+        ("d", 2, 2.0, 0.2, 2.0, 2.9), ("e", 1, None, None, None, None), (None, 1, 7.0, 0.5, 7.0, 7.0)
     ]

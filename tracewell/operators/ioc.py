@@ -93,6 +93,12 @@ def _pairs(
     return met.select("run_id", *IOC_KEY).distinct()
 
 
+def _no_pairs(evidence: DataFrame) -> DataFrame:
+    """No (run, indicator) pairs; nothing is read for them."""
+    no_ids = [F.lit(None).cast("string").alias(c) for c in IOC_KEY]
+    return evidence.select("run_id", *no_ids).where("false")
+
+
 # --- files -------------------------------------------------------------------------
 
 
@@ -120,6 +126,8 @@ def match_file_iocs(
     entries = _with_columns(entries, {"content": "string", "size_bytes": "bigint"})
     used = entries.select("run_id", "path", "size_bytes", "content")
     size = measure(wanted, markers=F.count("__marker"))
+    if not size["rows"]:
+        return _no_pairs(entries)
     if not size["markers"]:
         used = used.withColumn("content", F.lit(None).cast("string"))
     if fits(size["rows"], size["chars"], limits.broadcast_rows):
@@ -337,6 +345,8 @@ def match_process_iocs(
     )
     by_shape = wanted.where("__name IS NULL").drop("__name")
     size = measure(wanted, bare=F.count_if(F.col("__name").isNull()))
+    if not size["rows"]:
+        return _no_pairs(rows)
     small = fits(size["rows"], size["chars"], limits.broadcast_rows)
 
     # The outer form, as Spark would evaluate the map again to drop empty ones.
@@ -374,10 +384,6 @@ def match_process_iocs(
 Matcher = Callable[[DataFrame, DataFrame, Evidence], DataFrame]
 
 
-def _no_pairs(expected: DataFrame) -> DataFrame:
-    return expected.select("run_id", *IOC_KEY).limit(0)
-
-
 def match_files(expected: DataFrame, definitions: DataFrame, evidence: Evidence) -> DataFrame:
     """File indicators: by path, by content alone, or by absence."""
     if evidence.entries is None:

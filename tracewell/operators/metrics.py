@@ -7,12 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewell.functions import has_value
-from tracewell.operators.skew import ROWS_PER_TASK, checked_join, running
+from tracewell.operators.skew import MAX_CHUNKS, as_number, checked_join, cut_at, cut_points
 
 PROCESS_LIST = "linux.pslist"
 
+# Values to sort for one rank of a percentile.
+ROWS_PER_BUCKET = 250_000
+
 
 # --- tool output -----------------------------------------------------------------
 
@@ -173,23 +177,51 @@ def normalize_truth(
 
 
 def exact_percentiles(
-    df: DataFrame,
-    by: str,
-    value: str,
-    probs: dict[str, float],
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, by: str, value: str, probs: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Exact, interpolated percentiles per group, one column for each in ``probs``.
 
-    Equal values are counted first; the running count then tells which values
-    stand at the wanted ranks. No group is ever held in one place.
+    Values are first counted by group and bucket, the buckets being cut at
+    approximate quantiles. The counts say exactly in which buckets the wanted
+    ranks lie, so only the values of those buckets, a small part, are sorted.
+    How good the quantiles are bears on the amount of work, not on the result.
     """
-    given = df.select(by, F.col(value).alias("__value")).where("__value IS NOT NULL")
-    counts = given.groupBy(by, "__value").agg(F.count("*").alias("__n"))
-    ranked = running(counts, [by], ["__value"], {"__upto": ("sum", "__n")}, rows_per_task)
-    totals = given.groupBy(by).agg(F.count("*").alias("__total"))
-    placed = checked_join(
-        ranked, totals, [by], "inner", ["__value"], rows_per_task=rows_per_task
+    number = as_number(df, value)
+    # A struct, as a null group joins like any other then.
+    given = df.select(
+        F.struct(by).alias("__group"), F.col(value).alias("__value"), number.alias("__number")
+    ).where("__value IS NOT NULL")
+    if buckets is None:
+        buckets = max(16, min(-(-given.count() // ROWS_PER_BUCKET), MAX_CHUNKS))
+    bucketed = cut_at(given, cut_points(given, buckets))
+
+    # No group has more rows than there are buckets here.
+    group = Window.partitionBy("__group")
+    upto = F.sum("__n").over(group.orderBy("__cut").rowsBetween(Window.unboundedPreceding, 0))
+    counted = (
+        bucketed.groupBy("__group", "__cut")
+        .agg(F.count("*").alias("__n"))
+        .select(
+            "__group",
+            "__cut",
+            (upto - F.col("__n")).alias("__below"),
+            upto.alias("__upto"),
+            F.sum("__n").over(group).alias("__total"),
+        )
+    )
+    place = {n: (F.col("__total") - 1) * F.lit(p) for n, p in probs.items()}
+    ranks = F.array(*[r for at in place.values() for r in (F.floor(at), F.ceil(at))])
+    holds = F.exists(ranks, lambda r: (r >= F.col("__below")) & (r < F.col("__upto")))
+    wanted = counted.where(holds).drop("__upto")
+
+    # A bucket is left for each rank, and equal values are counted.
+    sorted_ = Window.partitionBy("__group", "__cut").orderBy("__value")
+    upto = F.sum("__n").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__below")
+    ranked = (
+        checked_join(bucketed, wanted, ["__group", "__cut"], "inner", ["__value"])
+        .groupBy("__group", "__cut", "__below", "__total", "__value")
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__upto", upto)
     )
 
     def value_at(rank: Column) -> Column:
@@ -197,22 +229,21 @@ def exact_percentiles(
         return F.max(F.when(here, F.col("__value").cast("double")))
 
     columns = []
-    for name, p in probs.items():
-        place = (F.col("__total") - 1) * F.lit(p)
+    for name, at in place.items():
         columns += [
-            value_at(F.floor(place)).alias(f"__{name}_low"),
-            value_at(F.ceil(place)).alias(f"__{name}_high"),
-            F.max(place - F.floor(place)).alias(f"__{name}_part"),
+            value_at(F.floor(at)).alias(f"__{name}_low"),
+            value_at(F.ceil(at)).alias(f"__{name}_high"),
+            F.max(at - F.floor(at)).alias(f"__{name}_part"),
         ]
-    edges = placed.groupBy(by).agg(*columns)
+    edges = ranked.groupBy("__group").agg(*columns)
     between = lambda n: F.col(f"__{n}_low") + F.col(f"__{n}_part") * (
         F.col(f"__{n}_high") - F.col(f"__{n}_low")
     )
-    return edges.select(by, *[between(n).alias(n) for n in probs])
+    return edges.select(f"__group.{by}", *[between(n).alias(n) for n in probs])
 
 
 def acquisition_stats(
-    images: DataFrame, by: str = "distro_id", rows_per_task: int = ROWS_PER_TASK
+    images: DataFrame, by: str = "distro_id", buckets: int | None = None
 ) -> DataFrame:
     """Per group: number, mean and percentiles of seconds, compression ratio."""
     seconds = "acquisition_seconds"
@@ -221,7 +252,7 @@ def acquisition_stats(
         F.avg(seconds).alias("mean_seconds"),
         F.try_divide(F.sum("ewf_size_bytes"), F.sum("virtual_size_bytes")).alias("ratio"),
     )
-    percentiles = exact_percentiles(
-        images, by, seconds, {"p50_seconds": 0.5, "p95_seconds": 0.95}, rows_per_task
-    )
-    return totals.join(percentiles, by, "left")
+    probs = {"p50_seconds": 0.5, "p95_seconds": 0.95}
+    percentiles = exact_percentiles(images, by, seconds, probs, buckets)
+    same = totals[by].eqNullSafe(percentiles[by])
+    return totals.join(percentiles, same, "left").select(totals["*"], *probs)

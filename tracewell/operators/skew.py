@@ -117,7 +117,7 @@ def checked_join(
 # --- ordered scans -----------------------------------------------------------
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
+def as_number(df: DataFrame, column: str) -> Column:
     """An ordered column as a double of the same order."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.TimestampNTZType):
@@ -130,6 +130,26 @@ def _as_number(df: DataFrame, column: str) -> Column:
     raise TypeError(f"cannot order by {column}, a {kind.simpleString()}")
 
 
+def cut_points(df: DataFrame, parts: int) -> list[float]:
+    """Where to cut ``__number`` into about equal parts."""
+    if parts < 2:
+        return []
+    probs = [i / parts for i in range(1, parts)]
+    return df.where("__number IS NOT NULL").approxQuantile("__number", probs, 0.25 / parts)
+
+
+def cut_at(df: DataFrame, points: Sequence[float]) -> DataFrame:
+    """Adds ``__cut``: how many of the points ``__number`` has reached, or null."""
+    given = F.col("__number").isNotNull()
+    if not points:
+        return df.withColumn("__cut", F.when(given, 0))
+    splits = [float("-inf"), *sorted(set(points)), float("inf")]
+    bucketizer = Bucketizer(
+        splits=splits, inputCol="__number", outputCol="__cut", handleInvalid="keep"
+    )
+    return bucketizer.transform(df).withColumn("__cut", F.when(given, F.col("__cut").cast("int")))
+
+
 def ordered_chunks(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int
 ) -> tuple[DataFrame, bool]:
@@ -141,7 +161,7 @@ def ordered_chunks(
     Returns whether anything had to be cut.
     """
     keys = list(keys)
-    number = _as_number(df, order)
+    number = as_number(df, order)
     hot = hot_keys(df, keys, rows_per_task)
     total = hot.agg(F.sum("__rows").alias("n")).first()["n"]
     if not total:
@@ -156,19 +176,13 @@ def ordered_chunks(
     marked = (
         df.join(hot, same_key, "left")
         .drop(*[f"__hot_{k}" for k in keys])
-        .withColumn("__order", F.when(F.col("__hot"), number))
+        .withColumn("__number", F.when(F.col("__hot"), number))
     )
     chunks = min(-(-total // rows_per_task), MAX_CHUNKS)
-    probs = [i / chunks for i in range(1, chunks)]
-    points = marked.where("__order IS NOT NULL").approxQuantile("__order", probs, 0.25 / chunks)
-    splits = [float("-inf"), *sorted(set(points)), float("inf")]
-    cut = Bucketizer(
-        splits=splits, inputCol="__order", outputCol="__cut", handleInvalid="keep"
-    ).transform(marked)
     # Rows of a hot key without an order value sort first, so chunk 1 takes them.
-    place = F.when(F.col("__order").isNull(), 1).otherwise(F.col("__cut").cast("int") + 1)
-    chunk = F.when(F.col("__hot"), place).otherwise(0)
-    return cut.withColumn("__chunk", chunk).drop("__order", "__cut", "__hot"), True
+    place = F.coalesce(F.col("__cut") + 1, F.lit(1))
+    cut = cut_at(marked, cut_points(marked, chunks)).withColumn("__chunk", F.when(F.col("__hot"), place).otherwise(0))
+    return cut.drop("__number", "__cut", "__hot"), True
 
 
 def running(
