@@ -63,7 +63,7 @@ def test_scenario_keys(spark):
     assert [r.key for r in m.scenario_keys(keys).collect()] == ["B", "a", "b"]
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 5, 2000])
+@pytest.mark.parametrize("buckets", [None, 1, 2, 5, 2000])
 def test_percentiles(spark, buckets):
     groups = {"one": [5], "two": [1, 2], "many": [1, 1, 1, 7, 9, 9, 30, 2, 2], "none": [None], None: [4, 6]}
     df = spark.createDataFrame(

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions import has_value
-from tracewell.operators.skew import MAX_CHUNKS, as_number, checked_join, cut_at, cut_points
+from tracewell.operators.skew import (
+    MAX_CHUNKS,
+    ROWS_PER_TASK,
+    as_number,
+    checked_join,
+    cut_at,
+    cut_points,
+)
 
 PROCESS_LIST = "linux.pslist"
 
@@ -181,18 +188,24 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact, interpolated percentiles per group, one column for each in ``probs``.
 
-    Values are first counted by group and bucket, the buckets being cut at
-    approximate quantiles. The counts say exactly in which buckets the wanted
+    As many rows as one task may take go to Spark's own ``percentile``, which
+    holds a group's distinct values in memory. Beyond that, or if ``buckets`` is
+    given, values are first counted by group and bucket, the buckets being cut
+    at approximate quantiles. The counts say exactly in which buckets the wanted
     ranks lie, so only the values of those buckets, a small part, are sorted.
     How good the quantiles are bears on the amount of work, not on the result.
     """
+    if buckets is None:
+        rows = df.select(value).dropna().count()
+        if rows <= ROWS_PER_TASK:
+            exact = [F.percentile(value, p).alias(n) for n, p in probs.items()]
+            return df.where(F.col(value).isNotNull()).groupBy(by).agg(*exact)
+        buckets = max(16, min(-(-rows // ROWS_PER_BUCKET), MAX_CHUNKS))
     number = as_number(df, value)
     # A struct, as a null group joins like any other then.
     given = df.select(
         F.struct(by).alias("__group"), F.col(value).alias("__value"), number.alias("__number")
     ).where("__value IS NOT NULL")
-    if buckets is None:
-        buckets = max(16, min(-(-given.count() // ROWS_PER_BUCKET), MAX_CHUNKS))
     bucketed = cut_at(given, cut_points(given, buckets))
 
     # No group has more rows than there are buckets here.
