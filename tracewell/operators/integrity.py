@@ -133,14 +133,15 @@ def segment_totals(segments: DataFrame) -> DataFrame:
     number of rows. ``size_bytes`` is that of the first segment by name and
     ``ewf_size_bytes`` the total.
     """
-    size = F.col("size_bytes")
-    return segments.groupBy("image_id").agg(
+    totals = segments.groupBy("image_id").agg(
         F.count("*").alias("n_segments"),
-        F.min("path").alias("path"),
-        F.min_by(size, F.struct("path", "size_bytes")).alias("size_bytes"),
-        F.sum(size).alias("ewf_size_bytes"),
+        F.min(F.struct("path", "size_bytes")).alias("first"),
+        F.sum("size_bytes").alias("ewf_size_bytes"),
         F.sort_array(F.collect_set("path")).alias("segments"),
     )
+    return totals.select(
+        "image_id", "n_segments", "first.path", "first.size_bytes", "ewf_size_bytes", "segments"
+    )
 
 
 def validate_segments(images: DataFrame, segments: DataFrame) -> DataFrame:
