@@ -66,12 +66,14 @@ def test_absence_needs_a_look(spark):
         spark, [(r, *GONE) for r in ("seen", "other", "none")] + [("seen", "free", "file", {"path": "/y", "exists": False}, None)]
     )
     entries = entries_of(spark, [("seen", "/x", 1, None, "list"), ("other", "/x", 1, None, "stat")])
-    assert rows(ioc.match_absent_iocs(entries, expected), "run_id", "ioc_id", "assessed", "matched") == [
-        ("none", "gone", False, False),
-        ("other", "gone", False, False),
-        ("seen", "free", True, True),
-        ("seen", "gone", True, True),
-    ]
+    for limits in (ioc.Limits(), ioc.Limits(64, 0, 1)):
+        got = ioc.match_absent_iocs(entries, expected, limits=limits)
+        assert rows(got, "run_id", "ioc_id", "assessed", "matched") == [
+            ("none", "gone", False, False),
+            ("other", "gone", False, False),
+            ("seen", "free", True, True),
+            ("seen", "gone", True, True),
+        ]
 
 
 def test_findings_are_runs_times_indicators(spark):

@@ -44,7 +44,7 @@ class Evidence:
     rows: DataFrame | None = None
 
 
-@dataclass
+@dataclass(frozen=True)
 class Limits:
     """Where the way to join changes; tests set them low to take every way."""
 
@@ -285,7 +285,12 @@ def match_content_iocs(
 # --- absence ---------------------------------------------------------------------------
 
 
-def match_absent_iocs(entries: DataFrame, expected: DataFrame) -> DataFrame:
+def match_absent_iocs(
+    entries: DataFrame,
+    expected: DataFrame,
+    definitions: DataFrame | None = None,
+    limits: Limits = Limits(),
+) -> DataFrame:
     """Absence indicators of each run: ``matched`` and ``assessed``.
 
     One matches if the run has no entry at its path. That says something only
@@ -294,10 +299,23 @@ def match_absent_iocs(entries: DataFrame, expected: DataFrame) -> DataFrame:
     """
     key = ["run_id", *IOC_KEY]
     named = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(ANY_SOURCE)))
-    absent = expected.where("path IS NOT NULL AND `exists` = false").select(
-        *key, "path", F.explode(named).alias("source")
+    of_absence = "path IS NOT NULL AND `exists` = false"
+    absent = expected.where(of_absence).select(*key, "path", F.explode(named).alias("source"))
+    asked = expected if definitions is None else definitions
+    # Of all entries only those at an asked path move.
+    present = (
+        checked_join(
+            entries.select("run_id", "path"),
+            asked.where(of_absence).select("path").distinct(),
+            ["path"],
+            "left_semi",
+            ["run_id"],
+            limits.broadcast_rows,
+            limits.rows_per_task,
+        )
+        .distinct()
+        .withColumn("__found", F.lit(True))
     )
-    present = entries.select("run_id", "path").distinct().withColumn("__found", F.lit(True))
     sources = F.explode(F.array(F.col("source"), F.lit(ANY_SOURCE))).alias("source")
     looked = entries.select("run_id", sources).distinct().withColumn("__looked", F.lit(True))
     return (
@@ -390,7 +408,7 @@ def match_files(expected: DataFrame, definitions: DataFrame, evidence: Evidence)
         return _no_pairs(expected)
     to_exist = "coalesce(`exists`, true)"
     positive, defined = expected.where(to_exist), definitions.where(to_exist)
-    absent = match_absent_iocs(evidence.entries, expected)
+    absent = match_absent_iocs(evidence.entries, expected, definitions)
     return (
         match_file_iocs(evidence.entries, positive, defined)
         .union(match_content_iocs(evidence.entries, positive, defined))

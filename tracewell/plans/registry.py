@@ -30,6 +30,6 @@ def table(spark: SparkSession, folder: str, name: str, spread: bool = False) ->
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores:
+    if spread and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df

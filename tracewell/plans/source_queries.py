@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell import sources
+from tracewell import schemas, sources
 from tracewell.operators.metrics import findings_document
 from tracewell.plans.registry import query, table
 from tracewell.session import work_path
@@ -442,10 +442,7 @@ def findings_sink(spark, folder):
     path = work_path(spark, "findings")
     # A folder per scenario: there are as many runs as a tenth of the documents.
     sources.write_findings(findings_document(findings), path, partition_by=("scenario_id",))
-    documents = spark.read.schema(
-        "run_id STRING, scenario_id STRING, "
-        "findings ARRAY<STRUCT<ioc_id: STRING, type: STRING, matched: BOOLEAN>>"
-    ).json(path)
+    documents = spark.read.schema(schemas.FINDINGS).json(path)
     return documents.select("run_id", "scenario_id", F.explode("findings").alias("f")).select(
         "run_id", "scenario_id", "f.*"
     )

@@ -55,7 +55,10 @@ PROFILE = (
     "filename: STRING, checksum_url: STRING, checksum_algo: STRING>>"
 )
 
-FINDING = "run_id STRING, scenario_id STRING, findings ARRAY<STRUCT<ioc_id: STRING, type: STRING, matched: BOOLEAN>>"
+FINDINGS = (
+    "run_id STRING, scenario_id STRING, "
+    "findings ARRAY<STRUCT<ioc_id: STRING, type: STRING, matched: BOOLEAN>>"
+)
 
 FILE_ENTRY = (
     "run_id STRING NOT NULL, path STRING NOT NULL, size_bytes BIGINT, "
