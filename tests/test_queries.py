@@ -6,11 +6,11 @@ import check
 import pytest
 
 import __spark_entry__ as entry_points
+from tracewell.plans import ORACLES as SQL
+from tracewell.plans import QUERIES
 from tracewell.session import shared_dir, work_path
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,8 @@ def test_same_as_sql(spark, connection, name):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
