@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import line_dedup
+from tracewell.llm import jaccard_join, line_dedup, quality
 from tracewell.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,88 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    out = jaccard_join.similar_documents(documents(spark, folder).select("doc_id", "text"))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUALITY_SQL = f"""
+WITH words AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), grams AS (
+    SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM words)
+), repeated AS (
+    SELECT doc_id, unnest(generate_series(i, i + 4)) AS p
+    FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c >= 2
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM repeated GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+    WHERE trim(line, {SPACE}) <> '' GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+           length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+           coalesce(l.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+           length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals
+    FROM words LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)
+), rated AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbols,
+           CASE WHEN word_chars > 0 THEN 10000 * n_capitals // word_chars ELSE 0 END AS capitals,
+           CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS repeated_lines,
+           CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length
+    FROM measured
+), long AS (
+    UNPIVOT (SELECT lang, source, symbols::BIGINT AS symbols, capitals::BIGINT AS capitals,
+             repeated_lines::BIGINT AS repeated_lines, word_length::BIGINT AS word_length FROM rated WHERE NOT base_failed)
+    ON symbols, capitals, repeated_lines, word_length INTO NAME rate VALUE v
+), bucketed AS (
+    SELECT lang, source, rate,
+           CASE WHEN v < 64 THEN v ELSE 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)::INT) END AS b FROM long
+), levels AS (
+    SELECT 0 AS level, lang, source, rate, b FROM bucketed
+    UNION ALL SELECT 1, lang, NULL, rate, b FROM bucketed
+    UNION ALL SELECT 2, NULL, NULL, rate, b FROM bucketed
+), counted AS (
+    SELECT level, lang, source, rate, b, count(*) AS n FROM levels GROUP BY ALL
+), ranked AS (
+    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY b) AS upto,
+           sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM counted
+), quartiles AS (
+    SELECT level, lang, source, rate, max(total) AS texts,
+           min(b) FILTER (4 * upto >= total) AS b1, min(b) FILTER (4 * upto >= 3 * total) AS b3 FROM ranked GROUP BY ALL
+), decoded AS (
+    SELECT *, CASE WHEN b1 < 64 THEN b1 ELSE ((b1 % 32) + 32) << (b1 // 32 - 1)::INT END AS q1,
+           CASE WHEN b3 < 64 THEN b3 ELSE ((b3 % 32) + 32) << (b3 // 32 - 1)::INT END AS q3 FROM quartiles
+), fenced AS (
+    SELECT level, lang, source, max(texts) AS texts,
+           max(f) FILTER (rate = 'symbols') + 200 AS symbols, max(f) FILTER (rate = 'capitals') + 2000 AS capitals,
+           max(f) FILTER (rate = 'repeated_lines') + 3000 AS repeated_lines,
+           max(f) FILTER (rate = 'word_length') + 150 AS word_length
+    FROM (SELECT *, q3 + 3 * (q3 - q1) AS f FROM decoded) GROUP BY ALL
+), chosen AS (
+    SELECT o.lang, o.source, CASE WHEN o.texts >= 200 THEN o WHEN l.texts >= 200 THEN l ELSE a END AS t
+    FROM (SELECT * FROM fenced WHERE level = 0) o
+    JOIN (SELECT * FROM fenced WHERE level = 1) l ON l.lang IS NOT DISTINCT FROM o.lang
+    JOIN (SELECT * FROM fenced WHERE level = 2) a ON true
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(r.symbols <= t.symbols AND r.capitals <= t.capitals
+           AND r.repeated_lines <= t.repeated_lines AND r.word_length <= t.word_length, false) AS kept
+FROM rated r LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source
+"""
+
+
+@query("op4_quality_rules", QUALITY_SQL)
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang", "source")
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(docs, keep_text=False).select("doc_id", *[f"quality.{m}" for m in measures])
+
+
 LINE_DEDUP_SQL = f"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
