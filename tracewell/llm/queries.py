@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard_join, line_dedup, quality
+from tracewell.llm import bpe, jaccard_join, line_dedup, mixing, quality
 from tracewell.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +138,79 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "counts.n_lines", "counts.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+# The query's tree: four domains by the number in the source's name, then the
+# language, then the source. Names that are not listed weigh 1.
+DOMAIN = "concat('domain', try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4)"
+MIX_WEIGHTS = ({"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, {"en": 4, "de": 2, "fr": 2}, {})
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 1
+
+
+def _level_sql(level: int) -> str:
+    """One level's shares, from the level above."""
+    path = [f"k{i}" for i in range(level)]
+    by = ", ".join(["root", *path])
+    weights = " ".join(f"WHEN '={n}' THEN {w}" for n, w in MIX_WEIGHTS[level].items())
+    weight = f"CASE k{level} {weights} ELSE 1 END" if weights else "1"
+    return f"""
+c{level} AS (
+    SELECT {by}, k{level}, sum(tokens * {MIX_EPOCHS})::BIGINT AS cap, {weight}::BIGINT AS weight FROM leaves GROUP BY ALL
+), o{level} AS (
+    SELECT c.*, budget, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+           sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS onward
+    FROM c{level} c JOIN b{level} USING ({by}) WINDOW w AS (PARTITION BY {by} ORDER BY cap::DOUBLE / weight, k{level})
+), f{level} AS (
+    SELECT *, cap * onward <= weight * (budget - before) AS is_full FROM o{level}
+), b{level + 1} AS (
+    SELECT {by}, k{level}, CASE WHEN is_full THEN cap ELSE (weight *
+               (budget - coalesce(sum(cap) FILTER (is_full) OVER (PARTITION BY {by}), 0)::HUGEINT)
+               // (sum(weight) FILTER (NOT is_full) OVER (PARTITION BY {by}))::HUGEINT)::BIGINT END AS budget
+    FROM f{level}
+)"""
+
+
+MIXING_SQL = f"""
+WITH rows AS (
+    SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens, 1 AS root,
+           coalesce('=domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4), '?') AS k0,
+           coalesce('=' || lang, '?') AS k1, coalesce('=' || source, '?') AS k2 FROM documents
+), leaves AS (
+    SELECT root, k0, k1, k2, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL
+), b0 AS (
+    SELECT 1 AS root, floor(sum(tokens) * {MIX_PERCENT} / 100)::BIGINT AS budget FROM leaves
+), {",".join(_level_sql(i) for i in range(3))}, plan AS (
+    SELECT l.*, b.budget, CASE WHEN l.tokens > 0 THEN b.budget // l.tokens ELSE 0 END AS whole,
+           CASE WHEN l.tokens > 0 THEN b.budget % l.tokens ELSE 0 END AS rest
+    FROM leaves l JOIN b3 b USING (root, k0, k1, k2)
+), ordered AS (
+    SELECT r.*, p.budget, p.whole, p.rest, sum(r.tokens) OVER (
+        PARTITION BY r.k0, r.k1, r.k2 ORDER BY md5('{MIX_SEED}:' || (p.whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')), r.tokens) AS upto
+    FROM rows r JOIN plan p USING (root, k0, k1, k2)
+)
+SELECT doc_id, tokens AS n_tokens, budget AS leaf_budget,
+       CASE WHEN budget > 0 THEN whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS copies
+FROM ordered
+"""
+
+
+@query("op9_source_mixing", MIXING_SQL)
+def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang", "source")
+    out = mixing.mixed(
+        docs, [F.expr(DOMAIN), F.col("lang"), F.col("source")], MIX_WEIGHTS, MIX_PERCENT,
+        max_epochs=MIX_EPOCHS, seed=MIX_SEED, keep_text=False,
+    )
+    return out.select("doc_id", F.col("mix.tokens").alias("n_tokens"), F.col("mix.budget").alias("leaf_budget"), "mix.copies")
+
+
+def vocabulary() -> bytes:
+    return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    ids = bpe.encoded(docs, vocabulary(), public_tokenizers.PATTERN, keep_text=False)
+    out = bpe.digests(bpe.decoded(ids, vocabulary(), public_tokenizers.PATTERN))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
