@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, jaccard_join, line_dedup, mixing, quality
+from tracewell.llm import bpe, grace_dedup, jaccard_join, line_dedup, mixing, quality
 from tracewell.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +214,21 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = bpe.encoded(docs, vocabulary(), public_tokenizers.PATTERN, keep_text=False)
     out = bpe.digests(bpe.decoded(ids, vocabulary(), public_tokenizers.PATTERN))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+EXACT_SQL = f"""
+WITH bare AS (
+    SELECT doc_id, length(coalesce(text, '')) AS points, sha256(translate(coalesce(text, ''), {SPACE}, '')) AS text_sha256 FROM documents
+), ranked AS (
+    SELECT doc_id, text_sha256, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept,
+           count(*) OVER (PARTITION BY text_sha256) AS group_size
+    FROM bare WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked
+"""
+
+
+@query("op6_exact_dedup", EXACT_SQL)
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = grace_dedup.duplicates(documents(spark, folder).select("doc_id", "text"))
+    return out.withColumnRenamed("doc", "doc_id")
