@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, grace_dedup, jaccard_join, line_dedup, mixing, quality
+from tracewell.llm import bpe, chunk_dedup, grace_dedup, jaccard_join, line_dedup, mixing, quality
 from tracewell.llm.common import documents
+from tracewell.llm.spans import removed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -232,3 +233,13 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = grace_dedup.duplicates(documents(spark, folder).select("doc_id", "text"))
     return out.withColumnRenamed("doc", "doc_id")
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = chunk_dedup.without_repeated_chunks(documents(spark, folder).select("doc_id", "text"))
+    return out.select(
+        "doc_id", "cut.n_bytes", removed("cut.spans").alias("n_removed"), F.size("cut.spans").cast("long").alias("n_spans"),
+        F.coalesce("cut.n_shared", F.lit(0)).cast("long").alias("n_shared"), F.sha2("cut.kept", 256).alias("kept_sha256"),
+        F.coalesce("cut.sources", F.array().cast("array<bigint>")).alias("sources"),
+    )
