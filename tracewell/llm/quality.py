@@ -152,11 +152,11 @@ def thresholds(
     merged = lambda *keys: fine.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     own = fences(fine, ["lang", "source"], spreads)
     by_lang = fences(merged("lang"), ["lang"], spreads)
-    overall = fences(merged().withColumn("all_texts", F.lit(1)), ["all_texts"], spreads)
+    overall = fences(merged().withColumn("some", F.col("n") > 0), ["some"], spreads)
     of = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
     joined = (
         own.join(of(by_lang, "l"), own["lang"].eqNullSafe(F.col("l_lang")))
-        .withColumn("one", F.lit(1)).join(of(overall, "a"), F.col("one") == F.col("a_all_texts"))
+        .join(of(overall, "a"), (F.col("texts") > 0) == F.col("a_some"))
     )
     chosen = lambda r: F.when(F.col("texts") >= min_group, F.col(r)).when(F.col("l_texts") >= min_group, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
     return joined.select(
