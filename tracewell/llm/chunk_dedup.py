@@ -11,8 +11,7 @@ alone. Chunks are counted by digest with partial aggregation; only those found t
 are joined back, which AQE can split however many copies there are.
 
 Defined cases: a null or empty text has no chunks. Repeated rows (equal id and
-text) count once and are all cut alike; rows without an id are never cut and never
-count as a copy. Columns of the input but the text are carried along. An empty table
+text) count once and are all cut alike. A null id comes after all others. Columns of the input but the text are carried along. An empty table
 gives no rows.
 """
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import textops as X
 from tracewell.llm.common import spread, written
-from tracewell.llm.spans import SPANS, cut, marked, spans_array
+from tracewell.llm.spans import NO_ID, SPANS, cut, marked, spans_array
 
 # Bytes: the gear hash's memory, least and most of a chunk, and least of a run of
 # repeated chunks. One position in 16 may end a chunk, so chunks have 48 on average.
@@ -119,7 +118,7 @@ def _per_text(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Re
             n, gone, which = runs(starts, sizes, again, min_run)
             shared.append(n)
             spans.append(gone)
-            sources.append(sorted({chunks[i]["first_doc"] for i in which}))
+            sources.append(sorted({chunks[i]["first_doc"] for i in which} - {NO_ID}))
         yield pa.record_batch(
             [batch.column("doc"), batch.column("mark"), spans_array(spans), pa.array(shared, pa.int64()), pa.array(sources, pa.list_(pa.int64()))],
             names=["doc", "mark", "spans", "n_shared", "sources"],
@@ -132,7 +131,7 @@ def repeated_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", min_r
     ``spans`` go; ``n_shared`` counts the bytes that are found elsewhere too, those
     that stay as first copies included; ``sources`` are the ids of the first copies.
     """
-    texts = spread(marked(df, id, text)).where("doc IS NOT NULL")
+    texts = spread(marked(df, id, text))
     chunks = texts.mapInArrow(_chunks, CHUNKS)
     twice = chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
     repeats = written(chunks.join(twice, "d1").distinct(), "repeats")

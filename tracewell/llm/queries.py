@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chunk_dedup, grace_dedup, jaccard_join, line_dedup, mixing, quality
+from tracewell.llm import bpe, chunk_dedup, grace_dedup, jaccard_join, line_dedup, mixing, quality, suffix_dedup
 from tracewell.llm.common import documents
 from tracewell.llm.spans import removed
 
@@ -31,6 +31,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.without_repeated_strings(documents(spark, folder).select("doc_id", "text"), keep_first=False)
+    return out.select(
+        "doc_id", "cut.n_bytes", removed("cut.spans").alias("n_removed"),
+        F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     out = jaccard_join.similar_documents(documents(spark, folder).select("doc_id", "text"))

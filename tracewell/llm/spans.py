@@ -14,11 +14,18 @@ from tracewell.llm.common import whole
 
 SPANS = "array<struct<start: long, end: long>>"
 
+# Stands for a null id, so that such rows come after all others.
+NO_ID = (1 << 63) - 1
+
+
+def id_or_last(id: str) -> F.Column:
+    return F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(NO_ID))
+
 
 def marked(df: DataFrame, id: str, text: str) -> DataFrame:
     """(doc, mark, text): mark tells texts of one id apart, copies are alike."""
     return df.select(
-        F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("mark"),
+        id_or_last(id).alias("doc"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("mark"),
         whole(F.col(f"`{text}`")).alias("text"),
     )
 
@@ -64,7 +71,7 @@ def cut(df: DataFrame, spans: DataFrame, id: str, text: str, name: str, extra: l
         *[F.col(c).alias(f"__{c}") for c in extra],
     )
     own = [f"`{c}`" for c in columns]
-    texts = df.select(*own, F.col(f"`{id}`").cast("long").alias("__id"), whole(F.col(f"`{text}`")).alias("__text"))
+    texts = df.select(*own, id_or_last(id).alias("__id"), whole(F.col(f"`{text}`")).alias("__text"))
     joined = texts.join(found, (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__mark")), "left")
     spans_or_none = F.coalesce("__spans", F.array().cast(SPANS)).alias("__spans")
     rows = joined.select(
