@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chunk_dedup, grace_dedup, jaccard_join, line_dedup, mixing, quality, suffix_dedup
+from tracewell.llm import bpe, chunk_dedup, grace_dedup, jaccard_join, line_dedup, mixing, ppm, quality, suffix_dedup
 from tracewell.llm.common import documents
 from tracewell.llm.spans import removed
 
@@ -252,3 +252,9 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("cut.n_shared", F.lit(0)).cast("long").alias("n_shared"), F.sha2("cut.kept", 256).alias("kept_sha256"),
         F.coalesce("cut.sources", F.array().cast("array<bigint>")).alias("sources"),
     )
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    out = ppm.scored(documents(spark, folder).select("doc_id", "text"))
+    return out.select("doc_id", "lm.held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
