@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chunk_dedup, grace_dedup, jaccard_join, line_dedup, mixing, ppm, quality, suffix_dedup
+from tracewell.llm import bpe, chunk_dedup, grace_dedup, html_crf, jaccard_join, line_dedup, mixing, ppm, quality, suffix_dedup
 from tracewell.llm.common import documents
 from tracewell.llm.spans import removed
 
@@ -258,3 +258,9 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     out = ppm.scored(documents(spark, folder).select("doc_id", "text"))
     return out.select("doc_id", "lm.held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return html_crf.main_texts(pages).withColumn("n_chars", F.length("text").cast("long"))
