@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import textops as X
-from tracewell.llm.common import spread
+from tracewell.llm.common import as_row, from_row, row_type, spread
 
 # Pieces whose tokens a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
@@ -198,26 +198,21 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return _WORKER[key]
 
 
-def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n not in (name, "__in")]
-    return pa.record_batch([*(batch.column(n) for n in names), column], names=[*names, name])
-
-
-def _encode(batches: Iterator[pa.RecordBatch], content, pattern: str, name: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterator[pa.RecordBatch]:
     coder = encoder(content.value, pattern)
     for batch in batches:
-        _, ends = X.packed(batch.column("__in"))
+        _, ends = X.packed(batch.column("in"))
         for first, last in X.runs_of_texts(ends, BLOCK):
             part = batch.slice(first, last - first)
-            ids = coder.encode([t or "" for t in part.column("__in").to_pylist()])
+            ids = coder.encode([t or "" for t in part.column("in").to_pylist()])
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield _put(part, name, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())))
+            yield pa.record_batch([part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))], names=["row", "out"])
 
 
-def _decode(batches: Iterator[pa.RecordBatch], content, pattern: str, name: str) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterator[pa.RecordBatch]:
     merges = encoder(content.value, pattern).merges
     for batch in batches:
-        column = batch.column("__in").fill_null([])
+        column = batch.column("in").fill_null([])
         for at in range(0, len(column), 256):
             part = column.slice(at, 256)
             ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -226,17 +221,15 @@ def _decode(batches: Iterator[pa.RecordBatch], content, pattern: str, name: str)
             ends = np.concatenate([[0], np.cumsum(merges.token_ends[ids + 1] - merges.token_ends[ids])])
             offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int64)
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-            yield _put(batch.slice(at, 256), name, binary.cast(pa.binary()))
+            yield pa.record_batch([batch.slice(at, 256).column("row"), binary.cast(pa.binary())], names=["row", "out"])
 
 
 def _mapped(df: DataFrame, source: str, name: str, kind: str, vocabulary: bytes, pattern: str, work, drop: bool) -> DataFrame:
     content = df.sparkSession.sparkContext.broadcast(vocabulary)  # one file of fixed size
     columns = [c for c in df.columns if c != name and not (drop and c == source)]
-    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), f"`{name}` {kind}"])
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{source}`").alias("__in"))
-    out = rows.mapInArrow(lambda it: work(it, content, pattern, name), ddl)
-    order = [c for c in df.columns if c in columns or c == name]
-    return out.select(*[F.col(f"`{c}`") for c in [*order, *([] if name in order else [name])]])
+    rows = df.select(as_row(columns), F.col(f"`{source}`").alias("in"))
+    out = rows.mapInArrow(lambda it: work(it, content, pattern), f"{row_type(rows)}, out {kind}")
+    return out.select(*from_row(columns), F.col("out").alias(name))
 
 
 def encoded(

@@ -48,3 +48,21 @@ def whole(text: Column | str) -> Column:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+# --- columns that are carried along -------------------------------------------
+# They travel as one struct with numbered fields, so that no name of theirs can
+# clash with a working column.
+
+
+def as_row(columns: list[str]) -> Column:
+    return F.struct(F.lit(True).alias("is_row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row")
+
+
+def from_row(columns: list[str]) -> list[Column]:
+    return [F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def row_type(df: DataFrame) -> str:
+    """The type of the ``row`` column, as it stands in a schema string."""
+    return f"row {df.schema['row'].dataType.simpleString()}"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import spread, whole
+from tracewell.llm.common import as_row, from_row, row_type, spread, whole
 
 TRAINING_PAGES = 600
 ITERATIONS = 120
@@ -462,9 +462,8 @@ def _texts(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            texts = chain.value.main_text(part.column("__html").to_pylist())
-            names = [n for n in part.schema.names if n != "__html"]
-            yield pa.record_batch([*(part.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "__main"])
+            texts = chain.value.main_text(part.column("html").to_pylist())
+            yield pa.record_batch([part.column("row"), pa.array(texts, pa.string())], names=["row", "main"])
 
 
 def main_texts(df: DataFrame, html: str = "html", name: str = "text", chain: Chain | None = None) -> DataFrame:
@@ -472,7 +471,6 @@ def main_texts(df: DataFrame, html: str = "html", name: str = "text", chain: Cha
     # Weights of a fixed number of training pages.
     weights = df.sparkSession.sparkContext.broadcast(chain or standard_chain())
     columns = [c for c in df.columns if c not in (html, name)]
-    rows = spread(df).select(*[F.col(f"`{c}`") for c in columns], whole(F.col(f"`{html}`")).alias("__html"))
-    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "__main string"])
-    out = rows.mapInArrow(lambda it: _texts(it, weights), ddl)
-    return out.select(*[F.col(f"`{c}`") for c in columns], F.col("__main").alias(name))
+    rows = spread(df).select(as_row(columns), whole(F.col(f"`{html}`")).alias("html"))
+    out = rows.mapInArrow(lambda it: _texts(it, weights), f"{row_type(rows)}, main string")
+    return out.select(*from_row(columns), F.col("main").alias(name))

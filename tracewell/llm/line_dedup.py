@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import textops as X
-from tracewell.llm.common import pick, pieces, spread, whole, written
+from tracewell.llm.common import as_row, from_row, pick, pieces, row_type, spread, whole, written
 
 # The contract's numbers.
 MIN_CODE_POINTS = 20
@@ -206,16 +206,14 @@ def kept_lines(text: str, keep: bytes | None) -> tuple[list[str], int]:
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, totals, drops = [], [], []
-        for text, keep in zip(batch.column("__text").to_pylist(), batch.column("__keep").to_pylist(), strict=True):
+        for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True):
             lines, total = kept_lines(text, keep)
             texts.append(text if len(lines) == total else "\n".join(lines))
             totals.append(total)
             drops.append(total - len(lines))
-        others = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("__text", "__keep")]
-        names = [n for n in batch.schema.names if n not in ("__text", "__keep")]
         yield pa.record_batch(
-            [*others, pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(drops, pa.int64())],
-            names=[*names, "__kept", "__lines", "__dropped"],
+            [batch.column("row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(drops, pa.int64())],
+            names=["row", "kept", "n_lines", "n_dropped"],
         )
 
 
@@ -230,15 +228,14 @@ def without_repeated_lines(
 
     ``counts`` names a struct column to add: n_lines before dropping, n_dropped.
     """
-    bitmaps = repeated_lines(df, id, text, **options).toDF("__doc", "__mark", "__keep")
-    marked = df.select("*", whole(F.col(f"`{text}`")).alias("__text"))
-    joined = marked.join(
-        bitmaps, (F.col(f"`{id}`").cast("long") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__mark")), "left"
-    ).drop("__doc", "__mark", text)
-    others = [f for f in joined.schema.fields if f.name not in ("__text", "__keep")]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "__kept string, __lines long, __dropped long"])
-    out = joined.select(*[F.col(f"`{f.name}`") for f in others], "__text", "__keep").mapInArrow(_apply, ddl)
-    columns = [F.col("__kept").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
+    bitmaps = repeated_lines(df, id, text, **options).toDF("of_doc", "of_mark", "keep")
+    others = [c for c in df.columns if c not in (text, counts)]
+    texts = df.select(as_row(others), F.col(f"`{id}`").cast("long").alias("doc"), whole(F.col(f"`{text}`")).alias("text"))
+    joined = texts.join(bitmaps, (F.col("doc") == F.col("of_doc")) & (F.xxhash64("text") == F.col("of_mark")), "left")
+    rows = joined.select("row", "text", "keep")
+    out = rows.mapInArrow(_apply, f"{row_type(rows)}, kept string, n_lines long, n_dropped long")
+    by_name = dict(zip(others, from_row(others), strict=True)) | {text: F.col("kept").alias(text)}
+    columns = [by_name[c] for c in df.columns if c in by_name]
     if counts:
-        columns.append(F.struct(F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped")).alias(counts))
+        columns.append(F.struct("n_lines", "n_dropped").alias(counts))
     return out.select(*columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.llm.common import spread, whole, written
+from tracewell.llm.common import as_row, from_row, spread, whole, written
 from tracewell.llm.textops import SPACE_CHARS
 
 # Hex digits of the order that make the buckets of a leaf.
@@ -107,36 +107,36 @@ def mixed(
     ``copies`` is in how many epochs the row is taken, 0 if in none. ``percent`` of all
     tokens is the budget at the root. Without ``keep_text`` the text is left out.
     """
-    keys = [f"__level{i}" for i in range(len(levels))]
+    keys = [f"level{i}" for i in range(len(levels))]
     columns = [c for c in df.columns if c != name and (keep_text or c != text)]
     named = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?")).alias(k) for k, c in zip(keys, levels, strict=True)]
-    counted = spread(df).select("*", *named, word_count(F.col(f"`{text}`")).alias("__tokens"))
-    rows = written(counted.select(*[F.col(f"`{c}`") for c in columns], *keys, "__tokens"), "mixing")
-    leaves = rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens"))
+    counted = spread(df).select(as_row(columns), F.col(f"`{id}`").alias("id"), *named, word_count(F.col(f"`{text}`")).alias("tokens"))
+    rows = written(counted, "mixing")
+    leaves = rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
     share = budgets(leaves, keys, weights, percent, max_epochs)
     plan = leaves.join(share, keys, "left").select(
-        *keys, F.coalesce("budget", F.lit(0)).cast("long").alias("__budget"),
-        F.expr("CASE WHEN tokens > 0 THEN coalesce(budget, 0) div tokens ELSE 0L END").alias("__whole"),
-        F.expr("CASE WHEN tokens > 0 THEN coalesce(budget, 0) % tokens ELSE 0L END").alias("__left"),
+        *keys, F.coalesce("budget", F.lit(0)).cast("long").alias("budget"),
+        F.expr("CASE WHEN tokens > 0 THEN coalesce(budget, 0) div tokens ELSE 0L END").alias("whole"),
+        F.expr("CASE WHEN tokens > 0 THEN coalesce(budget, 0) % tokens ELSE 0L END").alias("left"),
     )
     plan = written(plan, "mixing_plan")
-    planned = rows.join(plan, keys).withColumn("__order", order_key(seed, F.col("__whole") + 1, F.col(f"`{id}`")))
-    planned = planned.withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
+    planned = rows.join(plan, keys).withColumn("order", order_key(seed, F.col("whole") + 1, F.col("id")))
+    planned = planned.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     # Where each leaf's prefix ends: the first bucket that does not fit whole.
-    sums = planned.groupBy(*keys, "__bucket").agg(F.sum("__tokens").alias("tokens"), F.max("__left").alias("left"))
-    upto = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("__bucket"))
+    sums = planned.groupBy(*keys, "bucket").agg(F.sum("tokens").alias("tokens"), F.max("left").alias("left"))
+    upto = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("bucket"))
     ends = sums.withColumn("upto", upto).where("upto > left").groupBy(*keys).agg(
-        F.min("__bucket").alias("__end"), F.min(F.col("upto") - F.col("tokens")).alias("__base")
+        F.min("bucket").alias("end"), F.min(F.col("upto") - F.col("tokens")).alias("base")
     )
     ends = written(ends, "mixing_ends")
     placed = planned.join(ends, keys, "left")
-    inside = F.when(F.col("__end").isNull() | (F.col("__bucket") < F.col("__end")), F.lit(1)).otherwise(F.lit(0))
-    plain = placed.where(F.col("__end").isNull() | (F.col("__bucket") != F.col("__end"))).withColumn("__in", inside)
-    edge = placed.where(F.col("__bucket") == F.col("__end"))
-    running = F.sum("__tokens").over(Window.partitionBy(*keys).orderBy("__order", "__tokens"))
-    edge = edge.withColumn("__in", F.when(F.col("__base") + running <= F.col("__left"), F.lit(1)).otherwise(F.lit(0)))
+    inside = F.when(F.col("end").isNull() | (F.col("bucket") < F.col("end")), F.lit(1)).otherwise(F.lit(0))
+    plain = placed.where(F.col("end").isNull() | (F.col("bucket") != F.col("end"))).withColumn("in", inside)
+    edge = placed.where(F.col("bucket") == F.col("end"))
+    running = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("order", "tokens"))
+    edge = edge.withColumn("in", F.when(F.col("base") + running <= F.col("left"), F.lit(1)).otherwise(F.lit(0)))
     both = plain.unionByName(edge)
     # A leaf without tokens or weight gives nothing.
-    copies = F.when(F.col("__budget") > 0, F.col("__whole") + F.when(F.col("__left") > 0, F.col("__in")).otherwise(0)).otherwise(0)
-    extra = F.struct(F.col("__tokens").alias("tokens"), F.col("__budget").alias("budget"), copies.cast("long").alias("copies"))
-    return both.select(*[F.col(f"`{c}`") for c in columns], extra.alias(name))
+    copies = F.when(F.col("budget") > 0, F.col("whole") + F.when(F.col("left") > 0, F.col("in")).otherwise(0)).otherwise(0)
+    extra = F.struct(F.col("tokens").alias("tokens"), F.col("budget").alias("budget"), copies.cast("long").alias("copies"))
+    return both.select(*from_row(columns), extra.alias(name))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import textops as X
-from tracewell.llm.common import pieces, spread, whole
+from tracewell.llm.common import as_row, from_row, pieces, row_type, spread, whole
 
 # Bytes of context, at most six, and the symbol that ends a text.
 ORDER = 5
@@ -222,18 +222,17 @@ def symbols_of(text: str | None) -> list[int]:
 
 def _adaptive(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        scores = [Trie(order).score(symbols_of(t), adaptive=True) for t in batch.column("__text").to_pylist()]
-        names = [n for n in batch.schema.names if n != "__text"]
-        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "__score"])
+        scores = [Trie(order).score(symbols_of(t), adaptive=True) for t in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
 
 
 def adaptive_scores(df: DataFrame, text: str = "text", name: str = "score", order: int = ORDER) -> DataFrame:
     """All rows and columns and ``name``: each text's score by a model that starts empty
     and learns from the text itself as it goes."""
     columns = [c for c in df.columns if c != name]
-    rows = spread(df).select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
-    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "__score double"])
-    return rows.mapInArrow(lambda it: _adaptive(it, order), ddl).withColumnRenamed("__score", name)
+    rows = spread(df).select(as_row(columns), F.col(f"`{text}`").alias("text"))
+    out = rows.mapInArrow(lambda it: _adaptive(it, order), f"{row_type(rows)}, score double")
+    return out.select(*from_row(columns), F.col("score").alias(name))
 
 
 # --- over the corpus ---------------------------------------------------------
@@ -347,6 +346,15 @@ def _known(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nothing marked as never null, as schema strings have it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    return kind
+
+
 def _scores(texts: pa.Table, answers: pa.Table, order: int, n: int, v: int) -> pa.Table:
     words, times = _known(answers, WORD)
     model = Model(*_known(answers, CONTEXT))
@@ -367,12 +375,11 @@ def _scores(texts: pa.Table, answers: pa.Table, order: int, n: int, v: int) -> p
         scores = np.empty(len(values))
         scores[by] = model.score(ordered[new], order)[np.cumsum(new) - 1]
         columns[3].append(np.add.reduceat(scores, np.cumsum(sizes) - sizes))
-    names = [c for c in texts.column_names if c not in ("chunk", "held", "text")]
     made = [np.concatenate(c) if c else np.empty(0) for c in columns]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return pa.table(
-        [*(texts.column(c) for c in names), texts.column("held"), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))],
-        names=[*names, "held", "n_tokens", "n_known", "base_score", "score"],
+        [texts.column("row").cast(_nullable(texts.column("row").type)), texts.column("held"), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))],
+        names=["row", "held", "n_tokens", "n_known", "base_score", "score"],
     )
 
 
@@ -386,23 +393,22 @@ def scored(
     columns = [c for c in df.columns if c not in (text, name)]
     as_text = F.coalesce(F.col(f"`{id}`").cast("string"), F.lit(""))
     held = (F.crc32(as_text.cast("binary")) % folds == held_out).alias("held")
-    texts = spread(df).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], as_text.alias("id"), held, whole(F.col(f"`{text}`")).alias("text"))
+    texts = spread(df).select(as_row(columns), as_text.alias("id"), held, whole(F.col(f"`{text}`")).alias("text"))
     counts = texts.select("held", "text").mapInArrow(_vocabulary, "word long, tokens long")
     v, n = counts.agg(F.count_distinct("word"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     chunks = pieces(spark, size, chunk_bytes)
-    keyed = texts.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), *[f"c{i}" for i in range(len(columns))], "held", "text")
+    keyed = texts.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "row", "held", "text")
     dealt = keyed.repartition(chunks, "chunk")
     grams = dealt.select("chunk", "held", "text").groupBy("chunk").applyInArrow(
         lambda key, table: _grams(table, key[0].as_py(), order, chunks), GRAMS
     )
     answers = grams.groupBy("kind", "bucket").applyInArrow(_answers, ANSWERS)
-    own = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    ddl = f"{own + ', ' if own else ''}held boolean, n_tokens long, n_known long, base_score double, score double"
+    ddl = f"{row_type(texts)}, held boolean, n_tokens long, n_known long, base_score double, score double"
     result = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda texts, answers: _scores(texts, answers, order, n, v), ddl
     )
     made = F.struct(
         F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
-    return result.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], made.alias(name))
+    return result.select(*from_row(columns), made.alias(name))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.llm.common import spread, whole, written
+from tracewell.llm.common import as_row, from_row, spread, whole, written
 from tracewell.llm.textops import SPACE_CHARS
 
 SYMBOLS = "#*$%&|<>"
@@ -47,13 +47,13 @@ def pairs(values: Column, apart: int, n: Column, join) -> Column:
     return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(apart + 1), n), join)
 
 
-def measured(df: DataFrame, text: str = "text", name: str = "__quality") -> DataFrame:
-    """Adds a struct of what the rules look at.
+def measured(df: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``df`` and a struct ``measures`` of what the rules look at.
 
     Everything is computed inside the row, so a text is never taken apart into
     rows and nothing is shuffled.
     """
-    body = whole(F.col(f"`{text}`"))
+    body = whole(text)
     blanks = F.translate(body, SPACE_CHARS[1:], " " * (len(SPACE_CHARS) - 1))
     n_chars = lambda c: F.length(c).cast("long")
     without = lambda chars: n_chars(body) - n_chars(F.translate(body, chars, ""))
@@ -92,15 +92,15 @@ def measured(df: DataFrame, text: str = "text", name: str = "__quality") -> Data
         F.size("__lines").cast("long").alias("n_lines"),
         without(UPPER).alias("n_capitals"),
     )
-    return hashed.select(*[F.col(f"`{c}`") for c in df.columns], values.alias(name))
+    return hashed.select(*[F.col(f"`{c}`") for c in df.columns], values.alias("measures"))
 
 
 def base_failed(q: Column) -> Column:
     return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
 
 
-def rates(name: str) -> dict[str, Column]:
-    of = lambda top, scale, bottom: F.expr(f"CASE WHEN {name}.{bottom} > 0 THEN ({scale} * {name}.{top}) div {name}.{bottom} ELSE 0L END")
+def rates() -> dict[str, Column]:
+    of = lambda top, scale, bottom: F.expr(f"CASE WHEN measures.{bottom} > 0 THEN ({scale} * measures.{top}) div measures.{bottom} ELSE 0L END")
     return {
         "symbols": of("n_symbols", 10000, "word_chars"),
         "capitals": of("n_capitals", 10000, "word_chars"),
@@ -137,15 +137,12 @@ def fences(sketch: DataFrame, keys: list[str], spreads: dict[str, int]) -> DataF
     return quartiles.groupBy(*keys).agg(F.max("texts").alias("texts"), *wide)
 
 
-def thresholds(
-    measures: DataFrame, name: str, lang: Column, source: Column,
-    spreads: dict[str, int] = SPREAD, min_group: int = MIN_GROUP,
-) -> DataFrame:
+def thresholds(measures: DataFrame, spreads: dict[str, int] = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
     """Fences of every (lang, source) that has a text passing the fixed rules."""
-    rate = rates(name)
-    passing = measures.where(~base_failed(F.col(name)))
+    rate = rates()
+    passing = measures.where(~base_failed(F.col("measures")))
     rows = passing.select(
-        lang.alias("lang"), source.alias("source"),
+        "lang", "source",
         F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), bucket(rate[r]).alias("bucket")) for r in spreads])).alias("r"),
     )
     fine = rows.groupBy("lang", "source", "r.rate", "r.bucket").agg(F.count("*").alias("n"))
@@ -159,10 +156,7 @@ def thresholds(
         .join(of(overall, "a"), (F.col("texts") > 0) == F.col("a_some"))
     )
     chosen = lambda r: F.when(F.col("texts") >= min_group, F.col(r)).when(F.col("l_texts") >= min_group, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
-    return joined.select(
-        F.col("lang").alias("__lang"), F.col("source").alias("__source"),
-        *[chosen(r).alias(f"__max_{r}") for r in spreads],
-    )
+    return joined.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[chosen(r).alias(f"most_{r}") for r in spreads])
 
 
 def judged(
@@ -175,16 +169,14 @@ def judged(
     and the verdict both need them; without ``keep_text`` the text is left out.
     """
     columns = [c for c in df.columns if c != name and (keep_text or c != text)]
-    found = measured(spread(df), text, "__quality")
-    measures = written(found.select(*[F.col(f"`{c}`") for c in columns], "__quality"), "quality")
-    q = F.col("__quality")
-    limits = thresholds(measures, "__quality", F.col(f"`{lang}`"), F.col(f"`{source}`"), spreads, min_group)
-    joined = measures.join(
-        limits, F.col(f"`{lang}`").eqNullSafe(F.col("__lang")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left"
-    )
+    rows = spread(df).select(as_row(columns), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    measures = written(measured(rows, F.col("text")).drop("text"), "quality")
+    limits = thresholds(measures, spreads, min_group)
+    joined = measures.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     fits = F.lit(True)
-    for r, rate in rates("__quality").items():
+    for r, rate in rates().items():
         if r in spreads:
-            fits = fits & F.coalesce(rate <= F.col(f"__max_{r}"), F.lit(False))
-    verdict = F.struct("__quality.*", base_failed(q).alias("base_failed"), (~base_failed(q) & fits).alias("kept"))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], verdict.alias(name))
+            fits = fits & F.coalesce(rate <= F.col(f"most_{r}"), F.lit(False))
+    failed = base_failed(F.col("measures"))
+    verdict = F.struct("measures.*", failed.alias("base_failed"), (~failed & fits).alias("kept"))
+    return joined.select(*from_row(columns), verdict.alias(name))

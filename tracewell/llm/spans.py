@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import textops as X
-from tracewell.llm.common import whole
+from tracewell.llm.common import as_row, from_row, row_type, whole
 
 SPANS = "array<struct<start: long, end: long>>"
 
@@ -42,20 +42,14 @@ def spans_array(lists: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("__text", "__spans")]
-        data, offsets = X.packed(batch.column("__text"))
-        column = batch.column("__spans")
+        data, offsets = X.packed(batch.column("text"))
         kept = []
-        for i in range(batch.num_rows):
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
             text = data[offsets[i] : offsets[i + 1]]
-            spans = column[i].as_py()
-            if not spans:
-                kept.append(text.tobytes())
-                continue
-            edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+            edges = [0, *(x for s in spans or () for x in (s["start"], s["end"])), len(text)]
             kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        columns = [batch.column(n) for n in names]
-        yield pa.record_batch([*columns, pa.array(kept, pa.binary())], names=[*names, "__kept"])
+        sizes = pa.array(np.diff(offsets))
+        yield pa.record_batch([*(batch.column(c) for c in ("row", "extra", "spans")), sizes, pa.array(kept, pa.binary())], names=["row", "extra", "spans", "n_bytes", "kept"])
 
 
 def cut(df: DataFrame, spans: DataFrame, id: str, text: str, name: str, extra: list[str] | None = None) -> DataFrame:
@@ -66,25 +60,14 @@ def cut(df: DataFrame, spans: DataFrame, id: str, text: str, name: str, extra: l
     """
     extra = extra or []
     columns = [c for c in df.columns if c not in (text, name)]
-    found = spans.select(
-        F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"),
-        *[F.col(c).alias(f"__{c}") for c in extra],
-    )
-    own = [f"`{c}`" for c in columns]
-    texts = df.select(*own, id_or_last(id).alias("__id"), whole(F.col(f"`{text}`")).alias("__text"))
-    joined = texts.join(found, (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__mark")), "left")
-    spans_or_none = F.coalesce("__spans", F.array().cast(SPANS)).alias("__spans")
-    rows = joined.select(
-        *own, *[f"__{c}" for c in extra], F.octet_length("__text").cast("long").alias("__bytes"),
-        spans_or_none, F.col("__text"), spans_or_none.alias("__cut"),
-    )
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("__text", "__spans")), "__kept binary"])
-    out = rows.mapInArrow(_cut, ddl)
-    made = F.struct(
-        F.col("__bytes").alias("n_bytes"), F.col("__cut").alias("spans"), F.col("__kept").alias("kept"),
-        *[F.col(f"__{c}").alias(c) for c in extra],
-    )
-    return out.select(*own, made.alias(name))
+    found = spans.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark"), "spans", as_row(extra).alias("extra"))
+    texts = df.select(as_row(columns), id_or_last(id).alias("doc"), whole(F.col(f"`{text}`")).alias("text"))
+    joined = texts.join(found, (F.col("doc") == F.col("of_doc")) & (F.xxhash64("text") == F.col("of_mark")), "left")
+    rows = joined.select("row", "extra", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), "text")
+    kinds = f"{row_type(rows)}, extra {rows.schema['extra'].dataType.simpleString()}, spans {SPANS}, n_bytes long, kept binary"
+    out = rows.mapInArrow(_cut, kinds)
+    more = [F.col(f"extra.c{i}").alias(c) for i, c in enumerate(extra)]
+    return out.select(*from_row(columns), F.struct("n_bytes", "spans", "kept", *more).alias(name))
 
 
 def removed(spans: str) -> F.Column:

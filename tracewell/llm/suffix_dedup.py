@@ -138,7 +138,7 @@ class SuffixOrder:
     """Windows of a byte string in the order of their first ``length`` bytes."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, length: int):
-        self.starts, self.length = starts, length
+        self.starts, self.length, self.data = starts, length, data
         padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
         value = np.zeros(len(data), np.uint64)
         step = min(8, length)
@@ -164,6 +164,12 @@ class SuffixOrder:
             room = got + step <= self.length
             same = room & (r[np.minimum(a + got, end - 1)] == r[np.minimum(b + got, end - 1)])
             got[same] += step
+        # What is left is shorter than the shortest rank: byte by byte.
+        going = np.ones(len(a), bool)
+        for _ in range(min(self.ranks) - 1):
+            at = np.minimum(got, self.length - 1)
+            going &= (got < self.length) & (self.data[a + at] == self.data[b + at])
+            got[going] += 1
         equal = self.rank[order[1:]] == self.rank[order[:-1]]
         got[equal] = self.length
         return np.concatenate([[0], got])
