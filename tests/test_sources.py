@@ -186,6 +186,9 @@ def test_segments_and_digests(spark, tmp_path):
     for name, size in sizes.items():
         (tmp_path / name).write_bytes(b"x" * size)
     segments = sources.list_segments(spark, str(tmp_path))
+    name = F.substring_index("image_id", "/", -1)
+    assert segments.where(F.col("image_id").startswith("/") | F.col("image_id").startswith("file:")).count() == 4
+    segments = segments.withColumn("image_id", name)
     totals = segment_totals(segments.where("image_id = 'a'")).first()
     assert (totals.n_segments, totals.size_bytes, totals.ewf_size_bytes) == (3, 5, 12)
     assert [p.rsplit("/", 1)[1] for p in totals.segments] == ["a.E01", "a.E02", "a.E10"]
@@ -250,14 +253,86 @@ def test_manifest_round_trip(spark, tmp_path):
         ("run-1", "memory", *memory),
         ("run-2", "memory", *memory),
     ]
-    written = "".join(p.read_text() for p in (tmp_path / "manifests").glob("*.json"))
+    written = "".join(p.read_text() for p in (tmp_path / "manifests").rglob("*.json"))
     assert '"sha256":null' in written
 
 
-def test_ground_truth_without_result_is_not_written(spark, tmp_path):
+def test_ground_truth_of_a_cleanup_run_is_not_written(spark, tmp_path):
     given = spark.createDataFrame(
-        [("r1", "x"), ("r2", None)], "run_id string, result string"
+        [("r1", "x", False), ("r2", None, None), ("r3", "y", True)], "run_id string, result string, cleanup boolean"
     )
     path = str(tmp_path / "truth")
-    sources.write_ground_truth(given, path)
-    assert rows(spark.read.json(path), "run_id") == [("r1",)]
+    sources.write_ground_truth(given, path, cleanup="cleanup")
+    assert rows(spark.read.json(path), "run_id", "result") == [("r1", "x"), ("r2", "{}")]
+
+
+def test_rows_of_any_size(spark):
+    one = F.concat(F.lit('[{"a":"'), F.repeat(F.lit("x"), 25_000_000), F.lit('"},{"b":1.50}]'))
+    row = F.concat(F.lit('{"a":"'), F.repeat(F.lit("y"), 100_000), F.lit('"},'))
+    many = F.concat(F.lit('{"rows":['), F.repeat(row, 1_400), F.lit("{}]}"))
+    for payload, n in ((one, 2), (many, 1_401)):
+        df = spark.range(1).select("id", payload.alias("payload"))
+        assert sources.plugin_rows(df, "payload").count() == n
+        assert sources.plugin_quarantine(df, "payload").count() == 0
+
+
+def test_rows_that_cannot_be_read(spark):
+    df = spark.createDataFrame([('{"rows":[{"a":1,"a":2}]}',), ('{"rows":{}}',), ("{}",)], "payload string")
+    assert sources.plugin_rows(df.offset(1), "payload").count() == 0
+    assert sources.plugin_quarantine(df, "payload").count() == 1
+    with pytest.raises(Exception, match="cannot be read"):
+        sources.plugin_rows(df, "payload").collect()
+
+
+@pytest.mark.parametrize("read", [sources.read_ground_truth, sources.read_scenarios, sources.read_manifests])
+def test_broken_documents(spark, tmp_path, read):
+    (tmp_path / "doc.json").write_text('{"scenario_id": "s", "iocs": [{"id"')
+    with pytest.raises(Exception):
+        found = read(spark, str(tmp_path))
+        (found[0] if isinstance(found, tuple) else found).collect()
+    found = read(spark, str(tmp_path), mode="quarantine")
+    assert (found[0] if isinstance(found, tuple) else found).count() == 0
+
+
+@pytest.mark.parametrize("name, value, want", [
+    ("size_bytes", "0.0", 0), ("size_bytes", "1e3", 1000), ("size_bytes", "ten", "raise"), ("size_bytes", "1.5", "raise"),
+    ("exists", "no way", "raise"), ("exists", "false", False),
+])
+def test_conditions_are_never_dropped(spark, name, value, want):
+    kind = "scenario_id string, iocs array<struct<id: string, type: string, attributes: map<string,string>, sources: array<string>, evasion_note: string>>"
+    docs = spark.createDataFrame([("s", [("i", "file", {name: value}, None, None)])], kind)
+    found = sources.ground_truth_iocs(docs).select(name)
+    if want == "raise":
+        with pytest.raises(Exception, match=f"cannot read {name}"):
+            found.collect()
+    else:
+        assert found.first()[0] == want
+
+
+def test_tool_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "run+a__linux.pslist.json").write_text('[{"PID":1}]')
+    (tmp_path / "deep" / "run-b__linux.pslist.json").write_text("")
+    assert rows(sources.read_plugin_rows(spark, str(tmp_path), "quarantine"), "run_id", "plugin") == [("run+a", "linux.pslist")]
+    assert rows(sources.read_plugin_quarantine(spark, str(tmp_path)), "run_id") == [("run-b",)]
+    (tmp_path / "other.json").write_text("[]")
+    with pytest.raises(Exception, match="not a name of tool output"):
+        sources.read_plugin_rows(spark, str(tmp_path), "quarantine").collect()
+
+
+def test_placeholders_in_indicators(spark, tmp_path):
+    (tmp_path / "s.json").write_text(
+        '{"id": "s", "defaults": {"home": "/home/u", "key": "k1"}, "steps": [], "ground_truth": {"iocs": [{"id": "i", '
+        '"type": "file", "attributes": {"path": "{{home}}/keys", "content_contains": "{{key}} {{other}}"}}]}}'
+    )
+    _, iocs = sources.read_scenarios(spark, str(tmp_path))
+    assert rows(iocs, "path", "content_contains") == [("/home/u/keys", "k1 {{other}}")]
+
+
+def test_writers_leave_other_runs(spark, tmp_path):
+    path = str(tmp_path / "out")
+    kind = "run_id string, scenario_id string, result struct<name: string>, cleanup boolean"
+    for name, result, cleanup in (("r1", ("a",), False), ("r2", None, False), ("r3", None, True), ("r2", ("b",), False)):
+        sources.write_ground_truth(spark.createDataFrame([(name, "s", result, cleanup)], kind), path, cleanup="cleanup")
+    back = spark.read.schema("run_id string, scenario_id string, result struct<name: string>").json(path)
+    assert rows(back, "run_id", "result.name") == [("r1", "a"), ("r2", "b")]

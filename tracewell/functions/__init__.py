@@ -14,6 +14,7 @@ from tracewell.functions.naming import (
     url_filename,
 )
 from tracewell.functions.text import (
+    is_json,
     json_value,
     plain_lines,
     strip_space,
@@ -36,6 +37,7 @@ __all__ = [
     "effective_filename",
     "format_bytes",
     "has_value",
+    "is_json",
     "json_value",
     "matches_attrs",
     "parse_run_id",

@@ -37,12 +37,29 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit("\n " + LINE_BREAKS + SPACES))
 
 
-def json_value(text: Column) -> Column:
-    """Text as a variant, null unless it is exactly one JSON value.
+# Lets the JSON reader take a string of any length.
+LONG_STRINGS = {"maxStringLen": "2147483647"}
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value, of any size; null for null.
 
     Spark's parser stops after the first value and would pass over what follows
     it. Here the text is put in front of its own hash in an array: only a
-    single, complete value leaves the hash in second place.
+    single, complete value leaves the hash in second place. The values stay text,
+    so no limit of a parsed value applies to the document.
+    """
+    mark = F.xxhash64(text).cast("string")
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")), "array<string>", LONG_STRINGS)
+    found = (F.size(pair) == 2) & (pair[1] == mark)
+    return F.when(text.isNotNull(), (strip_space(text) != "") & F.coalesce(found, F.lit(False)))
+
+
+def json_value(text: Column) -> Column:
+    """Text as a variant, null unless it is exactly one JSON value.
+
+    For small documents: a variant holds at most 128 MiB, a string in it 20 million
+    characters.
     """
     mark = F.xxhash64(text)
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))

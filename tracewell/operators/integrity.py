@@ -104,10 +104,11 @@ def validate_registry(
     """Adds to each request (request_id, distro_id, key) why it cannot run.
 
     ``reason`` is no_profile, unknown_scenario, no_technique or, if nothing is
-    in the way, ok.
+    in the way, ok. A key that several registry files declare counts once, with the
+    least technique any of them names.
     """
     known = profiles.select("distro_id").distinct().withColumn("__profile", F.lit(True))
-    entries = registry.select("key", "technique_id", F.lit(True).alias("__entry"))
+    entries = registry.groupBy("key").agg(F.min("technique_id").alias("technique_id"), F.lit(True).alias("__entry"))
     spread, sizes = ["request_id"], (broadcast_rows, rows_per_task)
     joined = checked_join(requests, known, ["distro_id"], "left", spread, *sizes)
     joined = checked_join(joined, entries, ["key"], "left", spread, *sizes)
@@ -125,19 +126,24 @@ def validate_registry(
 # --- segments ------------------------------------------------------------------
 
 
+def distinct_segments(segments: DataFrame) -> DataFrame:
+    """One row per image and path, with the largest size that was reported."""
+    return segments.groupBy("image_id", "path").agg(F.max("size_bytes").alias("size_bytes"))
+
+
 def segment_totals(segments: DataFrame) -> DataFrame:
     """Per image: number and total size of its segments, the first, the list.
 
+    A segment that is delivered several times counts once, with its largest size.
     Segment names end in ``.E`` and two characters, so the list of an image is
-    bounded by the naming; it is gathered as a set, which keeps it so for any
-    number of rows. ``size_bytes`` is that of the first segment by name and
+    bounded by the naming. ``size_bytes`` is that of the first segment by name and
     ``ewf_size_bytes`` the total.
     """
-    totals = segments.groupBy("image_id").agg(
+    totals = distinct_segments(segments).groupBy("image_id").agg(
         F.count("*").alias("n_segments"),
         F.min(F.struct("path", "size_bytes")).alias("first"),
         F.sum("size_bytes").alias("ewf_size_bytes"),
-        F.sort_array(F.collect_set("path")).alias("segments"),
+        F.sort_array(F.collect_list("path")).alias("segments"),
     )
     return totals.select(
         "image_id", "n_segments", "first.path", "first.size_bytes", "ewf_size_bytes", "segments"
@@ -145,7 +151,13 @@ def segment_totals(segments: DataFrame) -> DataFrame:
 
 
 def validate_segments(images: DataFrame, segments: DataFrame) -> DataFrame:
-    """Adds n_segments, n_empty and valid: at least one segment, none empty."""
+    """Adds n_segments, n_empty and valid: at least one segment, none empty.
+
+    A memory image is one file and counts as its own segment. With a ``path``,
+    a segment that is delivered several times counts once.
+    """
+    if "path" in segments.columns:
+        segments = distinct_segments(segments)
     totals = segments.groupBy("image_id").agg(
         F.count("*").alias("n_segments"),
         F.count_if(F.col("size_bytes") == 0).alias("n_empty"),

@@ -102,11 +102,15 @@ def detection_metrics(
 
     ``findings`` has ``matched`` and ``truth`` has ``expected`` by the columns
     ``on``; a pair that one side lacks counts as false there. The columns ``by``
-    may come from either.
+    may come from either; if both have one, each pair takes it from the side that
+    knows it.
     """
     on = list(on)
+    shared = [c for c in by if c not in on and c in findings.columns and c in truth.columns]
+    truth = truth.withColumnsRenamed({c: f"__truth_{c}" for c in shared})
+    group = [F.coalesce(c, f"__truth_{c}").alias(c) if c in shared else F.col(c) for c in by]
     both = findings.join(truth, on, "full_outer").select(
-        *by,
+        *group,
         F.coalesce("matched", F.lit(False)).alias("__matched"),
         F.coalesce("expected", F.lit(False)).alias("__expected"),
     )
@@ -188,19 +192,15 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact, interpolated percentiles per group, one column for each in ``probs``.
 
-    As many rows as one task may take go to Spark's own ``percentile``, which
-    holds a group's distinct values in memory. Beyond that, or if ``buckets`` is
-    given, values are first counted by group and bucket, the buckets being cut
-    at approximate quantiles. The counts say exactly in which buckets the wanted
-    ranks lie, so only the values of those buckets, a small part, are sorted.
-    How good the quantiles are bears on the amount of work, not on the result.
+    Values are first counted by group and bucket, the buckets being cut at
+    approximate quantiles. The counts say exactly in which buckets the wanted ranks
+    lie, so only the values of those buckets, a small part, are sorted. How good the
+    quantiles are bears on the amount of work, not on the result. Between two
+    ranks the value is interpolated as Spark's own ``percentile`` does it.
     """
     if buckets is None:
         rows = df.select(value).dropna().count()
-        if rows <= ROWS_PER_TASK:
-            exact = [F.percentile(value, p).alias(n) for n, p in probs.items()]
-            return df.where(F.col(value).isNotNull()).groupBy(by).agg(*exact)
-        buckets = max(16, min(-(-rows // ROWS_PER_BUCKET), MAX_CHUNKS))
+        buckets = max(1, min(-(-rows // ROWS_PER_BUCKET), MAX_CHUNKS))
     number = as_number(df, value)
     # A struct, as a null group joins like any other then.
     given = df.select(
@@ -246,12 +246,14 @@ def exact_percentiles(
         columns += [
             value_at(F.floor(at)).alias(f"__{name}_low"),
             value_at(F.ceil(at)).alias(f"__{name}_high"),
-            F.max(at - F.floor(at)).alias(f"__{name}_part"),
+            F.max(at).alias(f"__{name}_at"),
         ]
     edges = ranked.groupBy("__group").agg(*columns)
-    between = lambda n: F.col(f"__{n}_low") + F.col(f"__{n}_part") * (
-        F.col(f"__{n}_high") - F.col(f"__{n}_low")
-    )
+    def between(n: str) -> Column:
+        low, high, at = (F.col(f"__{n}_{x}") for x in ("low", "high", "at"))
+        mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        return F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise(mixed)
+
     return edges.select(f"__group.{by}", *[between(n).alias(n) for n in probs])
 
 

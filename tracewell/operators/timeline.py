@@ -20,13 +20,19 @@ def baseline_diff(
     """Entries of either state with ``status``.
 
     added, removed, modified or unchanged; ``keys`` identify an entry in each
-    state. The columns come twice, as ``base_*`` and ``current_*``.
+    state, null being a key like any other. An entry that a state lists several
+    times counts once, with its least columns. The columns come twice, as
+    ``base_*`` and ``current_*``.
     """
     keys, cols = list(keys), list(cols)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(
-            *keys, *[F.col(c).alias(f"{name}_{c}") for c in cols], F.lit(True).alias(f"__{name}")
+        entry = F.min(F.struct(F.lit(True).alias("given"), *cols)).alias("entry")
+        reduced = df.groupBy(*keys).agg(entry)
+        return reduced.select(
+            F.struct(*keys).alias(f"__{name}_key"),
+            *[F.col(f"entry.{c}").alias(f"{name}_{c}") for c in cols],
+            F.col("entry.given").alias(f"__{name}"),
         )
 
     same: Column = F.lit(True)
@@ -38,11 +44,11 @@ def baseline_diff(
         .when(same, "unchanged")
         .otherwise("modified")
     )
-    return (
-        side(base, "base")
-        .join(side(current, "current"), keys, "full_outer")
-        .withColumn("status", status)
-        .drop("__base", "__current")
+    same_key = F.col("__base_key").eqNullSafe(F.col("__current_key"))
+    key = F.when(F.col("__base").isNull(), F.col("__current_key")).otherwise(F.col("__base_key"))
+    both = side(base, "base").join(side(current, "current"), same_key, "full_outer")
+    return both.select(
+        *[key.getField(k).alias(k) for k in keys], *[f"base_{c}" for c in cols], *[f"current_{c}" for c in cols], status.alias("status")
     )
 
 

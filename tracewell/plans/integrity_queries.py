@@ -193,6 +193,26 @@ def segment_totals(spark, folder):
     return totals.withColumn("segments", F.array_join("segments", ","))
 
 
+@query(
+    "ag01_segments_again",
+    """
+    WITH s AS (SELECT l_orderkey % 1000 AS image_id, 'd.E0' || l_linenumber AS path,
+                      max(CAST(l_quantity AS BIGINT)) AS size_bytes FROM lineitem GROUP BY ALL)
+    SELECT image_id, count(*) AS n_segments, min(path) AS path, arg_min(size_bytes, path) AS size_bytes,
+           CAST(sum(size_bytes) AS BIGINT) AS ewf_size_bytes, string_agg(path, ',' ORDER BY path) AS segments
+    FROM s GROUP BY image_id
+    """,
+)
+def segments_again(spark, folder):
+    """Segments that are delivered many times."""
+    segments = table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") % 1000).alias("image_id"),
+        F.concat(F.lit("d.E0"), F.col("l_linenumber").cast("string")).alias("path"),
+        F.col("l_quantity").cast("bigint").alias("size_bytes"),
+    )
+    return integrity.segment_totals(segments).withColumn("segments", F.array_join("segments", ","))
+
+
 @query(
     "ag02_validate_segments",
     """

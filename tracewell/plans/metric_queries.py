@@ -115,17 +115,38 @@ def detection_metrics(spark, folder):
 @query(
     "so03_missed_iocs",
     """
-    SELECT key, 'missed' AS status FROM
-      (SELECT o_orderkey AS key FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')
+    WITH found AS (SELECT CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE -l_orderkey END AS key FROM lineitem)
+    SELECT key, 'missed' AS status FROM (SELECT o_orderkey AS key FROM orders EXCEPT SELECT key FROM found)
     UNION ALL
-    SELECT key, 'unexpected' FROM
-      (SELECT l_orderkey AS key FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT o_orderkey FROM orders)
+    SELECT key, 'unexpected' FROM (SELECT key FROM found EXCEPT SELECT o_orderkey FROM orders)
     """,
 )
 def missed_iocs(spark, folder):
     expected = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"))
-    found = table(spark, folder, "lineitem").where("l_linestatus = 'O'")
-    return metrics.missed_iocs(expected, found.select(F.col("l_orderkey").alias("key")))
+    key = F.when(F.col("l_linestatus") == "O", F.col("l_orderkey")).otherwise(-F.col("l_orderkey"))
+    return metrics.missed_iocs(expected, table(spark, folder, "lineitem").select(key.alias("key")))
+
+
+@query(
+    "ag07_metrics_by_either_side",
+    """
+    WITH f AS (SELECT doc_id, lang, true AS hit FROM documents WHERE contains(text, '!!')),
+    t AS (SELECT doc_id, lang, quality = 0 AS due FROM labels JOIN documents USING (doc_id)),
+    m AS (SELECT coalesce(f.lang, t.lang) AS lang, coalesce(hit, false) AS hit, coalesce(due, false) AS due
+          FROM f FULL JOIN t USING (doc_id)),
+    n AS (SELECT lang, count(*) FILTER (WHERE hit AND due) AS tp, count(*) FILTER (WHERE NOT hit AND due) AS fn,
+                 count(*) FILTER (WHERE hit AND NOT due) AS fp, count(*) FILTER (WHERE NOT hit AND NOT due) AS tn
+          FROM m GROUP BY lang)
+    SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall,
+           CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision FROM n
+    """,
+)
+def metrics_by_either_side(spark, folder):
+    """Findings and truth each lack pairs of the other, and both know the group."""
+    docs = table(spark, folder, "documents")
+    findings = docs.where(F.contains("text", F.lit("!!"))).select("doc_id", "lang", F.lit(True).alias("matched"))
+    truth = table(spark, folder, "labels").join(docs, "doc_id").select("doc_id", "lang", (F.col("quality") == 0).alias("expected"))
+    return metrics.detection_metrics(findings, truth, ["doc_id"], ["lang"])
 
 
 # --- catalogs -----------------------------------------------------------------------
@@ -212,13 +233,22 @@ def normalize_truth(spark, folder):
 # --- acquisition -----------------------------------------------------------------------
 
 
-AG10 = """
+def _percentile(p: float) -> str:
+    """A percentile of a sorted list, interpolated as Spark does it."""
+    at = f"((len(v) - 1) * {p}::DOUBLE)"
+    low, high = (f"v[{f}({at})::INT + 1]" for f in ("floor", "ceil"))
+    return f"CASE WHEN {low} = {high} THEN {low}::DOUBLE ELSE (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high} END"
+
+
+AG10 = f"""
     WITH i AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
-                      CAST(l_quantity AS BIGINT) AS small FROM lineitem)
-    SELECT l_returnflag AS distro_id, count(*) AS n_images, sum(cents) / count(*) AS mean_seconds,
-           CAST(sum(small) AS DOUBLE) / CAST(sum(cents) AS DOUBLE) AS ratio,
-           round(quantile_cont(cents, 0.5), 3) AS p50_seconds, round(quantile_cont(cents, 0.95), 3) AS p95_seconds
-    FROM i GROUP BY l_returnflag
+                      CAST(l_quantity AS BIGINT) AS small FROM lineitem),
+    g AS (SELECT l_returnflag, list_sort(list(cents)) AS v, sum(cents) AS cents, sum(small) AS small, count(*) AS n
+          FROM i GROUP BY l_returnflag)
+    SELECT l_returnflag AS distro_id, n AS n_images, cents / n AS mean_seconds,
+           CAST(small AS DOUBLE) / CAST(cents AS DOUBLE) AS ratio,
+           {_percentile(0.5)} AS p50_seconds, {_percentile(0.95)} AS p95_seconds
+    FROM g
     """
 
 
@@ -229,9 +259,7 @@ def _acquisitions(spark, folder, **buckets):
         F.col("l_quantity").cast("bigint").alias("ewf_size_bytes"),
         _cents("l_extendedprice").alias("virtual_size_bytes"),
     )
-    return metrics.acquisition_stats(images, **buckets).withColumns(
-        {c: F.round(c, 3) for c in ("p50_seconds", "p95_seconds")}
-    )
+    return metrics.acquisition_stats(images, **buckets)
 
 
 @query("ag10_acquisition_stats", AG10)

@@ -59,7 +59,8 @@ def _ioc(id_, kind, **attributes):
 
 
 def _truth_documents(spark, folder):
-    """A ground-truth document per benchmark item; short texts had no result."""
+    """A ground-truth document per benchmark item; short texts had no result, and the
+    shortest were cleanup runs."""
     item = F.col("item_id").cast("string")
     name = lambda kind: F.concat(F.lit(f"{kind}-"), item)
     iocs = F.array(
@@ -72,13 +73,14 @@ def _truth_documents(spark, folder):
         F.concat(F.lit("scenario-"), item).alias("scenario_id"),
         iocs.alias("iocs"),
         F.when(F.length("text") >= 150, F.struct(name("test").alias("name"))).alias("result"),
+        (F.length("text") < 120).alias("cleanup"),
     )
 
 
 @query(
     "src02_ground_truth",
     """
-    WITH kept AS (SELECT * FROM benchmark WHERE length(text) >= 150)
+    WITH kept AS (SELECT * FROM benchmark)
     SELECT 'scenario-' || item_id AS scenario_id, 0 AS ordinal, 'text-' || item_id AS ioc_id,
            CAST(NULL AS VARCHAR) AS path, text AS content_contains,
            CAST(NULL AS BIGINT) AS size_bytes, CAST(NULL AS BOOLEAN) AS "exists" FROM kept
@@ -99,17 +101,43 @@ def ground_truth(spark, folder):
     )
 
 
+@query(
+    "src02_quarantine",
+    """
+    SELECT 'scenario-' || item_id AS scenario_id, item_id % 3 = 0 AS broken,
+           CASE WHEN item_id % 3 <> 0 THEN 3 END AS n_iocs FROM benchmark
+    """,
+)
+def ground_truth_quarantine(spark, folder):
+    """Documents of which every third is cut off."""
+    path = work_path(spark, "ground-truth-broken")
+    docs = _truth_documents(spark, folder).select("scenario_id", "iocs")
+    text = F.to_json(F.struct("*"))
+    cut = F.substring_index("scenario_id", "-", -1).cast("bigint") % 3 == 0
+    docs.select(F.when(cut, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text).alias("value")).write.text(path)
+    good = sources.read_ground_truth(spark, path, multi_line=False, mode="quarantine")
+    bad = sources.read_quarantine(spark, path, schemas.GROUND_TRUTH, multi_line=False)
+    name = F.regexp_extract("text", '"scenario_id":"([^"]*)"', 1)
+    return good.select("scenario_id", F.lit(False).alias("broken"), F.size("iocs").alias("n_iocs")).union(
+        bad.select(name, F.lit(True), F.lit(None).cast("int"))
+    )
+
+
 @query(
     "snk03_ground_truth",
     """
     SELECT 'run-' || item_id AS run_id, 'scenario-' || item_id AS scenario_id,
-           'test-' || item_id AS result_name
-    FROM benchmark WHERE length(text) >= 150
+           CASE WHEN length(text) >= 150 THEN 'test-' || item_id END AS result_name
+    FROM benchmark WHERE length(text) >= 120
     """,
 )
 def ground_truth_sink(spark, folder):
+    """Written in two parts to one path: the second leaves the first as it is."""
     path = work_path(spark, "ground-truth-runs")
-    sources.write_ground_truth(_truth_documents(spark, folder), path)
+    docs = _truth_documents(spark, folder)
+    odd = F.pmod(F.hash("run_id"), F.lit(2)) == 1
+    for part in (docs.where(odd), docs.where(~odd)):
+        sources.write_ground_truth(part, path, cleanup="cleanup")
     return spark.read.schema(
         "run_id STRING, scenario_id STRING, result STRUCT<name: STRING>"
     ).json(path).select("run_id", "scenario_id", F.col("result.name").alias("result_name"))
@@ -127,7 +155,8 @@ def _scenario_documents(spark, folder):
         F.array(*map(F.lit, levels)).alias("evasion_levels"),
         iocs.alias("expected_iocs"),
     )
-    ioc = _ioc(name("ioc"), "file", path=F.col("p_name"), size_bytes=F.col("p_size"))
+    path = F.concat(F.lit("/{{folder}}/{{name}}/"), F.col("p_brand"))
+    ioc = _ioc(name("ioc"), "file", path=path, size_bytes=F.col("p_size"))
     none = F.filter(F.array(ioc), lambda _: F.lit(False))
     return table(spark, folder, "part").select(
         name("scenario").alias("id"),
@@ -176,7 +205,7 @@ def scenario_steps(spark, folder):
     "src03_scenario_iocs",
     """
     SELECT 'scenario-' || p_partkey AS scenario_id, 'ioc-' || p_partkey AS ioc_id, 'file' AS type,
-           p_name AS path, CAST(p_size AS BIGINT) AS size_bytes FROM part
+           '/{{folder}}/' || p_name || '/' || p_brand AS path, CAST(p_size AS BIGINT) AS size_bytes FROM part
     """,
 )
 def scenario_iocs(spark, folder):
@@ -308,18 +337,18 @@ def _manifests(spark, folder):
     """A manifest per order; the memory image is taken a minute before the disk."""
     key = F.col("o_orderkey").cast("string")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    no_text, no_long = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    no_long = F.lit(None).cast("bigint")
     taken = (F.col("o_custkey") * 60).cast("double")
 
     def image(kind, tool, at, size, segments, virtual, total):
         return F.struct(
             F.concat(F.lit("dumps/"), key, F.lit(f"/{kind}")).alias("path"),
             F.lit(tool).alias("tool"),
-            no_text.alias("sha256"),
+            F.sha2(F.concat(key, F.lit(kind)), 256).alias("sha256"),
             size.alias("size_bytes"),
             at.alias("timestamp"),
             segments.alias("segments"),
-            F.lit(1.5).alias("acquisition_seconds"),
+            (F.col("o_custkey") * 0.5).alias("acquisition_seconds"),
             virtual.alias("virtual_size_bytes"),
             total.alias("ewf_size_bytes"),
         )
@@ -336,8 +365,11 @@ def _manifests(spark, folder):
 
 
 def _read_manifests(spark, folder):
+    """Written in two parts, by a coarse column as runs are many, and read as one."""
     path = work_path(spark, "manifests")
-    sources.write_manifests(_manifests(spark, folder), path)
+    manifests = _manifests(spark, folder).withColumn("part", F.pmod(F.hash("scenario_id"), F.lit(4)))
+    for part in (manifests.where("part < 2"), manifests.where("part >= 2")):
+        sources.write_manifests(part, path, partition_by=("part",))
     return sources.read_manifests(spark, path, multi_line=False)
 
 
@@ -347,10 +379,13 @@ def _read_manifests(spark, folder):
     WITH o AS (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
     SELECT 'run-' || o_orderkey AS run_id, 'memory' AS kind, 'dumps/' || o_orderkey || '/memory' AS path,
            cents AS size_bytes, CAST(o_custkey * 60 AS DOUBLE) AS timestamp,
-           CAST(NULL AS VARCHAR) AS segment_names, CAST(NULL AS BIGINT) AS ewf_size_bytes FROM o
+           CAST(NULL AS VARCHAR) AS segment_names, CAST(NULL AS BIGINT) AS ewf_size_bytes, 'dump' AS tool,
+           sha256(o_orderkey || 'memory') AS sha256, CAST(o_custkey * 0.5 AS DOUBLE) AS acquisition_seconds,
+           CAST(NULL AS BIGINT) AS virtual_size_bytes FROM o
     UNION ALL
     SELECT 'run-' || o_orderkey, 'disk', 'dumps/' || o_orderkey || '/disk', cents,
-           CAST(o_custkey * 60 + 60 AS DOUBLE), o_orderkey || '.E01,' || o_orderkey || '.E02', cents * 2
+           CAST(o_custkey * 60 + 60 AS DOUBLE), o_orderkey || '.E01,' || o_orderkey || '.E02', cents * 2, 'convert',
+           sha256(o_orderkey || 'disk'), CAST(o_custkey * 0.5 AS DOUBLE), cents * 4
     FROM o
     """,
 )
@@ -364,6 +399,10 @@ def manifest_images(spark, folder):
         "timestamp",
         F.when(F.col("segments").isNotNull(), F.array_join("segments", ",")).alias("segment_names"),
         "ewf_size_bytes",
+        "tool",
+        "sha256",
+        "acquisition_seconds",
+        "virtual_size_bytes",
     )
 
 

@@ -9,6 +9,7 @@ from tracewell.sources.documents import (
     read_manifests,
     read_plugin_quarantine,
     read_plugin_rows,
+    read_quarantine,
     read_scenarios,
     scenario_iocs,
     scenario_steps,
@@ -43,6 +44,7 @@ __all__ = [
     "read_manifests",
     "read_plugin_quarantine",
     "read_plugin_rows",
+    "read_quarantine",
     "read_profiles",
     "read_registry",
     "read_scenarios",

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import schemas
-from tracewell.functions import json_value
+from tracewell.functions import is_json, render_template
+from tracewell.functions.text import LONG_STRINGS
 from tracewell.sources.files import list_files
 
 # Attribute names of a file indicator that have a column of their own.
@@ -23,31 +24,48 @@ TOOL_FILE = r"([^/]+)__([^/]+)\.json$"
 # --- tool output -------------------------------------------------------------
 
 
+def _row_lists(payload: Column) -> tuple[Column, Column]:
+    """The rows of a tool's JSON output, and whether they could all be read.
+
+    Rows become variants one by one, so that limits of a parsed value hold for a row
+    and not for the document.
+    """
+    start = F.substring(F.ltrim(F.translate(payload, "\t\r\n", "   ")), 1, 1)
+    top = F.from_json(payload, "array<variant>", LONG_STRINGS)
+    under = F.from_json(payload, "rows array<variant>", LONG_STRINGS)["rows"]
+    given = F.from_json(payload, "rows string", LONG_STRINGS)["rows"]
+    is_list, has_list = start == "[", (start == "{") & F.startswith(given, F.lit("["))
+    rows = F.when(is_list, top).when(start == "{", under)
+    lost = (is_list & top.isNull()) | (has_list & under.isNull())
+    return rows, ~F.coalesce(lost, F.lit(False))
+
+
 def plugin_rows(df: DataFrame, payload: str, mode: str = "fail") -> DataFrame:
     """One record per object row of a tool's JSON output.
 
     The rows are a top-level array or the array under ``rows``; any other
     document has none, and elements that are no objects are dropped, ``pos``
-    counting them still. Invalid JSON stops the job with ``mode='fail'``; with
-    ``'quarantine'`` it yields no rows here and ``plugin_quarantine`` keeps it.
-    ``row`` is the element itself, ``attrs`` its fields as text.
+    counting them still. A document may be of any size. Invalid JSON, and a row
+    that cannot be read (beyond 128 MiB), stops the job with ``mode='fail'``; with
+    ``'quarantine'`` the document yields no rows here and ``plugin_quarantine`` keeps
+    it. ``row`` is the element itself, ``attrs`` its fields as text.
     """
     if mode not in ("fail", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
-    parsed = json_value(F.col(payload))
-    if mode == "fail":
-        parsed = F.coalesce(parsed, F.raise_error(F.lit("tool output is not valid JSON")))
-    rest = [c for c in df.columns if c != payload]
-    doc = F.col("__doc")
-    rows = F.coalesce(
-        F.try_variant_get(doc, "$", "array<variant>"),
-        F.try_variant_get(doc, "$.rows", "array<variant>"),
+    text = F.col(payload)
+    rows, readable = _row_lists(text)
+    valid = F.coalesce(is_json(text), F.lit(False))
+    stop = lambda why: F.raise_error(F.lit(why)) if mode == "fail" else F.lit(None)
+    checked = (
+        F.when(~valid, stop("tool output is not valid JSON").cast("array<variant>"))
+        .when(~readable, stop("a row of tool output cannot be read").cast("array<variant>"))
+        .otherwise(rows)
     )
+    rest = [c for c in df.columns if c != payload]
     fields = F.try_variant_get("row", "$", "map<string,variant>")
     as_text = lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
     return (
-        df.select(*rest, parsed.alias("__doc"))
-        .select(*rest, F.posexplode(rows).alias("pos", "row"))
+        df.select(*rest, F.posexplode(checked).alias("pos", "row"))
         .withColumn("__fields", fields)
         .where(F.col("__fields").isNotNull())
         .withColumn("attrs", F.transform_values("__fields", as_text))
@@ -56,22 +74,27 @@ def plugin_rows(df: DataFrame, payload: str, mode: str = "fail") -> DataFrame:
 
 
 def plugin_quarantine(df: DataFrame, payload: str) -> DataFrame:
-    """The records whose payload is not valid JSON."""
-    return df.where(json_value(F.col(payload)).isNull())
+    """The records whose payload is not valid JSON or has a row that cannot be read."""
+    _, readable = _row_lists(F.col(payload))
+    return df.where(~F.coalesce(is_json(F.col(payload)), F.lit(False)) | ~readable)
 
 
 def _tool_files(spark: SparkSession, folders: str | list[str]) -> DataFrame:
-    """Files ``<run id>__<plugin>.json`` as run_id, plugin and payload."""
+    """Files ``<run id>__<plugin>.json`` below folders as run_id, plugin and payload.
+
+    A JSON file of another name is no tool output and stops the job.
+    """
     folders = [folders] if isinstance(folders, str) else folders
-    full = spark.read.text([f"{f}/*.json" for f in folders], wholetext=True).select(
-        F.url_decode(F.input_file_name()).alias("path"), "value"
-    )
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    full = spark.read.text(folders, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    full = full.select(name.alias("path"), "value")
     # Spark skips empty files; here they are invalid documents.
     empty = list_files(spark, folders).where("size_bytes = 0 AND path LIKE '%.json'")
+    part = lambda i: F.when(F.col("path").rlike(TOOL_FILE), F.regexp_extract("path", TOOL_FILE, i)).otherwise(
+        F.raise_error(F.concat(F.lit("not a name of tool output: "), F.col("path")))
+    )
     return full.union(empty.select("path", F.lit(""))).select(
-        F.regexp_extract("path", TOOL_FILE, 1).alias("run_id"),
-        F.regexp_extract("path", TOOL_FILE, 2).alias("plugin"),
-        F.col("value").alias("payload"),
+        part(1).alias("run_id"), part(2).alias("plugin"), F.col("value").alias("payload")
     )
 
 
@@ -90,16 +113,29 @@ def read_plugin_quarantine(spark: SparkSession, folders: str | list[str]) -> Dat
 # --- indicators ----------------------------------------------------------------
 
 
+def _typed(ioc: Column, name: str, value: Column) -> Column:
+    """An attribute's value; one that cannot be read stops the job.
+
+    Null would ask for nothing, and the indicator would match what it should not.
+    """
+    given = ioc["attributes"][name]
+    message = F.concat(F.lit("indicator "), F.coalesce(ioc["id"], F.lit("?")), F.lit(f": cannot read {name} "), given)
+    return F.when(given.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)
+
+
 def ioc_columns(ioc: Column) -> list[Column]:
     """Columns of one indicator, its free attributes typed."""
     attrs = ioc["attributes"]
+    # Whole numbers in any form JSON has for them.
+    number = attrs["size_bytes"].try_cast("decimal(38,18)")
+    size = F.when(number == F.floor(number), number).try_cast("bigint")
     return [
         ioc["id"].alias("ioc_id"),
         ioc["type"].alias("type"),
         attrs["path"].alias("path"),
         attrs["content_contains"].alias("content_contains"),
-        attrs["exists"].try_cast("boolean").alias("exists"),
-        attrs["size_bytes"].try_cast("bigint").alias("size_bytes"),
+        _typed(ioc, "exists", attrs["exists"].try_cast("boolean")).alias("exists"),
+        _typed(ioc, "size_bytes", size).alias("size_bytes"),
         attrs["plugin"].alias("plugin"),
         F.map_filter(attrs, lambda k, _: ~k.isin(*TYPED_ATTRIBUTES, "plugin")).alias("attrs"),
         ioc["sources"].alias("sources"),
@@ -107,11 +143,45 @@ def ioc_columns(ioc: Column) -> list[Column]:
     ]
 
 
+BROKEN = "_broken"
+
+
+def read_documents(
+    spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool, mode: str
+) -> DataFrame:
+    """JSON documents of a schema, and ``_broken`` with the text of unreadable ones.
+
+    With ``mode='fail'`` an unreadable document stops the job; with ``'quarantine'``
+    it has null columns and its text, which ``quarantined`` picks out.
+    """
+    if mode not in ("fail", "quarantine"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "fail":
+        return spark.read.schema(schema).json(paths, multiLine=multi_line, mode="FAILFAST")
+    text = spark.read.text(paths, wholetext=multi_line)
+    found = F.from_json("value", f"{schema}, {BROKEN} STRING", {"columnNameOfCorruptRecord": BROKEN, **LONG_STRINGS})
+    broken = F.when(~is_json(F.col("value")) | found[BROKEN].isNotNull() | found.isNull(), F.col("value"))
+    return text.where(F.length("value") > 0).select(found.dropFields(BROKEN).alias("doc"), broken.alias(BROKEN)).select("doc.*", BROKEN)
+
+
+def readable(docs: DataFrame) -> DataFrame:
+    """The documents that could be read."""
+    return docs.where(F.col(BROKEN).isNull()).drop(BROKEN) if BROKEN in docs.columns else docs
+
+
+def read_quarantine(
+    spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = True
+) -> DataFrame:
+    """Text of the documents that do not fit the schema: truncated or of wrong types."""
+    docs = read_documents(spark, paths, schema, multi_line, "quarantine")
+    return docs.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("text"))
+
+
 def read_ground_truth(
-    spark: SparkSession, paths: str | list[str], multi_line: bool = True
+    spark: SparkSession, paths: str | list[str], multi_line: bool = True, mode: str = "fail"
 ) -> DataFrame:
     """Ground-truth documents of any shape; a missing ``iocs`` is empty."""
-    docs = spark.read.schema(schemas.GROUND_TRUTH).json(paths, multiLine=multi_line)
+    docs = readable(read_documents(spark, paths, schemas.GROUND_TRUTH, multi_line, mode))
     return docs.withColumn("iocs", F.coalesce("iocs", F.array().cast(f"array<{schemas.RAW_IOC}>")))
 
 
@@ -126,10 +196,10 @@ def ground_truth_iocs(docs: DataFrame) -> DataFrame:
 
 
 def read_scenarios(
-    spark: SparkSession, paths: str | list[str], multi_line: bool = True
+    spark: SparkSession, paths: str | list[str], multi_line: bool = True, mode: str = "fail"
 ) -> tuple[DataFrame, DataFrame]:
     """Steps and expected indicators of scenario documents."""
-    docs = spark.read.schema(schemas.SCENARIO).json(paths, multiLine=multi_line)
+    docs = readable(read_documents(spark, paths, schemas.SCENARIO, multi_line, mode))
     return scenario_steps(docs), scenario_iocs(docs)
 
 
@@ -153,22 +223,34 @@ def scenario_steps(docs: DataFrame) -> DataFrame:
     )
 
 
-def scenario_iocs(docs: DataFrame) -> DataFrame:
-    """One row per indicator the scenario's ground truth declares."""
-    return docs.select(
-        F.col("id").alias("scenario_id"),
+def scenario_iocs(docs: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+    """One row per indicator the scenario's ground truth declares.
+
+    Placeholders in its path, marker and further attributes are filled from the
+    scenario's defaults, overlaid by ``overrides``; unknown ones stay.
+    """
+    given = F.create_map(*[F.lit(x) for pair in (overrides or {}).items() for x in pair]).cast("map<string,string>")
+    defaults = F.coalesce("defaults", F.create_map().cast("map<string,string>"))
+    values = F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(given, k)), given)
+    rows = docs.select(
+        F.col("id").alias("scenario_id"), values.alias("__values"),
         F.posexplode("ground_truth.iocs").alias("ordinal", "ioc"),
-    ).select("scenario_id", "ordinal", *ioc_columns(F.col("ioc")))
+    ).select("scenario_id", "ordinal", *ioc_columns(F.col("ioc")), "__values")
+    fill = lambda text: render_template(text, F.col("__values"), "braces")
+    return rows.withColumns({
+        "path": fill(F.col("path")), "content_contains": fill(F.col("content_contains")),
+        "attrs": F.transform_values("attrs", lambda _, v: fill(v)),
+    }).drop("__values")
 
 
 # --- manifests ---------------------------------------------------------------------
 
 
 def read_manifests(
-    spark: SparkSession, paths: str | list[str], multi_line: bool = True
+    spark: SparkSession, paths: str | list[str], multi_line: bool = True, mode: str = "fail"
 ) -> tuple[DataFrame, DataFrame]:
     """Runs, and their images with one row per run and kind."""
-    docs = spark.read.schema(schemas.MANIFEST).json(paths, multiLine=multi_line)
+    docs = readable(read_documents(spark, paths, schemas.MANIFEST, multi_line, mode))
     runs = docs.select(F.col("scenario_id").alias("run_id"), "created_at")
     kind = lambda name, image: F.struct(F.lit(name).alias("kind"), F.col(image).alias("image"))
     images = (

@@ -57,8 +57,11 @@ def list_files(spark: SparkSession, folders: str | Sequence[str] | DataFrame) ->
 
 
 def list_segments(spark: SparkSession, folders: str | Sequence[str] | DataFrame) -> DataFrame:
-    """Evidence segments ``<prefix>.E??``: image_id, path, size_bytes and mtime."""
-    pattern = r"([^/]+)\.E..$"
+    """Evidence segments ``<prefix>.E??``: image_id, path, size_bytes and mtime.
+
+    ``image_id`` is the whole prefix with its folder, as runs use the same names.
+    """
+    pattern = r"^(.+)\.E..$"
     return (
         list_files(spark, folders)
         .where(F.col("path").rlike(pattern))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 def _write(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
     """Documents as JSON below ``path``.
 
+    With a partition column, only the folders of the documents at hand are
+    replaced: other runs stay.
+
     Rows are rebalanced by their partition column first: a folder gets few
     files, and a run with very many documents is still split over tasks. On
     very many runs a coarser column than the run (a day, a distro) keeps the
@@ -17,6 +20,8 @@ def _write(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("ignoreNullFields", "false")
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_by).json(path)
 
 
@@ -28,9 +33,14 @@ def write_findings(
 
 
 def write_manifests(
-    manifests: DataFrame, path: str, partition_by: tuple[str, ...] = ()
+    manifests: DataFrame, path: str, partition_by: tuple[str, ...] = ("run_id",)
 ) -> None:
-    """Acquisition manifests, as ``read_manifests`` reads them."""
+    """Acquisition manifests, as ``read_manifests`` reads them.
+
+    The run is the manifest's ``scenario_id``; it also names the folder.
+    """
+    if "run_id" in partition_by and "run_id" not in manifests.columns:
+        manifests = manifests.withColumn("run_id", F.col("scenario_id"))
     _write(
         manifests.select("scenario_id", "created_at", "memory_image", "disk_image", *partition_by),
         path,
@@ -43,6 +53,15 @@ def write_ground_truth(
     path: str,
     result: str = "result",
     partition_by: tuple[str, ...] = ("run_id",),
+    cleanup: str | None = None,
 ) -> None:
-    """Ground truth per run; a run without a result leaves no document."""
-    _write(documents.where(F.col(result).isNotNull()), path, partition_by)
+    """Ground truth per run.
+
+    A run whose result could not be read keeps its document, with an empty result;
+    only a cleanup run (``cleanup`` names a boolean column) leaves none.
+    """
+    if cleanup:
+        documents = documents.where(~F.coalesce(F.col(cleanup), F.lit(False))).drop(cleanup)
+    kind = documents.schema[result].dataType.simpleString()
+    empty = F.lit("{}") if kind == "string" else F.from_json(F.lit("{}"), kind)
+    _write(documents.withColumn(result, F.coalesce(F.col(result), empty)), path, partition_by)
