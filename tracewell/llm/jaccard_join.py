@@ -8,19 +8,23 @@ the sizes and the similarity, so some choice of partitions has equal projections
 
 * small bands: k + 2 partitions, one signature for every subset of two of them;
 * other bands: as many partitions as the band's least size, each a subset of its
-  own, of which a set signs the first k + 1 that are not empty, in an order of
-  projections that all sets share. At most k of them differ, so the first one that
-  agrees is signed by both sets. Projections with a shingle that is frequent in a
-  bounded sample come last: any common order is exact, this one keeps passages
-  that many texts share from making large classes.
+  own. In an order of projections that all sets share, at most k of the first ones of
+  a set differ from a similar set, so the first k + 1 that are not empty have one
+  that both sign.
 
 A set with too few partitions that are not empty also signs its first k + 1 single
 shingles; two such sets meet there. So no link is missed.
 
+Passages that many texts share make large classes of texts that are not similar. So
+sets sign somewhat more than k + 1 projections: similar sets then share several
+signatures, and a set with fewer large classes than that meets all its partners in
+small ones. The other sets sign once more, the projections of large classes last.
+
 Texts that share a signature are not paired with one another: each is compared
-with the class's first member, on whole sets. Only where that comparison fails
-and the two are in no common component is a member compared with the rest
-of its class. Links then become components.
+with the class's first member. Only where that comparison fails and the two are in
+no common component is a member compared with the rest of its class. A comparison
+first bounds the intersection from small bitmaps of the sets, which never rules out
+a link, and then intersects whole sets. Links become components.
 
 Defined cases: a null or blank text has no shingles and no link. Fewer words than
 a shingle has make one shingle. Rows without an id are left out. Rows of one id
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +45,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.llm import textops as X
-from tracewell.llm.common import pick, spread, whole, written
+from tracewell.llm.common import pick, shuffle_tasks, spread, whole, written
 from tracewell.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 
-# Documents sampled, and shingles kept, for the order of projections. Both only
-# steer which signatures are tried first; results do not depend on them.
-SAMPLE_DOCUMENTS = 8_000
-FREQUENT_SHINGLES = 100_000
-FREQUENT_IN_SAMPLE = 3
+# Members from which on a class is large. It only steers how links are found.
+LARGE_CLASS = 16
+
+# Members up to which those of a class meet one by one; queries and members of a block
+# of the others.
+WIDE_CLASS = 32
+QUERY_BLOCK = 500
+MEMBER_BLOCK = 2_000
+
+# Members a set is compared with in one task, and ids that may be broadcast to
+# the scan of the texts; more ids shuffle the texts instead.
+GROUP_MEMBERS = 500
+BROADCAST_IDS = 1_000_000
 
 # Bands up to this power of two take subsets of two partitions.
 SMALL_BAND = 3
@@ -97,15 +110,29 @@ def _ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def signatures(
-    sets: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
-) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets, and the set each is of."""
+class Signed(NamedTuple):
+    """Signatures: the set each is of, the list it stands in (band and kind), how many
+    of a list a similar set can lack, and how many signatures such two share at least."""
+
+    sig: np.ndarray
+    of: np.ndarray
+    list_: np.ndarray
+    lacks: np.ndarray
+    shares: np.ndarray
+
+
+# Kinds of lists: subsets of two partitions, partitions, single shingles.
+SUBSETS, PARTITIONS, SINGLES = 0, 1, 2
+WHOLE_LIST = 1 << 20
+
+
+def signatures(sets: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, all_: bool = False) -> Signed:
+    """Signatures of the sets; with ``all_`` of whole lists, else of their beginnings."""
     firsts = np.cumsum(sizes) - sizes
     some = np.flatnonzero(sizes)
-    home = np.frexp(sizes[some].astype(float))[1] - 1
-    least = -(-sizes[some] * percent // 100)
-    below = np.frexp(least.astype(float))[1] - 1
+    log2 = lambda x: np.frexp(x.astype(float))[1].astype(np.int64) - 1
+    home = log2(sizes[some])
+    below = log2(-(-sizes[some] * percent // 100))
     two = below < home
     # One entry for each set and band it signs in.
     of = np.concatenate([some, some[two]])
@@ -113,40 +140,49 @@ def signatures(
     larger = np.concatenate([np.zeros(len(some), bool), np.ones(int(two.sum()), bool)])
     n = sizes[of]
     k = np.where(larger, most_different(n, percent, True), most_different(n, percent, False))
-    out_sig, out_of = [], []
+    parts: list[Signed] = []
+
+    def put(entry: np.ndarray, sig: np.ndarray, kind: int) -> None:
+        """A list of each entry: its beginning, in the order of the signatures."""
+        lengths = np.bincount(entry, minlength=len(of))
+        more = (1 << band) // 8 + 1
+        wanted = lengths if kind == SUBSETS or all_ else np.minimum(lengths, k + more)
+        lacks = np.full(len(of), WHOLE_LIST) if kind == SUBSETS else k
+        shares = np.ones(len(of), np.int64) if kind == SUBSETS else wanted - k
+        order = np.lexsort((sig, entry))
+        chosen = order[_ranges(lengths) < np.repeat(wanted, lengths)]
+        e = entry[chosen]
+        parts.append(Signed(sig[chosen], of[e], 4 * band[e] + kind, lacks[e], np.maximum(shares[e], 1)))
+
     for small in (True, False):
-        pick_ = np.flatnonzero((band <= SMALL_BAND) == small)
-        if not len(pick_):
+        mine = np.flatnonzero((band <= SMALL_BAND) == small)
+        if not len(mine):
             continue
-        e_of, e_band, e_n, e_k = of[pick_], band[pick_], n[pick_], k[pick_]
-        e = np.repeat(np.arange(len(pick_)), e_n)
-        value = sets[np.repeat(firsts[e_of], e_n) + _ranges(e_n)]
-        b = e_band[e]
-        hot = np.zeros(len(value), bool)
-        if len(frequent):
-            hot = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] == value
+        e = np.repeat(mine, n[mine])
+        value = sets[np.repeat(firsts[of[mine]], n[mine]) + _ranges(n[mine])]
+        b = band[e]
+        full = np.zeros(len(of), np.int64)
         if small:
-            full = np.zeros(len(pick_), np.int64)
-            for j in np.unique(e_band):
+            entries, sigs = [], []
+            for j in np.unique(band[mine]):
                 # The largest k in the band, from the largest set on either side.
                 top = (2 << int(j)) - 1
                 most = max(int(most_different(np.array(top), percent, False)), int(most_different(np.array(top * 100 // percent), percent, True)))
-                parts = most + 2
-                rows = np.flatnonzero(e_band == j)
-                at = np.searchsorted(rows, e[b == j])
+                count = most + 2
+                rows = mine[band[mine] == j]
                 v = value[b == j]
-                cell = at * parts + (X.mix(v) % X._U(parts)).astype(np.int64)
-                sums = np.zeros(len(rows) * parts, np.uint64)
+                cell = np.searchsorted(rows, e[b == j]) * count + (X.mix(v) % X._U(count)).astype(np.int64)
+                sums = np.zeros(len(rows) * count, np.uint64)
                 np.add.at(sums, cell, X.mix(v + X._U(3)))
-                filled = np.bincount(cell, minlength=len(sums)).reshape(-1, parts) > 0
-                sums = sums.reshape(-1, parts)
+                filled = np.bincount(cell, minlength=len(sums)).reshape(-1, count) > 0
+                sums = sums.reshape(-1, count)
                 full[rows] = filled.sum(axis=1)
-                for subset in combinations(range(parts), 2):
+                for subset in combinations(range(count), 2):
                     tag = X.mix(np.array([(int(j) << 32) + subset[0] * 4096 + subset[1] + 1], np.uint64))[0]
-                    sig = X.mix(sums[:, subset[0]] * X._ODD + sums[:, subset[1]] + tag)
                     has = filled[:, subset[0]] | filled[:, subset[1]]
-                    out_sig.append(sig[has])
-                    out_of.append(e_of[rows[has]])
+                    entries.append(rows[has])
+                    sigs.append(X.mix(sums[:, subset[0]] * X._ODD + sums[:, subset[1]] + tag)[has])
+            put(np.concatenate(entries), np.concatenate(sigs), SUBSETS)
         else:
             # Sets are sorted, so the top bits cut them into runs.
             part = value >> (X._U(64) - b.astype(np.uint64))
@@ -154,31 +190,16 @@ def signatures(
             new[1:] = (part[1:] != part[:-1]) | (e[1:] != e[:-1])
             run = np.flatnonzero(new)
             sums = np.add.reduceat(X.mix(value + X._U(3)), run)
-            r_e = e[run]
-            sig = X.mix(sums + X.mix(part[run] * X._U(64) + b[run].astype(np.uint64) + X._U(5)))
-            r_hot = np.logical_or.reduceat(hot, run)
-            full = np.bincount(r_e, minlength=len(pick_))
-            chosen = _first(r_e, r_hot, sig, e_k + 1)
-            out_sig.append(sig[chosen])
-            out_of.append(e_of[r_e[chosen]])
+            full = np.bincount(e[run], minlength=len(of))
+            put(e[run], X.mix(sums + X.mix(part[run] * X._U(64) + b[run].astype(np.uint64) + X._U(5))), PARTITIONS)
         # Sets with too few partitions also sign single shingles.
-        unlucky = (full <= e_k)[e]
+        unlucky = (full <= k)[e]
         if unlucky.any():
-            ue, uv = e[unlucky], value[unlucky]
-            sig = X.mix(X.mix(uv + X._U(11)) + b[unlucky].astype(np.uint64))
-            chosen = _first(ue, hot[unlucky], sig, e_k + 1)
-            out_sig.append(sig[chosen])
-            out_of.append(e_of[ue[chosen]])
-    if not out_sig:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_of)
-
-
-def _first(group: np.ndarray, late: np.ndarray, sig: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Indices of the first ``wanted[group]`` signatures of each group."""
-    order = np.lexsort(((sig >> X._U(1)) | (late.astype(np.uint64) << X._U(63)), group))
-    place = _ranges(np.bincount(group, minlength=len(wanted)))
-    return order[place < wanted[group[order]]]
+            put(e[unlucky], X.mix(X.mix(value[unlucky] + X._U(11)) + b[unlucky].astype(np.uint64)), SINGLES)
+    if not parts:
+        none = np.empty(0, np.int64)
+        return Signed(none.view(np.uint64), none, none, none, none)
+    return Signed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -199,105 +220,276 @@ def _set_hashes(sets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _bitmaps(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of at least two bits a shingle, a power of two long."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) + 1, 3)
+    ends = np.concatenate([[0], np.cumsum(1 << bits)])
+    place = X.mix(sets + X._U(7)) >> np.repeat((64 - bits).astype(np.uint64), sizes)
+    flags = np.zeros(ends[-1], bool)
+    flags[np.repeat(ends[:-1], sizes) + place.astype(np.int64)] = True
+    packed = np.packbits(flags).tobytes()
+    return [packed[i // 8 : j // 8] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _folded(bits: bytes, size: int) -> bytes:
+    """A bitmap of fewer bits, of the same set."""
+    while len(bits) > size:
+        bits = np.packbits(np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(-1, 2).any(axis=1)).tobytes()
+    return bits
+
+
+def most_in_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """An upper bound of the intersection: a bit both have stands for one common
+    shingle, and for one more only if both have put several shingles there."""
+    size = min(len(a), len(b))
+    x, y = (int.from_bytes(_folded(v, size), "big") for v in (a, b))
+    return (x & y).bit_count() + min(n_a - x.bit_count(), n_b - y.bit_count())
+
+
 def _info(batches, words):
     for docs, sets, sizes in _blocks(batches, words):
         h1, h2 = _set_hashes(sets, sizes)
-        yield pa.record_batch([pa.array(docs), pa.array(sizes), pa.array(X.as_long(h1)), pa.array(X.as_long(h2))], names=["doc", "n", "h1", "h2"])
+        columns = [pa.array(docs), pa.array(sizes), pa.array(X.as_long(h1)), pa.array(X.as_long(h2)), pa.array(_bitmaps(sets, sizes), pa.binary())]
+        yield pa.record_batch(columns, names=["doc", "n", "h1", "h2", "bits"])
 
 
-def _shingles(batches, words):
-    for _, sets, _ in _blocks(batches, words):
-        yield pa.record_batch([pa.array(X.as_long(sets))], names=["shingle"])
+def _maybe(batches, percent):
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")), strict=True)
+        enough = [(100 + percent) * most_in_common(a, n, b, m) >= percent * (n + m) for a, n, b, m in rows]
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(enough, pa.bool_())], names=["a", "b", "maybe"])
 
 
-def _signed(batches, words, percent, frequent):
+def _signed(batches, words, percent):
     for docs, sets, sizes in _blocks(batches, words):
         h1, h2 = _set_hashes(sets, sizes)
         # Copies within the block sign once; all copies are linked by their hashes.
         _, once = np.unique(h1 ^ (h2 << X._U(1)), return_index=True)
         alone = np.zeros(len(sizes), bool)
         alone[once] = True
-        keep = np.repeat(alone, sizes)
-        sig, of = signatures(sets[keep], np.where(alone, sizes, 0), frequent.value, percent)
-        yield pa.record_batch([pa.array(X.as_long(sig)), pa.array(docs[of]), pa.array(sizes[of].astype(np.int32))], names=["sig", "doc", "n"])
+        made = signatures(sets[np.repeat(alone, sizes)], np.where(alone, sizes, 0), percent)
+        # A list and how much of it is shared, in one number: rows are many.
+        entry = (made.list_ << 32) | made.shares
+        yield pa.record_batch([pa.array(X.as_long(made.sig)), pa.array(docs[made.of]), pa.array(entry)], names=["sig", "doc", "entry"])
 
 
-def _sets(batches, words):
-    for docs, sets, sizes in _blocks(batches, words):
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        yield pa.record_batch([pa.array(docs), pa.ListArray.from_arrays(pa.array(ends), pa.array(X.as_long(sets)))], names=["doc", "shingles"])
+def _signed_again(batches, words, percent):
+    """All signatures of the lists that are wanted of each text."""
+    for batch in batches:
+        data, offsets = X.packed(batch.column("text"))
+        docs, lists = X.ids_of(batch.column("doc")), batch.column("lists").to_pylist()
+        for first, last in X.runs_of_texts(offsets, X.BLOCK_BYTES // 2):
+            sets, sizes = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], words)
+            made = signatures(sets, sizes, percent, all_=True)
+            pairs = np.array([i << 16 | x for i, wanted in enumerate(lists[first:last]) for x in wanted], np.int64)
+            keep = np.isin(made.of << 16 | made.list_, pairs)
+            columns = [X.as_long(made.sig[keep]), docs[first:last][made.of[keep]], made.list_[keep].astype(np.int32), made.lacks[keep].astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "doc", "list", "lacks"])
+
+
+def _folded_rows(rows: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many bits, one a row."""
+    bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, 2).any(axis=2)
+    return np.packbits(bits, axis=1)
+
+
+def _block(table: pa.Table, percent: int) -> pa.Table:
+    """Queries against members of one block: the pairs their bitmaps do not rule out."""
+    is_query = np.asarray(table.column("is_query").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    column = lambda c: np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False), np.int64)
+    doc, n, label = column("doc"), column("n"), column("label")
+    raw = table.column("bits").to_pylist()
+    sizes = np.array([len(x) for x in raw])
+    out_a, out_b = [], []
+    # Bitmaps of one length make a matrix; the next longer ones are folded once.
+    by_size = {}
+    for size in np.unique(sizes[~is_query]):
+        at = np.flatnonzero(~is_query & (sizes == size))
+        by_size[int(size)] = at, np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), -1)
+    folded = {size // 2: (at, _folded_rows(rows)) for size, (at, rows) in by_size.items() if size > 1}
+    for q in np.flatnonzero(is_query):
+        own = len(raw[q])
+        half = _folded(raw[q], own // 2) if own > 1 else raw[q]
+        for bits, group in ((raw[q], by_size.get(own)), (raw[q], folded.get(own)), (half, by_size.get(own // 2))):
+            if group is None:
+                continue
+            at, rows = group
+            mine = np.frombuffer(bits, np.uint8)
+            counts = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+            both = np.bitwise_count(rows & mine).sum(axis=1, dtype=np.int64)
+            most = both + np.minimum(n[at] - counts, n[q] - int(np.bitwise_count(mine).sum()))
+            ok = ((100 + percent) * most >= percent * (n[at] + n[q])) & (label[at] != label[q])
+            ok &= 100 * np.minimum(n[at], n[q]) >= percent * np.maximum(n[at], n[q])
+            out_a.append(np.maximum(doc[at[ok]], doc[q]))
+            out_b.append(np.minimum(doc[at[ok]], doc[q]))
+    none = np.empty(0, np.int64)
+    return pa.table([pa.array(np.concatenate([none, *out_a])), pa.array(np.concatenate([none, *out_b]))], names=["a", "b"])
+
+
+def _in_blocks(wide: DataFrame, lone: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Lone members of wide classes against all members of classes that hang together.
+
+    The lone ones are queries; they meet the others in blocks of bounded size, and
+    only pairs that their bitmaps do not rule out become rows.
+    """
+    family = written(components(wide.select("doc", "hub")), "families").toDF("doc", "family")
+    docs = wide.select("doc", "label").distinct().join(family, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
+    asked = docs.join(lone.select("doc").distinct().withColumn("is_query", F.lit(True)), "doc", "left")
+    known = written(asked.withColumn("is_query", F.coalesce("is_query", F.lit(False))).join(info.select("doc", "n", "bits"), "doc"), "wide")
+    sizes = known.groupBy("family").agg(
+        F.ceil(F.count_if("is_query") / QUERY_BLOCK).cast("int").alias("q_blocks"), F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("m_blocks")
+    ).where("q_blocks > 0")
+    placed = known.join(sizes, "family")
+    at = lambda blocks: F.pmod(F.xxhash64("doc"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = ("family", "doc", "label", "n", "bits")
+    queries = placed.where("is_query").select(*columns, F.lit(True).alias("is_query"), at("q_blocks").alias("q"), every("m_blocks").alias("m"))
+    members = placed.select(*columns, F.lit(False).alias("is_query"), every("q_blocks").alias("q"), at("m_blocks").alias("m"))
+    pairs = queries.unionByName(members).groupBy("family", "q", "m").applyInArrow(lambda table: _block(table, percent), "a long, b long")
+    return pairs.distinct()
 
 
-def frequent_shingles(texts: DataFrame, words: int, rows: int) -> np.ndarray:
-    """Shingles found in several of a bounded sample of texts, sorted; bounded too."""
-    every = max(1, rows // SAMPLE_DOCUMENTS)
-    sample = texts.where(F.pmod(F.xxhash64("doc", F.lit(4)), F.lit(every)) == 0)
-    counts = sample.mapInArrow(lambda it: _shingles(it, words), "shingle long").groupBy("shingle").count()
-    top = counts.where(F.col("count") >= FREQUENT_IN_SAMPLE).orderBy(F.desc("count"), "shingle").limit(FREQUENT_SHINGLES)
-    values = np.array([r[0] for r in top.select("shingle").collect()], np.int64).view(np.uint64)
-    return np.sort(values)
+def _sets(batches, words):
+    """Rows of doc, text and the groups it is wanted in, with the set for the text."""
+    for batch in batches:
+        data, offsets = X.packed(batch.column("text"))
+        for first, last in X.runs_of_texts(offsets):
+            sets, sizes = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], words)
+            ends = np.cumsum(sizes)
+            raw = [sets[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            part = batch.slice(first, last - first)
+            yield pa.record_batch([part.column("doc"), pa.array(raw, pa.binary()), part.column("groups")], names=["doc", "shingles", "groups"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with whether their whole sets are similar enough."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * union).alias("ok"))
+def _compared(batches, percent):
+    """Rows sorted by group, the group's centre first: is each member similar to it?"""
+    centre, of = None, None
+    for batch in batches:
+        out = []
+        for b, salt, is_centre, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "centre", "doc", "shingles")), strict=True):
+            shingles = np.frombuffer(raw, np.uint64)
+            if is_centre:
+                # An id whose rows differ in text has several sets.
+                centre = [shingles] if of != (b, salt) else [*centre, shingles]
+                of = b, salt
+            elif of == (b, salt):
+                for other in centre:
+                    both = len(np.intersect1d(shingles, other, assume_unique=True))
+                    out.append((doc, b, 100 * both >= percent * (len(shingles) + len(other) - both)))
+        if out:
+            x, y, ok = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+
+def _possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps do not rule out."""
+    of = lambda c: info.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
+    rows = rows.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return rows.mapInArrow(lambda it: _maybe(it, percent), "a long, b long, maybe boolean").where("maybe").select("a", "b").distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Every set goes to the groups it is compared in: b is the centre of a group, and
+    a centre with many members is repeated for every few hundred of them.
+    """
+    spark = texts.sparkSession
+    centres = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("salts"))
+    salted = pairs.join(centres, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    group = lambda centre: F.struct("b", "salt", F.lit(centre).alias("centre"))
+    places = salted.select(F.col("a").alias("doc"), group(False).alias("g")).union(
+        salted.select("b", "salt").distinct().select(F.col("b").alias("doc"), group(True).alias("g"))
+    )
+    wanted = written(places.groupBy("doc").agg(F.collect_list("g").alias("groups")), "wanted")
+    sets = _named(texts, wanted).select("doc", "text", "groups")
+    kind = "groups array<struct<b: long, salt: int, centre: boolean>>"
+    rows = sets.mapInArrow(lambda it: _sets(it, words), f"doc long, shingles binary, {kind}").select("doc", "shingles", F.explode("groups").alias("g"))
+    rows = rows.select("g.b", "g.salt", "g.centre", "doc", "shingles")
+    dealt = rows.repartition(shuffle_tasks(spark), "b", "salt").sortWithinPartitions("b", "salt", F.desc("centre"))
+    found = dealt.mapInArrow(lambda it: _compared(it, percent), "a long, b long, ok boolean")
+    return found.where("ok").select("a", "b").distinct()
+
+
+def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids in a written table, broadcast if they are few."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc")
+
+
+def _classes(texts: DataFrame, words: int, percent: int, large: int) -> DataFrame:
+    """(class, doc, hub) of all classes of several members, written; hub is the least.
+
+    Signatures with the same members are one class. Large classes are left to the
+    sets that could have a partner in no other class; those sign once more.
+    """
+    signed = texts.mapInArrow(lambda it: _signed(it, words, percent), "sig long, doc long, entry long")
+    members = Window.partitionBy("sig")
+    kept = (F.count("*").over(members).alias("members"), F.min("doc").over(members).alias("hub"), F.bit_xor(F.xxhash64("doc")).over(members).alias("content"))
+    # Were two classes taken for one, only more members would be compared.
+    as_class = lambda df: df.select(F.xxhash64("content", "members", "hub").alias("class"), "doc", "hub")
+    found = written(signed.select("*", *kept).where("members > 1"), "classes")
+    small = as_class(found.where(F.col("members") <= large))
+    crowded = found.where(F.col("members") > large)
+    open_lists = crowded.groupBy("doc", "entry").agg(F.count_distinct("sig").alias("n")).where("n >= entry & 4294967295")
+    ids = open_lists.groupBy("doc").agg(F.collect_set(F.shiftright("entry", 32).cast("int")).alias("lists"))
+    again = _named(texts, written(ids, "crowded")).select("doc", "text", "lists")
+    rows = again.mapInArrow(lambda it: _signed_again(it, words, percent), "sig long, doc long, list int, lacks int")
+    marked = rows.join(crowded.select("sig").distinct().withColumn("late", F.lit(True)), "sig", "left")
+    order = Window.partitionBy("doc", "list").orderBy(F.coalesce("late", F.lit(False)), "sig")
+    first = marked.withColumn("place", F.dense_rank().over(order)).where("place <= lacks + 1").select("sig", "doc")
+    anew = as_class(first.select("*", *kept).where("members > 1"))
+    return written(small.union(anew).distinct(), "classes")
 
 
 def similar_documents(
-    df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+    df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, large_class: int = LARGE_CLASS
 ) -> DataFrame:
     """(doc, n_shingles, component) of every id; component is the least id it is
     linked with, over any number of links."""
-    spark = df.sparkSession
     texts = spread(pick(df, doc=id, text=text)).select(F.col("doc").cast("long"), whole("text").alias("text")).where("doc IS NOT NULL")
-    info = written(texts.mapInArrow(lambda it: _info(it, words), "doc long, n long, h1 long, h2 long"), "sets")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, words, info.count()))
+    info = written(texts.mapInArrow(lambda it: _info(it, words), "doc long, n long, h1 long, h2 long, bits binary"), "sets")
 
     some = info.where("n > 0")
     first = some.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", "rep")
-    same = some.join(first, ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    same = some.select("doc", "h1", "h2").join(first, ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
     same = written(same, "same")
-
-    signed = texts.mapInArrow(lambda it: _signed(it, words, percent, frequent), "sig long, doc long, n int")
-    members = Window.partitionBy("sig")
-    classes = signed.select("*", F.min(F.struct("doc", "n")).over(members).alias("hub"), F.count("*").over(members).alias("members"))
-    classes = written(classes.where("members > 1").select("sig", "doc", "n", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "classes")
-
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     known = same.select("a", F.col("b").alias("rep"))
-    stars = classes.where(F.col("doc") != F.col("hub")).where(fits(F.col("n"), F.col("hub_n"))).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+
+    classes = _classes(texts, words, percent, large_class)
+    # Of every class, the members beside its first one.
+    stars = classes.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     stars = written(_between_firsts(stars, known), "stars")
-    wanted = written(stars.select("a").union(stars.select("b")).distinct().toDF("doc"), "wanted")
-    sets = written(texts.join(wanted, "doc", "left_semi").mapInArrow(lambda it: _sets(it, words), "doc long, shingles array<long>"), "shingles")
-    tested = written(_linked(stars, sets, percent).groupBy("a", "b").agg(F.max("ok").alias("ok")), "tested")
-    links = same.union(tested.where("ok").select("a", "b"))
+    found = written(_linked(written(_possible(stars, info, percent), "possible"), texts, words, percent), "linked")
+    links = same.union(found)
     labels = written(components(links), "components")
 
     # Members that failed against the first of their class, and are in another
     # component, meet the rest of it.
     at = lambda c: F.coalesce(F.col(f"{c}_at"), F.col(c))
-    label = lambda df, c: df.join(labels.toDF(c, f"{c}_at"), c, "left")
-    failed = label(label(tested.where("NOT ok").select("a", "b"), "a"), "b").where(at("a") != at("b")).select("a", "b")
-    failed = written(failed, "failed")
+    label = lambda pairs, c: pairs.join(labels.toDF(c, f"{c}_at"), c, "left")
+    apart = lambda pairs: label(label(pairs, "a"), "b").where(at("a") != at("b")).select("a", "b")
+    failed = written(apart(stars.join(found, ["a", "b"], "left_anti")), "failed")
     if not failed.isEmpty():
         firsts = classes.join(known.toDF("doc", "doc_rep"), "doc", "left").join(known.toDF("hub", "hub_rep"), "hub", "left")
-        firsts = firsts.select("sig", F.coalesce("doc_rep", "doc").alias("doc"), F.coalesce("hub_rep", "hub").alias("hub"), "n").distinct()
+        firsts = firsts.select("class", F.coalesce("doc_rep", "doc").alias("doc"), F.coalesce("hub_rep", "hub").alias("hub")).distinct()
+        firsts = written(firsts.join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "firsts")
         either = failed.union(failed.select("b", "a")).toDF("doc", "hub")
-        lone = firsts.join(either, ["doc", "hub"], "left_semi")
-        rest = firsts.select("sig", F.col("doc").alias("other"), F.col("n").alias("other_n"))
-        meet = lone.join(rest, "sig").where("doc <> other").where(fits(F.col("n"), F.col("other_n")))
+        sizes = firsts.groupBy("class").agg(F.count("*").alias("members"))
+        sized = written(firsts.join(sizes, "class"), "sized")
+        lone = sized.join(either, ["doc", "hub"], "left_semi").select("class", "doc", F.col("label").alias("own"), "members")
+        # Members of narrow classes meet one by one, those of wide ones in blocks.
+        rest = sized.where(F.col("members") <= WIDE_CLASS).where("doc <> hub").select("class", F.col("doc").alias("other"), "label")
+        meet = lone.where(F.col("members") <= WIDE_CLASS).join(rest, "class").where("label <> own")
         more = meet.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
-        more = label(label(more, "a"), "b").where(at("a") != at("b")).select("a", "b")
-        more = written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        wider = more.select("a").union(more.select("b")).distinct().toDF("doc").join(wanted, "doc", "left_anti")
-        more_sets = texts.join(written(wider, "wider"), "doc", "left_semi").mapInArrow(lambda it: _sets(it, words), "doc long, shingles array<long>")
-        found = written(_linked(more, sets.union(more_sets), percent).where("ok").select("a", "b"), "found")
-        if not found.isEmpty():
-            labels = components(links.union(found))
+        possible = _possible(more.join(stars, ["a", "b"], "left_anti"), info, percent)
+        wide = sized.where(F.col("members") > WIDE_CLASS)
+        if not wide.isEmpty():
+            possible = possible.union(_in_blocks(wide, lone.where(F.col("members") > WIDE_CLASS), info, percent)).distinct()
+        possible = written(possible.join(stars, ["a", "b"], "left_anti"), "possible")
+        if not possible.isEmpty():
+            late = written(_linked(possible, texts, words, percent), "late")
+            labels = components(links.union(late))
     out = info.groupBy("doc").agg(F.max("n").alias("n_shingles")).join(labels.toDF("doc", "component"), "doc", "left")
     return out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
