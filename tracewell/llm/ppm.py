@@ -46,7 +46,7 @@ SYMBOLS = 257
 DEPTH = X._U(57)
 
 # Bytes of texts in a chunk.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 
 FOLDS = 7
 HELD_OUT = 2
@@ -272,6 +272,30 @@ ANSWERS = "chunk long, kind byte, keys binary, counts binary"
 WORD, CONTEXT = 0, 1
 
 
+def _packed(kind: int, keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys and counts as bytes; of contexts each is named once, not per symbol."""
+    few = counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
+    packed_counts = bytes([few.itemsize]) + few.tobytes()
+    if kind == WORD:
+        return keys.tobytes(), packed_counts
+    contexts = keys >> X._U(9)
+    first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(keys) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(first, len(keys))).astype(np.uint16)
+    symbols = (keys & X._U(511)).astype(np.uint16)
+    return np.uint64(len(first)).tobytes() + contexts[first].tobytes() + sizes.tobytes() + symbols.tobytes(), packed_counts
+
+
+def _unpacked(kind: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(counts, np.uint32 if counts[0] == 4 else np.uint64, offset=1).astype(np.int64)
+    if kind == WORD:
+        return np.frombuffer(keys, np.uint64), found
+    n = int(np.frombuffer(keys, np.uint64, 1)[0])
+    contexts = np.frombuffer(keys, np.uint64, n, 8)
+    sizes = np.frombuffer(keys, np.uint16, n, 8 + 8 * n)
+    symbols = np.frombuffer(keys, np.uint16, offset=8 + 10 * n)
+    return (np.repeat(contexts, sizes) << X._U(9)) | symbols.astype(np.uint64), found
+
+
 def _blocks(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = X.packed(table.column("text"))
     for first, last in X.runs_of_texts(offsets):
@@ -308,7 +332,7 @@ def _grams(table: pa.Table, chunk: int, order: int, buckets: int) -> pa.Table:
         keys, counts, bucket = keys[by], counts[by], bucket[by]
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            rows.append((kind, int(bucket[a]), chunk, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
+            rows.append((kind, int(bucket[a]), chunk, *_packed(kind, keys[a:b], counts[a:b])))
     kinds = [pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "bucket", "chunk", "keys", "counts"])
 
@@ -316,12 +340,11 @@ def _grams(table: pa.Table, chunk: int, order: int, buckets: int) -> pa.Table:
 def _answers(table: pa.Table) -> pa.Table:
     """What a bucket knows of what each chunk has asked for."""
     kind = table.column("kind")[0].as_py()
-    asked = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    given = [np.frombuffer(c, np.uint32).astype(np.int64) for c in table.column("counts").to_pylist()]
-    keys, counts = _summed(zip(asked, given, strict=True))
+    given = [_unpacked(kind, k, c) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    keys, counts = _summed(given)
     keys, counts = keys[counts > 0], counts[counts > 0]
     out_keys, out_counts = [], []
-    for want in asked:
+    for want, _ in given:
         if kind == WORD:
             at = np.searchsorted(keys, want)
             at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == want)] if len(keys) else at[:0]
@@ -330,18 +353,19 @@ def _answers(table: pa.Table) -> pa.Table:
             low = np.searchsorted(keys, context << X._U(9))
             size = np.searchsorted(keys, (context + X._U(1)) << X._U(9)) - low
             at = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out_keys.append(keys[at].tobytes())
-        out_counts.append(counts[at].tobytes())
+        for into, part in zip((out_keys, out_counts), _packed(kind, keys[at], counts[at]), strict=True):
+            into.append(part)
     return pa.table(
-        [table.column("chunk"), pa.array([kind] * len(asked), pa.int8()), pa.array(out_keys, pa.binary()), pa.array(out_counts, pa.binary())],
+        [table.column("chunk"), pa.array([kind] * len(given), pa.int8()), pa.array(out_keys, pa.binary()), pa.array(out_counts, pa.binary())],
         names=["chunk", "kind", "keys", "counts"],
     )
 
 
 def _known(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     rows = table.filter(pa.compute.equal(table.column("kind"), kind)) if table.num_rows else table
-    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
+    parts = [_unpacked(kind, k, c) for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
+    keys = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
+    counts = np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])
     order = np.argsort(keys)
     return keys[order], counts[order]
 
