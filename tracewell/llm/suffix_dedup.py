@@ -47,10 +47,6 @@ CLASS_CONTENTS = 1_000
 SORT_BYTES = 1 << 20
 BLOCK_WINDOWS = 32
 
-# Regions a broadcast may name to the scan of the texts, some 50 bytes each; with
-# more, the texts are shuffled.
-BROADCAST_REGIONS = 300_000
-
 REGIONS = "mh long, c1 long, c2 long, doc long, mark long, start long, n int, m int"
 
 
@@ -144,13 +140,23 @@ class SuffixOrder:
         step = min(8, length)
         for i in range(step):
             value = (value << X._U(8)) | padded[i : i + len(data)]
-        # Ranks of runs of 8, 16, .. bytes; runs over the end count as they stand.
+        # Ranks of runs of 8, 24, 72, .. bytes, three ranks to a number while they fit;
+        # runs over the end count as they stand.
         self.ranks = {step: _dense(value)}
-        while 2 * step <= length:
+        while True:
             r = self.ranks[step]
-            behind = np.concatenate([r[step:], np.zeros(min(step, len(r)), np.uint64)])
-            self.ranks[2 * step] = _dense((r << X._U(32)) | behind)
-            step *= 2
+            parts, bits = (3, 21) if len(r) < 1 << 21 else (2, 32)
+            if parts * step > length:
+                parts, bits = 2, 32
+            if parts * step > length:
+                break
+            value = np.zeros(len(r), np.uint64)
+            for i in range(parts):
+                behind = np.zeros(len(r), np.uint64)
+                behind[: max(len(r) - i * step, 0)] = r[i * step :]
+                value = (value << X._U(bits)) | behind
+            step *= parts
+            self.ranks[step] = _dense(value)
         top = self.ranks[step]
         pair = (top[starts] << X._U(32)) | top[starts + (length - step)]
         self.rank = _dense(pair)
@@ -161,9 +167,10 @@ class SuffixOrder:
         got = np.zeros(len(a), np.int64)
         for step in sorted(self.ranks, reverse=True):
             r, end = self.ranks[step], len(self.ranks[step])
-            room = got + step <= self.length
-            same = room & (r[np.minimum(a + got, end - 1)] == r[np.minimum(b + got, end - 1)])
-            got[same] += step
+            for _ in range(2):
+                room = got + step <= self.length
+                same = room & (r[np.minimum(a + got, end - 1)] == r[np.minimum(b + got, end - 1)])
+                got[same] += step
         # What is left is shorter than the shortest rank: byte by byte.
         going = np.ones(len(a), bool)
         for _ in range(min(self.ranks) - 1):
@@ -210,18 +217,21 @@ def longest_previous_factors(order: np.ndarray, prefixes: np.ndarray, position:
 
 def copies_of(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, docs: np.ndarray, firsts: np.ndarray, length: int):
     """For contents laid end to end: which windows have an earlier copy, which any."""
-    starts = np.repeat(bounds[:-1], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-    suffixes = SuffixOrder(data, starts, length)
-    where = np.repeat(firsts, counts) + starts - np.repeat(bounds[:-1], counts)
-    position = np.empty(len(starts), np.int64)
-    by_place = np.lexsort((where, np.repeat(docs, counts)))
-    position[by_place] = np.arange(len(starts))
-    order = np.lexsort((position, suffixes.rank))
-    prefixes = suffixes.common_prefixes(order)
+    ends = np.cumsum(counts)
+    inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+    suffixes = SuffixOrder(data, np.repeat(bounds[:-1], counts) + inside, length)
+    # Regions are disjoint, so their order is that of all their windows.
+    by_place = np.lexsort((firsts, docs))
+    base = np.empty(len(counts), np.int64)
+    base[by_place] = np.cumsum(counts[by_place]) - counts[by_place]
+    position = np.repeat(base, counts) + inside
+    order = np.argsort((suffixes.rank << X._U(32)) | position.astype(np.uint64))
+    # Only prefixes of the whole length count here, and those are equal ranks.
+    equal = suffixes.rank[order[1:]] == suffixes.rank[order[:-1]]
+    prefixes = np.concatenate([[0], np.where(equal, length, 0)])
     lpf, _ = longest_previous_factors(order, prefixes, position)
-    shared = np.zeros(len(starts), bool)
-    with_next = np.append(prefixes[1:], 0)
-    shared[order] = (prefixes >= length) | (with_next >= length)
+    shared = np.zeros(len(position), bool)
+    shared[order] = (prefixes >= length) | (np.append(prefixes[1:], 0) >= length)
     return lpf >= length, shared
 
 
@@ -376,15 +386,14 @@ def repeated_strings(
     )
     # A group is one text, which has no more regions than bytes.
     lists = written(wanted.groupBy("doc", "mark").agg(F.collect_list("w").alias("wanted")), "wanted")
-    size = lists.agg(F.sum(F.size("wanted")), F.max(F.exists("wanted", lambda w: w["large"]))).first()
-    named = F.broadcast(lists) if (size[0] or 0) <= BROADCAST_REGIONS else lists
+    any_large = lists.agg(F.max(F.exists("wanted", lambda w: w["large"]))).first()[0]
     # Equal rows of one id give a slice twice; what reads the slices skips it.
-    slices = texts.join(named, ["doc", "mark"]).select("doc", "text", "wanted").mapInArrow(lambda it: _slices(it, length), SLICES)
-    if size[1]:
+    slices = texts.join(lists.hint("merge"), ["doc", "mark"]).select("doc", "text", "wanted").mapInArrow(lambda it: _slices(it, length), SLICES)
+    if any_large:
         slices = written(slices, "slices")
     small = slices.where("NOT large").repartition(shuffle_tasks(spark), "mh").sortWithinPartitions("mh", "c1", "c2")
     copies = small.mapInArrow(lambda it: _sorted(it, length), FOUND)
-    if size[1]:
+    if any_large:
         copies = copies.union(_copies_in_large(slices.where("large").dropDuplicates(["c1", "c2"]), length))
     copies = written(copies.where(F.size("shared") > 0), "copies")
     told = classes.join(contents.select("mh", "c1", "c2", "copies", "first"), ["mh", "c1", "c2"]).join(copies, ["c1", "c2"], "left")
