@@ -37,7 +37,15 @@ REMEMBERED = 300_000
 PIECES_AT_ONCE = 500_000
 LONG_TEXT = 4 << 20
 
-BLOCK = 1 << 20
+# Bytes of texts whose pieces are replayed together, and places of a pair from which
+# on they are merged as arrays.
+BLOCK = 3 << 20
+TOGETHER = 64
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    return values[np.diff(values, prepend=-1) != 0]
 
 
 class Merges:
@@ -53,6 +61,8 @@ class Merges:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.pairs[a * self.size + b] = rank
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_keys, self.pair_ranks = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         first = np.full((256, 256), -1, np.int64)
         for a in range(256):
@@ -83,58 +93,107 @@ class Merges:
         solid = lengths > 0
         follows[ends[solid] - 1] = -1
         before[(ends - lengths)[solid]] = -1
-        # The index of the first pairs, all found at once.
-        rank = np.where(follows[:-1] > 0, self.byte_pairs[data[:-1], data[1:]], -1) if n > 1 else np.empty(0, np.int64)
-        order = np.argsort(rank, kind="stable")
-        order = order[np.searchsorted(rank[order], 0) :]
-        found, starts = np.unique(rank[order], return_index=True)
-        index = {int(r): p.tolist() for r, p in zip(found, np.split(order, starts[1:]), strict=True)} if len(found) else {}
-        queue = sorted(index)
-        tok, nxt, prv = self.byte_ids[data].tolist(), follows.tolist(), before.tolist()
+        tok = self.byte_ids[data]
+        # The same memory twice: single places are read as plain numbers, many at once
+        # as arrays.
+        t, nx, pv = memoryview(tok), memoryview(follows), memoryview(before)
+        single: dict[int, list[int]] = {}
+        many: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(ranks: np.ndarray, places: np.ndarray) -> None:
+            """Enters places of pairs that merge (rank 0 and up) into the index."""
+            has = ranks >= 0
+            ranks, places = ranks[has], places[has]
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            edges = np.flatnonzero(np.diff(ranks, prepend=-1, append=-1)).tolist()
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                r, part = int(ranks[i]), places[i:j]
+                if r not in single and r not in many:
+                    heapq.heappush(queue, r)
+                many.setdefault(r, []).append(part)
+
+        if n > 1:
+            put(np.where(follows[:-1] > 0, self.byte_pairs[data[:-1], data[1:]], -1), np.arange(n - 1))
         size, merged = self.size, self.pairs.get
+        starts = np.zeros(n, bool)
+        odd: set[int] = set()  # words in which a pair of lower rank came up
         while queue:
             r = heapq.heappop(queue)
-            places = index.pop(r, None)
-            if places is None:
-                continue
-            places.sort()
-            for done, p in enumerate(places):
-                a, q = tok[p], nxt[p]
-                if a < 0 or q < 0 or merged(a * size + tok[q]) != r:
+            some = single.pop(r, [])
+            places = np.concatenate([*many.pop(r, ()), np.array(some, np.int64)]) if r in many else some
+            if len(places) >= TOGETHER:
+                p = distinct(np.array(places, np.int64))
+                q = follows[p]
+                ok = (tok[p] >= 0) & (q >= 0)
+                p, q = p[ok], q[ok]
+                ok = self.rank_of(tok[p], tok[q]) == r
+                p, q = p[ok], q[ok]
+                starts[p] = True
+                overlap = starts[q].any()
+                starts[p] = False
+                if overlap:
+                    # A token repeats itself: the pairs overlap, the first goes first.
+                    places = p.tolist()
+                else:
+                    after, left = follows[q], before[p]
+                    tok[p], tok[q], follows[p] = r, -1, after
+                    before[after[after >= 0]] = p[after >= 0]
+                    touched = distinct(np.concatenate([p[after >= 0], left[left >= 0]]))
+                    new = self.rank_of(tok[touched], tok[follows[touched]])
+                    low = (new >= 0) & (new < r)
+                    if low.any():
+                        odd.update(np.searchsorted(ends, touched[low], side="right").tolist())
+                    put(new, touched)
+                    continue
+            for p in sorted(places):
+                a, q = t[p], nx[p]
+                if a < 0 or q < 0 or merged(a * size + t[q]) != r:
                     continue
-                after, left = nxt[q], prv[p]
-                tok[p], tok[q], nxt[p] = r, -1, after
-                lower = False
+                after, left = nx[q], pv[p]
+                t[p], t[q], nx[p] = r, -1, after
                 if after >= 0:
-                    prv[after] = p
-                    r2 = merged(r * size + tok[after])
-                    if r2 is not None:
-                        if r2 in index:
-                            index[r2].append(p)
+                    pv[after] = p
+                for place in (p if after >= 0 else -1, left):
+                    if place >= 0 and (r2 := merged(t[place] * size + t[nx[place]])) is not None:
+                        if r2 < r:
+                            odd.add(int(np.searchsorted(ends, place, side="right")))
+                        if r2 in single:
+                            single[r2].append(place)
                         else:
-                            index[r2] = [p]
-                            heapq.heappush(queue, r2)
-                        lower = r2 < r
-                if left >= 0:
-                    r2 = merged(tok[left] * size + r)
-                    if r2 is not None:
-                        if r2 in index:
-                            index[r2].append(left)
-                        else:
-                            index[r2] = [left]
-                            heapq.heappush(queue, r2)
-                        lower = lower or r2 < r
-                if lower:
-                    # A pair of lower rank has come up: it goes before the rest.
-                    index[r] = places[done + 1 :] + index.get(r, [])
-                    heapq.heappush(queue, r)
-                    break
+                            if r2 not in many:
+                                heapq.heappush(queue, r2)
+                            single[r2] = [place]
+        tok = tok.tolist()
         flat = np.array(tok, np.int64)
         alive = flat >= 0
         counts = np.diff(np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])])
         # Ids as the dictionary's own objects: a remembered piece is a small tuple.
         ids = iter([t for t in tok if t >= 0])
-        return [tuple(islice(ids, c)) for c in counts.tolist()]
+        out = [tuple(islice(ids, c)) for c in counts.tolist()]
+        # There the lower pair goes before what else has its rank: one by one.
+        for i in odd:
+            out[i] = self.one_by_one(words[i])
+        return out
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank at which each pair merges, -1 if it does not."""
+        keys = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def one_by_one(self, word: bytes) -> tuple[int, ...]:
+        """A word's tokens, the pair of least rank merged first, then the leftmost."""
+        tokens = [self.ranks[bytes([b])] for b in word]
+        while len(tokens) > 1:
+            ranks = [self.pairs.get(a * self.size + b, self.size) for a, b in zip(tokens, tokens[1:], strict=False)]
+            least = min(ranks)
+            if least == self.size:
+                break
+            i = ranks.index(least)
+            tokens[i : i + 2] = [least]
+        return tuple(tokens)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of ids."""
