@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from tracewell.llm import textops as X
 from tracewell.llm.common import as_row, from_row, row_type, spread
 
 # Pieces whose tokens a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 # Pieces of a very long text that are looked at together.
 PIECES_AT_ONCE = 500_000
@@ -39,7 +40,7 @@ LONG_TEXT = 4 << 20
 
 # Bytes of texts whose pieces are replayed together, and places of a pair from which
 # on they are merged as arrays.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 TOGETHER = 64
 
 
@@ -80,13 +81,13 @@ class Merges:
         """From lines of a token in base64 and its rank."""
         return Merges({base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())})
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The tokens of each word, all words merged together in rank order."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word as 32-bit numbers, all words merged together in rank order."""
         lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         if not n:
-            return [()] * len(words)
+            return [b""] * len(words)
         ends = np.cumsum(lengths)
         follows = np.arange(1, n + 1)
         before = np.arange(-1, n - 1)
@@ -165,16 +166,13 @@ class Merges:
                             if r2 not in many:
                                 heapq.heappush(queue, r2)
                             single[r2] = [place]
-        tok = tok.tolist()
-        flat = np.array(tok, np.int64)
-        alive = flat >= 0
-        counts = np.diff(np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])])
-        # Ids as the dictionary's own objects: a remembered piece is a small tuple.
-        ids = iter([t for t in tok if t >= 0])
-        out = [tuple(islice(ids, c)) for c in counts.tolist()]
+        alive = tok >= 0
+        cuts = 4 * np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])]
+        raw, cuts = tok[alive].astype(np.int32).tobytes(), cuts.tolist()
+        out = [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         # There the lower pair goes before what else has its rank: one by one.
         for i in odd:
-            out[i] = self.one_by_one(words[i])
+            out[i] = np.array(self.one_by_one(words[i]), np.int32).tobytes()
         return out
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,7 +208,7 @@ class Encoder:
     def __init__(self, merges: Merges, pattern: str):
         self.merges = merges
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
@@ -225,13 +223,13 @@ class Encoder:
             self.known[new[i]] = ids
         for p, w in zip(new, whole, strict=True):
             if w is not None:
-                self.known[p] = (w,)
+                self.known[p] = w.to_bytes(4, sys.byteorder)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         short = [self.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts]
         self.learn({p for pieces in short if pieces for p in pieces})
         known = self.known
-        out = [None if p is None else np.fromiter(chain.from_iterable([known[x] for x in p]), np.int32) for p in short]
+        out = [None if p is None else np.frombuffer(b"".join([known[x] for x in p]), np.int32) for p in short]
         for i, ids in enumerate(out):
             if ids is None:
                 out[i] = self.long(texts[i])
@@ -241,7 +239,7 @@ class Encoder:
         found, parts = self.pattern.finditer(text), []
         while pieces := [m.group() for m in islice(found, PIECES_AT_ONCE)]:
             self.learn(set(pieces))
-            parts.append(np.fromiter(chain.from_iterable([self.known[x] for x in pieces]), np.int32))
+            parts.append(np.frombuffer(b"".join([self.known[x] for x in pieces]), np.int32))
         return np.concatenate(parts)
 
 
