@@ -90,6 +90,16 @@ def test_deadlines(spark, arrivals, splits):
     )
 
 
+def test_ids_may_be_text(spark, arrivals):
+    batches = [[(1, "a", 0, "start"), (2, "a", 10, "ready")], [(3, "a", 300, "start")], [(4, "a", 2000, "ready"), (5, "a", 2000, "start")]]
+    stream, _ = arrivals(batches, SCHEMA)
+    named = stream.withColumn("id", F.concat(F.lit("run-"), F.col("event_id").cast("string")))
+    starts = named.where("kind = 'start'").select(F.col("id").alias("start_id"), "vm", "ts")
+    readies = named.where("kind = 'ready'").select("vm", "ts")
+    got = streaming.run_available(streaming.stream_deadlines(starts, readies, 20 * 60, "5 minutes"), "text-ids")
+    assert rows(got, "start_id", "timed_out") == [("run-1", False), ("run-3", True)]
+
+
 def test_dedup(spark, arrivals):
     first = [(i, "a", i, "x") for i in range(10)]
     stream, _ = arrivals([first, first, first[5:]], SCHEMA)

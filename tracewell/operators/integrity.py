@@ -126,6 +126,11 @@ def validate_registry(
 # --- segments ------------------------------------------------------------------
 
 
+def validate_images(images: DataFrame) -> DataFrame:
+    """Adds ``valid`` to memory images (size_bytes): the file is there and not empty."""
+    return images.withColumn("valid", F.coalesce(F.col("size_bytes") > 0, F.lit(False)))
+
+
 def distinct_segments(segments: DataFrame) -> DataFrame:
     """One row per image and path, with the largest size that was reported."""
     return segments.groupBy("image_id", "path").agg(F.max("size_bytes").alias("size_bytes"))
@@ -153,8 +158,8 @@ def segment_totals(segments: DataFrame) -> DataFrame:
 def validate_segments(images: DataFrame, segments: DataFrame) -> DataFrame:
     """Adds n_segments, n_empty and valid: at least one segment, none empty.
 
-    A memory image is one file and counts as its own segment. With a ``path``,
-    a segment that is delivered several times counts once.
+    Memory images are single files, see ``validate_images``. With a ``path``, a segment
+    that is delivered several times counts once.
     """
     if "path" in segments.columns:
         segments = distinct_segments(segments)

@@ -136,6 +136,27 @@ def missed_iocs(expected: DataFrame, found: DataFrame) -> DataFrame:
     return missed.unionByName(found.subtract(expected).withColumn("status", F.lit("unexpected")))
 
 
+def run_outcomes(
+    runs: DataFrame, returncode: str = "returncode", result: str = "result", cleanup: str = "cleanup"
+) -> DataFrame:
+    """Adds ``outcome``: what became of a run, and so whether it has ground truth.
+
+    A cleanup run is ``cleaned`` and leaves no document. Any other run has
+    ``complete`` truth, or ``empty`` truth if its result (as text) is missing, unreadable
+    or an empty object; with a return code other than 0, or none, the latter is a
+    ``failed`` run.
+    """
+    found = F.try_parse_json(result)
+    empty = F.coalesce(F.is_variant_null(found), F.lit(True)) | (F.to_json(found) == "{}")
+    outcome = (
+        F.when(F.coalesce(cleanup, F.lit(False)), "cleaned")
+        .when(~empty, "complete")
+        .when(F.col(returncode) == 0, "empty")
+        .otherwise("failed")
+    )
+    return runs.withColumn("outcome", outcome)
+
+
 # --- catalogs -------------------------------------------------------------------------
 
 

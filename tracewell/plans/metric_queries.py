@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import metrics
+from tracewell.operators import integrity, metrics
 from tracewell.plans.registry import query, table
 
 
@@ -149,6 +149,34 @@ def metrics_by_either_side(spark, folder):
     return metrics.detection_metrics(findings, truth, ["doc_id"], ["lang"])
 
 
+@query(
+    "ag12_run_outcomes",
+    """
+    SELECT o_orderkey AS run_id,
+           CASE WHEN o_orderkey % 7 = 0 THEN 'cleaned' WHEN o_orderkey % 5 > 2 THEN 'complete'
+                WHEN o_custkey % 4 = 0 THEN 'empty' ELSE 'failed' END AS outcome FROM orders
+    """,
+)
+def run_outcomes(spark, folder):
+    key = F.col("o_orderkey") % 5
+    result = F.when(key == 0, "{}").when(key == 1, '{"name": ').when(key == 3, '{"name": "x"}').when(key == 4, "[1]")
+    runs = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 4).alias("returncode"),
+        result.alias("result"), (F.col("o_orderkey") % 7 == 0).alias("cleanup"),
+    )
+    return metrics.run_outcomes(runs).select("run_id", "outcome")
+
+
+@query("ag02_memory_images", "SELECT l_orderkey AS image_id, l_linenumber AS part, l_discount > 0 AS valid FROM lineitem")
+def memory_images(spark, folder):
+    size = F.when(F.col("l_discount") > 0, F.round(F.col("l_discount") * 100).cast("bigint"))
+    images = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("part"),
+        F.when(F.col("l_linenumber") > 1, F.coalesce(size, F.lit(0))).otherwise(size).alias("size_bytes"),
+    )
+    return integrity.validate_images(images).select("image_id", "part", "valid")
+
+
 # --- catalogs -----------------------------------------------------------------------
 
 

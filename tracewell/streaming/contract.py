@@ -19,21 +19,28 @@ STATES = ("on", "off")
 WAITING = T.StructType(
     [
         T.StructField("ts_us", T.LongType()),
-        T.StructField("event_id", T.LongType()),
+        T.StructField("event_id", T.StringType()),
         T.StructField("kind", T.StringType()),
     ]
 )
 POWER = T.StructType([T.StructField("state", T.StringType())])
-OUTPUT = "vm STRING, event_id BIGINT, ts_us BIGINT, kind STRING, state STRING"
+OUTPUT = "vm STRING, event_id STRING, ts_us BIGINT, kind STRING, state STRING"
 
 
 class PowerState(StatefulProcessor):
     """Per machine: events still open to reordering, and the last known state.
 
     An event is judged once the watermark has passed it, so the order of
-    arrival within the allowed delay has no effect.
+    arrival within the allowed delay has no effect. Events of one time come in the
+    order of their ids, as numbers if ``numbers``.
     """
 
+    def __init__(self, numbers: bool) -> None:
+        self.numbers = numbers
+
+    def place(self, event: tuple) -> tuple:
+        return event[0], int(event[1]) if self.numbers else event[1]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
@@ -44,7 +51,7 @@ class PowerState(StatefulProcessor):
     ) -> Iterator[pd.DataFrame]:
         for batch in rows:
             events = list(zip(batch["ts_us"], batch["event_id"], batch["kind"]))
-            self.waiting.appendList([(int(t), int(i), k) for t, i, k in events])
+            self.waiting.appendList([(int(t), i, k) for t, i, k in events])
             self.wake(events)
         return iter([])
 
@@ -57,7 +64,7 @@ class PowerState(StatefulProcessor):
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.waiting.get())
+        events = sorted(self.waiting.get(), key=self.place)
         ahead = [e for e in events if e[0] >= passed]
         keep(self.waiting, ahead)
         self.wake(ahead)
@@ -82,7 +89,7 @@ class PowerState(StatefulProcessor):
 def stream_contract(events: DataFrame, delay: str, splits: int = 1) -> DataFrame:
     """Image events taken in the wrong power state, as they become certain.
 
-    ``events`` has vm, ts (TIMESTAMP), event_id and kind. ``splits`` deals the
+    ``events`` has vm, ts (TIMESTAMP), event_id (a whole number or text) and kind. ``splits`` deals the
     image events of a machine over several tasks, each of which sees all of its
     state changes: the way out where one machine has a large share of events.
     """
@@ -95,12 +102,14 @@ def stream_contract(events: DataFrame, delay: str, splits: int = 1) -> DataFrame
         .select(
             "vm",
             "ts",
-            "event_id",
+            F.col("event_id").cast("string").alias("event_id"),
             "kind",
             F.unix_micros("ts").alias("ts_us"),
             F.explode(salts).alias("salt"),
         )
     )
-    return keyed.groupBy("vm", "salt").transformWithStateInPandas(
-        PowerState(), OUTPUT, "append", "EventTime"
+    id_type = events.schema["event_id"].dataType
+    broken = keyed.groupBy("vm", "salt").transformWithStateInPandas(
+        PowerState(isinstance(id_type, T.IntegralType)), OUTPUT, "append", "EventTime"
     )
+    return broken.withColumn("event_id", F.col("event_id").cast(id_type))

@@ -15,10 +15,10 @@ from tracewell.streaming.run import keep
 
 # Types are spelled out: state is opened in tasks, where no DDL can be parsed.
 STARTS = T.StructType(
-    [T.StructField("ts_us", T.LongType()), T.StructField("start_id", T.LongType())]
+    [T.StructField("ts_us", T.LongType()), T.StructField("start_id", T.StringType())]
 )
 READIES = T.StructType([T.StructField("ts_us", T.LongType())])
-OUTPUT = "vm STRING, start_id BIGINT, ts_us BIGINT, ready_us BIGINT, timed_out BOOLEAN"
+OUTPUT = "vm STRING, start_id STRING, ts_us BIGINT, ready_us BIGINT, timed_out BOOLEAN"
 
 
 class Deadline(StatefulProcessor):
@@ -43,7 +43,7 @@ class Deadline(StatefulProcessor):
             is_ready = batch["start_id"].isna()
             readies = [(int(t),) for t in batch.loc[is_ready, "ts_us"]]
             opened = batch.loc[~is_ready]
-            starts = [(int(t), int(i)) for t, i in zip(opened["ts_us"], opened["start_id"])]
+            starts = [(int(t), i) for t, i in zip(opened["ts_us"], opened["start_id"])]
             if readies:
                 self.readies.appendList(readies)
             if starts:
@@ -91,7 +91,8 @@ def stream_deadlines(
 ) -> DataFrame:
     """One row per start: its first ready in time, or ``timed_out``.
 
-    ``starts`` has vm, ts (TIMESTAMP) and start_id, ``readies`` vm and ts.
+    ``starts`` has vm, ts (TIMESTAMP) and start_id of any simple type, ``readies``
+    vm and ts.
     ``splits`` deals the starts of a machine over several tasks, each of which
     sees all of its readies: the way out where one machine has a large share.
     """
@@ -100,13 +101,14 @@ def stream_deadlines(
     columns = ["vm", "ts", F.unix_micros("ts").alias("ts_us")]
     both = (
         starts.withWatermark("ts", delay)
-        .select(*columns, F.col("start_id").cast("bigint").alias("start_id"), salt.alias("salt"))
+        .select(*columns, F.col("start_id").cast("string").alias("start_id"), salt.alias("salt"))
         .union(
             readies.withWatermark("ts", delay).select(
-                *columns, F.lit(None).cast("bigint"), every.alias("salt")
+                *columns, F.lit(None).cast("string"), every.alias("salt")
             )
         )
     )
-    return both.groupBy("vm", "salt").transformWithStateInPandas(
+    decided = both.groupBy("vm", "salt").transformWithStateInPandas(
         Deadline(limit_seconds * 1_000_000), OUTPUT, "append", "EventTime"
     )
+    return decided.withColumn("start_id", F.col("start_id").cast(starts.schema["start_id"].dataType))
