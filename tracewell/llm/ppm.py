@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import textops as X
-from tracewell.llm.common import as_row, from_row, pieces, row_type, spread, whole
+from tracewell.llm.common import as_row, from_row, row_type, shuffle_tasks, spread, whole
 
 # Bytes of context, at most six, and the symbol that ends a text.
 ORDER = 5
@@ -47,6 +47,7 @@ DEPTH = X._U(57)
 
 # Bytes of texts in a chunk.
 CHUNK_BYTES = 16 << 20
+LEAST_CHUNK_BYTES = 4 << 20
 
 FOLDS = 7
 HELD_OUT = 2
@@ -274,7 +275,7 @@ WORD, CONTEXT = 0, 1
 
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted keys and counts as bytes; of contexts each is named once, not per symbol."""
-    few = counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
+    few = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
     packed_counts = bytes([few.itemsize]) + few.tobytes()
     if kind == WORD:
         return keys.tobytes(), packed_counts
@@ -286,7 +287,7 @@ def _packed(kind: int, keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, byt
 
 
 def _unpacked(kind: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(counts, np.uint32 if counts[0] == 4 else np.uint64, offset=1).astype(np.int64)
+    found = np.frombuffer(counts, f"u{counts[0]}", offset=1).astype(np.int64)
     if kind == WORD:
         return np.frombuffer(keys, np.uint64), found
     n = int(np.frombuffer(keys, np.uint64, 1)[0])
@@ -421,7 +422,9 @@ def scored(
     counts = texts.select("held", "text").mapInArrow(_vocabulary, "word long, tokens long")
     v, n = counts.agg(F.count_distinct("word"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
-    chunks = pieces(spark, size, chunk_bytes)
+    # Small chunks repeat what they ask for, so few cores are better than tiny ones.
+    size = int(size or 0)
+    chunks = max(1, -(-size // chunk_bytes), min(shuffle_tasks(spark), -(-size // LEAST_CHUNK_BYTES)))
     keyed = texts.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "row", "held", "text")
     dealt = keyed.repartition(chunks, "chunk")
     grams = dealt.select("chunk", "held", "text").groupBy("chunk").applyInArrow(
