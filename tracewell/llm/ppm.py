@@ -46,7 +46,7 @@ SYMBOLS = 257
 DEPTH = X._U(57)
 
 # Bytes of texts in a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 24 << 20
 LEAST_CHUNK_BYTES = 4 << 20
 
 FOLDS = 7
