@@ -317,6 +317,32 @@ def test_repeated_chunks(docs):
     assert len(out[100].kept) < 64 and out[101].n_bytes == 0 and out[102].n_bytes == 0
 
 
+def test_passages_of_51_short_words(docs):
+    r = random.Random(13)
+    short = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 5))) for _ in range(n))
+    rows, passages = [], []
+    for i in range(60):
+        p = short(51)
+        passages.append(p)
+        for doc in (2 * i, 2 * i + 1):
+            rows.append((doc, f"{short(30)} {doc}<{p}>{"ab"[doc % 2]} {short(30)}"))
+    # Long passages without any mark in them: the fetched bytes do not reach at once.
+    plain = "x" * 3000
+    rows += [(200, f"{short(20)} 1{plain}{passages[0]}2"), (201, f"{short(25)} 3{plain}{passages[0]}4")]
+    out = {x.doc_id: x.cut for x in chunk_dedup.without_repeated_chunks(docs(rows)).collect()}
+    texts = dict(rows)
+    found = 0
+    for i in range(1, 60):
+        p, first, later = passages[i], out[2 * i], out[2 * i + 1]
+        if later.n_shared:
+            found += 1
+            # All of it, on both sides, with the edges that surround it in both.
+            assert first.n_shared == later.n_shared == len(p) + 2 and first.spans == [] and later.sources == [2 * i]
+            assert bytes(later.kept).decode() == texts[2 * i + 1].replace(f"<{p}>", "")
+    assert found >= 58
+    assert plain not in bytes(out[201].kept).decode() and passages[0] not in bytes(out[201].kept).decode()
+
+
 def test_chunks_follow_the_content():
     r = random.Random(12)
     text = prose(r, 800).encode()
