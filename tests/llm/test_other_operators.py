@@ -232,6 +232,21 @@ def test_a_page(spark):
     assert (out[2], out[3], out[4], out[6]) == ("", "", "", "")
 
 
+def test_pages_without_the_end_of_the_head():
+    body = PAGE[PAGE.index("<body") :]
+    whole = html_crf.blocks(f"<html><head><title>T</title></head>{body}")
+    assert whole
+    inner = body[body.index(">") + 1 :]
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>\n", "<head><noscript><link></noscript><title>T</title><body>"):
+        found = html_crf.blocks(start + inner)
+        assert [text for _, text, _, _ in found] == [text for _, text, _, _ in whole], start
+    assert [b[1] for b in html_crf.blocks("<head><title>T</title>Text <b>at once</b>")] == ["Text at once"]
+    assert [b[1] for b in html_crf.blocks("<head><noscript><img src=x><p>In</p></noscript><p>Out")] == ["In", "Out"]
+    # Scripts and titles in such a head stay silent.
+    assert [b[1] for b in html_crf.blocks("<head><script>x</script><style>y</style><template><p>z</p></template><p>Only this")] == ["Only this"]
+    assert [b[1] for b in html_crf.blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be")] == ["Let x=2 be"]
+
+
 # --- the pipeline ------------------------------------------------------------
 
 

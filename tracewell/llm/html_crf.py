@@ -13,7 +13,7 @@ Decoding works on each page alone: nothing is shuffled.
 
 Defined cases: null or empty html gives an empty text. Broken markup is read as
 browsers do in the main: unclosed elements end with their parents, an unclosed script
-runs to the end. Repeated rows are read alike; other columns are carried along. An empty
+runs to the end, a head ends at the first element or text that it cannot hold. Repeated rows are read alike; other columns are carried along. An empty
 table gives no rows. White space inside a block becomes one space; blocks are joined
 by one space.
 """
@@ -45,7 +45,9 @@ BLOCK_TAGS = frozenset(
     "textarea tfoot th thead title tr ul button label noscript iframe".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT_TAGS = frozenset("head title script style template svg math object audio video canvas".split())
+NO_TEXT_TAGS = frozenset("head title script style template svg object audio video canvas".split())
+# What a head may hold: anything else ends it, though its end tag is left out.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 # An element that opens closes these, if they are open in the same container.
 CLOSES = {
@@ -96,7 +98,15 @@ class Blocks(HTMLParser):
                 self.found.append((features, text, self.linked, label))
             self.parts, self.linked = [], 0
 
+    def end_head(self, tag: str = "") -> None:
+        """Close an open head that cannot hold this element, or else text."""
+        if self.silent and self.stack[-1][0] in ("head", "noscript") and tag not in HEAD_TAGS:
+            i = next((i for i, (t, _, _) in enumerate(self.stack) if t == "head"), 0)
+            if i and len(self.stack) - i <= 2:
+                self.close_to(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.end_head(tag)
         if tag == "br":
             self.parts.append(" ")
             return
@@ -145,6 +155,8 @@ class Blocks(HTMLParser):
             self.end_block()
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.stack[-1][0] == "head" and not data.isspace():
+            self.end_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:
