@@ -247,6 +247,13 @@ def test_pages_without_the_end_of_the_head():
     assert [b[1] for b in html_crf.blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be")] == ["Let x=2 be"]
 
 
+def test_words_at_the_end_of_long_classes():
+    utility = " ".join(f"px-{i} mt-{i}" for i in range(60))
+    (features, *_), = html_crf.blocks(f'<div class="{utility} site-footer">Text</div>')
+    assert len(utility) > 200 and "word=footer" in features
+    assert html_crf.words_of.cache_info().maxsize
+
+
 # --- the pipeline ------------------------------------------------------------
 
 

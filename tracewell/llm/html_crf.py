@@ -23,7 +23,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,6 +35,8 @@ from tracewell.llm.common import as_row, from_row, row_type, spread, whole
 
 TRAINING_PAGES = 600
 ITERATIONS = 120
+# Attribute values whose words a worker remembers.
+WORDS_KEPT = 1 << 14
 SEED = 7
 
 # Elements that divide text, elements that never hold any, and elements whose text
@@ -163,10 +165,10 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-@cache
+@lru_cache(maxsize=WORDS_KEPT)
 def words_of(value: str) -> tuple[str, ...]:
     """Lower-case words of a class or id, cut at signs, capitals and digits."""
-    return tuple(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value[:200]))
+    return tuple(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value))
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
