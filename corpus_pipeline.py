@@ -29,9 +29,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays of each group of similar ones."""
-    first = jaccard_join.similar_documents(docs).where("doc = component").select(F.col("doc").alias("__doc"))
-    return docs.join(first, docs["doc_id"] == F.col("__doc"), "left_semi")
+    """One document stays of each group of similar ones, that of the least id.
+
+    Rows without an id take part and come after the others. Of equal rows, those of one
+    id (or none) and one text, one stays; different texts of one id are one document.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), jaccard_join.key_of("doc_id", "text").alias("key"))
+    groups = jaccard_join.similar_keys(docs).where("key = first").select("key")
+    rows = keyed.join(groups, "key", "left_semi")
+    again = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    # Only keys of several rows are grouped, so the other texts are not shuffled for this.
+    several = rows.join(again, "key", "left_semi").groupBy("key", F.xxhash64(F.coalesce("row.text", F.lit("")))).agg(F.min("row").alias("row"))
+    return rows.join(again, "key", "left_anti").select("row.*").union(several.select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import check
 import corpus_pipeline
 from tests.llm.conftest import DOCS, ODD, prose, with_odd_columns
-from tracewell.llm import ORACLES, QUERIES, bpe, html_crf, mixing, ppm, quality
+from tracewell.llm import ORACLES, QUERIES, bpe, html_crf, jaccard_join, mixing, ppm, quality
 from tracewell.llm.queries import vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -276,3 +276,22 @@ def test_pipeline(spark):
         ids = want.encode_ordinary(t)
         assert (out[d].n_tokens, out[d].token_ids) == (len(ids), ids)
         assert out[d].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_jaccard_stage_of_rows_without_id_and_repeats(spark, docs):
+    r = random.Random(21)
+    texts = [prose(r, 40) for _ in range(6)]
+    near = texts[0] + " ende"
+    rows = [(1, texts[0]), (1, texts[0]), (2, near), (None, near), (None, texts[1]), (None, texts[1]), (None, texts[1] + " ende")]
+    # Ids where the keys of rows without one lie, an id of two texts, empty ones.
+    rows += [((1 << 63) - 1, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[5]), (None, None), (None, "")]
+    df = docs(rows)
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.jaccard_stage(spark, df, SMALL).collect()]
+    alone = [x for x in kept if x[1] and x[1].startswith(texts[1])]
+    empty = [x for x in kept if not x[1]]
+    assert len(alone) == 1 and alone[0][0] is None and len(empty) == 1
+    rest = sorted((x for x in kept if x not in alone + empty), key=str)
+    assert rest == sorted([(1, texts[0]), ((1 << 63) - 1, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[5])], key=str)
+    found = [tuple(x) for x in jaccard_join.similar_documents(df).select("doc", "component").collect()]
+    want = [(1, 1), (2, 1), (None, 1), ((1 << 63) - 1,) * 2, (None, (1 << 63) - 1), (7, 7)] + [(None, None)] * 6
+    assert sorted(found, key=str) == sorted(want, key=str)

@@ -27,7 +27,8 @@ first bounds the intersection from small bitmaps of the sets, which never rules
 a link, and then intersects whole sets. Links become components.
 
 Defined cases: a null or blank text has no shingles and no link. Fewer words than
-a shingle has make one shingle. Rows without an id are left out. Rows of one id
+a shingle has make one shingle. Each row without an id takes part and gives a row with a
+null id; the component of such rows alone is null. Rows of one id
 give one row; if their texts differ, a link of any of them is a link of the id and
 the largest set is reported. Other columns are ignored. An empty table gives no rows.
 """
@@ -65,6 +66,9 @@ MEMBER_BLOCK = 2_000
 GROUP_MEMBERS = 500
 BROADCAST_IDS = 1_000_000
 
+# Rows without an id get keys from here on, made of their text. Ids may lie there, too.
+NO_ID_KEYS = (1 << 63) - (1 << 60)
+
 # Bands up to this power of two take subsets of two partitions.
 SMALL_BAND = 3
 
@@ -442,12 +446,47 @@ def _classes(texts: DataFrame, words: int, percent: int, large: int) -> DataFram
     return written(small.union(anew).distinct(), "classes")
 
 
+def key_of(id: str, text: str) -> F.Column:
+    """The id, or else a key that rows without an id share if they have one text."""
+    made = F.lit(NO_ID_KEYS) + F.xxhash64(whole(text)).bitwiseAND(F.lit((1 << 60) - 1))
+    return F.coalesce(F.col(f"`{id}`").cast("long"), made)
+
+
 def similar_documents(
     df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, large_class: int = LARGE_CLASS
 ) -> DataFrame:
-    """(doc, n_shingles, component) of every id; component is the least id it is
-    linked with, over any number of links."""
-    texts = spread(pick(df, doc=id, text=text)).select(F.col("doc").cast("long"), whole("text").alias("text")).where("doc IS NOT NULL")
+    """(doc, n_shingles, component) of every id, and of every row without one;
+    component is the least id it is linked with, over any number of links."""
+    groups = similar_keys(df, id, text, words, percent, large_class)
+    # Rows without an id stay as many as they are.
+    each = groups.withColumn("row", F.explode(F.sequence(F.lit(1), F.greatest("no_id", F.lit(1)).cast("int"))))
+    return each.select(F.when(F.col("no_id") == 0, F.col("key")).alias("doc"), "n_shingles", F.when(F.col("named"), F.col("first")).alias("component"))
+
+
+def similar_keys(
+    df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, large_class: int = LARGE_CLASS
+) -> DataFrame:
+    """(key, no_id, n_shingles, first, named) of every key that ``key_of`` gives.
+
+    ``no_id`` counts the rows without an id, ``first`` is the key of the component's
+    least id, or of its first row if it has no id, which ``named`` tells.
+    """
+    picked = pick(df, doc=id, text=text)
+    out = _components_of(spread(picked).select(key_of("doc", "text").alias("doc"), whole("text").alias("text")), words, percent, large_class)
+    nulls = written(picked.where("doc IS NULL").groupBy(key_of("doc", "text").alias("key")).agg(F.count("*").alias("no_id")), "no_id")
+    out = out.select(F.col("doc").alias("key"), "n_shingles", "component")
+    if nulls.isEmpty():
+        return out.select("key", F.lit(0).cast("long").alias("no_id"), "n_shingles", F.col("component").alias("first"), F.lit(True).alias("named"))
+    known = written(out.join(nulls, "key", "left").withColumn("no_id", F.coalesce("no_id", F.lit(0))), "keys")
+    least = known.where(F.col("component") >= NO_ID_KEYS).groupBy("component").agg(F.min(F.when(F.col("no_id") == 0, F.col("key"))).alias("least"))
+    return known.join(least, "component", "left").select(
+        "key", "no_id", "n_shingles", F.coalesce("least", "component").alias("first"),
+        (F.col("least").isNotNull() | (F.col("component") < NO_ID_KEYS)).alias("named"),
+    )
+
+
+def _components_of(texts: DataFrame, words: int, percent: int, large_class: int) -> DataFrame:
+    """(doc, n_shingles, component) of every doc."""
     info = written(texts.mapInArrow(lambda it: _info(it, words), "doc long, n long, h1 long, h2 long, bits binary"), "sets")
 
     some = info.where("n > 0")
