@@ -289,6 +289,20 @@ def test_a_giant_text_in_parts(docs, monkeypatch):
     assert seen == {(k, i) for k, (_, t) in enumerate(rows) for i in range(len(t.encode()) - 99)}
 
 
+def test_crowded_lists_of_an_id_of_many_texts(docs):
+    r = random.Random(15)
+    rows = []
+    for j in range(120):
+        words = prose(r, 80 + j % 3).split()
+        rows.append((0, " ".join(words)))
+        for i in range(6):
+            changed = list(words)
+            changed[12 * i + 6] = "zz" + str(i)
+            rows.append((100 + 6 * j + i, " ".join(changed)))
+    out = jaccard_join.similar_documents(docs(rows), large_class=2).collect()
+    assert {x.doc: x.component for x in out} == {d: 0 for d, _ in rows}
+
+
 # --- chunks ------------------------------------------------------------------
 
 

@@ -287,8 +287,11 @@ def _signed_again(batches, words, percent):
             made = signatures(sets, sizes, percent, all_=True)
             pairs = np.array([i << 16 | x for i, wanted in enumerate(lists[first:last]) for x in wanted], np.int64)
             keep = np.isin(made.of << 16 | made.list_, pairs)
-            columns = [X.as_long(made.sig[keep]), docs[first:last][made.of[keep]], made.list_[keep].astype(np.int32), made.lacks[keep].astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "doc", "list", "lacks"])
+            of = made.of[keep]
+            # The set's own hash: rows of one id may differ in text.
+            mark = X.as_long(_set_hashes(sets, sizes)[0])[of]
+            columns = [X.as_long(made.sig[keep]), docs[first:last][of], mark, made.list_[keep].astype(np.int32), made.lacks[keep].astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "doc", "mark", "list", "lacks"])
 
 
 def _folded_rows(rows: np.ndarray) -> np.ndarray:
@@ -438,9 +441,9 @@ def _classes(texts: DataFrame, words: int, percent: int, large: int) -> DataFram
     open_lists = crowded.groupBy("doc", "entry").agg(F.count_distinct("sig").alias("n")).where("n >= entry & 4294967295")
     ids = open_lists.groupBy("doc").agg(F.collect_set(F.shiftright("entry", 32).cast("int")).alias("lists"))
     again = _named(texts, written(ids, "crowded")).select("doc", "text", "lists")
-    rows = again.mapInArrow(lambda it: _signed_again(it, words, percent), "sig long, doc long, list int, lacks int")
+    rows = again.mapInArrow(lambda it: _signed_again(it, words, percent), "sig long, doc long, mark long, list int, lacks int")
     marked = rows.join(crowded.select("sig").distinct().withColumn("late", F.lit(True)), "sig", "left")
-    order = Window.partitionBy("doc", "list").orderBy(F.coalesce("late", F.lit(False)), "sig")
+    order = Window.partitionBy("doc", "mark", "list").orderBy(F.coalesce("late", F.lit(False)), "sig")
     first = marked.withColumn("place", F.dense_rank().over(order)).where("place <= lacks + 1").select("sig", "doc")
     anew = as_class(first.select("*", *kept).where("members > 1"))
     return written(small.union(anew).distinct(), "classes")
