@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chunk_dedup, grace_dedup, html_crf, jaccard_join, line_dedup, mixing, ppm, quality, suffix_dedup
+from tracewell.llm import bpe, chunk_dedup, grace_dedup, html_crf, jaccard_join, line_dedup, mixing, orchard, ppm, quality
+from tracewell.llm import suffix_dedup, whitening
 from tracewell.llm.common import documents
 from tracewell.llm.spans import removed
 
@@ -264,3 +265,57 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
     return html_crf.main_texts(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The assignments and moves, one after another."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+    SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d
+    FROM (SELECT x.id, m.c, sum((x.v - m.v) * (x.v - m.v))::BIGINT AS d FROM x JOIN m{i} m USING (i) GROUP BY x.id, m.c) GROUP BY id
+)""")
+        if i < rounds:
+            steps.append(f"""
+m{i + 1} AS MATERIALIZED (
+    SELECT c, i, coalesce(n.v, m.v) AS v FROM m{i} m LEFT JOIN (
+        SELECT c, i, floor(sum(v)::HUGEINT / count(*))::BIGINT AS v FROM x JOIN a{i} USING (id) GROUP BY c, i) n USING (c, i)
+)""")
+    return ",".join(steps)
+
+
+CLUSTER_SQL = f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS id, vec_id, embedding AS e FROM embeddings
+    WHERE len(embedding) = {orchard.DIMS} AND list_count(embedding) = {orchard.DIMS} AND isfinite(list_sum(embedding::DOUBLE[]))
+), x AS MATERIALIZED (
+    SELECT id, unnest(range(1, {orchard.DIMS} + 1)) AS i, floor({orchard.SCALE} * unnest(e)::DOUBLE)::BIGINT AS v FROM kept
+), m0 AS MATERIALIZED (
+    SELECT c, i, v FROM x JOIN (
+        SELECT id, row_number() OVER (ORDER BY sha256('{orchard.SEED}:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS c
+        FROM kept) USING (id) WHERE c < {orchard.CENTROIDS}
+), {_rounds_sql(orchard.ROUNDS)}, digests AS (
+    SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{orchard.ROUNDS} GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{orchard.ROUNDS} JOIN kept USING (id) JOIN digests USING (c)
+"""
+
+
+@query("op12_centroid_clustering", CLUSTER_SQL)
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    out = orchard.clustered(vectors)
+    return out.select("vec_id", *[f"near.{c}" for c in ("cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")])
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    each = whitening.whitened(vectors).select("vec_id", "white", F.posexplode(F.arrays_zip("white.whitened", "white.explained")).alias("i", "v"))
+    return each.select(
+        "vec_id", (F.col("i") + 1).cast("int").alias("component"), "white.n", "white.deviation",
+        F.col("v.whitened").alias("whitened"), F.col("v.explained").alias("explained"), "white.identity_error",
+    )
