@@ -164,7 +164,7 @@ def test_bitmaps_never_rule_out(seed=2):
 def test_rows_of_one_id(docs):
     text = prose(random.Random(1), 30)
     got = jaccard_join.similar_documents(docs([(5, text), (5, text), (3, text), (None, text), (9, "other text")])).collect()
-    assert {(x.doc, x.component) for x in got} == {(3, 3), (5, 3), (9, 9)} and len(got) == 3
+    assert {(x.doc, x.component) for x in got} == {(3, 3), (5, 3), (9, 9), (None, 3)} and len(got) == 4
 
 
 def test_components(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, chunk_dedup, grace_dedup, html_crf, jaccard_join, line_dedup, mixing, orchard, ppm, quality
-from tracewell.llm import suffix_dedup, whitening
+from tracewell.llm import suffix_dedup, toxicity, whitening
 from tracewell.llm.common import documents
 from tracewell.llm.spans import removed
 
@@ -267,6 +267,13 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_crf.main_texts(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.scored(documents(spark, folder).select("doc_id", "text"), labels)
+    return out.select("doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted")
+
+
 def _rounds_sql(rounds: int) -> str:
     """The assignments and moves, one after another."""
     steps = []
