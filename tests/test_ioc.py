@@ -153,7 +153,7 @@ def random_texts(rng, n):
         {"scan_markers": 0},
         {"scan_markers": 0, "broadcast_rows": 5, "rows_per_task": 4},
     ],
-    ids=["scan", "by_word", "shuffled"],
+    ids=["scan", "by_gram", "shuffled"],
 )
 def test_content_hits(spark, seed, sizes):
     rng = random.Random(seed)

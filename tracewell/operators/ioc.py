@@ -13,12 +13,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import matches_attrs
+from tracewell.operators.markers import found_by_index, found_by_join, portions
 from tracewell.operators.skew import (
-    BROADCAST_CHARS,
     BROADCAST_ROWS,
     ROWS_PER_TASK,
     checked_join,
@@ -29,7 +29,7 @@ from tracewell.operators.skew import (
 
 IOC_KEY = ("scenario_id", "ioc_id")
 
-# Markers a text is searched for one by one. More are found by their words.
+# Markers a text is searched for one by one. More are found by their grams.
 SCAN_MARKERS = 64
 
 # Stands for every source; no tool has an empty name.
@@ -147,20 +147,6 @@ def match_file_iocs(
 # --- content -------------------------------------------------------------------------
 
 
-def _anchor(marker: Column) -> Column:
-    """The longest word inside a marker, null if it has none.
-
-    The first and the last word may be cut off; any other stands between two
-    spaces in the marker, so in every text that holds the marker as well.
-    """
-    words = F.split(marker, " ")
-    inner = F.filter(
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""
-    )
-    by_length = F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    return F.array_max(by_length)["w"]
-
-
 def content_hits(
     entries: DataFrame,
     markers: DataFrame,
@@ -174,40 +160,31 @@ def content_hits(
     Keeps the entry's ``keep`` columns and the marker's other columns; only in a
     stream, which cannot tell yet, a pair may come more than once.
 
-    Few markers are broadcast and searched for in each text, which is read once
-    and never moved. Many are first looked up by a word each (see ``_anchor``),
-    so that a text is searched only for the markers whose word it has; those
-    without such a word are searched for in portions that can be broadcast.
+    Few markers are broadcast and searched for in each text one by one. More are
+    looked up by their rarest gram (see ``markers``), which a text is searched for
+    all at once: from a broadcast index, or, if it would be too large, by a join.
     """
     keep = list(keep)
     other = [c for c in markers.columns if c != marker]
     markers = markers.where(F.col(marker).isNotNull())
     texts = entries.select(*keep, F.col(content).alias("__text")).where("__text IS NOT NULL")
-    unique = (
-        markers.select(F.col(marker).alias("__marker"))
-        .distinct()
-        .withColumn("__word", _anchor(F.col("__marker")))
-    )
-    size = measure(unique, plain=F.count_if(F.col("__word").isNull()))
+    unique = markers.select(F.col(marker).alias("__marker")).distinct()
+    size = measure(unique, empty=F.count_if(F.col("__marker") == ""))
     small = fits(size["rows"], size["chars"], limits.broadcast_rows)
-    found = F.contains(F.col("__text"), F.col("__marker"))
-
-    def scan(portion: DataFrame) -> DataFrame:
-        return texts.join(F.broadcast(portion), found, "inner").select(*keep, "__marker")
-
-    def once(pairs: DataFrame) -> DataFrame:
-        return pairs if pairs.isStreaming else pairs.distinct()
-
     if small and size["rows"] <= limits.scan_markers:
-        hits = once(scan(unique.drop("__word")))
+        found = F.contains(F.col("__text"), F.col("__marker"))
+        hits = texts.join(F.broadcast(unique), found, "inner").select(*keep, "__marker")
     else:
-        worded = unique.where("__word IS NOT NULL")
-        hits = _hits_by_word(texts, worded, size, limits).select(*keep, "__marker")
-        if size["plain"]:
-            plain = unique.where("__word IS NULL").drop("__word")
-            scans = [scan(p) for p in _portions(plain, size, limits)]
-            hits = reduce(DataFrame.union, scans, hits)
-        hits = once(hits)
+        grammed = unique.where("__marker <> ''")
+        if small or texts.isStreaming:
+            lists = portions(r["__marker"] for r in grammed.toLocalIterator())
+            parts = [found_by_index(texts, keep, part) for part in lists]
+        else:
+            parts = [found_by_join(texts, keep, grammed, limits.rows_per_task)]
+        if size["empty"]:  # every text contains it
+            parts.append(texts.select(*keep, F.lit("").alias("__marker")))
+        hits = reduce(DataFrame.union, parts)
+    hits = hits if texts.isStreaming else hits.distinct()
     named = markers.select(F.col(marker).alias("__marker"), *other)
     if entries.isStreaming:
         joined = hits.join(named, "__marker")
@@ -217,48 +194,6 @@ def content_hits(
     return joined.select(*keep, *other)
 
 
-def _hits_by_word(texts: DataFrame, markers: DataFrame, size: Row, limits: Limits) -> DataFrame:
-    found = F.contains(F.col("__text"), F.col("__marker"))
-    words = F.explode(F.array_distinct(F.split("__text", " "))).alias("__word")
-
-    def one_pass(portion: DataFrame) -> DataFrame:
-        # Nothing is shuffled.
-        return texts.select("*", words).join(F.broadcast(portion), "__word").where(found)
-
-    if texts.isStreaming or fits(size["rows"], size["chars"], limits.broadcast_rows):
-        return reduce(DataFrame.union, map(one_pass, _portions(markers, size, limits)))
-    # Words travel with the key of their text only. Texts move once, and copies
-    # of a text share their candidates.
-    keyed = texts.withColumn("__key", F.xxhash64("__text"))
-    candidates = (
-        salted_join(
-            keyed.select("__key", words),
-            markers,
-            ["__word"],
-            "inner",
-            ["__key"],
-            limits.rows_per_task,
-        )
-        .select("__key", "__marker")
-        .distinct()
-    )
-    spread = [c for c in texts.columns if c != "__text"]
-    return salted_join(
-        keyed, candidates, ["__key"], "inner", spread, limits.rows_per_task
-    ).where(found)
-
-
-def _portions(markers: DataFrame, size: Row, limits: Limits) -> list[DataFrame]:
-    """Markers in portions that are each small enough to broadcast."""
-    if fits(size["rows"], size["chars"], limits.broadcast_rows):
-        return [markers]
-    # Half-filled on average, so that an uneven deal still fits.
-    by_rows = -(-size["rows"] // limits.broadcast_rows)
-    parts = 2 * max(by_rows, -(-size["chars"] // BROADCAST_CHARS))
-    part = F.pmod(F.xxhash64("__marker"), F.lit(parts))
-    return [markers.where(part == i) for i in range(parts)]
-
-
 def match_content_iocs(
     entries: DataFrame,
     iocs: DataFrame,

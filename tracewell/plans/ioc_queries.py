@@ -211,7 +211,7 @@ def content_iocs(spark, folder):
 
 @query("jn04_content_iocs_by_word", JN04)
 def content_iocs_by_word(spark, folder):
-    """The way taken for more markers than a text is searched for one by one."""
+    """The way taken for more markers than a text is searched for one by one: by their rarest grams."""
     return _content(spark, folder, scan_markers=0)
 
 
@@ -221,6 +221,41 @@ def content_iocs_shuffled(spark, folder):
     return _content(spark, folder, scan_markers=0, broadcast_rows=1, rows_per_task=500)
 
 
+JN04_SHORT = """
+    WITH markers AS (
+      SELECT item_id, 'word' AS kind, split_part(text, ' ', 1) AS marker FROM benchmark
+      UNION ALL SELECT item_id, 'two', split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) FROM benchmark
+      UNION ALL SELECT item_id, 'part', substr(text, 3 + item_id % 20, 3 + item_id % 8) FROM benchmark
+    )
+    SELECT d.doc_id, m.item_id, m.kind FROM documents d JOIN markers m ON contains(d.text, m.marker)
+    """
+
+
+def _short_markers(spark, folder, **limits):
+    """A word, two words, and a few characters from within: nothing with an inner word."""
+    words = F.split("text", " ")
+    kind = lambda name, marker: F.struct(F.lit(name).alias("kind"), marker.alias("marker"))
+    part = F.substring(F.col("text"), (F.col("item_id") % 20 + 3).cast("int"), (F.col("item_id") % 8 + 3).cast("int"))
+    kinds = F.array(
+        kind("word", words[0]), kind("two", F.concat_ws(" ", words[1], words[2])), kind("part", part)
+    )
+    markers = table(spark, folder, "benchmark").select("item_id", F.explode(kinds).alias("m")).select("item_id", "m.*")
+    documents = table(spark, folder, "documents", spread=True)
+    return ioc.content_hits(
+        documents, markers, content="text", marker="marker", keep=["doc_id"], limits=ioc.Limits(**limits)
+    )
+
+
+@query("jn04_content_iocs_short", JN04_SHORT)
+def content_iocs_short(spark, folder):
+    return _short_markers(spark, folder)
+
+
+@query("jn04_content_iocs_short_shuffled", JN04_SHORT)
+def content_iocs_short_shuffled(spark, folder):
+    return _short_markers(spark, folder, scan_markers=0, broadcast_rows=1, rows_per_task=5000)
+
+
 # --- detection -----------------------------------------------------------------------
 
 
