@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schemas
 from tracewell.operators import ioc
-from tracewell.operators.metrics import findings_document
+from tracewell.operators.metrics import findings_document, outcome_metrics
 
 KEYS = "/home/u/.ssh/authorized_keys"
 
@@ -253,3 +253,91 @@ def test_detect_all_kinds_from_files(spark, fixture_path):
         ("run-a", "process"),
     ]
     assert findings.count() == 8
+
+
+# --- one pass ---------------------------------------------------------------------
+
+
+def scans_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "ReadSchema" in line and "entries" in line]
+
+
+def test_entries_are_read_once_for_paths_and_once_for_texts(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    entries_of(spark, [("r", KEYS, 9, "a marker two words and more", "list")]).write.parquet(path)
+    expected = expected_of(spark, [("r", *i) for i in ALL])
+    findings = ioc.detect_iocs(expected, ioc.Evidence(spark.read.parquet(path)))
+    assert len(scans_of(findings)) == 2
+    assert {f.ioc_id for f in findings.collect() if f.matched} == {"key", "any", "gone"}
+    no_text = ioc.detect_iocs(expected.where("content_contains IS NULL"), ioc.Evidence(spark.read.parquet(path)))
+    assert len(scans_of(no_text)) == 1 and "content" not in scans_of(no_text)[0].split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("limits", [ioc.Limits(), ioc.Limits(0, 0, 20)], ids=["sent", "shuffled"])
+def test_one_pass_like_the_matchers(spark, limits):
+    """Over 64 conditions of all kinds, repeated and clashing, against the matcher of each type."""
+    rng = random.Random(11)
+    data = []
+    for run in ("a", "b", "c"):
+        for n in range(40):
+            path = f"/p{rng.randrange(30)}"
+            kind = rng.choice(["path", "size", "marked", "gone", "text", "row", "bare", "odd"])
+            attributes = {
+                "path": {"path": path}, "size": {"path": path, "size_bytes": rng.randrange(3)},
+                "marked": {"path": path, "content_contains": rng.choice("xyz")}, "gone": {"path": path, "exists": False},
+                "text": {"content_contains": rng.choice(["x y", "z", "w w", "none"])}, "odd": {"exists": False},
+                "row": {"plugin": rng.choice("pq"), "k": str(rng.randrange(4))}, "bare": {"plugin": "p", "missing": None},
+            }[kind]
+            sources = rng.choice([None, [], ["s"], ["t", "s"], ["u"]])
+            data.append((run, f"{kind}-{n}", "process" if kind in ("row", "bare") else "file", attributes, sources))
+    expected = expected_of(spark, [*data, ("a", "other", "registry", {}, None), ("none", *GONE), ("none", *LOG)])
+    texts = ["x y", "z", "y w w x", None, ""]
+    entries = [(rng.choice("abc"), f"/p{rng.randrange(30)}", rng.choice([0, 1, 2, None]), rng.choice(texts), rng.choice("st")) for _ in range(60)]
+    tool = spark.createDataFrame(
+        [(rng.choice("abz"), rng.choice("pq"), {"k": str(rng.randrange(4))}) for _ in range(30)],
+        "run_id string, plugin string, attrs map<string,string>",
+    )
+    evidence = ioc.Evidence(entries_of(spark, entries * 2), tool)
+    key = ["run_id", "ioc_id", "matched"]
+    want = rows(ioc.detect_iocs(expected, evidence, matchers=ioc.MATCHERS), *key)
+    for definitions in (None, expected.drop("run_id")):
+        assert rows(ioc.findings_in_one_pass(expected, evidence, definitions, limits), *key) == want
+    assert rows(ioc.findings_in_one_pass(expected, evidence, None, limits, every_look=True), *key) == want
+    assert {r[2] for r in rows(ioc.findings_in_one_pass(expected, ioc.Evidence()), *key)} == {False}
+
+
+# --- levels -----------------------------------------------------------------------
+
+
+def test_presence_and_outcome_by_level(spark):
+    step = lambda levels, *ids: (levels, [(i,) for i in ids])
+    steps = spark.createDataFrame(
+        [("s", *step(["none", "high"], "log")), ("s", *step(["high"], "gone", "gone")), ("s", *step(None, "never")), ("s", *step(["high"]))],
+        "scenario_id string, evasion_levels array<string>, expected_iocs array<struct<id: string>>",
+    )
+    iocs = expected_of(spark, [(None, *LOG), (None, *GONE), (None, "spare", "file", {"path": "/x"}, None)]).drop("run_id")
+    grid = ioc.level_grid(steps, iocs)
+    assert rows(grid, "level", "ioc_id", "presence") == [
+        ("high", "gone", "expected"), ("high", "log", "expected"), ("high", "spare", "not_assessed"),
+        ("none", "gone", "not_expected"), ("none", "log", "expected"), ("none", "spare", "not_assessed"),
+    ]
+    runs = spark.createDataFrame(
+        [(r, "s", level) for r, level in (("h1", "high"), ("h2", "high"), ("n1", "none"), ("n2", "none"), ("dark", "none"))],
+        "run_id string, scenario_id string, level string",
+    )
+    entries = entries_of(
+        spark,
+        [("h1", "/var/log/auth.log", 0, None, "stat"), ("h2", "/root/.history", 1, None, "list"),
+         ("n1", "/var/log/auth.log", 5, None, "stat"), ("n1", "/y", 5, None, "list"), ("n2", "/root/.history", 5, None, "list")],
+    )
+    found = ioc.findings_at_level(runs, grid, ioc.Evidence(entries))
+    got = {(r, i): o for r, i, o in rows(found, "run_id", "ioc_id", "outcome") if i != "spare"}
+    assert got == {
+        ("h1", "log"): "found", ("h1", "gone"): "not_assessed", ("h2", "log"): "not_assessed", ("h2", "gone"): "missed",
+        ("n1", "log"): "missed", ("n1", "gone"): "unexpected", ("n2", "log"): "not_assessed", ("n2", "gone"): "absent",
+        ("dark", "log"): "not_assessed", ("dark", "gone"): "not_assessed",
+    }
+    assert {o for _, i, o in rows(found, "run_id", "ioc_id", "outcome") if i == "spare"} == {"not_assessed"}
+    by = outcome_metrics(found, ["level"])
+    assert rows(by, "level", "tp", "fn", "fp", "tn", "recall", "precision") == [("high", 1, 1, 0, 0, 0.5, 1.0), ("none", 0, 1, 1, 1, 0.0, 0.0)]

@@ -63,14 +63,14 @@ def test_scenario_keys(spark):
     assert [r.key for r in m.scenario_keys(keys).collect()] == ["B", "a", "b"]
 
 
-@pytest.mark.parametrize("buckets", [None, 1, 2, 5, 2000])
-def test_percentiles(spark, buckets):
+@pytest.mark.parametrize("rows_per_task", [1, 4, 20, 2000])
+def test_percentiles(spark, rows_per_task):
     groups = {"one": [5], "two": [1, 2], "many": [1, 1, 1, 7, 9, 9, 30, 2, 2], "none": [None], None: [4, 6]}
     df = spark.createDataFrame(
         [(g, v) for g, values in groups.items() for v in values], "g string, v int"
     )
     probs = {"low": 0.0, "mid": 0.5, "p95": 0.95, "top": 1.0}
-    got = {r.g: r for r in m.exact_percentiles(df, "g", "v", probs, buckets).collect()}
+    got = {r.g: r for r in m.exact_percentiles(df, "g", "v", probs, rows_per_task).collect()}
     assert set(got) == {"one", "two", "many", None}
     for g, r in got.items():
         values = sorted(groups[g])

@@ -94,17 +94,71 @@ def test_running(spark, kind, rows_per_task, descending):
     assert rows(got, *columns) == rows(want, *columns)
 
 
-def test_order_must_be_a_number_or_a_time(spark):
-    df = spark.createDataFrame([("k", "a")], "key string, at string")
-    with pytest.raises(TypeError, match="cannot order by at"):
-        skew.running(df, ["key"], ["at"], {"n": ("previous", "at")})
+def test_order_by_text(spark):
+    data = [("k", f"{i % 7}", i) for i in range(40)]
+    df = spark.createDataFrame(data, "key string, at string, id int")
+    for rows_per_task in (5, 1000):
+        got = skew.running(df, ["key"], ["at", "id"], {"before": ("previous", "id")}, rows_per_task)
+        order = sorted(data, key=lambda r: r[1:])
+        want = dict(zip([r[2] for r in order], [None, *[r[2] for r in order]]))
+        assert {r.id: r.before for r in got.collect()} == want
 
 
 def test_chunks_bound_a_hot_group(spark):
     df = spark.range(1000).select(F.lit("hot").alias("key"), "id", F.col("id").alias("at"))
-    chunked, cut = skew.ordered_chunks(df, ["key"], "at", 100)
-    assert cut
-    largest = chunked.groupBy("key", "__chunk").count().agg(F.max("count")).first()[0]
-    assert largest <= 130
-    whole, cut = skew.ordered_chunks(df, ["key"], "at", 1000)
-    assert not cut and whole.where("__chunk <> 0").isEmpty()
+    hot, others, rows_ = skew.hot_rows(df, ["key"], 100)
+    assert rows_ == 1000 and others.isEmpty()
+    chunked = skew.ordered_chunks(hot, ["key"], ["at"], rows_, 100)
+    assert chunked.groupBy("key", "__chunk").count().agg(F.max("count")).first()[0] <= 200
+    hot, others, rows_ = skew.hot_rows(df, ["key"], 1000)
+    assert rows_ == 0 and hot.isEmpty() and others.count() == 1000
+
+
+def test_rows_of_one_time_stamp_are_cut(spark):
+    """A third of the rows stand at one time, half of those being one row repeated."""
+    data = [("hot", 5, i if i % 2 else 0, 1) for i in range(300)] + [("hot", i % 11, 1000 + i, 1) for i in range(300)]
+    df = spark.createDataFrame([*data, ("cold", 1, 1, 1)], "key string, at int, id int, one int").repartition(3)
+    hot, _, n = skew.hot_rows(df, ["key"], 40)
+    sizes = skew.ordered_chunks(hot, ["key"], ["at"], n, 40).groupBy("__chunk").count().agg(F.max("count")).first()[0]
+    assert n == 600 and sizes <= 120
+    got = skew.running(df, ["key"], ["at"], {"total": ("sum", "one")}, 40)
+    # Each row of a key has its own running total.
+    assert sorted(r.total for r in got.where("key = 'hot'").collect()) == list(range(1, 601))
+    by_time = got.where("key = 'hot'").groupBy("at").agg(F.max("total").alias("t")).collect()
+    assert {r["at"]: r.t for r in by_time} == {a: sum(x[1] <= a for x in data) for a in {x[1] for x in data}}
+
+
+def test_over_two_thousand_chunks(spark):
+    n = 2300
+    df = spark.range(n).select(F.lit("hot").alias("key"), F.col("id").alias("at"), (F.col("id") % 3).alias("v"))
+    values = {"total": ("sum", "v"), "before": ("previous", "at")}
+    got = skew.running(df, ["key"], ["at"], values, 1).collect()
+    totals, total = {}, 0
+    for i in range(n):
+        total += i % 3
+        totals[i] = total
+    assert {r["at"]: r.total for r in got} == totals
+    assert all(r.before == (r["at"] - 1 if r["at"] else None) for r in got)
+
+
+# --- exact ranks ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["spread", "one hot value", "one hot bucket", "far apart", "all equal"])
+def test_values_at_ranks(spark, kind):
+    rng = random.Random(3)
+    value = {
+        "spread": lambda: rng.random(), "one hot value": lambda: rng.choice([7.0] * 8 + [rng.random() * 20]),
+        "one hot bucket": lambda: rng.choice([5 + rng.random() * 1e-9] * 20 + [rng.random() * 1e9]),
+        "far apart": lambda: 10.0 ** rng.randrange(-300, 300), "all equal": lambda: 4.0,
+    }[kind]
+    data = [(g, value()) for g, n in (("a", 1500), ("b", 900), (None, 40)) for _ in range(n)]
+    given = spark.createDataFrame(data, "g string, __value double").select(F.struct("g").alias("__group"), "__value")
+    by = {}
+    for g, v in data:
+        by.setdefault(g, []).append(v)
+    wanted = [((g,), k, len(vs)) for g, vs in by.items() for k in {0, 1, len(vs) // 2, len(vs) - 1}]
+    ranks = spark.createDataFrame(wanted, "__group struct<g: string>, __rank bigint, __n bigint")
+    for rows_per_task in (3, 100, 10_000):
+        got = skew.values_at_ranks(given, ranks, rows_per_task).collect()
+        assert {(r["__group"].g, r["__rank"]): r["__value"] for r in got} == {(g, k): sorted(by[g])[k] for (g,), k, _ in wanted}

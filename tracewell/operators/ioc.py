@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tracewell.functions import matches_attrs
@@ -26,6 +26,7 @@ from tracewell.operators.skew import (
     measure,
     salted_join,
 )
+from tracewell.session import work_path
 
 IOC_KEY = ("scenario_id", "ioc_id")
 
@@ -35,6 +36,8 @@ SCAN_MARKERS = 64
 # Stands for every source; no tool has an empty name.
 ANY_SOURCE = ""
 
+NO_ATTRS = "CAST(map() AS MAP<STRING, STRING>)"
+
 
 @dataclass
 class Evidence:
@@ -282,24 +285,29 @@ def match_process_iocs(
     distinct sets of fields of a run and plugin decide that.
     """
     columns = ["plugin", "attrs"]
-    nothing = F.create_map().cast("map<string,string>")
     of_plugin = lambda df: df.where("plugin IS NOT NULL").withColumn(
-        "attrs", F.coalesce("attrs", nothing)
+        "attrs", F.coalesce("attrs", F.expr(NO_ATTRS))
     )
     iocs = of_plugin(iocs)
+    wanted = _conditions(iocs if definitions is None else of_plugin(definitions), columns)
+    hits = process_hits(rows, wanted, limits)
+    return _no_pairs(rows) if hits is None else _pairs(iocs, hits.distinct(), columns, limits)
+
+
+def process_hits(rows: DataFrame, wanted: DataFrame, limits: Limits = Limits()) -> DataFrame | None:
+    """(run, condition) of rows that meet a condition: ``__cond``, ``plugin``, ``attrs``.
+
+    None if there are no conditions.
+    """
     given = F.array_sort(F.map_keys(F.map_filter("__wanted", lambda _, v: v.isNotNull())))
-    wanted = (
-        _conditions(iocs if definitions is None else of_plugin(definitions), columns)
-        .withColumnRenamed("attrs", "__wanted")
-        .withColumn("__name", F.get(given, F.lit(0)))
-    )
+    wanted = wanted.withColumnRenamed("attrs", "__wanted").withColumn("__name", F.get(given, F.lit(0)))
     by_value = wanted.where("__name IS NOT NULL").withColumn(
         "__value", F.element_at("__wanted", F.col("__name"))
     )
     by_shape = wanted.where("__name IS NULL").drop("__name")
     size = measure(wanted, bare=F.count_if(F.col("__name").isNull()))
     if not size["rows"]:
-        return _no_pairs(rows)
+        return None
     small = fits(size["rows"], size["chars"], limits.broadcast_rows)
 
     # The outer form, as Spark would evaluate the map again to drop empty ones.
@@ -327,7 +335,191 @@ def match_process_iocs(
                 shapes, by_shape, ["plugin"], "inner", ["run_id"], limits.rows_per_task
             )
         hits = hits.union(met.where(lacking).select("run_id", "__cond"))
-    return _pairs(iocs, hits.distinct(), columns, limits)
+    return hits
+
+
+# --- all indicators from one pass -------------------------------------------------------
+#
+# Every condition gets a number, whatever it is about: an entry at a path (with a
+# size, a marker), a marker anywhere, a tool row, that a run was looked at from a
+# source or by a plugin. Evidence meets the conditions once and gives, for each run,
+# the bits of those that hold, in words of 64. Findings only look at bits: an absence
+# needs one that is not set and one of its sources that is.
+
+AT_PATH, IN_TEXT, IN_ROW, LOOKED, PLUGIN = "path", "text", "row", "source", "plugin"
+
+CONDITION = {
+    "path": "string", "size_bytes": "bigint", "content_contains": "string",
+    "plugin": "string", "attrs": "map<string,string>", "source": "string",
+}
+
+
+def _tag(kind: str, **given: Column) -> Column:
+    """One condition as a struct of one shape; what it does not ask for is null."""
+    fields = [given.get(c, F.lit(None)).cast(k).alias(c) for c, k in CONDITION.items()]
+    return F.struct(F.lit(kind).alias("kind"), *fields)
+
+
+def _main_condition() -> Column:
+    """What must hold (or, for an absence, not hold) for an indicator; null if nothing can."""
+    path, size, marker = F.col("path"), F.col("size_bytes"), F.col("content_contains")
+    absent = F.coalesce(F.col("exists") == F.lit(False), F.lit(False))
+    of_file = (
+        F.when(absent & path.isNotNull(), _tag(AT_PATH, path=path))
+        .when(~absent & path.isNotNull(), _tag(AT_PATH, path=path, size_bytes=size, content_contains=marker))
+        .when(~absent & marker.isNotNull(), _tag(IN_TEXT, size_bytes=size, content_contains=marker))
+    )
+    of_row = F.when(
+        F.col("plugin").isNotNull(),
+        _tag(IN_ROW, plugin=F.col("plugin"), attrs=F.coalesce("attrs", F.expr(NO_ATTRS))),
+    )
+    return F.when(F.col("type") == "file", of_file).when(F.col("type") == "process", of_row)
+
+
+def _looks() -> Column:
+    """Which looks at a run an indicator can be told from, any of them."""
+    sources = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(ANY_SOURCE)))
+    by_plugin = F.array(_tag(PLUGIN, plugin=F.col("plugin")))
+    by_source = F.transform(sources, lambda s: _tag(LOOKED, source=s))
+    return F.when(F.col("type") == "file", by_source).when(
+        (F.col("type") == "process") & F.col("plugin").isNotNull(), by_plugin
+    )
+
+
+def _key(condition: Column) -> Column:
+    return F.when(condition.isNotNull(), F.sha2(F.to_json(condition, {"ignoreNullFields": "false"}), 256))
+
+
+def _numbered(definitions: DataFrame, every_look: bool) -> DataFrame:
+    """The distinct conditions with numbers, as a table in the shared folder.
+
+    A number is given once: plans that read the table again find the same.
+    """
+    looks = _looks() if every_look else F.when(F.col("exists") == F.lit(False), _looks())
+    asked = definitions.select(
+        F.explode(F.array_compact(F.concat(F.array(_main_condition()), F.coalesce(looks, F.array())))).alias("c")
+    )
+    path = work_path(definitions.sparkSession, "conditions")
+    asked.select(_key(F.col("c")).alias("__key"), "c").dropDuplicates(["__key"]).select(
+        "__key", F.monotonically_increasing_id().alias("__cond"), "c.*"
+    ).write.parquet(path)
+    return definitions.sparkSession.read.parquet(path)
+
+
+def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: Limits) -> DataFrame:
+    """(run, condition) of paths and sources, from a single reading of the entries."""
+    entries = _with_columns(entries, {"content": "string", "size_bytes": "bigint", "source": "string"})
+    used = entries.select("run_id", "path", "size_bytes", "content", "source")
+    if not sizes["markers"]:
+        used = used.withColumn("content", F.lit(None).cast("string"))
+    by_path = conditions.where(F.col("kind") == AT_PATH).select(
+        "path", F.col("size_bytes").alias("__size"), F.col("content_contains").alias("__marker"),
+        F.col("__cond").alias("__at"),
+    )
+    how = "left" if sizes["looks"] else "inner"
+    if fits(sizes["paths"], sizes["chars"], limits.broadcast_rows):
+        met = used.join(F.broadcast(by_path), "path", how)
+    else:
+        met = salted_join(used, by_path, ["path"], how, ["run_id", "size_bytes"], limits.rows_per_task)
+    holds = (
+        F.col("__at").isNotNull()
+        & (F.col("__size").isNull() | F.coalesce(F.col("size_bytes") == F.col("__size"), F.lit(False)))
+        & (F.col("__marker").isNull() | F.coalesce(F.contains("content", "__marker"), F.lit(False)))
+    )
+    found = [F.when(holds, F.col("__at"))]
+    if sizes["looks"]:
+        looks = conditions.where(F.col("kind") == LOOKED).select("source", F.col("__cond").alias("__look"))
+        named = looks.where(F.col("source") != ANY_SOURCE)
+        if fits(sizes["looks"], sizes["chars"], limits.broadcast_rows):
+            met = met.join(F.broadcast(named), "source", "left")
+        else:
+            met = salted_join(met, named, ["source"], "left", ["run_id"], limits.rows_per_task)
+        found.append(F.col("__look"))
+        anything = looks.where(F.col("source") == ANY_SOURCE).first()
+        if anything is not None:
+            found.append(F.lit(anything["__look"]))
+    return met.select("run_id", F.explode(F.array_compact(F.array(*found))).alias("__cond"))
+
+
+def condition_bits(evidence: Evidence, conditions: DataFrame, limits: Limits = Limits()) -> DataFrame | None:
+    """For each run a map from the number of a word to its 64 bits; None without evidence."""
+    kind = F.col("kind")
+    sizes = measure(
+        conditions, paths=F.count_if(kind == AT_PATH), markers=F.count_if((kind == AT_PATH) & F.col("content_contains").isNotNull()),
+        texts=F.count_if(kind == IN_TEXT), of_rows=F.count_if(kind == IN_ROW), looks=F.count_if(kind == LOOKED),
+        plugins=F.count_if(kind == PLUGIN),
+    )
+    hits = []
+    if evidence.entries is not None:
+        entries = _with_columns(evidence.entries, {"content": "string", "size_bytes": "bigint"})
+        if sizes["paths"] or sizes["looks"]:
+            hits.append(_entry_hits(entries, conditions, sizes, limits))
+        if sizes["texts"]:
+            wanted = conditions.where(kind == IN_TEXT).select("__cond", "content_contains", F.col("size_bytes").alias("__size"))
+            found = content_hits(entries, wanted, keep=["run_id", "size_bytes"], limits=limits)
+            hits.append(found.where("__size IS NULL OR size_bytes = __size").select("run_id", "__cond"))
+    if evidence.rows is not None and sizes["of_rows"]:
+        hits.append(process_hits(evidence.rows, conditions.where(kind == IN_ROW).select("__cond", "plugin", "attrs"), limits))
+    if evidence.rows is not None and sizes["plugins"]:
+        wanted = conditions.where(kind == PLUGIN).select("__cond", "plugin")
+        seen = evidence.rows.select("run_id", "plugin").distinct()
+        small = fits(sizes["plugins"], sizes["chars"], limits.broadcast_rows)
+        hits.append(seen.join(F.broadcast(wanted) if small else wanted, "plugin").select("run_id", "__cond"))
+    if not hits:
+        return None
+    bit = F.expr("shiftleft(1L, CAST(pmod(__cond, 64) AS INT))")
+    words = (
+        reduce(DataFrame.union, hits)
+        .groupBy("run_id", F.shiftright("__cond", 6).alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    # At most a row for each 64 conditions of a run.
+    return words.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__bits"))
+
+
+def _is_set(number: Column) -> Column:
+    word = F.try_element_at(F.col("__bits"), F.shiftright(number, 6))
+    at = F.pmod(number, F.lit(64)).cast("int")
+    return F.coalesce(F.call_function("shiftright", word, at).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def findings_in_one_pass(
+    expected: DataFrame,
+    evidence: Evidence,
+    definitions: DataFrame | None = None,
+    limits: Limits = Limits(),
+    every_look: bool = False,
+) -> DataFrame:
+    """``expected`` with ``matched`` and ``assessed``, from one pass over each kind of evidence.
+
+    ``assessed`` says whether the run was looked at from any of the indicator's
+    sources (any source if it names none), or by its plugin. It is asked of
+    absences only unless ``every_look`` is set; other indicators are then assessed.
+    """
+    conditions = _numbered(expected if definitions is None else definitions, every_look)
+    bits = condition_bits(evidence, conditions, limits)
+    columns = expected.columns
+    if bits is None:
+        return expected.withColumns({"matched": F.lit(False), "assessed": F.lit(not every_look)})
+    numbers = conditions.select("__key", "__cond")
+    absent = F.coalesce(F.col("exists") == F.lit(False), F.lit(False))
+    looks = F.transform(_looks() if every_look else F.when(absent, _looks()), lambda c: _key(c))
+    asked = expected.withColumns({"__key": _key(_main_condition()), "__look": looks})
+    defined = (expected if definitions is None else definitions).select(looks.alias("__look")).where("__look IS NOT NULL").distinct()
+    # Each distinct list of looks with its numbers.
+    lists = (
+        defined.select("__look", F.explode("__look").alias("__key")).join(numbers, "__key")
+        .groupBy("__look").agg(F.collect_list("__cond").alias("__looks"))
+    )
+    sizes = (limits.broadcast_rows, limits.rows_per_task)
+    told = checked_join(asked, numbers, ["__key"], "left", ["run_id"], *sizes)
+    told = checked_join(told, lists, ["__look"], "left", ["run_id"], *sizes)
+    seen = told.join(bits, "run_id", "left")
+    looked = F.exists("__looks", lambda n: _is_set(n))
+    found, looked = _is_set(F.col("__cond")), F.coalesce(looked, F.lit(False))
+    assessed = looked if every_look else F.when(absent, looked).otherwise(F.lit(True))
+    matched = F.when(absent, F.col("__cond").isNotNull() & looked & ~found).otherwise(found)
+    return seen.select(*columns, matched.alias("matched"), assessed.alias("assessed"))
 
 
 # --- detection -----------------------------------------------------------------------------
@@ -371,13 +563,16 @@ def detect_iocs(
 ) -> DataFrame:
     """One finding per run and expected indicator.
 
-    Indicators go to the matcher of their type; of an unknown type none match.
-    Matches are distinct (run, indicator) pairs before they meet the expected
-    ones, so repeated evidence never repeats a finding.
+    Indicators are of a file or of a process; of another type none match. All
+    are decided in one pass (``findings_in_one_pass``), so repeated evidence never
+    repeats a finding. With ``matchers`` indicators go to the matcher of their
+    type instead, and (run, indicator) pairs meet the expected ones.
     """
-    matchers = MATCHERS if matchers is None else matchers
     definitions = expected if definitions is None else definitions
     key = ["run_id", *IOC_KEY]
+    if matchers is None:
+        findings = findings_in_one_pass(expected, evidence, definitions)
+        return findings.select(*key, "ordinal", "type", "matched")
     of = lambda df, kind: df.where(F.col("type") == kind)
     pairs = [
         match(of(expected, kind), of(definitions, kind), evidence).select(*key)
@@ -408,3 +603,55 @@ def active_steps(steps: DataFrame) -> DataFrame:
         .groupBy("scenario_id", "level")
         .agg(F.count("*").alias("n_steps"))
     )
+
+
+# --- what is expected at a level ---------------------------------------------------------
+
+EXPECTED, NOT_EXPECTED, NOT_ASSESSED = "expected", "not_expected", "not_assessed"
+
+
+def level_grid(steps: DataFrame, iocs: DataFrame) -> DataFrame:
+    """Each indicator of a scenario at each of its evasion levels, and its ``presence``.
+
+    ``expected`` where a step that runs at the level expects the indicator,
+    ``not_expected`` where only steps of other levels do, ``not_assessed`` where
+    no step speaks of it. ``steps`` and ``iocs`` are those of scenario documents,
+    placeholders filled; a level counts if any step runs at it.
+    """
+    levels = steps.select("scenario_id", F.explode("evasion_levels").alias("level")).distinct()
+    claims = expected_at_level(steps).withColumn("__claimed", F.lit(True))
+    spoken = (
+        steps.select("scenario_id", F.explode("expected_iocs.id").alias("ioc_id"))
+        .distinct().withColumn("__spoken", F.lit(True))
+    )
+    presence = (
+        F.when(F.col("__claimed"), EXPECTED).when(F.col("__spoken"), NOT_EXPECTED).otherwise(NOT_ASSESSED)
+    )
+    return (
+        iocs.join(levels, "scenario_id")
+        .join(claims, ["scenario_id", "level", "ioc_id"], "left")
+        .join(spoken, ["scenario_id", "ioc_id"], "left")
+        .withColumn("presence", presence)
+        .drop("__claimed", "__spoken")
+    )
+
+
+def findings_at_level(
+    runs: DataFrame, grid: DataFrame, evidence: Evidence, limits: Limits = Limits()
+) -> DataFrame:
+    """Findings of runs (run_id, scenario_id, level) against the grid, with an ``outcome``.
+
+    ``found`` and ``missed`` of what was expected, ``unexpected`` and ``absent`` of
+    what was not; ``not_assessed`` where no step speaks of the indicator, or the run
+    has no evidence to tell it from, or its type is one that nothing tells.
+    """
+    expected = runs.join(grid, ["scenario_id", "level"])
+    findings = findings_in_one_pass(expected, evidence, grid, limits, every_look=True)
+    found, due = F.col("matched"), F.col("presence") == EXPECTED
+    outcome = (
+        F.when((F.col("presence") == NOT_ASSESSED) | ~F.col("assessed"), NOT_ASSESSED)
+        .when(due & found, "found").when(due, "missed").when(found, "unexpected").otherwise("absent")
+    )
+    return findings.select(
+        "run_id", *IOC_KEY, "level", "ordinal", "type", "presence", "assessed", "matched", outcome.alias("outcome")
+    )

@@ -7,23 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracewell.functions import has_value
-from tracewell.operators.skew import (
-    MAX_CHUNKS,
-    ROWS_PER_TASK,
-    as_number,
-    checked_join,
-    cut_at,
-    cut_points,
-)
+from tracewell.operators.skew import ROWS_PER_TASK, checked_join, values_at_ranks
 
 PROCESS_LIST = "linux.pslist"
 
-# Values to sort for one rank of a percentile.
-ROWS_PER_BUCKET = 250_000
-
 
 # --- tool output -----------------------------------------------------------------
 
@@ -128,6 +117,18 @@ def detection_metrics(
     )
 
 
+def outcome_metrics(findings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """tp, fn, fp, tn, not_assessed, recall and precision per group, from ``outcome``."""
+    of = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    names = {"tp": "found", "fn": "missed", "fp": "unexpected", "tn": "absent", "not_assessed": "not_assessed"}
+    return (
+        findings.groupBy(*by)
+        .agg(*[of(outcome).alias(name) for name, outcome in names.items()])
+        .withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+        .withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp")))
+    )
+
+
 def missed_iocs(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs only one side has: ``missed`` if expected, ``unexpected`` if found."""
     # Distinct first: a pair repeated many times is then one row per map task.
@@ -209,77 +210,42 @@ def normalize_truth(
 
 
 def exact_percentiles(
-    df: DataFrame, by: str, value: str, probs: dict[str, float], buckets: int | None = None
+    df: DataFrame, by: str, value: str, probs: dict[str, float], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Exact, interpolated percentiles per group, one column for each in ``probs``.
+    """Exact percentiles per group, interpolated, one column for each in ``probs``.
 
-    Values are first counted by group and bucket, the buckets being cut at
-    approximate quantiles. The counts say exactly in which buckets the wanted ranks
-    lie, so only the values of those buckets, a small part, are sorted. How good the
-    quantiles are bears on the amount of work, not on the result. Between two
-    ranks the value is interpolated as Spark's own ``percentile`` does it.
+    Groups a task can hold are left to Spark's ``percentile``. For the others the
+    two ranks next to each percentile are found by selection (``values_at_ranks``),
+    and the value between them is interpolated in the same way.
     """
-    if buckets is None:
-        rows = df.select(value).dropna().count()
-        buckets = max(1, min(-(-rows // ROWS_PER_BUCKET), MAX_CHUNKS))
-    number = as_number(df, value)
     # A struct, as a null group joins like any other then.
-    given = df.select(
-        F.struct(by).alias("__group"), F.col(value).alias("__value"), number.alias("__number")
-    ).where("__value IS NOT NULL")
-    bucketed = cut_at(given, cut_points(given, buckets))
-
-    # No group has more rows than there are buckets here.
-    group = Window.partitionBy("__group")
-    upto = F.sum("__n").over(group.orderBy("__cut").rowsBetween(Window.unboundedPreceding, 0))
-    counted = (
-        bucketed.groupBy("__group", "__cut")
-        .agg(F.count("*").alias("__n"))
-        .select(
-            "__group",
-            "__cut",
-            (upto - F.col("__n")).alias("__below"),
-            upto.alias("__upto"),
-            F.sum("__n").over(group).alias("__total"),
-        )
-    )
-    place = {n: (F.col("__total") - 1) * F.lit(p) for n, p in probs.items()}
-    ranks = F.array(*[r for at in place.values() for r in (F.floor(at), F.ceil(at))])
-    holds = F.exists(ranks, lambda r: (r >= F.col("__below")) & (r < F.col("__upto")))
-    wanted = counted.where(holds).drop("__upto")
-
-    # A bucket is left for each rank, and equal values are counted.
-    sorted_ = Window.partitionBy("__group", "__cut").orderBy("__value")
-    upto = F.sum("__n").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__below")
-    ranked = (
-        checked_join(bucketed, wanted, ["__group", "__cut"], "inner", ["__value"])
-        .groupBy("__group", "__cut", "__below", "__total", "__value")
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__upto", upto)
+    given = df.select(F.struct(by).alias("__group"), F.col(value).alias("__value")).where("__value IS NOT NULL")
+    totals = given.groupBy("__group").agg(F.count("*").alias("__n"))
+    hot = totals.where(F.col("__n") > rows_per_task)
+    exact = [F.percentile("__value", p).alias(n) for n, p in probs.items()]
+    if hot.isEmpty():
+        return given.groupBy("__group").agg(*exact).select(f"__group.{by}", *probs)
+    place = {n: (F.col("__n") - 1) * F.lit(p) for n, p in probs.items()}
+    ranks = F.array_distinct(F.array(*[r for at in place.values() for r in (F.floor(at), F.ceil(at))]))
+    wanted = hot.select("__group", F.explode(ranks).alias("__rank"), "__n")
+    told = values_at_ranks(given, wanted, rows_per_task)
+    # A value for each percentile and side; at most twice as many rows as percentiles.
+    by_rank = told.groupBy("__group").agg(
+        F.map_from_entries(F.collect_set(F.struct("__rank", F.col("__value").cast("double")))).alias("__at")
     )
 
-    def value_at(rank: Column) -> Column:
-        here = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
-        return F.max(F.when(here, F.col("__value").cast("double")))
-
-    columns = []
-    for name, at in place.items():
-        columns += [
-            value_at(F.floor(at)).alias(f"__{name}_low"),
-            value_at(F.ceil(at)).alias(f"__{name}_high"),
-            F.max(at).alias(f"__{name}_at"),
-        ]
-    edges = ranked.groupBy("__group").agg(*columns)
-    def between(n: str) -> Column:
-        low, high, at = (F.col(f"__{n}_{x}") for x in ("low", "high", "at"))
+    def between(at: Column) -> Column:
+        low, high = F.try_element_at("__at", F.floor(at)), F.try_element_at("__at", F.ceil(at))
         mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
         return F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise(mixed)
 
-    return edges.select(f"__group.{by}", *[between(n).alias(n) for n in probs])
+    selected = by_rank.join(hot, "__group").select("__group", *[between(at).alias(n) for n, at in place.items()])
+    others = checked_join(given, hot.select("__group"), ["__group"], "left_anti", ["__value"])
+    return others.groupBy("__group").agg(*exact).union(selected).select(f"__group.{by}", *probs)
 
 
 def acquisition_stats(
-    images: DataFrame, by: str = "distro_id", buckets: int | None = None
+    images: DataFrame, by: str = "distro_id", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Per group: number, mean and percentiles of seconds, compression ratio."""
     seconds = "acquisition_seconds"
@@ -289,6 +255,6 @@ def acquisition_stats(
         F.try_divide(F.sum("ewf_size_bytes"), F.sum("virtual_size_bytes")).alias("ratio"),
     )
     probs = {"p50_seconds": 0.5, "p95_seconds": 0.95}
-    percentiles = exact_percentiles(images, by, seconds, probs, buckets)
+    percentiles = exact_percentiles(images, by, seconds, probs, rows_per_task)
     same = totals[by].eqNullSafe(percentiles[by])
     return totals.join(percentiles, same, "left").select(totals["*"], *probs)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tracewell.session import work_path
+
 # Rows of one key that a single task may be given.
 ROWS_PER_TASK = 2_000_000
 
@@ -17,10 +18,6 @@ ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 32 * 1024 * 1024
 
-# Most chunks a scan is cut into. It bounds the cut points kept in the plan;
-# beyond it chunks get longer, and the result stays the same.
-MAX_CHUNKS = 2_000
-
 
 def measure(df: DataFrame, **more: Column) -> Row:
     """Rows and characters of a table, and what else is asked, in one job."""
@@ -117,72 +114,44 @@ def checked_join(
 # --- ordered scans -----------------------------------------------------------
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """An ordered column as a double of the same order."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        since = F.col(column) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return since.cast("interval second").cast("decimal(20,6)").cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, (T.NumericType, T.TimestampType)):
-        return F.col(column).cast("double")
-    raise TypeError(f"cannot order by {column}, a {kind.simpleString()}")
-
-
-def cut_points(df: DataFrame, parts: int) -> list[float]:
-    """Where to cut ``__number`` into about equal parts."""
-    if parts < 2:
-        return []
-    probs = [i / parts for i in range(1, parts)]
-    return df.where("__number IS NOT NULL").approxQuantile("__number", probs, 0.25 / parts)
-
-
-def cut_at(df: DataFrame, points: Sequence[float]) -> DataFrame:
-    """Adds ``__cut``: how many of the points ``__number`` has reached, or null."""
-    given = F.col("__number").isNotNull()
-    if not points:
-        return df.withColumn("__cut", F.when(given, 0))
-    splits = [float("-inf"), *sorted(set(points)), float("inf")]
-    bucketizer = Bucketizer(
-        splits=splits, inputCol="__number", outputCol="__cut", handleInvalid="keep"
-    )
-    return bucketizer.transform(df).withColumn("__cut", F.when(given, F.col("__cut").cast("int")))
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed: no maps and no variants in them."""
+    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
 
 
-def ordered_chunks(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int
-) -> tuple[DataFrame, bool]:
-    """Cut the rows of hot keys into chunks that follow ``order``.
-
-    Adds ``__chunk``: 1 and up in hot keys, 0 in all others. The cut points are
-    quantiles of the hot rows, fixed as numbers before the scan is planned, so
-    a row gets the same chunk in every part of the plan and in every retry.
-    Returns whether anything had to be cut.
-    """
+def hot_rows(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of hot keys, all others, and how many hot ones there are."""
     keys = list(keys)
-    number = as_number(df, order)
     hot = hot_keys(df, keys, rows_per_task)
-    total = hot.agg(F.sum("__rows").alias("n")).first()["n"]
-    if not total:
-        return df.withColumn("__chunk", F.lit(0)), False
-    # Bounded by rows / rows_per_task, see hot_keys.
-    hot = F.broadcast(
-        hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias("__hot"))
-    )
-    same_key = F.lit(True)
-    for k in keys:
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"__hot_{k}"))
-    marked = (
-        df.join(hot, same_key, "left")
-        .drop(*[f"__hot_{k}" for k in keys])
-        .withColumn("__number", F.when(F.col("__hot"), number))
+    size = measure(hot, total=F.coalesce(F.sum("__rows"), F.lit(0)))
+    if not size["total"]:
+        return df.limit(0), df, 0
+    # A struct, as a null key joins like any other then. At most
+    # rows / rows_per_task keys; beyond the measured bound the join is a shuffle,
+    # whose large partitions Spark splits.
+    named = hot.select(F.struct(*keys).alias("__hot"))
+    named = F.broadcast(named) if fits(size["rows"], size["chars"]) else named
+    marked = df.withColumn("__hot", F.struct(*keys))
+    return (
+        marked.join(named, "__hot", "left_semi").drop("__hot"),
+        marked.join(named, "__hot", "left_anti").drop("__hot"),
+        size["total"],
     )
-    chunks = min(-(-total // rows_per_task), MAX_CHUNKS)
-    # Rows of a hot key without an order value sort first, so chunk 1 takes them.
-    place = F.coalesce(F.col("__cut") + 1, F.lit(1))
-    cut = cut_at(marked, cut_points(marked, chunks)).withColumn("__chunk", F.when(F.col("__hot"), place).otherwise(0))
-    return cut.drop("__number", "__cut", "__hot"), True
+
+
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, rows_per_task: int) -> DataFrame:
+    """The rows in chunks of about ``rows_per_task`` that follow keys and order.
+
+    Adds ``__chunk``. Spark's range partitioning finds the bounds, over keys, order
+    and ``__tie``, which tells equal rows apart as well: any group can be cut, also
+    rows of one time stamp. The chunks are a table in the shared folder, so a row
+    has the same chunk in every part of a plan and in every retry.
+    """
+    path = work_path(df.sparkSession, "chunks")
+    tied = df.withColumn("__tie", F.struct(F.xxhash64(*_hashable(df)).alias("h"), F.monotonically_increasing_id().alias("n")))
+    dealt = tied.repartitionByRange(max(1, -(-rows // rows_per_task)), *keys, *order, "__tie")
+    dealt.withColumn("__chunk", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def running(
@@ -197,30 +166,42 @@ def running(
 
     ``values`` maps a new column to (kind, column), the kind being ``last``
     (latest non-null value so far), ``sum`` or ``previous`` (the value of the
-    row before). ``order`` must tell the rows of a key apart, its first column
-    being a number or a time.
+    row before). Rows that ``order`` does not tell apart come in some fixed order.
 
-    Without hot keys this is one window. The rows of a hot key are cut into
-    chunks of the order; each chunk is scanned by a task of its own, and what
-    the earlier chunks left is added from a summary of one row per chunk.
+    Keys of few rows share one window. The rows of hot keys are cut into chunks
+    (``ordered_chunks``), as many as it takes; each is scanned by a task of its own,
+    and what the earlier chunks left is added from a summary of one row per key and
+    chunk.
     """
     keys, order = list(keys), list(order)
-    chunked, cut = ordered_chunks(df, keys, order[0], rows_per_task)
-    groups = [*keys, "__chunk"]
-    sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    rows = Window.partitionBy(*groups).orderBy(*sort)
+    hot, others, rows = hot_rows(df, keys, rows_per_task)
+    tie = F.xxhash64(*_hashable(df))
+    result = others.withColumns(_local(Window.partitionBy(*keys), [*order, tie], values, descending))
+    if rows:
+        chunks = ordered_chunks(hot, keys, order, rows, rows_per_task)
+        scanned = _carried(chunks, keys, order, values, descending)
+        result = result.select(*df.columns, *values).union(scanned.select(*df.columns, *values))
+    return result.select(*df.columns, *values)
+
+
+def _local(groups, order: Sequence[str | Column], values: dict[str, tuple[str, str]], descending: bool) -> dict[str, Column]:
+    named = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = groups.orderBy(*[c.desc() if descending else c.asc() for c in named])
     so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {}
-    for name, (kind, column) in values.items():
-        local[name] = {
-            "last": lambda c: F.last(c, ignorenulls=True).over(so_far),
-            "sum": lambda c: F.sum(c).over(so_far),
-            "previous": lambda c: F.lag(c).over(rows),
-        }[kind](column)
-    if not cut:
-        return chunked.withColumns(local).drop("__chunk")
-
-    at = F.struct(*order)
+    make = {
+        "last": lambda c: F.last(c, ignorenulls=True).over(so_far),
+        "sum": lambda c: F.sum(c).over(so_far),
+        "previous": lambda c: F.lag(c).over(rows),
+    }
+    return {name: make[kind](column) for name, (kind, column) in values.items()}
+
+
+def _carried(
+    chunked: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], descending: bool
+) -> DataFrame:
+    """Scans of the chunks, and what the chunks before each have left."""
+    groups, within = [*keys, "__chunk"], [*order, "__tie"]
+    at = F.struct(*within)
     edge = F.min_by if descending else F.max_by
     summary = {
         "last": lambda c: edge(c, F.when(F.col(c).isNotNull(), at)),
@@ -235,23 +216,16 @@ def running(
         "sum": lambda c: F.sum(c).over(before),
         "previous": lambda c: F.lag(c).over(chunks),
     }
-    # Hot keys only, and at most MAX_CHUNKS rows of each: no hot group here.
     carried = (
-        chunked.where("__chunk > 0")
-        .groupBy(*groups)
+        chunked.groupBy(*groups)
         .agg(*[summary[k](c).alias(f"__carry_{n}") for n, (k, c) in values.items()])
         .withColumns({f"__carry_{n}": carry[k](f"__carry_{n}") for n, (k, _) in values.items()})
-        .select(
-            *[F.col(g).alias(f"__at_{g}") for g in groups], *[f"__carry_{n}" for n in values]
-        )
-    )
-    same = F.lit(True)
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"__at_{g}"))
-    joined = (
-        chunked.withColumns({**local, "__first": F.row_number().over(rows) == 1})
-        .join(carried, same, "left")
+        .select(F.struct(*groups).alias("__at"), *[f"__carry_{n}" for n in values])
     )
+    window = Window.partitionBy(*groups)
+    named = [F.col(c).desc() if descending else F.col(c).asc() for c in within]
+    local = _local(window, within, values, descending)
+    scanned = chunked.withColumns({**local, "__first": F.row_number().over(window.orderBy(*named)) == 1, "__at": F.struct(*groups)})
     combine = {
         "last": lambda n: F.coalesce(n, f"__carry_{n}"),
         "sum": lambda n: F.coalesce(F.col(n) + F.col(f"__carry_{n}"), n, f"__carry_{n}"),
@@ -259,5 +233,87 @@ def running(
             F.col("__first"), F.col(f"__carry_{n}").getField(values[n][1])
         ).otherwise(F.col(n)),
     }
-    result = joined.withColumns({n: combine[k](n) for n, (k, _) in values.items()})
-    return result.select(*df.columns, *values)
+    return scanned.join(carried, "__at", "left").withColumns({n: combine[k](n) for n, (k, _) in values.items()})
+
+
+# --- exact ranks -------------------------------------------------------------
+
+# Values an interval is cut at in one round, and how exact they are to be.
+CUTS = 63
+CUT_ACCURACY = 1_000
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _inside(given: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Rows in the open intervals of their group; a null bound is none."""
+    joined = checked_join(given, intervals, ["__group"], "inner", ["__value"])
+    above = F.col("__low").isNull() | (F.col("__value") > F.col("__low"))
+    below = F.col("__high").isNull() | (F.col("__value") < F.col("__high"))
+    return joined.where(above & below)
+
+
+def values_at_ranks(given: DataFrame, wanted: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The value at each rank (from 0) of a group: ``__group``, ``__rank``, ``__value``.
+
+    ``given`` has ``__group`` and ``__value`` (no nulls), ``wanted`` ``__group``,
+    ``__rank`` and ``__n``, the rows of the group. An interval of values that holds
+    a wanted rank and too many rows is cut at approximate quantiles of its own, and
+    its rows are counted between and at the cuts. That says exactly where the rank
+    lies: at a cut, which is the value, however often it stands there, or between
+    two, where the next round goes on with a small part of the rows. What is left
+    is sorted, at most ``rows_per_task`` rows to a task.
+    """
+    kind = given.schema["__value"].dataType
+    nothing = F.lit(None).cast(kind)
+    state = _written(
+        wanted.select("__group", "__rank", nothing.alias("__low"), nothing.alias("__high"), F.lit(0).cast("bigint").alias("__below"), "__n"),
+        "ranks",
+    )
+    interval = ["__group", "__low", "__high", "__below"]
+    grid = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    found, small = [], []
+    while True:
+        small.append(state.where(F.col("__n") <= rows_per_task))
+        large = state.where(F.col("__n") > rows_per_task)
+        if large.isEmpty():
+            break
+        within = _inside(given, large.select(*interval).distinct())
+        cuts = F.array_distinct(F.percentile_approx("__value", grid, CUT_ACCURACY))
+        # A table, as approximate quantiles may differ when computed again.
+        bounds = _written(within.groupBy(*interval).agg(F.array_sort(cuts).alias("__cuts")), "cuts")
+        # 2 i between the cuts i - 1 and i, 2 i + 1 at the cut i.
+        place = 2 * F.size(F.filter("__cuts", lambda c: c < F.col("__value"))) + F.array_contains("__cuts", F.col("__value")).cast("int")
+        upto = F.sum("__here").over(Window.partitionBy("__group", "__below").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+        counted = (
+            _inside(given, bounds).groupBy(*interval, "__cuts", place.alias("__place")).agg(F.count("*").alias("__here"))
+            .withColumn("__upto", upto + F.col("__below"))
+        )
+        ranks = large.select("__group", "__below", "__rank")
+        met = counted.join(ranks, ["__group", "__below"]).where(
+            (F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__here"))
+        )
+        at = lambda i: F.get("__cuts", i.cast("int"))
+        half = F.floor(F.col("__place") / 2)
+        exact = F.col("__place") % 2 == 1
+        state = _written(
+            met.select(
+                "__group", "__rank", F.when(exact, at(half)).alias("__value"),
+                F.when(half > 0, at(half - 1)).otherwise(F.col("__low")).alias("__low"),
+                F.coalesce(at(half), F.col("__high")).alias("__high"),
+                (F.col("__upto") - F.col("__here")).alias("__below"), F.col("__here").alias("__n"),
+            ),
+            "ranks",
+        )
+        found.append(state.where("__value IS NOT NULL").select("__group", "__rank", "__value"))
+        state = state.where("__value IS NULL").drop("__value")
+    rest = reduce(DataFrame.union, small)
+    counts = _inside(given, rest.select(*interval).distinct()).groupBy("__group", "__below", "__value").agg(F.count("*").alias("__here"))
+    upto = F.sum("__here").over(Window.partitionBy("__group", "__below").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0))
+    sorted_ = counts.withColumn("__upto", upto + F.col("__below")).join(rest.select("__group", "__below", "__rank"), ["__group", "__below"])
+    last = sorted_.where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__here")))
+    return reduce(DataFrame.union, found, last.select("__group", "__rank", "__value"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell import schemas
 from tracewell.operators import ioc
-from tracewell.operators.metrics import findings_document
+from tracewell.operators.metrics import findings_document, outcome_metrics
 from tracewell.plans.registry import query, table
+from tracewell.sources import scenario_iocs, scenario_steps
 
 NO_TEXT = "CAST(NULL AS STRING)"
 
@@ -15,7 +17,7 @@ ITEMS_PER_SCENARIO = 16
 
 
 def _text(column):
-    return F.col(column).cast("string")
+    return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
 # --- files: line items as entries, parts as indicators -----------------------
@@ -266,36 +268,39 @@ def _scenario():
 def _item_iocs(spark, folder):
     """An item's indicators.
 
-    One of its text, one of a file that must not exist and one of a type nothing
-    can match.
+    One of its text, one of a file that must not exist, one of a type nothing can
+    match, one of a file that must exist, and one of a tool row.
     """
     item = _text("item_id")
-    want = lambda n, kind, type_, path, text, exists: F.struct(
-        (F.col("item_id") * 3 + n).alias("ordinal"),
+    none = F.lit(None)
+    plugins = F.array(*map(F.lit, ["click", "view", "error", "signup", "purchase"]))
+    plugin = F.element_at(plugins, (F.col("item_id") % 5 + 1).cast("int"))
+    attrs = F.create_map(F.lit("k"), (F.col("item_id") % 100).cast("string"))
+    want = lambda n, kind, type_, path=none, text=none, exists=None, plugin=none, attrs=none: F.struct(
+        (F.col("item_id") * 5 + n).alias("ordinal"),
         F.concat(F.lit(f"{kind}-"), item).alias("ioc_id"),
         F.lit(type_).alias("type"),
         path.cast("string").alias("path"),
         text.cast("string").alias("content_contains"),
         F.lit(exists).cast("boolean").alias("exists"),
+        plugin.cast("string").alias("plugin"),
+        attrs.cast("map<string,string>").alias("attrs"),
     )
-    none = F.lit(None)
+    path = F.concat(F.lit("/doc/"), item)
     iocs = table(spark, folder, "benchmark").select(
         _scenario().alias("scenario_id"),
         F.explode(
             F.array(
-                want(0, "text", "file", none, F.col("text"), None),
-                want(1, "gone", "file", F.concat(F.lit("/doc/"), item), none, False),
-                want(2, "key", "registry", none, none, None),
+                want(0, "text", "file", text=F.col("text")),
+                want(1, "gone", "file", path, exists=False),
+                want(2, "key", "registry"),
+                want(3, "here", "file", path),
+                want(4, "row", "process", plugin=plugin, attrs=attrs),
             )
         ).alias("ioc"),
     ).select("scenario_id", "ioc.*")
     return iocs.withColumns(
-        {
-            "size_bytes": F.lit(None).cast("bigint"),
-            "plugin": F.lit(None).cast("string"),
-            "attrs": F.lit(None).cast("map<string,string>"),
-            "sources": F.lit(None).cast("array<string>"),
-        }
+        {"size_bytes": F.lit(None).cast("bigint"), "sources": F.lit(None).cast("array<string>")}
     )
 
 
@@ -326,10 +331,19 @@ def _document_entries(spark, folder):
     )
 
 
+def _source_rows(spark, folder):
+    """Events as tool rows of the sources."""
+    return table(spark, folder, "events", spread=True).select(
+        F.concat(F.lit("src"), _text(F.col("user_id") % 20)).alias("run_id"),
+        F.col("event_type").alias("plugin"),
+        F.from_json("props", "map<string,string>").alias("attrs"),
+    )
+
+
 def detection(spark, folder):
     return ioc.detect_iocs(
         _expected(spark, folder),
-        ioc.Evidence(entries=_document_entries(spark, folder)),
+        ioc.Evidence(_document_entries(spark, folder), _source_rows(spark, folder)),
         _item_iocs(spark, folder),
     )
 
@@ -339,16 +353,26 @@ FINDINGS = f"""
     runs AS (SELECT DISTINCT source AS run_id FROM documents),
     hits AS (SELECT DISTINCT d.source AS run_id, b.item_id FROM documents d
              JOIN benchmark b ON contains(d.text, b.text)),
+    rows AS (SELECT DISTINCT 'src' || (user_id % 20) AS run_id, event_type,
+             CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    docs AS (SELECT DISTINCT source AS run_id, doc_id FROM documents),
+    grid AS (SELECT run_id, scenario_id, item_id,
+             (['click', 'view', 'error', 'signup', 'purchase'])[item_id % 5 + 1] AS plugin FROM runs, items),
     findings AS (
-      SELECT run_id, scenario_id, item_id * 3 AS ordinal, 'text-' || item_id AS ioc_id, 'file' AS type,
-             EXISTS (SELECT 1 FROM hits h WHERE h.run_id = r.run_id AND h.item_id = i.item_id) AS matched
-      FROM runs r, items i
+      SELECT g.run_id, scenario_id, g.item_id * 5 AS ordinal, 'text-' || g.item_id AS ioc_id, 'file' AS type,
+             h.item_id IS NOT NULL AS matched
+      FROM grid g LEFT JOIN hits h ON h.run_id = g.run_id AND h.item_id = g.item_id
+      UNION ALL
+      SELECT g.run_id, scenario_id, item_id * 5 + 1, 'gone-' || item_id, 'file', d.doc_id IS NULL
+      FROM grid g LEFT JOIN docs d ON d.run_id = g.run_id AND doc_id = item_id
       UNION ALL
-      SELECT run_id, scenario_id, item_id * 3 + 1, 'gone-' || item_id, 'file',
-             NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = r.run_id AND d.doc_id = i.item_id)
-      FROM runs r, items i
+      SELECT run_id, scenario_id, item_id * 5 + 2, 'key-' || item_id, 'registry', false FROM grid
       UNION ALL
-      SELECT run_id, scenario_id, item_id * 3 + 2, 'key-' || item_id, 'registry', false FROM runs r, items i
+      SELECT g.run_id, scenario_id, item_id * 5 + 3, 'here-' || item_id, 'file', d.doc_id IS NOT NULL
+      FROM grid g LEFT JOIN docs d ON d.run_id = g.run_id AND doc_id = item_id
+      UNION ALL
+      SELECT g.run_id, scenario_id, item_id * 5 + 4, 'row-' || item_id, 'process', r.k IS NOT NULL
+      FROM grid g LEFT JOIN rows r ON r.run_id = g.run_id AND event_type = plugin AND r.k = item_id % 100
     )"""
 
 
@@ -421,3 +445,119 @@ def expected_at_level(spark, folder):
 )
 def active_steps(spark, folder):
     return ioc.active_steps(_leveled_steps(spark, folder))
+
+
+# --- scenario documents to findings by level: parts as scenarios, line items as entries -------
+
+LEVEL_NAMES = ("none", "normal", "high")
+
+
+def _scenario_documents(spark, folder):
+    """A scenario per part, as the JSON text of a document."""
+    key = _text("p_partkey")
+    none = F.lit(None).cast("string")
+    levels = lambda *names: F.array(*map(F.lit, names))
+
+    def indicator(id_, type_="file", sources=("F",), **attributes):
+        given = {"path": none, "exists": none, "size_bytes": none, **attributes}
+        named = F.create_map(*[x for n, v in given.items() for x in (F.lit(n), v.cast("string"))])
+        return F.struct(
+            F.concat(F.lit(f"{id_}-"), key).alias("id"), F.lit(type_).alias("type"),
+            F.map_filter(named, lambda _, v: v.isNotNull()).alias("attributes"), levels(*sources).alias("sources"),
+        )
+
+    at = F.concat(F.lit("{{root}}/"), key)
+    there = indicator("there", path=at, sources=("F", "O"))
+    gone = indicator("gone", path=F.concat(at, F.lit("/{{leaf}}")), exists=F.lit("false"))
+    size = indicator("size", path=at, size_bytes=F.col("p_size"), sources=("O",))
+    extra = indicator("extra", "registry")
+    hidden = F.when(F.col("p_size") < 20, levels("normal", "high")).otherwise(levels("high"))
+    step = lambda n, where, *expects: F.struct(
+        F.lit(f"step-{n}").alias("id"), where.alias("evasion_levels"), F.array(*expects).alias("expected_iocs")
+    )
+    defaults = F.create_map(F.lit("root"), F.lit("/parts"), F.lit("leaf"), F.lit("R"))
+    document = F.struct(
+        F.concat(F.lit("part-"), key).alias("id"), defaults.alias("defaults"),
+        F.array(step(1, levels(*LEVEL_NAMES), there), step(2, hidden, gone), step(3, levels("high"), there, size)).alias("steps"),
+        F.struct(F.array(there, gone, size, extra).alias("iocs")).alias("ground_truth"),
+    )
+    text = F.to_json(document)
+    return table(spark, folder, "part").select(F.from_json(text, schemas.SCENARIO).alias("doc")).select("doc.*")
+
+
+def _findings_at_level(spark, folder):
+    documents = _scenario_documents(spark, folder)
+    grid = ioc.level_grid(scenario_steps(documents), scenario_iocs(documents))
+    run = lambda part, level: F.concat(F.lit("run-"), part.cast("string"), F.lit("-"), level)
+    names = F.array(*map(F.lit, LEVEL_NAMES))
+    runs = (
+        table(spark, folder, "part").select("p_partkey", F.explode(names).alias("level"))
+        .select(
+            run(F.col("p_partkey"), F.col("level")).alias("run_id"),
+            F.concat(F.lit("part-"), _text("p_partkey")).alias("scenario_id"), "level",
+        )
+    )
+    leaf = F.when(F.col("l_returnflag") == "R", "/R").otherwise("")
+    entries = table(spark, folder, "lineitem").select(
+        run(F.col("l_partkey"), F.element_at(names, (F.col("l_orderkey") % 3 + 1).cast("int"))).alias("run_id"),
+        F.concat(F.lit("/parts/"), _text("l_partkey"), leaf).alias("path"),
+        F.col("l_quantity").cast("bigint").alias("size_bytes"),
+        F.col("l_linestatus").alias("source"),
+    )
+    return ioc.findings_at_level(runs, grid, ioc.Evidence(entries))
+
+
+AT_LEVEL = """
+    WITH runs AS (
+      SELECT p_partkey AS k, p_size AS size, unnest(['none', 'normal', 'high']) AS level FROM part
+    ), entries AS (
+      SELECT l_partkey AS k, (['none', 'normal', 'high'])[l_orderkey % 3 + 1] AS level, l_returnflag = 'R' AS leaf,
+             CAST(l_quantity AS BIGINT) AS n, l_linestatus AS source FROM lineitem
+    ), told AS (
+      SELECT r.k, r.size, r.level, coalesce(bool_or(NOT leaf), false) AS there, coalesce(bool_or(leaf), false) AS leaf,
+             coalesce(bool_or(NOT leaf AND n = r.size), false) AS sized,
+             coalesce(bool_or(source = 'F'), false) AS f, coalesce(bool_or(source = 'O'), false) AS o
+      FROM runs r LEFT JOIN entries e ON e.k = r.k AND e.level = r.level GROUP BY r.k, r.size, r.level
+    ), grid AS (
+      SELECT k, level, 'there' AS ioc, 'expected' AS presence, there AS matched, f OR o AS assessed FROM told
+      UNION ALL
+      SELECT k, level, 'gone', CASE WHEN level = 'high' OR (level = 'normal' AND size < 20) THEN 'expected' ELSE 'not_expected' END,
+             f AND NOT leaf, f FROM told
+      UNION ALL
+      SELECT k, level, 'size', CASE WHEN level = 'high' THEN 'expected' ELSE 'not_expected' END, sized, o FROM told
+      UNION ALL
+      SELECT k, level, 'extra', 'not_assessed', false, false FROM told
+    ), findings AS (
+      SELECT *, CASE WHEN presence = 'not_assessed' OR NOT assessed THEN 'not_assessed'
+                     WHEN presence = 'expected' THEN CASE WHEN matched THEN 'found' ELSE 'missed' END
+                     WHEN matched THEN 'unexpected' ELSE 'absent' END AS outcome FROM grid
+    )
+    """
+
+
+@query(
+    "jn10_findings_at_level",
+    AT_LEVEL
+    + """
+    SELECT 'run-' || k || '-' || level AS run_id, 'part-' || k AS scenario_id, ioc || '-' || k AS ioc_id, level,
+           presence, assessed, matched, outcome FROM findings
+    """,
+)
+def findings_at_level(spark, folder):
+    return _findings_at_level(spark, folder).drop("ordinal", "type")
+
+
+@query(
+    "ag07_recall_by_level",
+    AT_LEVEL
+    + """
+    , counted AS (
+      SELECT level, count(*) FILTER (outcome = 'found') AS tp, count(*) FILTER (outcome = 'missed') AS fn,
+             count(*) FILTER (outcome = 'unexpected') AS fp, count(*) FILTER (outcome = 'absent') AS tn,
+             count(*) FILTER (outcome = 'not_assessed') AS not_assessed FROM findings GROUP BY level)
+    SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall,
+           CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision FROM counted
+    """,
+)
+def recall_by_level(spark, folder):
+    return outcome_metrics(_findings_at_level(spark, folder), ["level"])

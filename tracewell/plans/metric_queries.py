@@ -280,14 +280,14 @@ AG10 = f"""
     """
 
 
-def _acquisitions(spark, folder, **buckets):
+def _acquisitions(spark, folder, **limits):
     images = table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("distro_id"),
         _cents("l_extendedprice").alias("acquisition_seconds"),
         F.col("l_quantity").cast("bigint").alias("ewf_size_bytes"),
         _cents("l_extendedprice").alias("virtual_size_bytes"),
     )
-    return metrics.acquisition_stats(images, **buckets)
+    return metrics.acquisition_stats(images, **limits)
 
 
 @query("ag10_acquisition_stats", AG10)
@@ -297,5 +297,5 @@ def acquisition_stats(spark, folder):
 
 @query("ag10_acquisition_stats_chunked", AG10)
 def acquisition_stats_chunked(spark, folder):
-    """The same with few buckets, so that the ranks are found in larger ones."""
-    return _acquisitions(spark, folder, buckets=7)
+    """The way taken for groups of more rows than a task should sort."""
+    return _acquisitions(spark, folder, rows_per_task=50)
