@@ -77,6 +77,33 @@ def test_bpe_as_the_library(docs):
         assert bytes(x.decoded) == (x.text or "").encode()
 
 
+def test_bpe_both_ways_in_one_worker(docs):
+    rows = list(enumerate(ODD + [prose(random.Random(5), 30)])) + [(None, "x y"), (3, "\n")]
+    df = with_odd_columns(docs(rows))
+    out = bpe.encoded_and_decoded(df, vocabulary(), public_tokenizers.PATTERN)
+    assert out.columns == [*df.columns, "token_ids", "decoded"]
+    got = out.collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.token_ids == library().encode_ordinary(x.text or "") and bytes(x.decoded) == (x.text or "").encode()
+    assert bpe.encoded_and_decoded(docs([]), vocabulary(), public_tokenizers.PATTERN).collect() == []
+
+
+def test_scoring_of_one_id_and_none(docs):
+    """Rows of one id or without one are scored like any others, whatever chunk they come to."""
+    r = random.Random(8)
+    texts = [prose(r, 40) for _ in range(12)]
+    plain = [(i, t) for i, t in enumerate(texts)]
+    rows = [(1, t) for t in texts] * 2 + [(None, t) for t in texts]
+    for data in (plain, rows):
+        few = ppm.scored(docs(data)).select("doc_id", "lm.*").collect()
+        many = ppm.scored(docs(data), chunk_bytes=300).select("doc_id", "lm.*").collect()
+        key = lambda x: (str(x.doc_id), x.n_tokens, round(x.base_score, 6))
+        assert len(few) == len(many) == len(data)
+        for a, b in zip(sorted(few, key=key), sorted(many, key=key)):
+            assert key(a) == key(b) and abs(a.score - b.score) < 1e-9
+
+
 def test_replay_in_arrays_and_one_by_one(monkeypatch):
     r = random.Random(3)
     words = ["".join(r.choice("abcdeth' \n.0é") for _ in range(r.randrange(1, 30))).encode() for _ in range(600)]

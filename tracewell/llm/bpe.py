@@ -49,13 +49,53 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.diff(values, prepend=-1) != 0]
 
 
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """Ranks from lines of a token in base64 and its rank."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+
+
+class Tokens:
+    """The bytes of the tokens, all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
+        tokens = {i: t for t, i in ranks.items()}
+        lengths = np.zeros(size + 1, np.int64)
+        for i, t in tokens.items():
+            lengths[i + 1] = len(t)
+        self.ends = np.cumsum(lengths)
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a run of ids."""
+        first = self.ends[ids]
+        lengths = self.ends[ids + 1] - first
+        total = int(lengths.sum())
+        at = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return self.bytes[np.repeat(first, lengths) + at]
+
+    def column(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each list of ids; null is empty."""
+        ids = ids.fill_null([])
+        parts = []
+        for at in range(0, len(ids), 256):
+            part = ids.slice(at, 256)
+            flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            data = self.decode(flat)
+            lengths = np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            ends = np.concatenate([[0], np.cumsum(self.ends[flat + 1] - self.ends[flat])])
+            offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int64)
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]
+            parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), buffers).cast(pa.binary()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 class Merges:
     """Ranks of tokens, and which pairs of tokens merge into which."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
-        self.tokens = {i: t for t, i in ranks.items()}
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -70,16 +110,7 @@ class Merges:
             for b in range(256):
                 first[a, b] = ranks.get(bytes([a, b]), -1)
         self.byte_pairs = first
-        lengths = np.zeros(self.size + 1, np.int64)
-        for i, t in self.tokens.items():
-            lengths[i + 1] = len(t)
-        self.token_ends = np.cumsum(lengths)
-        self.token_bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(self.size)), np.uint8)
-
-    @staticmethod
-    def of_file(content: bytes) -> Merges:
-        """From lines of a token in base64 and its rank."""
-        return Merges({base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())})
+        self.text = Tokens(ranks)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The tokens of each word as 32-bit numbers, all words merged together in rank order."""
@@ -193,14 +224,6 @@ class Merges:
             tokens[i : i + 2] = [least]
         return tuple(tokens)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of a run of ids."""
-        first = self.token_ends[ids]
-        lengths = self.token_ends[ids + 1] - first
-        total = int(lengths.sum())
-        at = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return self.token_bytes[np.repeat(first, lengths) + at]
-
 
 class Encoder:
     """Texts to ids, with a bounded memory of pieces."""
@@ -251,7 +274,7 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     key = hash(content), pattern
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = Encoder(Merges.of_file(content), pattern)
+        _WORKER[key] = Encoder(Merges(ranks_of(content)), pattern)
     return _WORKER[key]
 
 
@@ -266,19 +289,27 @@ def _encode(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterato
             yield pa.record_batch([part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))], names=["row", "out"])
 
 
+_TOKENS: dict[int, Tokens] = {}
+
+
 def _decode(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterator[pa.RecordBatch]:
-    merges = encoder(content.value, pattern).merges
+    key = hash(content.value)
+    if key not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[key] = Tokens(ranks_of(content.value))
     for batch in batches:
-        column = batch.column("in").fill_null([])
-        for at in range(0, len(column), 256):
-            part = column.slice(at, 256)
-            ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            data = merges.decode(ids)
-            lengths = np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-            ends = np.concatenate([[0], np.cumsum(merges.token_ends[ids + 1] - merges.token_ends[ids])])
-            offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int64)
-            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-            yield pa.record_batch([batch.slice(at, 256).column("row"), binary.cast(pa.binary())], names=["row", "out"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield pa.record_batch([part.column("row"), _TOKENS[key].column(part.column("in"))], names=["row", "out"])
+
+
+def _both_ways(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Ids, and the bytes that those ids decode to, by one worker."""
+    tokens = encoder(content.value, pattern).merges.text
+    for batch in _encode(batches, content, pattern):
+        ids = batch.column("out")
+        made = pa.StructArray.from_arrays([ids, tokens.column(ids)], ["ids", "data"])
+        yield pa.record_batch([batch.column("row"), made], names=["row", "out"])
 
 
 def _mapped(df: DataFrame, source: str, name: str, kind: str, vocabulary: bytes, pattern: str, work, drop: bool) -> DataFrame:
@@ -305,6 +336,15 @@ def decoded(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "token_id
     return _mapped(df, ids, name, "binary", vocabulary, pattern, _decode, False)
 
 
+def encoded_and_decoded(
+    df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", name: str = "token_ids", data: str = "decoded", keep_text: bool = True
+) -> DataFrame:
+    """``encoded`` and ``decoded`` with a single worker for each task, which halves their memory."""
+    out = _mapped(spread(df), text, "__coded", "struct<ids: array<int>, data: binary>", vocabulary, pattern, _both_ways, not keep_text)
+    kept = [F.col(f"`{c}`") for c in out.columns if c not in ("__coded", name, data)]
+    return out.select(*kept, F.col("__coded.ids").alias(name), F.col("__coded.data").alias(data))
+
+
 def digests(df: DataFrame, ids: str = "token_ids", data: str = "decoded") -> DataFrame:
     """n_tokens, and SHA-256 of the ids as text and of the decoded bytes."""
     return df.withColumns({

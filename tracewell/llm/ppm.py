@@ -425,9 +425,12 @@ def scored(
     # Small chunks repeat what they ask for, so few cores are better than tiny ones.
     size = int(size or 0)
     chunks = max(1, -(-size // chunk_bytes), min(shuffle_tasks(spark), -(-size // LEAST_CHUNK_BYTES)))
-    keyed = texts.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "row", "held", "text")
-    dealt = keyed.repartition(chunks, "chunk")
-    grams = dealt.select("chunk", "held", "text").groupBy("chunk").applyInArrow(
+    # Any chunk will do for a row; rows of one id, or without one, are dealt out by text
+    # and by where they come from.
+    chunk = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)).alias("chunk")
+    dealt = texts.select(chunk, "row", "held", "text").repartition(chunks, "chunk")
+    # Both uses of the dealt texts take the same columns, so that they move only once.
+    grams = dealt.groupBy("chunk").applyInArrow(
         lambda key, table: _grams(table, key[0].as_py(), order, chunks), GRAMS
     )
     answers = grams.groupBy("kind", "bucket").applyInArrow(_answers, ANSWERS)

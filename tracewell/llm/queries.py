@@ -222,8 +222,7 @@ def vocabulary() -> bytes:
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
-    ids = bpe.encoded(docs, vocabulary(), public_tokenizers.PATTERN, keep_text=False)
-    out = bpe.digests(bpe.decoded(ids, vocabulary(), public_tokenizers.PATTERN))
+    out = bpe.digests(bpe.encoded_and_decoded(docs, vocabulary(), public_tokenizers.PATTERN, keep_text=False))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
