@@ -52,8 +52,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of what they decode to."""
-    ids = bpe.encoded(docs.select("doc_id", "text"), vocabulary(), public_tokenizers.PATTERN, keep_text=False)
-    out = bpe.digests(bpe.decoded(ids, vocabulary(), public_tokenizers.PATTERN))
+    texts = docs.select("doc_id", "text")
+    out = bpe.digests(bpe.encoded_and_decoded(texts, vocabulary(), public_tokenizers.PATTERN, keep_text=False))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
