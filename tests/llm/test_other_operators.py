@@ -98,7 +98,7 @@ def test_scoring_of_one_id_and_none(docs):
     for data in (plain, rows):
         few = ppm.scored(docs(data)).select("doc_id", "lm.*").collect()
         many = ppm.scored(docs(data), chunk_bytes=300).select("doc_id", "lm.*").collect()
-        key = lambda x: (str(x.doc_id), x.n_tokens, round(x.base_score, 6))
+        key = lambda x: (str(x.doc_id), x.n_tokens, round(x.base_score, 6), round(x.score, 6))
         assert len(few) == len(many) == len(data)
         for a, b in zip(sorted(few, key=key), sorted(many, key=key)):
             assert key(a) == key(b) and abs(a.score - b.score) < 1e-9
