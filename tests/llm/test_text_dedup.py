@@ -161,6 +161,40 @@ def test_bitmaps_never_rule_out(seed=2):
         assert jaccard_join.most_in_common(bits[0], len(a), bits[1], len(b)) >= len(np.intersect1d(a, b))
 
 
+def test_first_signatures_of_each_list():
+    r = np.random.default_rng(4)
+    n = 400
+    of, lists = r.integers(0, 6, n), r.integers(0, 4, n)
+    sig = r.integers(-40, 40, n)
+    lacks = (of + lists) % 4
+    late = np.unique(r.integers(-40, 40, 30))
+    got = jaccard_join._first_of_each(sig, of, lists, lacks, late)
+    for o in range(6):
+        for x in range(4):
+            mine = np.flatnonzero((of == o) & (lists == x))
+            order = sorted({(s in set(late.tolist()), s) for s in sig[mine].tolist()})
+            wanted = {s for _, s in order[: (o + x) % 4 + 1]}
+            assert sorted(sig[i] for i in got if of[i] == o and lists[i] == x) == sorted(s for s in sig[mine].tolist() if s in wanted)
+    assert len(jaccard_join._first_of_each(sig[:0], of[:0], lists[:0], lacks[:0], late[:0])) == 0
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_crowded_signatures_sent_or_joined(spark, docs, monkeypatch, sent):
+    """A family of near copies and copies of them, with classes taken for large early."""
+    monkeypatch.setattr(jaccard_join._classes, "__defaults__", (sent,))
+    r = random.Random(6)
+    base = prose(r, 60).split()
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.randrange(3)):
+            words[r.randrange(60)] = "other" + str(r.randrange(9))
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[3][1]) for i in range(15)] + [(200 + i, prose(r, 50)) for i in range(5)]
+    got = {x.doc: x.component for x in jaccard_join.similar_documents(docs(rows), large_class=3).collect()}
+    assert got == {d: first for d, (_, first) in groups_by_hand(rows).items()}
+
+
 def test_rows_of_one_id(docs):
     text = prose(random.Random(1), 30)
     got = jaccard_join.similar_documents(docs([(5, text), (5, text), (3, text), (None, text), (9, "other text")])).collect()

@@ -66,6 +66,9 @@ MEMBER_BLOCK = 2_000
 GROUP_MEMBERS = 500
 BROADCAST_IDS = 1_000_000
 
+# Crowded signatures, 8 bytes each, that are sent to every task; beyond it they are joined.
+BROADCAST_SIGNATURES = 2_000_000
+
 # Rows without an id get keys from here on, made of their text. Ids may lie there, too.
 NO_ID_KEYS = (1 << 63) - (1 << 60)
 
@@ -277,8 +280,22 @@ def _signed(batches, words, percent):
         yield pa.record_batch([pa.array(X.as_long(made.sig)), pa.array(docs[made.of]), pa.array(entry)], names=["sig", "doc", "entry"])
 
 
-def _signed_again(batches, words, percent):
-    """All signatures of the lists that are wanted of each text."""
+def _first_of_each(sig: np.ndarray, of: np.ndarray, lists: np.ndarray, lacks: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Places of the lacks + 1 signatures of each (text, list), crowded ones last."""
+    at = np.minimum(np.searchsorted(late, sig), max(len(late) - 1, 0))
+    crowded = late[at] == sig if len(late) else np.zeros(len(sig), bool)
+    order = np.lexsort((sig, crowded, lists, of))
+    group = of[order] << 16 | lists[order]
+    new = np.diff(group, prepend=-1) != 0
+    other = new | (np.diff(sig[order], prepend=0) != 0)
+    rank = np.cumsum(other)
+    start = np.maximum.accumulate(np.where(new, rank, 0))
+    return order[rank - start <= lacks[order]]
+
+
+def _signed_again(batches, words, percent, late=None):
+    """Signatures of the lists that are wanted of each text: all, or, where the crowded
+    ones are known (``late``, sorted, broadcast), only those that are needed."""
     for batch in batches:
         data, offsets = X.packed(batch.column("text"))
         docs, lists = X.ids_of(batch.column("doc")), batch.column("lists").to_pylist()
@@ -291,6 +308,9 @@ def _signed_again(batches, words, percent):
             # The set's own hash: rows of one id may differ in text.
             mark = X.as_long(_set_hashes(sets, sizes)[0])[of]
             columns = [X.as_long(made.sig[keep]), docs[first:last][of], mark, made.list_[keep].astype(np.int32), made.lacks[keep].astype(np.int32)]
+            if late is not None:
+                needed = _first_of_each(columns[0], of, columns[3].astype(np.int64), columns[4], late.value)
+                columns = [c[needed] for c in columns]
             yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "doc", "mark", "list", "lacks"])
 
 
@@ -424,7 +444,22 @@ def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc")
 
 
-def _classes(texts: DataFrame, words: int, percent: int, large: int) -> DataFrame:
+def _one_of_each_set(ids: DataFrame, info: DataFrame) -> DataFrame:
+    """Of ids that have one and the same set, and no other, the least; all others stay.
+
+    Equal sets have equal signatures, and their documents are linked as copies.
+    """
+    sets = info.where("n > 0").join(ids.select("doc"), "doc", "left_semi").groupBy("doc").agg(
+        F.collect_set(F.struct("h1", "h2")).alias("sets")
+    )
+    single = sets.where(F.size("sets") == 1).groupBy("sets").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+    spare = sets.join(single.where("n > 1"), "sets").where("doc <> least").select("doc")
+    return ids.join(spare, "doc", "left_anti")
+
+
+def _classes(
+    texts: DataFrame, info: DataFrame, words: int, percent: int, large: int, broadcast_signatures: int = BROADCAST_SIGNATURES
+) -> DataFrame:
     """(class, doc, hub) of all classes of several members, written; hub is the least.
 
     Signatures with the same members are one class. Large classes are left to the
@@ -440,11 +475,18 @@ def _classes(texts: DataFrame, words: int, percent: int, large: int) -> DataFram
     crowded = found.where(F.col("members") > large)
     open_lists = crowded.groupBy("doc", "entry").agg(F.count_distinct("sig").alias("n")).where("n >= entry & 4294967295")
     ids = open_lists.groupBy("doc").agg(F.collect_set(F.shiftright("entry", 32).cast("int")).alias("lists"))
-    again = _named(texts, written(ids, "crowded")).select("doc", "text", "lists")
-    rows = again.mapInArrow(lambda it: _signed_again(it, words, percent), "sig long, doc long, mark long, list int, lacks int")
-    marked = rows.join(crowded.select("sig").distinct().withColumn("late", F.lit(True)), "sig", "left")
-    order = Window.partitionBy("doc", "mark", "list").orderBy(F.coalesce("late", F.lit(False)), "sig")
-    first = marked.withColumn("place", F.dense_rank().over(order)).where("place <= lacks + 1").select("sig", "doc")
+    again = _named(texts, written(_one_of_each_set(written(ids, "open"), info), "crowded")).select("doc", "text", "lists")
+    kind = "sig long, doc long, mark long, list int, lacks int"
+    known = written(crowded.select("sig").distinct(), "late")
+    if known.count() <= broadcast_signatures:
+        numbers = np.sort(known.toArrow().column("sig").to_numpy())
+        late = texts.sparkSession.sparkContext.broadcast(numbers)
+        first = again.mapInArrow(lambda it: _signed_again(it, words, percent, late), kind).select("sig", "doc")
+    else:
+        rows = again.mapInArrow(lambda it: _signed_again(it, words, percent), kind)
+        marked = rows.join(known.withColumn("late", F.lit(True)), "sig", "left")
+        order = Window.partitionBy("doc", "mark", "list").orderBy(F.coalesce("late", F.lit(False)), "sig")
+        first = marked.withColumn("place", F.dense_rank().over(order)).where("place <= lacks + 1").select("sig", "doc")
     anew = as_class(first.select("*", *kept).where("members > 1"))
     return written(small.union(anew).distinct(), "classes")
 
@@ -498,7 +540,7 @@ def _components_of(texts: DataFrame, words: int, percent: int, large_class: int)
     same = written(same, "same")
     known = same.select("a", F.col("b").alias("rep"))
 
-    classes = _classes(texts, words, percent, large_class)
+    classes = _classes(texts, info, words, percent, large_class)
     # Of every class, the members beside its first one.
     stars = classes.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     stars = written(_between_firsts(stars, known), "stars")
