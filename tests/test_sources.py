@@ -4,11 +4,13 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tracewell import sources
+from tracewell import schemas, sources
 from tracewell.functions import render_template
 from tracewell.operators.integrity import duplicate_keys, first_match, segment_totals, validate_segments
 from tracewell.operators.ioc import active_steps, expected_at_level
 from tracewell.operators.metrics import normalize_truth, probe_images
+from tracewell.session import work_path
+from tracewell.sources import files
 
 
 def test_plugin_rows(spark, fixture_path):
@@ -284,14 +286,62 @@ def test_rows_that_cannot_be_read(spark):
         sources.plugin_rows(df, "payload").collect()
 
 
-@pytest.mark.parametrize("read", [sources.read_ground_truth, sources.read_scenarios, sources.read_manifests])
-def test_broken_documents(spark, tmp_path, read):
-    (tmp_path / "doc.json").write_text('{"scenario_id": "s", "iocs": [{"id"')
-    with pytest.raises(Exception):
-        found = read(spark, str(tmp_path))
-        (found[0] if isinstance(found, tuple) else found).collect()
-    found = read(spark, str(tmp_path), mode="quarantine")
-    assert (found[0] if isinstance(found, tuple) else found).count() == 0
+READERS = {
+    sources.read_ground_truth: schemas.GROUND_TRUTH, sources.read_scenarios: schemas.SCENARIO, sources.read_manifests: schemas.MANIFEST,
+}
+
+
+@pytest.mark.parametrize("read", READERS)
+@pytest.mark.parametrize("text, verdict", [
+    ('{"scenario_id": "s", "iocs": [{"id"', "broken"), ("no json", "broken"), ('{"id": "s"} garbage', "trailing"),
+    ('{"id": "s"}\n{"id": "t"}', "trailing"), ("", "empty"), (" \n", "empty"), ('[{"id": "s"}]', "shape"), ("null", "shape"),
+    ('{"scenario_id": "s", "iocs": 5, "steps": 5, "created_at": "then"}', "shape"),
+])
+def test_one_verdict_in_both_modes(spark, tmp_path, read, text, verdict):
+    (tmp_path / "doc.json").write_text(text)
+    first = lambda found: found[0] if isinstance(found, tuple) else found
+    with pytest.raises(Exception, match=rf"cannot be taken \({verdict}\).*doc\.json"):
+        first(read(spark, str(tmp_path))).count()
+    assert first(read(spark, str(tmp_path), mode="quarantine")).count() == 0
+    assert rows(sources.read_quarantine(spark, str(tmp_path), READERS[read]), "verdict", "text") == [(verdict, text)]
+
+
+def test_strings_of_any_length_in_both_modes(spark, tmp_path):
+    marker = "m" * 25_000_000
+    (tmp_path / "doc.json").write_text(
+        '{"scenario_id": "s", "iocs": [{"id": "i", "type": "file", "attributes": {"content_contains": "' + marker + '"}}]}'
+    )
+    for mode in ("fail", "quarantine"):
+        docs = sources.read_ground_truth(spark, str(tmp_path), mode=mode)
+        assert rows(sources.ground_truth_iocs(docs), F.length("content_contains")) == [(25_000_000,)]
+
+
+def test_hidden_files_are_no_documents(spark, tmp_path):
+    for name in ("_SUCCESS", ".doc.json.crc", "sub/empty.json", "_tmp/run=1/empty.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    (tmp_path / "doc.json").write_text('{"scenario_id": "s"}')
+    assert rows(sources.read_ground_truth(spark, str(tmp_path)), "scenario_id") == [("s",)]
+    assert sources.read_quarantine(spark, str(tmp_path), schemas.GROUND_TRUTH).count() == 0
+
+
+def test_listing_of_many_folders_and_of_one_large_folder(spark, tmp_path, monkeypatch):
+    for i in range(10_000):
+        (tmp_path / "deep" / f"a{i % 20}" / f"b{i}").mkdir(parents=True)
+    for i in range(0, 10_000, 100):
+        (tmp_path / "deep" / f"a{i % 20}" / f"b{i}" / "f.E01").write_text("x" * (i % 7))
+    (tmp_path / "flat").mkdir()
+    for i in range(100_000):
+        (tmp_path / "flat" / f"{i}.E01").touch()
+    made = []
+    monkeypatch.setattr(files, "work_path", lambda s, name: made.append(name) or work_path(s, name))
+    found = sources.list_files(spark, [str(tmp_path / "deep"), str(tmp_path / "flat")])
+    assert 1 < len(made) < 8
+    assert found.count() == 100_100 and found.select("path").distinct().count() == 100_100
+    assert found.agg(F.sum("size_bytes")).first()[0] == sum(i % 7 for i in range(0, 10_000, 100))
+    made.clear()
+    assert rows(sources.list_files(spark, str(tmp_path / "flat" / "5.E01")), "path") == [(str(tmp_path / "flat" / "5.E01"),)]
+    assert len(made) == 1
 
 
 @pytest.mark.parametrize("name, value, want", [

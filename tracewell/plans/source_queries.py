@@ -123,6 +123,39 @@ def ground_truth_quarantine(spark, folder):
     )
 
 
+@query(
+    "src02_verdicts",
+    """
+    SELECT CASE WHEN verdict IS NULL THEN 'taken' ELSE 'quarantined' END AS mode, item, verdict,
+           CASE WHEN verdict IS NULL THEN 3 END AS n_iocs FROM (
+      SELECT 'item-' || item_id AS item,
+             CASE item_id % 6 WHEN 1 THEN 'broken' WHEN 2 THEN 'trailing' WHEN 3 THEN 'trailing'
+                              WHEN 4 THEN 'empty' WHEN 5 THEN 'shape' END AS verdict
+      FROM benchmark)
+    """,
+)
+def ground_truth_verdicts(spark, folder):
+    """One file for each document: good, cut off, with a line after it, twice, blank, a list."""
+    path = work_path(spark, "ground-truth-files")
+    docs = _truth_documents(spark, folder).select("scenario_id", "iocs")
+    text, name = F.to_json(F.struct("*")), F.substring_index("scenario_id", "-", -1)
+    kind = name.cast("bigint") % 6
+    value = (
+        F.when(kind == 1, F.substr(text, F.lit(1), F.length(text) - 9)).when(kind == 2, F.concat(text, F.lit("\n-- end")))
+        .when(kind == 3, F.concat(text, F.lit("\n"), text)).when(kind == 4, F.lit(" "))
+        .when(kind == 5, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    )
+    files = docs.select(F.concat(F.lit("item-"), name).alias("item"), value.alias("value"))
+    files.write.partitionBy("item").text(path)
+    good = sources.read_ground_truth(spark, path, mode="quarantine")
+    bad = sources.read_quarantine(spark, path, schemas.GROUND_TRUTH)
+    return good.select(
+        F.lit("taken").alias("mode"), "item", F.lit(None).cast("string").alias("verdict"), F.size("iocs").alias("n_iocs")
+    ).union(
+        bad.select(F.lit("quarantined"), F.regexp_extract("path", "/item=([^/]+)/", 1), "verdict", F.lit(None).cast("int"))
+    )
+
+
 @query(
     "snk03_ground_truth",
     """
@@ -485,3 +518,68 @@ def findings_sink(spark, folder):
     return documents.select("run_id", "scenario_id", F.explode("findings").alias("f")).select(
         "run_id", "scenario_id", "f.*"
     )
+
+
+def _written_files(files, name):
+    """Writes ``content`` to ``path`` below a new folder, and returns the folder."""
+    from pyarrow import fs
+
+    root = work_path(files.sparkSession, name)
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                store, inner = fs.FileSystem.from_uri(f"{root}/{path}")
+                store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(inner) as out:
+                    out.write(content.encode())
+            yield batch[["path"]]
+
+    files.select("path", "content").mapInPandas(write, "path STRING").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query(
+    "src10_segments",
+    """
+    SELECT 'nation-' || s_nationkey || '/run-' || s_suppkey || '/disk' AS image, 'E0' || i AS ending,
+           CASE WHEN i = 3 THEN 0 ELSE i * length(s_comment) END AS size_bytes
+    FROM (SELECT s_nationkey, s_suppkey, 'x' || s_name AS s_comment FROM supplier), range(1, 4) AS t(i)
+    WHERE i <= s_suppkey % 3 + 1
+    """,
+)
+def segments(spark, folder):
+    """Images of up to three segments in a tree of folders, the third one empty, with other files beside them."""
+    text = F.concat(F.lit("x"), "s_name")
+    base = F.concat(
+        F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit("/run-"), F.col("s_suppkey").cast("string"), F.lit("/disk")
+    )
+    n = F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("n")
+    files = table(spark, folder, "supplier").select(base.alias("base"), text.alias("text"), n).select(
+        F.concat("base", F.when(F.col("n") == 0, ".log").otherwise(F.concat(F.lit(".E0"), F.col("n").cast("string")))).alias("path"),
+        F.when(F.col("n") == 3, "").otherwise(F.repeat("text", F.col("n"))).alias("content"),
+    )
+    found = sources.list_segments(spark, _written_files(files, "segments"))
+    return found.select(
+        F.regexp_extract("image_id", "(nation-[^/]+/run-[^/]+/disk)$", 1).alias("image"),
+        F.substring_index("path", ".", -1).alias("ending"),
+        "size_bytes",
+    )
+
+
+@query(
+    "src11_symbols",
+    """
+    SELECT 'family' || s_nationkey AS family, '5.' || s_suppkey || '_x' AS kernel,
+           'family' || s_nationkey || '_5.' || s_suppkey || '_x.json' AS file_name
+    FROM supplier WHERE s_suppkey % 4 <> 0
+    """,
+)
+def symbols(spark, folder):
+    """Symbol files, every fourth with an ending that none has."""
+    ending = F.when(F.col("s_suppkey") % 4 == 0, ".txt").otherwise(".json")
+    path = F.concat(
+        F.lit("family"), F.col("s_nationkey").cast("string"), F.lit("_5."), F.col("s_suppkey").cast("string"), F.lit("_x"), ending
+    )
+    files = table(spark, folder, "supplier").select(path.alias("path"), F.lit("{}").alias("content"))
+    return sources.list_symbols(spark, _written_files(files, "symbols"))

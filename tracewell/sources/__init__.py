@@ -3,6 +3,7 @@
 from tracewell.sources.documents import (
     ground_truth_iocs,
     ioc_columns,
+    judged_documents,
     plugin_quarantine,
     plugin_rows,
     read_ground_truth,
@@ -32,6 +33,7 @@ __all__ = [
     "file_digests",
     "ground_truth_iocs",
     "ioc_columns",
+    "judged_documents",
     "list_files",
     "list_segments",
     "list_symbols",

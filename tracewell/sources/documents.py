@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell import schemas
-from tracewell.functions import is_json, render_template
+from tracewell.functions import is_json, render_template, strip_space
 from tracewell.functions.text import LONG_STRINGS
-from tracewell.sources.files import list_files
+from tracewell.sources.files import list_files, listing
 
 # Attribute names of a file indicator that have a column of their own.
 TYPED_ATTRIBUTES = ("path", "content_contains", "exists", "size_bytes")
@@ -79,13 +80,18 @@ def plugin_quarantine(df: DataFrame, payload: str) -> DataFrame:
     return df.where(~F.coalesce(is_json(F.col(payload)), F.lit(False)) | ~readable)
 
 
+def _file_name(uri: Column) -> Column:
+    """A file's path as it was written, from the encoded form Spark gives."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def _tool_files(spark: SparkSession, folders: str | list[str]) -> DataFrame:
     """Files ``<run id>__<plugin>.json`` below folders as run_id, plugin and payload.
 
     A JSON file of another name is no tool output and stops the job.
     """
     folders = [folders] if isinstance(folders, str) else folders
-    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    name = _file_name(F.input_file_name())
     full = spark.read.text(folders, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     full = full.select(name.alias("path"), "value")
     # Spark skips empty files; here they are invalid documents.
@@ -143,45 +149,96 @@ def ioc_columns(ioc: Column) -> list[Column]:
     ]
 
 
-BROKEN = "_broken"
+# Verdicts on a document that cannot be taken.
+EMPTY, BROKEN, TRAILING, SHAPE = "empty", "broken", "trailing", "shape"
+
+# Names that Spark's readers pass over: metadata and hidden files.
+HIDDEN = r"(^|/)[_.]"
+
+
+def _document_texts(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
+    """Documents as they lie in files: ``__path``, ``__text`` and columns of partitions."""
+    read = spark.read.text(paths, wholetext=multi_line)
+    rest = [c for c in read.columns if c != "value"]
+    texts = read.select(_file_name(F.col("_metadata.file_path")).alias("__path"), F.col("value").alias("__text"), *rest)
+    if not multi_line:
+        return texts.where(strip_space(F.col("__text")) != "")
+    # Spark skips empty files; here they are documents that somebody failed to write.
+    # Like Spark, look at files of the folder itself and of its partitions.
+    empty = listing(spark, paths).where("size_bytes = 0").where(
+        ~F.col("inside").rlike(HIDDEN) & F.col("inside").rlike("^([^/]+=[^/]*/)*[^/]*$")
+    )
+    return texts.unionByName(empty.select(F.col("path").alias("__path"), F.lit("").alias("__text")), allowMissingColumns=True)
+
+
+def judged_documents(
+    spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = True
+) -> DataFrame:
+    """Every document with its ``__path``, ``__text``, ``__doc`` and ``__verdict``.
+
+    The verdict is null for a single JSON object that fits the schema. Otherwise it
+    is ``empty``; ``trailing``, where a document is followed by anything, such as
+    another one; ``broken``, where no document can be read; or ``shape``, where the
+    JSON is no object or a value is of another type. Blank lines are no documents,
+    blank files are empty ones. Strings may be of any length.
+    """
+    texts = _document_texts(spark, paths, multi_line)
+    text = F.col("__text")
+    corrupt = "__corrupt"
+    found = F.from_json(text, f"{schema}, {corrupt} STRING", {"columnNameOfCorruptRecord": corrupt, **LONG_STRINGS})
+    fits = found.isNotNull() & found[corrupt].isNull()
+    plain = strip_space(text)
+    verdict = (
+        F.when(plain == "", EMPTY)
+        .when(~is_json(text), F.when(_first_value(text), TRAILING).otherwise(BROKEN))
+        .when(~F.startswith(plain, F.lit("{")) | ~fits, SHAPE)
+    )
+    known = set(T.StructType.fromDDL(schema).names)
+    rest = [c for c in texts.columns if c not in known and not c.startswith("__")]
+    return texts.select(*rest, "__path", "__text", found.dropFields(corrupt).alias("__doc"), verdict.alias("__verdict"))
+
+
+def _first_value(text: Column) -> Column:
+    """Whether a text begins with a JSON object or array that is complete."""
+    whole = F.from_json(text, "__corrupt STRING, __none STRING", {"columnNameOfCorruptRecord": "__corrupt", **LONG_STRINGS})
+    return F.coalesce(whole.isNotNull() & whole["__corrupt"].isNull(), F.lit(False))
 
 
 def read_documents(
     spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool, mode: str
 ) -> DataFrame:
-    """JSON documents of a schema, and ``_broken`` with the text of unreadable ones.
+    """JSON documents of a schema.
 
-    With ``mode='fail'`` an unreadable document stops the job; with ``'quarantine'``
-    it has null columns and its text, which ``quarantined`` picks out.
+    A document with a verdict (``judged_documents``) stops the job with
+    ``mode='fail'``; with ``'quarantine'`` it is left to ``read_quarantine``.
     """
     if mode not in ("fail", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
+    docs = judged_documents(spark, paths, schema, multi_line)
+    good = F.col("__verdict").isNull()
     if mode == "fail":
-        return spark.read.schema(schema).json(paths, multiLine=multi_line, mode="FAILFAST")
-    text = spark.read.text(paths, wholetext=multi_line)
-    found = F.from_json("value", f"{schema}, {BROKEN} STRING", {"columnNameOfCorruptRecord": BROKEN, **LONG_STRINGS})
-    broken = F.when(~is_json(F.col("value")) | found[BROKEN].isNotNull() | found.isNull(), F.col("value"))
-    return text.where(F.length("value") > 0).select(found.dropFields(BROKEN).alias("doc"), broken.alias(BROKEN)).select("doc.*", BROKEN)
-
-
-def readable(docs: DataFrame) -> DataFrame:
-    """The documents that could be read."""
-    return docs.where(F.col(BROKEN).isNull()).drop(BROKEN) if BROKEN in docs.columns else docs
+        # The check is part of the document, so no filter on its columns comes before it,
+        # and of a filter, so it is made even if no column is asked for.
+        message = F.concat(F.lit("document cannot be taken ("), "__verdict", F.lit("): "), "__path")
+        docs = docs.withColumn("__doc", F.when(good, F.col("__doc")).otherwise(F.raise_error(message)))
+        good = F.col("__doc").isNotNull()
+    rest = [c for c in docs.columns if not c.startswith("__")]
+    return docs.where(good).select("__doc.*", *rest)
 
 
 def read_quarantine(
     spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = True
 ) -> DataFrame:
-    """Text of the documents that do not fit the schema: truncated or of wrong types."""
-    docs = read_documents(spark, paths, schema, multi_line, "quarantine")
-    return docs.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("text"))
+    """The documents that cannot be taken: path, verdict and text."""
+    docs = judged_documents(spark, paths, schema, multi_line).where(F.col("__verdict").isNotNull())
+    return docs.select(F.col("__path").alias("path"), F.col("__verdict").alias("verdict"), F.col("__text").alias("text"))
 
 
 def read_ground_truth(
     spark: SparkSession, paths: str | list[str], multi_line: bool = True, mode: str = "fail"
 ) -> DataFrame:
     """Ground-truth documents of any shape; a missing ``iocs`` is empty."""
-    docs = readable(read_documents(spark, paths, schemas.GROUND_TRUTH, multi_line, mode))
+    docs = read_documents(spark, paths, schemas.GROUND_TRUTH, multi_line, mode)
     return docs.withColumn("iocs", F.coalesce("iocs", F.array().cast(f"array<{schemas.RAW_IOC}>")))
 
 
@@ -199,7 +256,7 @@ def read_scenarios(
     spark: SparkSession, paths: str | list[str], multi_line: bool = True, mode: str = "fail"
 ) -> tuple[DataFrame, DataFrame]:
     """Steps and expected indicators of scenario documents."""
-    docs = readable(read_documents(spark, paths, schemas.SCENARIO, multi_line, mode))
+    docs = read_documents(spark, paths, schemas.SCENARIO, multi_line, mode)
     return scenario_steps(docs), scenario_iocs(docs)
 
 
@@ -250,7 +307,7 @@ def read_manifests(
     spark: SparkSession, paths: str | list[str], multi_line: bool = True, mode: str = "fail"
 ) -> tuple[DataFrame, DataFrame]:
     """Runs, and their images with one row per run and kind."""
-    docs = readable(read_documents(spark, paths, schemas.MANIFEST, multi_line, mode))
+    docs = read_documents(spark, paths, schemas.MANIFEST, multi_line, mode)
     runs = docs.select(F.col("scenario_id").alias("run_id"), "created_at")
     kind = lambda name, image: F.struct(F.lit(name).alias("kind"), F.col(image).alias("image"))
     images = (
