@@ -133,3 +133,111 @@ def test_findings(spark, arrivals, scan_markers, broadcast_rows):
         ioc.match_content_iocs(table, iocs)
     )
     assert rows(got) == rows(batch)
+
+
+CLOSED_IOCS = [
+    ("s", 0, "present", "file", "/a", None, None, None, None, None, ["disk"]),
+    ("s", 1, "gone", "file", "/gone", None, False, None, None, None, None),
+    ("s", 2, "gone-from-disk", "file", "/late", None, False, None, None, None, ["disk"]),
+    ("s", 3, "marker", "file", None, "marker", None, None, None, None, None),
+    ("s", 4, "sized", "file", "/b", None, None, 7, None, None, None),
+    ("s", 5, "process", "process", None, None, None, None, "pslist", {"COMM": "sshd"}, None),
+    ("s", 6, "bare", "process", None, None, None, None, "pslist", {"PPID": None}, None),
+    ("s", 7, "no-process", "process", None, None, False, None, "pstree", {"COMM": "sshd"}, None),
+    ("s", 8, "other", "registry", None, None, None, None, None, None, None),
+]
+CLOSED_SCHEMA = (
+    "scenario_id string, ordinal int, ioc_id string, type string, path string, content_contains string, `exists` boolean, "
+    "size_bytes bigint, plugin string, attrs map<string,string>, sources array<string>"
+)
+
+
+def closed_case(spark, tmp_path, rng, n, minutes=100):
+    """Streams and tables of entries, rows and closings; runs r0 to r4, of which r4 shows nothing."""
+    at = lambda: rng.randrange(minutes)
+    runs = [f"r{rng.choice([0, 0, 0, 1, 2, 3])}" for _ in range(n)]
+    kinds = {
+        "entries": ("run_id string, path string, size_bytes bigint, content string, source string, minute int", [
+            (r, rng.choice(["/a", "/b", "/c", "/gone" if r == "r2" else "/c", "/late"]), rng.choice([1, 7]),
+             rng.choice([None, "", "a marker"]), rng.choice(["disk", "memory"]) if r != "r3" else "memory", at()) for r in runs]),
+        "rows": ("run_id string, plugin string, attrs map<string,string>, minute int", [
+            (r, rng.choice(["pslist", "pstree"]), {"COMM": rng.choice(["sshd", "init"]), "PID": "1"}, at()) for r in runs[: n // 4]]),
+        "closings": ("run_id string, minute int", [(f"r{i}", 40 + 10 * i) for i in range(5)] + [("r0", 90), ("end", 500)]),
+    }
+    timed = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
+    streams, tables = {}, {}
+    for name, (schema, data) in kinds.items():
+        path = str(tmp_path / name)
+        data = sorted(data, key=lambda r: r[-1] + rng.random() * 15)
+        for batch in in_batches(data, 4):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        streams[name] = timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+        tables[name] = timed(spark.read.schema(schema).parquet(path))
+    return streams, tables
+
+
+@pytest.mark.parametrize("limits", [ioc.Limits(), ioc.Limits(0, 1)])
+@pytest.mark.parametrize("limit_minutes", [None, 45])
+def test_closed_runs(spark, tmp_path, limits, limit_minutes):
+    streams, tables = closed_case(spark, tmp_path, random.Random(7), 200)
+    iocs = spark.createDataFrame(CLOSED_IOCS, CLOSED_SCHEMA)
+    expected = spark.createDataFrame([(f"r{i}",) for i in range(5)], "run_id string").crossJoin(iocs)
+    got = streaming.run_available(
+        streaming.stream_closed_findings(
+            ioc.Evidence(streams["entries"], streams["rows"]), streams["closings"], expected, "3 hours",
+            iocs, limit_minutes and limit_minutes * 60, limits=limits,
+        ), "closed",
+    )
+    ends = got.select("run_id", F.timestamp_micros("closed_us").alias("end")).distinct()
+    closing = {r["run_id"]: (r["closed_us"] // 1_000_000 - 1_700_000_000) // 60 for r in got.select("run_id", "closed_us").distinct().collect()}
+    if limit_minutes is None:
+        assert closing == {f"r{i}": 40 + 10 * i for i in range(5)}
+    else:
+        assert closing["r4"] == 80 and all(closing[f"r{i}"] <= min(60, 40 + 10 * i) for i in range(4))
+    cut = lambda name: tables[name].join(ends, "run_id").where("ts <= end").drop("ts", "end", "minute")
+    want = ioc.detect_iocs(expected, ioc.Evidence(cut("entries"), cut("rows")), iocs)
+    columns = ["run_id", "ioc_id", "ordinal", "type", "matched"]
+    assert rows(got, *columns) == rows(want, *columns)
+    assert got.where("matched").count() > 10 and got.where("NOT matched").count() > 10
+
+
+def test_state_of_closed_runs_is_bounded(spark, tmp_path):
+    streams, _ = closed_case(spark, tmp_path, random.Random(8), 2_000)
+    iocs = spark.createDataFrame(CLOSED_IOCS, CLOSED_SCHEMA)
+    expected = spark.createDataFrame([(f"r{i}",) for i in range(5)], "run_id string").crossJoin(iocs)
+    found = streaming.stream_closed_findings(
+        ioc.Evidence(streams["entries"], streams["rows"]), streams["closings"], expected, "3 hours", iocs, forget_seconds=60
+    )
+    spark.conf.set(streaming.run.STATE_STORE, streaming.run.ROCKSDB)
+    try:
+        query = (
+            found.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(streaming.run.STATE_STORE)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    # Conditions, looks and a closing for each run, whatever the evidence.
+    assert 0 < max(sizes) <= 5 * (len(CLOSED_IOCS) + 4 + 1) < 2_000
+    # What is left is the closing of the run that has not ended.
+    assert sizes[-1] == 1
+
+
+def test_late_evidence_takes_no_other_with_it(spark, tmp_path):
+    entries = [[("q", "/a", 10)], [("q", "/a", 600)], [("r", "/a", 0), ("r", "/a", 590)], [("q", "/a", 5000)]]
+    path, ends = str(tmp_path / "entries"), str(tmp_path / "closings")
+    for batch in entries:
+        spark.createDataFrame(batch, "run_id string, path string, minute int").coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([("r", 595)], "run_id string, minute int").write.parquet(ends)
+    timed = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
+    read = lambda schema, p: timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(p))
+    iocs = spark.createDataFrame(
+        [("s", 0, "here", "file", "/a", None, None, None, None, None, None)], CLOSED_SCHEMA
+    )
+    found = streaming.stream_closed_findings(
+        ioc.Evidence(read("run_id string, path string, minute int", path)), read("run_id string, minute int", ends),
+        iocs.withColumn("run_id", F.lit("r")), "1 hour", iocs,
+    )
+    got = streaming.run_available(found, "late-closed")
+    assert rows(got, "run_id", "ioc_id", "matched") == [("r", "here", True)]

@@ -294,10 +294,21 @@ def match_process_iocs(
     return _no_pairs(rows) if hits is None else _pairs(iocs, hits.distinct(), columns, limits)
 
 
-def process_hits(rows: DataFrame, wanted: DataFrame, limits: Limits = Limits()) -> DataFrame | None:
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str, small: bool, spread: list[str], limits: Limits) -> DataFrame:
+    """Evidence with conditions: broadcast if small, else salted; a stream cannot be counted first."""
+    if small:
+        return left.join(F.broadcast(right), on, how)
+    if left.isStreaming:
+        return left.join(right, on, how)
+    return salted_join(left, right, on, how, spread, limits.rows_per_task)
+
+
+def process_hits(
+    rows: DataFrame, wanted: DataFrame, limits: Limits = Limits(), keep: Sequence[str] = ()
+) -> DataFrame | None:
     """(run, condition) of rows that meet a condition: ``__cond``, ``plugin``, ``attrs``.
 
-    None if there are no conditions.
+    None if there are no conditions. ``keep`` names further columns of the rows.
     """
     given = F.array_sort(F.map_keys(F.map_filter("__wanted", lambda _, v: v.isNotNull())))
     wanted = wanted.withColumnRenamed("attrs", "__wanted").withColumn("__name", F.get(given, F.lit(0)))
@@ -312,29 +323,21 @@ def process_hits(rows: DataFrame, wanted: DataFrame, limits: Limits = Limits())
 
     # The outer form, as Spark would evaluate the map again to drop empty ones.
     fields = rows.select(
-        "run_id", "plugin", "attrs", F.explode_outer("attrs").alias("__name", "__value")
+        "run_id", *keep, "plugin", "attrs", F.explode_outer("attrs").alias("__name", "__value")
     ).where("__value IS NOT NULL")
-    on = ["plugin", "__name", "__value"]
-    if small:
-        valued = fields.join(F.broadcast(by_value), on)
-    else:
-        valued = salted_join(fields, by_value, on, "inner", ["run_id"], limits.rows_per_task)
+    valued = _meet(fields, by_value, ["plugin", "__name", "__value"], "inner", small, ["run_id"], limits)
     hits = valued.where(matches_attrs(F.col("__wanted"), F.col("attrs"))).select(
-        "run_id", "__cond"
+        "run_id", *keep, "__cond"
     )
     if size["bare"]:
         shape = F.array_sort(F.map_keys(F.map_filter("attrs", lambda _, v: v.isNotNull())))
-        shapes = rows.select("run_id", "plugin", shape.alias("__shape")).distinct()
+        shapes = rows.select("run_id", *keep, "plugin", shape.alias("__shape"))
+        shapes = shapes if rows.isStreaming else shapes.distinct()
         lacking = F.forall(
             F.map_keys("__wanted"), lambda k: ~F.array_contains(F.col("__shape"), k)
         )
-        if small:
-            met = shapes.join(F.broadcast(by_shape), "plugin")
-        else:
-            met = salted_join(
-                shapes, by_shape, ["plugin"], "inner", ["run_id"], limits.rows_per_task
-            )
-        hits = hits.union(met.where(lacking).select("run_id", "__cond"))
+        met = _meet(shapes, by_shape, ["plugin"], "inner", small, ["run_id"], limits)
+        hits = hits.union(met.where(lacking).select("run_id", *keep, "__cond"))
     return hits
 
 
@@ -390,7 +393,7 @@ def _key(condition: Column) -> Column:
     return F.when(condition.isNotNull(), F.sha2(F.to_json(condition, {"ignoreNullFields": "false"}), 256))
 
 
-def _numbered(definitions: DataFrame, every_look: bool) -> DataFrame:
+def numbered_conditions(definitions: DataFrame, every_look: bool = False) -> DataFrame:
     """The distinct conditions with numbers, as a table in the shared folder.
 
     A number is given once: plans that read the table again find the same.
@@ -406,10 +409,10 @@ def _numbered(definitions: DataFrame, every_look: bool) -> DataFrame:
     return definitions.sparkSession.read.parquet(path)
 
 
-def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: Limits) -> DataFrame:
+def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: Limits, keep: list[str]) -> DataFrame:
     """(run, condition) of paths and sources, from a single reading of the entries."""
     entries = _with_columns(entries, {"content": "string", "size_bytes": "bigint", "source": "string"})
-    used = entries.select("run_id", "path", "size_bytes", "content", "source")
+    used = entries.select("run_id", *keep, "path", "size_bytes", "content", "source")
     if not sizes["markers"]:
         used = used.withColumn("content", F.lit(None).cast("string"))
     by_path = conditions.where(F.col("kind") == AT_PATH).select(
@@ -417,10 +420,8 @@ def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: L
         F.col("__cond").alias("__at"),
     )
     how = "left" if sizes["looks"] else "inner"
-    if fits(sizes["paths"], sizes["chars"], limits.broadcast_rows):
-        met = used.join(F.broadcast(by_path), "path", how)
-    else:
-        met = salted_join(used, by_path, ["path"], how, ["run_id", "size_bytes"], limits.rows_per_task)
+    small = fits(sizes["paths"], sizes["chars"], limits.broadcast_rows)
+    met = _meet(used, by_path, ["path"], how, small, ["run_id", "size_bytes"], limits)
     holds = (
         F.col("__at").isNotNull()
         & (F.col("__size").isNull() | F.coalesce(F.col("size_bytes") == F.col("__size"), F.lit(False)))
@@ -430,20 +431,20 @@ def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: L
     if sizes["looks"]:
         looks = conditions.where(F.col("kind") == LOOKED).select("source", F.col("__cond").alias("__look"))
         named = looks.where(F.col("source") != ANY_SOURCE)
-        if fits(sizes["looks"], sizes["chars"], limits.broadcast_rows):
-            met = met.join(F.broadcast(named), "source", "left")
-        else:
-            met = salted_join(met, named, ["source"], "left", ["run_id"], limits.rows_per_task)
+        small = fits(sizes["looks"], sizes["chars"], limits.broadcast_rows)
+        met = _meet(met, named, ["source"], "left", small, ["run_id"], limits)
         found.append(F.col("__look"))
         anything = looks.where(F.col("source") == ANY_SOURCE).first()
         if anything is not None:
             found.append(F.lit(anything["__look"]))
-    return met.select("run_id", F.explode(F.array_compact(F.array(*found))).alias("__cond"))
+    return met.select("run_id", *keep, F.explode(F.array_compact(F.array(*found))).alias("__cond"))
 
 
-def condition_bits(evidence: Evidence, conditions: DataFrame, limits: Limits = Limits()) -> DataFrame | None:
-    """For each run a map from the number of a word to its 64 bits; None without evidence."""
-    kind = F.col("kind")
+def condition_hits(
+    evidence: Evidence, conditions: DataFrame, limits: Limits = Limits(), keep: Sequence[str] = ()
+) -> list[DataFrame]:
+    """(run, condition) of each kind of evidence, with its ``keep`` columns; pairs may repeat."""
+    kind, keep = F.col("kind"), list(keep)
     sizes = measure(
         conditions, paths=F.count_if(kind == AT_PATH), markers=F.count_if((kind == AT_PATH) & F.col("content_contains").isNotNull()),
         texts=F.count_if(kind == IN_TEXT), of_rows=F.count_if(kind == IN_ROW), looks=F.count_if(kind == LOOKED),
@@ -453,18 +454,26 @@ def condition_bits(evidence: Evidence, conditions: DataFrame, limits: Limits = L
     if evidence.entries is not None:
         entries = _with_columns(evidence.entries, {"content": "string", "size_bytes": "bigint"})
         if sizes["paths"] or sizes["looks"]:
-            hits.append(_entry_hits(entries, conditions, sizes, limits))
+            hits.append(_entry_hits(entries, conditions, sizes, limits, keep))
         if sizes["texts"]:
             wanted = conditions.where(kind == IN_TEXT).select("__cond", "content_contains", F.col("size_bytes").alias("__size"))
-            found = content_hits(entries, wanted, keep=["run_id", "size_bytes"], limits=limits)
-            hits.append(found.where("__size IS NULL OR size_bytes = __size").select("run_id", "__cond"))
+            found = content_hits(entries, wanted, keep=["run_id", *keep, "size_bytes"], limits=limits)
+            hits.append(found.where("__size IS NULL OR size_bytes = __size").select("run_id", *keep, "__cond"))
     if evidence.rows is not None and sizes["of_rows"]:
-        hits.append(process_hits(evidence.rows, conditions.where(kind == IN_ROW).select("__cond", "plugin", "attrs"), limits))
+        wanted = conditions.where(kind == IN_ROW).select("__cond", "plugin", "attrs")
+        hits.append(process_hits(evidence.rows, wanted, limits, keep))
     if evidence.rows is not None and sizes["plugins"]:
         wanted = conditions.where(kind == PLUGIN).select("__cond", "plugin")
-        seen = evidence.rows.select("run_id", "plugin").distinct()
+        seen = evidence.rows.select("run_id", *keep, "plugin")
+        seen = seen if seen.isStreaming else seen.distinct()
         small = fits(sizes["plugins"], sizes["chars"], limits.broadcast_rows)
-        hits.append(seen.join(F.broadcast(wanted) if small else wanted, "plugin").select("run_id", "__cond"))
+        hits.append(seen.join(F.broadcast(wanted) if small else wanted, "plugin").select("run_id", *keep, "__cond"))
+    return hits
+
+
+def condition_bits(evidence: Evidence, conditions: DataFrame, limits: Limits = Limits()) -> DataFrame | None:
+    """For each run a map from the number of a word to its 64 bits; None without evidence."""
+    hits = condition_hits(evidence, conditions, limits)
     if not hits:
         return None
     bit = F.expr("shiftleft(1L, CAST(pmod(__cond, 64) AS INT))")
@@ -496,16 +505,27 @@ def findings_in_one_pass(
     sources (any source if it names none), or by its plugin. It is asked of
     absences only unless ``every_look`` is set; other indicators are then assessed.
     """
-    conditions = _numbered(expected if definitions is None else definitions, every_look)
+    conditions = numbered_conditions(expected if definitions is None else definitions, every_look)
     bits = condition_bits(evidence, conditions, limits)
     columns = expected.columns
     if bits is None:
         return expected.withColumns({"matched": F.lit(False), "assessed": F.lit(not every_look)})
+    told = with_conditions(expected, conditions, expected if definitions is None else definitions, limits, every_look)
+    return findings_of_bits(told.join(bits, "run_id", "left"), columns, every_look)
+
+
+def _is_absent() -> Column:
+    return F.coalesce(F.col("exists") == F.lit(False), F.lit(False))
+
+
+def with_conditions(
+    expected: DataFrame, conditions: DataFrame, definitions: DataFrame, limits: Limits = Limits(), every_look: bool = False
+) -> DataFrame:
+    """``expected`` with the number of its condition, ``__cond``, and those of its looks, ``__looks``."""
     numbers = conditions.select("__key", "__cond")
-    absent = F.coalesce(F.col("exists") == F.lit(False), F.lit(False))
-    looks = F.transform(_looks() if every_look else F.when(absent, _looks()), lambda c: _key(c))
+    looks = F.transform(_looks() if every_look else F.when(_is_absent(), _looks()), lambda c: _key(c))
     asked = expected.withColumns({"__key": _key(_main_condition()), "__look": looks})
-    defined = (expected if definitions is None else definitions).select(looks.alias("__look")).where("__look IS NOT NULL").distinct()
+    defined = definitions.select(looks.alias("__look")).where("__look IS NOT NULL").distinct()
     # Each distinct list of looks with its numbers.
     lists = (
         defined.select("__look", F.explode("__look").alias("__key")).join(numbers, "__key")
@@ -513,10 +533,14 @@ def findings_in_one_pass(
     )
     sizes = (limits.broadcast_rows, limits.rows_per_task)
     told = checked_join(asked, numbers, ["__key"], "left", ["run_id"], *sizes)
-    told = checked_join(told, lists, ["__look"], "left", ["run_id"], *sizes)
-    seen = told.join(bits, "run_id", "left")
-    looked = F.exists("__looks", lambda n: _is_set(n))
-    found, looked = _is_set(F.col("__cond")), F.coalesce(looked, F.lit(False))
+    return checked_join(told, lists, ["__look"], "left", ["run_id"], *sizes).drop("__key", "__look")
+
+
+def findings_of_bits(seen: DataFrame, columns: Sequence[str], every_look: bool = False) -> DataFrame:
+    """``columns`` of indicators with conditions and their run's ``__bits``, ``matched`` and ``assessed``."""
+    absent = _is_absent()
+    found = _is_set(F.col("__cond"))
+    looked = F.coalesce(F.exists("__looks", lambda n: _is_set(n)), F.lit(False))
     assessed = looked if every_look else F.when(absent, looked).otherwise(F.lit(True))
     matched = F.when(absent, F.col("__cond").isNotNull() & looked & ~found).otherwise(found)
     return seen.select(*columns, matched.alias("matched"), assessed.alias("assessed"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import streaming
-from tracewell.plans.ioc_queries import _scenario
+from tracewell.operators.ioc import Evidence
+from tracewell.plans.ioc_queries import FINDINGS, _expected, _item_iocs, _scenario
 from tracewell.plans.registry import query, table
+from tracewell.session import work_path
 
 LIMIT_SECONDS = 4 * 3600
+DAY_SECONDS = 86_400
 
 
 def stream(spark, folder, name):
@@ -147,3 +150,56 @@ def stream_contract(spark, folder):
         streaming.stream_contract(events, "10 minutes", splits=2), "stream-contract"
     )
     return _until(spark, folder, broken, 11 * 60).select("event_id", "vm", "kind", "state")
+
+
+# Evidence of sources up to their closing; odd sources stay open.
+UNTIL_CLOSED = """
+    closings AS (
+      SELECT DISTINCT source AS closed, 250 + TRY_CAST(substr(source, 4) AS BIGINT) AS until FROM documents
+      WHERE TRY_CAST(substr(source, 4) AS BIGINT) % 2 = 0),
+    cut_documents AS (SELECT d.* FROM documents d JOIN closings ON closed = source WHERE doc_id % 500 <= until),
+    closed_runs AS (SELECT closed AS source FROM closings),
+    cut_events AS (SELECT e.* FROM events e JOIN closings ON closed = 'src' || (user_id % 20) WHERE event_id % 500 <= until),
+    """
+ON_CLOSED = (
+    FINDINGS.replace("SELECT DISTINCT source AS run_id FROM documents", "SELECT DISTINCT source AS run_id FROM closed_runs")
+    .replace("FROM documents", "FROM cut_documents").replace("FROM events", "FROM cut_events")
+)
+
+
+@query(
+    "ss05_closed_findings",
+    f"""
+    WITH {UNTIL_CLOSED} {ON_CLOSED}
+    SELECT run_id, scenario_id, ordinal, ioc_id, type,
+           matched AND (ioc_id NOT LIKE 'gone-%' OR run_id IN (SELECT source FROM cut_documents)) AS matched, until AS closed_at
+    FROM findings JOIN closings ON closed = run_id
+    """,
+)
+def closed_findings(spark, folder):
+    """Documents and events as evidence of sources, half of which are closed."""
+    # Not from second 0, where every watermark begins.
+    at = lambda seconds: F.timestamp_seconds(seconds + DAY_SECONDS).alias("ts")
+    entries = stream(spark, folder, "documents").select(
+        F.col("source").alias("run_id"), F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"),
+        F.col("n_chars").alias("size_bytes"), F.col("text").alias("content"), F.col("lang").alias("source"),
+        at(F.col("doc_id") % 500),
+    )
+    rows = stream(spark, folder, "events").select(
+        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("run_id"), F.col("event_type").alias("plugin"),
+        F.from_json("props", "map<string,string>").alias("attrs"), at(F.col("event_id") % 500),
+    )
+    number = F.substr("source", F.lit(4)).try_cast("bigint")
+    closed = table(spark, folder, "documents").select("source").distinct().where(number % 2 == 0)
+    path = work_path(spark, "closings")
+    # The last one, of no source, moves the time beyond all others.
+    end = spark.range(1).select(F.lit("").alias("run_id"), at(F.lit(10_000)))
+    closed.select(F.col("source").alias("run_id"), at(number + 250)).union(end).write.parquet(path)
+    closings = spark.readStream.schema("run_id STRING, ts TIMESTAMP").parquet(path)
+    found = streaming.stream_closed_findings(
+        Evidence(entries, rows), closings, _expected(spark, folder), "10 minutes", _item_iocs(spark, folder)
+    )
+    told = streaming.run_available(found, "closed-findings")
+    return told.select(
+        "run_id", "scenario_id", "ordinal", "ioc_id", "type", "matched", (F.col("closed_us") / 1_000_000 - DAY_SECONDS).cast("bigint").alias("closed_at")
+    )
