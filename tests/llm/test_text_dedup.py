@@ -306,6 +306,48 @@ def test_longest_previous_factors():
             assert not lpf[i] or shared[source[i]] == lpf[i]
 
 
+@pytest.mark.parametrize("length", [12, 70, 100])
+def test_copies_of(length):
+    """Factors in both directions, contents with one region and with several."""
+    r = random.Random(length)
+    for _ in range(20):
+        base = bytes(r.choice(b"abc") for _ in range(3 * length))
+        contents, at, raw = [], 0, set()
+        for _ in range(12):
+            a = r.randrange(len(base) - length - 6)
+            piece = base[a : a + length + r.randrange(6)] + bytes(r.choice(b"ab") for _ in range(r.randrange(3)))
+            if piece in raw:
+                continue
+            raw.add(piece)
+            contents.append(piece)
+        regions = []
+        for c, piece in enumerate(contents):
+            for _ in range(r.choice((1, 1, 2, 4))):
+                regions.append(c)
+        r.shuffle(regions)
+        places = [(p // 5, p % 5 * 1_000) for p in range(len(regions))]
+        of = [[p for p, c in zip(places, regions, strict=True) if c == x] for x in range(len(contents))]
+        counts = np.array([len(c) - length + 1 for c in contents])
+        pair = lambda which: tuple(np.array([which(x)[i] for x in of]) for i in (0, 1))
+        got = suffix_dedup.copies_of(
+            np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0, *map(len, contents)]), counts, pair(min), pair(max),
+            np.array([len(x) > 1 for x in of]), length,
+        )
+        seen = defaultdict(list)
+        for (d, start), c in zip(places, regions, strict=True):
+            for i in range(counts[c]):
+                seen[contents[c][i : i + length]].append((d, start + i))
+        want = [[], [], []]
+        for c, x in enumerate(of):
+            for i in range(counts[c]):
+                copies = seen[contents[c][i : i + length]]
+                here = lambda p: (p[0], p[1] + i)
+                want[0].append(min(copies) < here(min(x)))
+                want[1].append(len(copies) > 1)
+                want[2].append(len(x) > 1 and min(copies) < here(max(x)))
+        assert [f.tolist() for f in got] == want
+
+
 def test_a_giant_text_in_parts(docs, monkeypatch):
     r = random.Random(6)
     text = prose(r, 400)

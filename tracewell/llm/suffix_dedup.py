@@ -6,22 +6,27 @@ only compared where a repeat is possible:
 * Each window of ``length`` bytes has a minimizer: the 64-byte gram of least hash in
   it. Neighbouring windows with one minimizer make a region. Equal windows
   have equal minimizers, so they lie in regions of one class.
-* Regions of equal bytes are one content; a class of one content needs no sorting.
-* The contents of all other classes are sorted by suffix, classes packed together:
-  ranks of 8, 16, .. 256 bytes by prefix doubling, then the windows by their whole
-  length. Longest previous factors follow from the longest common prefixes of
-  neighbours in that order and from the previous and next smaller position, found by
-  pointer jumping. A window whose previous factor is long enough has an earlier copy.
-* A class with very many contents (a common passage in ever new surroundings) is
-  dealt out instead: its windows are grouped by 128-bit hash, after blocks of windows
-  whose common core occurs once have been left out.
+* Regions of equal bytes are one content, whose bytes are sorted once. It stands in
+  suffix order with two positions, those of its first and its last region.
+* The contents are sorted by suffix, classes packed together: ranks of 8, 24, 72, ..
+  bytes by prefix doubling, then the windows by their whole length. Longest previous
+  factors follow from the longest common prefixes of neighbours in that order and from
+  the previous and next smaller position, found by pointer jumping. The same array
+  read from the last position to the first has the longest later factors. A window
+  whose factor is long enough has an earlier copy, or a later one.
+* What holds for the last region of a content holds for all but the first: the first
+  one is before them, and what is before the last one in other contents is not needed.
+* A class with very many contents (a common passage in ever new surroundings) would be
+  too much for a task and is dealt out: its windows are grouped by 128-bit hash, after
+  blocks of windows whose common core occurs once have been left out.
 
 Keeping the first copy removes the windows with an earlier copy; keeping none
 removes all windows that have another one. Order is by id, then position.
 
 Defined cases: a null or short text has no repeat. Repeated rows are copies of one
 another, but when the first copy is kept, all rows that equal it keep theirs. A null
-id comes after all others. Columns of the input but the text are carried along. An
+id comes after all others. Texts of any length are read in parts that overlap by a
+window; a part is 1 MiB. Columns of the input but the text are carried along. An
 empty table gives no rows.
 """
 
@@ -161,9 +166,22 @@ class SuffixOrder:
         pair = (top[starts] << X._U(32)) | top[starts + (length - step)]
         self.rank = _dense(pair)
 
-    def common_prefixes(self, order: np.ndarray) -> np.ndarray:
-        """Longest common prefix of each window and the one before it, up to the length."""
+    def common_prefixes(self, order: np.ndarray, least: int = 0) -> np.ndarray:
+        """Longest common prefix of each window and the one before it, up to the length.
+
+        Prefixes of no more than ``least`` bytes may come out as none.
+        """
         a, b = self.starts[order[1:]], self.starts[order[:-1]]
+        steps = [s for s in self.ranks if s <= least]
+        if steps:
+            r, out = self.ranks[max(steps)], np.zeros(len(order), np.int64)
+            alike = np.flatnonzero(r[a] == r[b])
+            out[alike + 1] = self._prefixes(order[alike + 1], order[alike])
+            return out
+        return np.concatenate([[0], self._prefixes(order[1:], order[:-1])])
+
+    def _prefixes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        a, b = self.starts[first], self.starts[second]
         got = np.zeros(len(a), np.int64)
         for step in sorted(self.ranks, reverse=True):
             r, end = self.ranks[step], len(self.ranks[step])
@@ -177,9 +195,8 @@ class SuffixOrder:
             at = np.minimum(got, self.length - 1)
             going &= (got < self.length) & (self.data[a + at] == self.data[b + at])
             got[going] += 1
-        equal = self.rank[order[1:]] == self.rank[order[:-1]]
-        got[equal] = self.length
-        return np.concatenate([[0], got])
+        got[self.rank[first] == self.rank[second]] = self.length
+        return got
 
 
 def longest_previous_factors(order: np.ndarray, prefixes: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,42 +232,53 @@ def longest_previous_factors(order: np.ndarray, prefixes: np.ndarray, position:
     return lpf, sources
 
 
-def copies_of(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, docs: np.ndarray, firsts: np.ndarray, length: int):
-    """For contents laid end to end: which windows have an earlier copy, which any."""
+def copies_of(
+    data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, firsts: tuple[np.ndarray, np.ndarray],
+    lasts: tuple[np.ndarray, np.ndarray], several: np.ndarray, length: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For contents laid end to end: which windows of the first region have an earlier
+    copy, which of them any, and which windows of the last region an earlier one.
+
+    ``firsts`` and ``lasts`` are (id, start) of those regions; the last one counts where
+    the content has ``several``.
+    """
     ends = np.cumsum(counts)
     inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
-    suffixes = SuffixOrder(data, np.repeat(bounds[:-1], counts) + inside, length)
+    # One entry for each window of a first region, then those of the last regions.
+    again = np.flatnonzero(np.repeat(several, counts))
+    region = np.repeat(np.arange(len(counts)), counts)
+    starts = np.repeat(bounds[:-1], counts) + inside
+    suffixes = SuffixOrder(data, np.concatenate([starts, starts[again]]), length)
     # Regions are disjoint, so their order is that of all their windows.
-    by_place = np.lexsort((firsts, docs))
-    base = np.empty(len(counts), np.int64)
-    base[by_place] = np.cumsum(counts[by_place]) - counts[by_place]
-    position = np.repeat(base, counts) + inside
+    sizes = np.concatenate([counts, np.where(several, counts, 0)])
+    by_place = np.lexsort((np.concatenate([firsts[1], lasts[1]]), np.concatenate([firsts[0], lasts[0]])))
+    base = np.empty(len(sizes), np.int64)
+    base[by_place] = np.cumsum(sizes[by_place]) - sizes[by_place]
+    position = np.concatenate([base[region] + inside, base[len(counts) + region[again]] + inside[again]])
     order = np.argsort((suffixes.rank << X._U(32)) | position.astype(np.uint64))
-    # Only prefixes of the whole length count here, and those are equal ranks.
-    equal = suffixes.rank[order[1:]] == suffixes.rank[order[:-1]]
-    prefixes = np.concatenate([[0], np.where(equal, length, 0)])
-    lpf, _ = longest_previous_factors(order, prefixes, position)
-    shared = np.zeros(len(position), bool)
-    shared[order] = (prefixes >= length) | (np.append(prefixes[1:], 0) >= length)
-    return lpf >= length, shared
+    prefixes = suffixes.common_prefixes(order, min(GRAM, length - 1))
+    earlier = longest_previous_factors(order, prefixes, position)[0] >= length
+    later = longest_previous_factors(order, prefixes, len(position) - 1 - position)[0] >= length
+    n, repeated = len(starts), np.zeros(len(starts), bool)
+    repeated[again] = earlier[n:]
+    return earlier[:n], earlier[:n] | later[:n], repeated
 
 
 def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Contents in order of their class: the windows of each that have copies."""
 
     def flush(rows: list) -> pa.RecordBatch:
-        raw = [r[6] for r in rows]
+        _, c1, c2, raw, *numbers = zip(*rows, strict=True)
         bounds = np.cumsum([0, *map(len, raw)])
-        counts = np.array([r[5] for r in rows], np.int64)
+        doc, start, counts, last_doc, last_start, many = (np.array(x, np.int64) for x in numbers)
         data = np.frombuffer(b"".join(raw), np.uint8)
-        later, shared = copies_of(data, bounds, counts, np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), length)
+        flags = copies_of(data, bounds, counts, (doc, start), (last_doc, last_start), many > 1, length)
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        of = lambda flags: spans_array([X.spans_of(flags[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        columns = [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), of(later), of(shared)]
-        return pa.record_batch(columns, names=["c1", "c2", "later", "shared"])
+        of = lambda x: spans_array([X.spans_of(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return pa.record_batch([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *map(of, flags)], names=["c1", "c2", "later", "shared", "again"])
 
     held, size = [], 0
-    names = ("mh", "c1", "c2", "doc", "start", "n", "bytes")
+    names = ("mh", "c1", "c2", "bytes", "doc", "start", "n", "last_doc", "last_start", "many")
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if held and held[-1][:3] == row[:3]:
@@ -259,14 +287,14 @@ def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 yield flush(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[6])
+            size += len(row[3])
     if held:
         yield flush(held)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the contents that are wanted of each text."""
-    kinds = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = [c.split()[0] for c in SLICES.split(", ")]
     for batch in batches:
         data, offsets = X.packed(batch.column("text"))
@@ -275,13 +303,16 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             for w in wanted:
                 at = offsets[i] + w["start"]
                 raw = data[at : at + w["n"] - 1 + length].tobytes()
-                out.append((w["mh"], w["c1"], w["c2"], doc, w["start"], w["n"], w["m"], w["large"], raw))
+                out.append((w["mh"], w["c1"], w["c2"], doc, w["start"], w["n"], w["m"], w["large"], w["last_doc"], w["last_start"], w["many"], raw))
             if len(out) > 5_000 or (out and i == batch.num_rows - 1):
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out = []
 
 
-SLICES = "mh long, c1 long, c2 long, doc long, start long, n int, m int, large boolean, bytes binary"
+SLICES = (
+    "mh long, c1 long, c2 long, doc long, start long, n int, m int, large boolean, "
+    "last_doc long, last_start long, many int, bytes binary"
+)
 
 
 def blocks_of(data: np.ndarray, n: int, m: int, length: int, windows: int = BLOCK_WINDOWS):
@@ -300,18 +331,18 @@ def blocks_of(data: np.ndarray, n: int, m: int, length: int, windows: int = BLOC
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ("c1", "c2", "doc", "start", "n", "m", "bytes")
-    kinds = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()]
+    names = ("c1", "c2", "doc", "start", "many", "n", "m", "bytes")
+    kinds = [*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
     for batch in batches:
         out = []
-        for c1, c2, doc, start, n, m, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        for c1, c2, doc, start, many, n, m, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             first, last, keys = blocks_of(np.frombuffer(raw, np.uint8), n, m, length)
             for a, b, k in zip(first.tolist(), last.tolist(), X.as_long(keys).tolist(), strict=True):
-                out.append((k, c1, c2, doc, start, a, b - a, raw[a : b - 1 + length]))
+                out.append((k, c1, c2, doc, start, many, a, b - a, raw[a : b - 1 + length]))
         if out:
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                names=["k", "c1", "c2", "doc", "start", "off", "n", "bytes"],
+                names=["k", "c1", "c2", "doc", "start", "many", "off", "n", "bytes"],
             )
 
 
@@ -325,8 +356,8 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         of = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row]
         off = of("off") + place
         columns = [X.as_long(X.RangeHash(data, 1).of(at, at + length)), X.as_long(X.RangeHash(data, 2).of(at, at + length))]
-        columns += [of("c1"), of("c2"), of("doc"), of("start") + off, off.astype(np.int32)]
-        yield pa.record_batch([pa.array(c) for c in columns], names=["w1", "w2", "c1", "c2", "doc", "at", "off"])
+        columns += [of("c1"), of("c2"), of("doc"), of("start") + off, off.astype(np.int32), of("many").astype(np.int32)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["w1", "w2", "c1", "c2", "doc", "at", "off", "many"])
 
 
 def _window_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,24 +367,28 @@ def _window_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return X.spans_of(flags)
 
     for batch in batches:
-        columns = [spans_array([spans(w) for w in batch.column(c).to_pylist()]) for c in ("later", "shared")]
-        yield pa.record_batch([batch.column("c1"), batch.column("c2"), *columns], names=["c1", "c2", "later", "shared"])
+        columns = [spans_array([spans(w) for w in batch.column(c).to_pylist()]) for c in ("later", "shared", "again")]
+        yield pa.record_batch([batch.column("c1"), batch.column("c2"), *columns], names=["c1", "c2", "later", "shared", "again"])
 
 
-FOUND = f"c1 long, c2 long, later {SPANS}, shared {SPANS}"
+# Windows of a content: those of its first region with an earlier copy and with any
+# copy, those of its other regions.
+FOUND = f"c1 long, c2 long, later {SPANS}, shared {SPANS}, again {SPANS}"
 
 
 def _copies_in_large(large: DataFrame, length: int) -> DataFrame:
     """As _sorted, for classes of too many contents: no key gathers its rows here."""
-    blocks = written(large.mapInArrow(lambda it: _blocks(it, length), "k long, c1 long, c2 long, doc long, start long, off int, n int, bytes binary"), "blocks")
-    twice = blocks.groupBy("k").agg(F.count("*").alias("many")).where("many > 1").select("k")
-    kind = "w1 long, w2 long, c1 long, c2 long, doc long, at long, off int"
-    windows = written(blocks.join(twice, "k").select("c1", "c2", "doc", "start", "off", "n", "bytes").mapInArrow(lambda it: _windows(it, length), kind), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.count("*").alias("many"), F.min(F.struct("doc", "at")).alias("first")).where("many > 1")
+    kind = "k long, c1 long, c2 long, doc long, start long, many int, off int, n int, bytes binary"
+    blocks = written(large.mapInArrow(lambda it: _blocks(it, length), kind), "blocks")
+    twice = written(blocks.groupBy("k").agg(F.sum("many").alias("all")).where("all > 1").select("k"), "twice")
+    kind = "w1 long, w2 long, c1 long, c2 long, doc long, at long, off int, many int"
+    windows = written(blocks.join(twice, "k").drop("k").mapInArrow(lambda it: _windows(it, length), kind), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.sum("many").alias("all"), F.min(F.struct("doc", "at")).alias("first")).where("all > 1")
     later = F.struct("doc", "at") != F.col("first")
-    copies = windows.join(first, ["w1", "w2"]).select("c1", "c2", "off", later.alias("again"))
+    copies = windows.join(written(first, "first"), ["w1", "w2"]).select("c1", "c2", "off", later.alias("later"), (F.col("many") > 1).alias("again"))
     # One group is one content: at most as many windows as a region has.
-    lists = copies.groupBy("c1", "c2").agg(F.collect_list(F.when(F.col("again"), F.col("off"))).alias("later"), F.collect_list("off").alias("shared"))
+    some = lambda flag: F.collect_list(F.when(F.col(flag), F.col("off"))).alias(flag)
+    lists = copies.groupBy("c1", "c2").agg(some("later"), F.collect_list("off").alias("shared"), some("again"))
     return lists.mapInArrow(_window_spans, FOUND)
 
 
@@ -373,20 +408,26 @@ def repeated_strings(
     spark = df.sparkSession
     texts = spread(marked(df, id, text))
     found = written(texts.mapInArrow(lambda it: _regions(it, length), REGIONS), "regions")
-    twice = found.groupBy("mh").agg(F.count("*").alias("many")).where("many > 1").select("mh")
+    # Both sides of the joins are tables, so that Spark can split hot keys.
+    twice = written(found.groupBy("mh").agg(F.count("*").alias("many")).where("many > 1").select("mh"), "twice")
     classes = written(found.join(twice, "mh"), "classes")
+    place = F.struct("doc", "start", "mark")
     contents = classes.groupBy("mh", "c1", "c2").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc", "start", "mark")).alias("first"), F.first("n").alias("n"), F.first("m").alias("m")
+        F.when(F.count("*") > 1, 2).otherwise(1).alias("many"), F.min(place).alias("first"), F.max(place).alias("last"),
+        F.first("n").alias("n"), F.first("m").alias("m"),
     )
     contents = written(contents, "contents")
-    several = contents.groupBy("mh").agg(F.count("*").alias("many")).where("many > 1").select("mh", (F.col("many") > class_contents).alias("large"))
-    wanted = contents.join(several, "mh").select(
+    large = written(contents.groupBy("mh").agg(F.count("*").alias("contents")).where(F.col("contents") > class_contents).select("mh", F.lit(True).alias("large")), "large")
+    wanted = contents.join(large, "mh", "left").select(
         F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark"),
-        F.struct("mh", "c1", "c2", "first.start", "n", "m", "large").alias("w"),
+        F.struct(
+            "mh", "c1", "c2", "first.start", "n", "m", F.coalesce("large", F.lit(False)).alias("large"),
+            F.col("last.doc").alias("last_doc"), F.col("last.start").alias("last_start"), "many",
+        ).alias("w"),
     )
     # A group is one text, which has no more regions than bytes.
     lists = written(wanted.groupBy("doc", "mark").agg(F.collect_list("w").alias("wanted")), "wanted")
-    any_large = lists.agg(F.max(F.exists("wanted", lambda w: w["large"]))).first()[0]
+    any_large = not large.isEmpty()
     # Equal rows of one id give a slice twice; what reads the slices skips it.
     slices = texts.join(lists.hint("merge"), ["doc", "mark"]).select("doc", "text", "wanted").mapInArrow(lambda it: _slices(it, length), SLICES)
     if any_large:
@@ -395,12 +436,9 @@ def repeated_strings(
     copies = small.mapInArrow(lambda it: _sorted(it, length), FOUND)
     if any_large:
         copies = copies.union(_copies_in_large(slices.where("large").dropDuplicates(["c1", "c2"]), length))
-    copies = written(copies.where(F.size("shared") > 0), "copies")
-    told = classes.join(contents.select("mh", "c1", "c2", "copies", "first"), ["mh", "c1", "c2"]).join(copies, ["c1", "c2"], "left")
-    told = told.where("copies > 1 OR shared IS NOT NULL")
-    is_first = F.struct("doc", "start", "mark") == F.col("first")
-    all_windows = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
-    windows = F.when(~is_first, all_windows).otherwise(F.col("later")) if keep_first else F.when(F.col("copies") > 1, all_windows).otherwise(F.col("shared"))
+    copies = copies.where(F.size("shared") > 0).join(contents.select("c1", "c2", "first"), ["c1", "c2"])
+    told = classes.join(written(copies, "copies"), ["c1", "c2"])
+    windows = F.when(place == F.col("first"), F.col("later" if keep_first else "shared")).otherwise(F.col("again"))
     spans = told.select("doc", "mark", "start", F.explode(windows).alias("w")).select(
         "doc", "mark", F.struct((F.col("start") + F.col("w.start")).alias("start"), (F.col("start") + F.col("w.end") + (length - 1)).alias("end")).alias("span")
     )
