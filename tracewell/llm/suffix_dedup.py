@@ -49,7 +49,7 @@ GRAM = 64
 # Contents of one class that are sorted in one task, bytes sorted at once, and
 # windows of a block of a class that is too large.
 CLASS_CONTENTS = 1_000
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 17
 BLOCK_WINDOWS = 32
 
 REGIONS = "mh long, c1 long, c2 long, doc long, mark long, start long, n int, m int"
@@ -145,15 +145,14 @@ class SuffixOrder:
         step = min(8, length)
         for i in range(step):
             value = (value << X._U(8)) | padded[i : i + len(data)]
-        # Ranks of runs of 8, 24, 72, .. bytes, three ranks to a number while they fit;
-        # runs over the end count as they stand.
+        # Ranks of runs of 8, 24, 72, .. bytes, as many ranks to a number as fit; runs
+        # over the end count as they stand.
         self.ranks = {step: _dense(value)}
         while True:
             r = self.ranks[step]
-            parts, bits = (3, 21) if len(r) < 1 << 21 else (2, 32)
-            if parts * step > length:
-                parts, bits = 2, 32
-            if parts * step > length:
+            bits = max(len(r).bit_length(), 16)
+            parts = min(64 // bits, length // step)
+            if parts < 2:
                 break
             value = np.zeros(len(r), np.uint64)
             for i in range(parts):
@@ -185,7 +184,7 @@ class SuffixOrder:
         got = np.zeros(len(a), np.int64)
         for step in sorted(self.ranks, reverse=True):
             r, end = self.ranks[step], len(self.ranks[step])
-            for _ in range(2):
+            for _ in range(3):
                 room = got + step <= self.length
                 same = room & (r[np.minimum(a + got, end - 1)] == r[np.minimum(b + got, end - 1)])
                 got[same] += step
@@ -213,15 +212,18 @@ def longest_previous_factors(order: np.ndarray, prefixes: np.ndarray, position:
     for direction in (-1, 1):
         jump = np.arange(n) + direction
         shared = prefixes.copy() if direction < 0 else np.append(prefixes[1:], 0)
+        todo = np.flatnonzero(shared > 0)
         while True:
-            inside = (jump >= 0) & (jump < n)
-            todo = np.flatnonzero(inside)
-            todo = todo[(place[jump[todo]] > place[todo]) & (shared[todo] > 0)]
+            step = jump[todo]
+            # Sharing anything, the candidate is inside.
+            going = place[step] > place[todo]
+            todo, step = todo[going], step[going]
             if not len(todo):
                 break
-            step = jump[todo]
             # All read the state before the round, so a round doubles the jumps.
-            shared[todo], jump[todo] = np.minimum(shared[todo], shared[step]), jump[step]
+            least, target = np.minimum(shared[todo], shared[step]), jump[step]
+            shared[todo], jump[todo] = least, target
+            todo = todo[least > 0]
         ok = (jump >= 0) & (jump < n)
         ok &= place[np.where(ok, jump, 0)] < place
         better = ok & (shared > best)
@@ -248,15 +250,16 @@ def copies_of(
     again = np.flatnonzero(np.repeat(several, counts))
     region = np.repeat(np.arange(len(counts)), counts)
     starts = np.repeat(bounds[:-1], counts) + inside
-    suffixes = SuffixOrder(data, np.concatenate([starts, starts[again]]), length)
+    window = np.concatenate([np.arange(len(starts)), again])
+    suffixes = SuffixOrder(data, starts, length)
     # Regions are disjoint, so their order is that of all their windows.
     sizes = np.concatenate([counts, np.where(several, counts, 0)])
     by_place = np.lexsort((np.concatenate([firsts[1], lasts[1]]), np.concatenate([firsts[0], lasts[0]])))
     base = np.empty(len(sizes), np.int64)
     base[by_place] = np.cumsum(sizes[by_place]) - sizes[by_place]
     position = np.concatenate([base[region] + inside, base[len(counts) + region[again]] + inside[again]])
-    order = np.argsort((suffixes.rank << X._U(32)) | position.astype(np.uint64))
-    prefixes = suffixes.common_prefixes(order, min(GRAM, length - 1))
+    order = np.argsort((suffixes.rank[window] << X._U(32)) | position.astype(np.uint64))
+    prefixes = suffixes.common_prefixes(window[order], min(GRAM, length - 1))
     earlier = longest_previous_factors(order, prefixes, position)[0] >= length
     later = longest_previous_factors(order, prefixes, len(position) - 1 - position)[0] >= length
     n, repeated = len(starts), np.zeros(len(starts), bool)
