@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,22 @@ def test_lines(spark, docs, range_lines):
     assert got == lines_by_hand(rows)
 
 
+@pytest.mark.parametrize("block", [64, 300])
+def test_long_texts_in_parts(monkeypatch, block):
+    """Parts and whole texts have the same keys, in lines longer than a block as well."""
+    r = random.Random(block)
+    line = lambda n: "".join(r.choice("abcÄé XYZ\t") for _ in range(n))
+    texts = ["\n".join(line(r.choice((0, 3, 25, 60, 700))) for _ in range(r.randrange(1, 30))) + r.choice(("", "\n")) for _ in range(60)]
+    texts += [" " * 900 + line(900) + " " * 900, " " * 700, "\n" * 700, "Ä" * 700, "", None]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "mark", "text"])
+    keys = lambda: sorted(tuple(x.values()) for b in line_dedup._keys(iter([batch]), 20) for x in b.to_pylist())
+    whole = keys()
+    monkeypatch.setattr(line_dedup.X, "BLOCK_BYTES", block)
+    data, offsets = line_dedup.X.packed(batch.column("text"))
+    assert max(x[2][-1] for x in line_dedup._parts(data, offsets) if 0x0A in data[x[1] : x[1] + x[2][-1]]) <= block
+    assert whole and keys() == whole
+
+
 def test_key_over_many_batches():
     r = np.random.default_rng(1)
     keys = np.sort(r.integers(0, 40, 400))
@@ -240,6 +257,14 @@ def test_exact_copies(docs, table_bytes):
     assert {x.doc: (x.keep_id, x.group_size, x.kept, x.text_sha256) for x in out.collect()} == want
 
 
+def test_one_long_content_is_not_spilled(monkeypatch):
+    """Copies of a content beyond the memory stay in one table."""
+    monkeypatch.setattr(grace_dedup.tempfile, "TemporaryDirectory", None)
+    digest, content = hashlib.sha256(b"x").digest(), b"x" * 5_000
+    entries = list(grace_dedup.grouped([(digest, content, 1, 5_000, i, i, [i]) for i in range(5)], 1_000))
+    assert [(e[2], e[4], e[6]) for e in entries] == [(5, 0, [0, 1, 2, 3, 4])]
+
+
 def test_equal_digests_of_other_contents():
     record = lambda i, content: (b"\0" * 32, content, 1, 5, i, i, [i])
     records = [record(i, b"ab" if i % 2 else b"cd") for i in range(10)]
@@ -353,8 +378,6 @@ def test_a_giant_text_in_parts(docs, monkeypatch):
     text = prose(r, 400)
     rows = [(1, text + " " + prose(r, 50) + text[:900]), (2, prose(r, 30) + text[500:1500])]
     monkeypatch.setattr(suffix_dedup.X, "BLOCK_BYTES", 1_000)
-    import pyarrow as pa
-
     data, offsets = suffix_dedup.X.packed(pa.array([t for _, t in rows]))
     seen = set()
     for first, low, high, ends in suffix_dedup._parts(offsets, 100):

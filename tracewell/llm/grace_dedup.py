@@ -91,7 +91,8 @@ def grouped(records: Iterable[Record], memory: int, level: int = 0) -> Iterator[
     records = iter(records)
     for record in records:
         table.add(record)
-        if table.bytes > memory and level < DIGEST_DIGITS:
+        # A single content, however long, would come into one file again and again.
+        if table.bytes > memory and len(table.entries) > 1 and level < DIGEST_DIGITS:
             break
     else:
         yield from table.entries

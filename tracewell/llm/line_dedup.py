@@ -9,7 +9,9 @@ bitmaps over the texts.
 
 Defined cases: a null or empty text is one empty line. Rows of one ``id`` count
 as one document, and all of them lose what it loses; rows without an id are in no
-document and come back whole. Other columns of the input are carried along by
+document and come back whole. Of lines with one key in one document all stay or
+all go, so there are no ties. Texts of any length are read in parts of 1 MiB that end
+at line breaks; a longer line is hashed block by block. Other columns of the input are carried along by
 ``without_repeated_lines`` and ignored by ``repeated_lines``; working columns
 have names of their own, so nothing clashes. An empty table gives no rows.
 """
@@ -51,31 +53,73 @@ def line_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, stops, owner, place
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """Texts to work on together: the first one, where it starts, the offsets from there,
+    and how many lines of the text came before.
+
+    A text longer than a block comes in parts that end before a line break, each of
+    about a block or of one longer line.
+    """
+    for first, last in X.runs_of_texts(offsets, X.BLOCK_BYTES):
+        low, high = int(offsets[first]), int(offsets[last])
+        if last - first > 1 or high - low <= X.BLOCK_BYTES:
+            yield first, low, offsets[first : last + 1] - low, 0
+            continue
+        before = 0
+        while True:
+            at, stop, lines = low, high, 1
+            while at + X.BLOCK_BYTES < high:
+                breaks = np.flatnonzero(data[at : at + X.BLOCK_BYTES] == 0x0A)
+                if len(breaks):
+                    stop, lines = at + int(breaks[-1]), len(breaks)
+                    if at > low:  # a line longer than a block, alone
+                        stop, lines = at + int(breaks[0]), 1
+                    break
+                at += X.BLOCK_BYTES
+            else:
+                # The rest has no more than a block, or goes on a line that is longer.
+                breaks = np.flatnonzero(data[at:high] == 0x0A)
+                if at > low and len(breaks):
+                    stop = at + int(breaks[0])
+            yield first, low, np.array([0, stop - low]), before
+            if stop == high:
+                break
+            low, before = stop + 1, before + lines
+
+
+def _long_line(line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of the key of a line longer than a block, and its place, if it counts."""
+    solid = ~X._IS_SPACE[line]
+    if solid.any():
+        key = line[int(solid.argmax()) : len(line) - int(solid[::-1].argmax())]
+        if np.count_nonzero((key & 0xC0) != 0x80) >= least:
+            return X.long_hash(key, 1), X.long_hash(key, 2), np.zeros(1, np.int64)
+    none = np.empty(0, np.uint64)
+    return none, none, none.view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = X.packed(batch.column("text"))
         docs, marks = X.ids_of(batch.column("doc")), X.ids_of(batch.column("mark"))
-        for first, last in X.runs_of_texts(offsets):
-            ends = offsets[first : last + 1] - offsets[first]
-            block = X.lowered(data[offsets[first] : offsets[last]])
-            starts, stops, owner, place = line_bounds(block, ends)
-            solid = np.flatnonzero(~X._IS_SPACE[block])
-            low, high = np.searchsorted(solid, starts), np.searchsorted(solid, stops)
-            some = np.flatnonzero(low < high)
-            s, e = solid[low[some]], solid[high[some] - 1] + 1
-            points = np.concatenate([[0], np.cumsum((block & 0xC0) != 0x80)])
-            long = points[e] - points[s] >= least
-            some, s, e = some[long], s[long], e[long]
-            yield pa.record_batch(
-                [
-                    X.as_long(X.RangeHash(block, 1).of(s, e)),
-                    X.as_long(X.RangeHash(block, 2).of(s, e)),
-                    docs[first:last][owner[some]],
-                    marks[first:last][owner[some]],
-                    place[some].astype(np.int32),
-                ],
-                schema=LINES,
-            )
+        for first, low, ends, before in _parts(data, offsets):
+            block = X.lowered(data[low : low + ends[-1]])
+            if len(block) > X.BLOCK_BYTES and len(ends) == 2 and not (block == 0x0A).any():
+                h1, h2, place = _long_line(block, least)
+                owner = place
+            else:
+                starts, stops, owner, place = line_bounds(block, ends)
+                solid = np.flatnonzero(~X._IS_SPACE[block])
+                left, right = np.searchsorted(solid, starts), np.searchsorted(solid, stops)
+                some = np.flatnonzero(left < right)
+                s, e = solid[left[some]], solid[right[some] - 1] + 1
+                points = np.concatenate([[0], np.cumsum((block & 0xC0) != 0x80)])
+                long = points[e] - points[s] >= least
+                some, s, e = some[long], s[long], e[long]
+                h1, h2 = X.RangeHash(block, 1).of(s, e), X.RangeHash(block, 2).of(s, e)
+                owner, place = owner[some], place[some]
+            at = first + owner
+            yield pa.record_batch([X.as_long(h1), X.as_long(h2), docs[at], marks[at], (before + place).astype(np.int32)], schema=LINES)
 
 
 def line_keys(texts: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
