@@ -13,8 +13,9 @@ Decoding works on each page alone: nothing is shuffled.
 
 Defined cases: null or empty html gives an empty text. Broken markup is read as
 browsers do in the main: unclosed elements end with their parents, an unclosed script
-runs to the end, a head ends at the first element or text that it cannot hold. Repeated rows are read alike; other columns are carried along. An empty
-table gives no rows. White space inside a block becomes one space; blocks are joined
+runs to the end, a head ends at the first element or text that it cannot hold. Repeated
+rows are read alike; where labels are equally likely a block is not main text. Other
+columns are carried along. An empty table gives no rows. White space inside a block becomes one space; blocks are joined
 by one space.
 """
 

@@ -28,7 +28,8 @@ a link, and then intersects whole sets. Links become components.
 
 Defined cases: a null or blank text has no shingles and no link. Fewer words than
 a shingle has make one shingle. Each row without an id takes part and gives a row with a
-null id; the component of such rows alone is null. Rows of one id
+null id; the component of such rows alone is null. Sizes are compared in whole numbers,
+so a similarity that equals the least one is a link. Rows of one id
 give one row; if their texts differ, a link of any of them is a link of the id and
 the largest set is reported. Other columns are ignored. An empty table gives no rows.
 """

@@ -18,7 +18,7 @@ smoothing, whose tokens are the words and one end per text.
 
 Defined cases: a null or blank text has the end only. Texts whose CRC-32 of the id, as
 text, leaves ``held_out`` modulo ``folds`` are scored but not learnt from; a null id counts as
-an empty string. Repeated rows are learnt from and scored one by one. Other
+an empty string. Nothing is ordered or chosen, so there are no ties. Repeated rows are learnt from and scored one by one. Other
 columns are carried along. An empty table gives no rows; without training texts every
 symbol is as likely as any other.
 """
