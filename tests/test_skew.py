@@ -128,6 +128,16 @@ def test_rows_of_one_time_stamp_are_cut(spark):
     assert {r["at"]: r.t for r in by_time} == {a: sum(x[1] <= a for x in data) for a in {x[1] for x in data}}
 
 
+def test_small_chunks_do_not_make_many_partitions(spark):
+    df = spark.range(3000).select(F.lit("hot").alias("key"), F.col("id").alias("at"))
+    chunked = skew.ordered_chunks(df, ["key"], ["at"], 3000, 2)
+    sizes = chunked.groupBy("__chunk").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("__chunk").collect()
+    assert max(r.n for r in sizes) <= 2
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+    files = chunked.select(F.input_file_name().alias("file")).distinct().count()
+    assert files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_over_two_thousand_chunks(spark):
     n = 2300
     df = spark.range(n).select(F.lit("hot").alias("key"), F.col("id").alias("at"), (F.col("id") % 3).alias("v"))

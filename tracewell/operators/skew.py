@@ -140,18 +140,29 @@ def hot_rows(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> tuple[Da
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, rows_per_task: int) -> DataFrame:
-    """The rows in chunks of about ``rows_per_task`` that follow keys and order.
+    """The rows in chunks of at most ``rows_per_task`` that follow keys and order.
 
     Adds ``__chunk``. Spark's range partitioning finds the bounds, over keys, order
     and ``__tie``, which tells equal rows apart as well: any group can be cut, also
-    rows of one time stamp. The chunks are a table in the shared folder, so a row
-    has the same chunk in every part of a plan and in every retry.
+    rows of one time stamp. A partition is sorted and cut into as many chunks as it
+    takes, so small chunks do not make many partitions: there are no more than
+    the session's shuffle partitions, or one for each ``ROWS_PER_TASK`` rows. The
+    chunks are a table in the shared folder, so a row has the same chunk in every
+    part of a plan and in every retry.
     """
-    path = work_path(df.sparkSession, "chunks")
+    spark = df.sparkSession
+    path = work_path(spark, "chunks")
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
+    partitions = max(1, min(most, -(-rows // rows_per_task)))
     tied = df.withColumn("__tie", F.struct(F.xxhash64(*_hashable(df)).alias("h"), F.monotonically_increasing_id().alias("n")))
-    dealt = tied.repartitionByRange(max(1, -(-rows // rows_per_task)), *keys, *order, "__tie")
-    dealt.withColumn("__chunk", F.spark_partition_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    by = [*keys, *order, "__tie"]
+    dealt = tied.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
+    # The number of the partition, then that of the row in it.
+    row = F.monotonically_increasing_id()
+    within = row.bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = row - within + F.floor(within / F.lit(rows_per_task))
+    dealt.withColumn("__chunk", chunk.cast("bigint")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def running(
