@@ -241,3 +241,16 @@ def test_late_evidence_takes_no_other_with_it(spark, tmp_path):
     )
     got = streaming.run_available(found, "late-closed")
     assert rows(got, "run_id", "ioc_id", "matched") == [("r", "here", True)]
+
+
+def test_a_table_of_many_files_is_streamed(spark, tmp_path):
+    from tracewell.plans.stream_queries import stream
+
+    rows = spark.range(40).selectExpr("id", "CAST(id AS STRING) AS text")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    # Another table whose name contains this one's is not read.
+    rows.write.parquet(f"{tmp_path}/not_many.parquet")
+    rows.toPandas().to_parquet(f"{tmp_path}/one.parquet")
+    for name in ("many", "one"):
+        read = streaming.run_available(stream(spark, str(tmp_path), name), f"stream-{name}")
+        assert sorted(r.id for r in read.collect()) == list(range(40))

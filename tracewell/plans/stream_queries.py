@@ -15,12 +15,11 @@ DAY_SECONDS = 86_400
 
 
 def stream(spark, folder, name):
-    """A table's file as a stream."""
-    return (
-        spark.readStream.schema(table(spark, folder, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    """A table's file as a stream, or all files of its folder.
+
+    The name is a pattern, as Spark takes the plain path of a stream for a folder.
+    """
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{{{name}}}.parquet")
 
 
 def _utc(column):
