@@ -282,7 +282,7 @@ def catalog(spark, folder):
         *[F.col(c) for c in ("p_partkey", "p_brand", "p_name", "p_partkey", "p_size", "p_name", "p_partkey")],
         F.when(F.col("p_size") > 25, "true").otherwise("false"),
     )
-    docs = table(spark, folder, "part").select(text.alias("text"))
+    docs = table(spark, folder, "part", spread=True).select(text.alias("text"))
     return sources.catalog_tests(docs, "text").select(
         "technique_id",
         "ordinal",
@@ -312,7 +312,7 @@ def registry(spark, folder):
         *[F.col(c) for c in ("c_custkey", "c_nationkey", "c_custkey", "c_nationkey", "c_mktsegment")],
         F.when(F.col("c_acctbal") > 0, "true").otherwise("false"),
     )
-    docs = table(spark, folder, "customer").select(text.alias("text"))
+    docs = table(spark, folder, "customer", spread=True).select(text.alias("text"))
     return sources.registry_rows(docs, "text")
 
 
