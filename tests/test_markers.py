@@ -80,3 +80,14 @@ def test_portions():
     assert markers.portions(["a", "b"]) == [["a", "b"]]
     big = "x" * (markers.BROADCAST_CHARS // 2 + 1)
     assert [len(p) for p in markers.portions([big, big, "a"])] == [1, 2]
+
+
+def test_texts_are_looked_at_in_pieces(monkeypatch):
+    monkeypatch.setattr(markers, "PIECE", 10)
+    texts = ["abc", None, "", "defghij", "k", "l" * 25, "m", ""]
+    batch = pa.record_batch([pa.array(texts)], names=["__text"])
+    slices = [p.column(0).to_pylist() for p in markers.pieces([batch, batch.slice(0, 0)], "__text")]
+    assert [x for p in slices for x in p] == texts
+    assert all(sum(len(x or "") for x in p) <= 10 or len(p) == 1 for p in slices)
+    data, ends = markers.packed(batch.slice(3, 2).column(0))
+    assert data.tobytes() == b"defghijk" and ends.tolist() == [0, 7, 8]

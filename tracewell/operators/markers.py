@@ -27,6 +27,9 @@ SIZES = (1, 2, 4, 8)
 # Bytes of text that are looked at at once.
 BLOCK = 1 << 20
 
+# Bytes of texts whose grams a task holds at once.
+PIECE = 2 << 20
+
 # A filter has so many bits for a gram, and no more than so many in all.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
@@ -53,7 +56,21 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary()).fill_null(b"")
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    return data, ends
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of at most ``PIECE`` bytes of text; a longer text is one by itself.
+
+    What a task holds for the grams of its texts is bounded by the slice, not by the batch.
+    """
+    for batch in batches:
+        _, ends = packed(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def windows(ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -159,7 +176,7 @@ def _frequencies(texts: DataFrame, index: Index) -> dict[int, np.ndarray]:
     def count(batches):
         counts = np.zeros(total, np.int64)
         filters = {s: Filter.of(g) for s, g in grams.items()}
-        for batch in batches:
+        for batch in pieces(batches, 0):
             data, ends = packed(batch.column(0))
             seen: dict[int, list[np.ndarray]] = {s: [] for s in grams}
             for size, text, _, found in wanted_grams(data, ends, filters):
@@ -185,7 +202,7 @@ def _search(batches, markers: list[bytes], anchors: dict[int, tuple[np.ndarray,
     """Pairs of a row and the number of a marker its text contains, each once."""
     filters = {s: Filter.of(a[0]) for s, a in anchors.items()}
     lengths = np.array([len(m) for m in markers])
-    for batch in batches:
+    for batch in pieces(batches, "__text"):
         data, ends = packed(batch.column("__text"))
         raw = data.tobytes() if len(data) else b""
         first, last = ends[:-1].tolist(), ends[1:].tolist()
@@ -279,7 +296,7 @@ def _grams_of_texts(filters: dict[int, Filter], pairs: bool):
     """Distinct grams of each text that pass the filters, by text or counted."""
 
     def task(batches):
-        for batch in batches:
+        for batch in pieces(batches, "__text"):
             data, ends = packed(batch.column("__text"))
             seen: dict[int, list[np.ndarray]] = {}
             for size, text, _, gram in wanted_grams(data, ends, filters):
