@@ -91,3 +91,20 @@ def test_texts_are_looked_at_in_pieces(monkeypatch):
     assert all(sum(len(x or "") for x in p) <= 10 or len(p) == 1 for p in slices)
     data, ends = markers.packed(batch.slice(3, 2).column(0))
     assert data.tobytes() == b"defghijk" and ends.tolist() == [0, 7, 8]
+
+
+def test_the_join_reads_texts_a_few_times(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    data = [(i, f"text number {i} of many") for i in range(50)]
+    texts = spark.createDataFrame(data, "id long, __text string").mapInArrow(counted, "id long, __text string")
+    wanted = spark.createDataFrame([("number 7 ",), ("of",), ("no such thing",)], "__marker string")
+    found = markers.found_by_join(texts, ["id"], wanted, 10).collect()
+    assert sorted((r["id"], r["__marker"]) for r in found) == sorted([(7, "number 7 "), *[(i, "of") for i in range(50)]])
+    # Grams counted, anchors met, copies counted, hits compared.
+    assert read.value <= 5 * len(data)

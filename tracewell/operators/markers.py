@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import BROADCAST_CHARS, salted_join
+from tracewell.operators.skew import BROADCAST_CHARS, _written, salted_join
 
 # Bytes of a gram. Each doubles the one before, and eight fit a number.
 SIZES = (1, 2, 4, 8)
@@ -330,8 +330,11 @@ def found_by_join(texts: DataFrame, keep: Sequence[str], markers: DataFrame, row
         counted.groupBy("__marker", "size").agg(F.min(F.struct("texts", "gram")).alias("rarest"))
         .where("rarest.texts > 0").select("__marker", "size", F.col("rarest.gram").alias("gram"))
     )
+    # Tables, as each use of them would read all texts again.
+    anchors = _written(anchors, "anchors")
     few = _filters(anchors.select("size", "gram").distinct())
     hits = texts.select("__key", "__text").mapInArrow(_grams_of_texts(few, True), schema).withColumnRenamed("value", "__key")
+    hits = _written(hits, "grams")
     pairs = salted_join(hits, anchors, ["size", "gram"], "inner", ["__key"], rows_per_task).select("__key", "__marker").distinct()
     met = salted_join(texts, pairs, ["__key"], "inner", list(keep), rows_per_task)
     return met.where(F.contains("__text", "__marker")).select(*keep, "__marker")
