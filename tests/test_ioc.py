@@ -341,3 +341,21 @@ def test_presence_and_outcome_by_level(spark):
     assert {o for _, i, o in rows(found, "run_id", "ioc_id", "outcome") if i == "spare"} == {"not_assessed"}
     by = outcome_metrics(found, ["level"])
     assert rows(by, "level", "tp", "fn", "fp", "tn", "recall", "precision") == [("high", 1, 1, 0, 0, 0.5, 1.0), ("none", 0, 1, 1, 1, 0.0, 0.0)]
+
+
+def test_grid_is_not_broadcast(spark, tmp_path):
+    """What documents hold is larger than Spark takes it for, and they are read once for each part."""
+    steps = spark.createDataFrame(
+        [("s", ["none", None], [("log",)]), ("s", [], [("gone",)]), ("t", ["high"], [("log",), (None,)])],
+        "scenario_id string, evasion_levels array<string>, expected_iocs array<struct<id: string>>",
+    )
+    expected_of(spark, [(None, *LOG), (None, *GONE)]).drop("run_id").write.parquet(f"{tmp_path}/iocs")
+    steps.write.parquet(f"{tmp_path}/steps")
+    grid = ioc.level_grid(spark.read.parquet(f"{tmp_path}/steps"), spark.read.parquet(f"{tmp_path}/iocs"))
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("ReadSchema") == 3
+    told = {(level, i): p for level, i, p in rows(grid.where("scenario_id = 's'"), "level", "ioc_id", "presence")}
+    assert told == {
+        ("none", "log"): "expected", ("none", "gone"): "not_expected", (None, "log"): "not_expected", (None, "gone"): "not_expected",
+    }

@@ -409,6 +409,11 @@ def numbered_conditions(definitions: DataFrame, every_look: bool = False) -> Dat
     return definitions.sparkSession.read.parquet(path)
 
 
+def _chars(which: Column, name: str) -> Column:
+    """Characters of a column in some rows; each row counts for a few more."""
+    return F.coalesce(F.sum(F.when(which, F.length(name) + 16)), F.lit(0))
+
+
 def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: Limits, keep: list[str]) -> DataFrame:
     """(run, condition) of paths and sources, from a single reading of the entries."""
     entries = _with_columns(entries, {"content": "string", "size_bytes": "bigint", "source": "string"})
@@ -431,7 +436,7 @@ def _entry_hits(entries: DataFrame, conditions: DataFrame, sizes: Row, limits: L
     if sizes["looks"]:
         looks = conditions.where(F.col("kind") == LOOKED).select("source", F.col("__cond").alias("__look"))
         named = looks.where(F.col("source") != ANY_SOURCE)
-        small = fits(sizes["looks"], sizes["chars"], limits.broadcast_rows)
+        small = fits(sizes["looks"], sizes["look_chars"], limits.broadcast_rows)
         met = _meet(met, named, ["source"], "left", small, ["run_id"], limits)
         found.append(F.col("__look"))
         anything = looks.where(F.col("source") == ANY_SOURCE).first()
@@ -448,7 +453,7 @@ def condition_hits(
     sizes = measure(
         conditions, paths=F.count_if(kind == AT_PATH), markers=F.count_if((kind == AT_PATH) & F.col("content_contains").isNotNull()),
         texts=F.count_if(kind == IN_TEXT), of_rows=F.count_if(kind == IN_ROW), looks=F.count_if(kind == LOOKED),
-        plugins=F.count_if(kind == PLUGIN),
+        plugins=F.count_if(kind == PLUGIN), look_chars=_chars(kind == LOOKED, "source"), plugin_chars=_chars(kind == PLUGIN, "plugin"),
     )
     hits = []
     if evidence.entries is not None:
@@ -466,7 +471,7 @@ def condition_hits(
         wanted = conditions.where(kind == PLUGIN).select("__cond", "plugin")
         seen = evidence.rows.select("run_id", *keep, "plugin")
         seen = seen if seen.isStreaming else seen.distinct()
-        small = fits(sizes["plugins"], sizes["chars"], limits.broadcast_rows)
+        small = fits(sizes["plugins"], sizes["plugin_chars"], limits.broadcast_rows)
         hits.append(seen.join(F.broadcast(wanted) if small else wanted, "plugin").select("run_id", *keep, "__cond"))
     return hits
 
@@ -643,20 +648,23 @@ def level_grid(steps: DataFrame, iocs: DataFrame) -> DataFrame:
     placeholders filled; a level counts if any step runs at it.
     """
     levels = steps.select("scenario_id", F.explode("evasion_levels").alias("level")).distinct()
-    claims = expected_at_level(steps).withColumn("__claimed", F.lit(True))
-    spoken = (
-        steps.select("scenario_id", F.explode("expected_iocs.id").alias("ioc_id"))
-        .distinct().withColumn("__spoken", F.lit(True))
+    # At most as many lists of levels as a scenario has steps.
+    claims = (
+        steps.select("scenario_id", F.explode("expected_iocs.id").alias("ioc_id"), "evasion_levels")
+        .groupBy("scenario_id", "ioc_id")
+        .agg(F.flatten(F.collect_set("evasion_levels")).alias("__claimed"))
     )
     presence = (
-        F.when(F.col("__claimed"), EXPECTED).when(F.col("__spoken"), NOT_EXPECTED).otherwise(NOT_ASSESSED)
+        F.when(F.array_contains("__claimed", F.col("level")), EXPECTED)
+        .when(F.col("__claimed").isNotNull(), NOT_EXPECTED)
+        .otherwise(NOT_ASSESSED)
     )
+    # Spark takes what is exploded from documents for small and would broadcast it.
     return (
-        iocs.join(levels, "scenario_id")
-        .join(claims, ["scenario_id", "level", "ioc_id"], "left")
-        .join(spoken, ["scenario_id", "ioc_id"], "left")
+        iocs.join(levels.hint("merge"), "scenario_id")
+        .join(claims.hint("merge"), ["scenario_id", "ioc_id"], "left")
         .withColumn("presence", presence)
-        .drop("__claimed", "__spoken")
+        .drop("__claimed")
     )
 
 
@@ -667,9 +675,13 @@ def findings_at_level(
 
     ``found`` and ``missed`` of what was expected, ``unexpected`` and ``absent`` of
     what was not; ``not_assessed`` where no step speaks of the indicator, or the run
-    has no evidence to tell it from, or its type is one that nothing tells.
+    has no evidence to tell it from, or its type is one that nothing tells. The grid
+    is written once, as conditions, looks and findings each read it.
     """
-    expected = runs.join(grid, ["scenario_id", "level"])
+    path = work_path(grid.sparkSession, "grid")
+    grid.write.parquet(path)
+    grid = grid.sparkSession.read.schema(grid.schema).parquet(path)
+    expected = runs.join(grid.hint("merge"), ["scenario_id", "level"])
     findings = findings_in_one_pass(expected, evidence, grid, limits, every_look=True)
     found, due = F.col("matched"), F.col("presence") == EXPECTED
     outcome = (

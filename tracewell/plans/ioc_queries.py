@@ -8,6 +8,7 @@ from tracewell import schemas
 from tracewell.operators import ioc
 from tracewell.operators.metrics import findings_document, outcome_metrics
 from tracewell.plans.registry import query, table
+from tracewell.session import work_path
 from tracewell.sources import scenario_iocs, scenario_steps
 
 NO_TEXT = "CAST(NULL AS STRING)"
@@ -482,7 +483,10 @@ def _scenario_documents(spark, folder):
         F.struct(F.array(there, gone, size, extra).alias("iocs")).alias("ground_truth"),
     )
     text = F.to_json(document)
-    return table(spark, folder, "part").select(F.from_json(text, schemas.SCENARIO).alias("doc")).select("doc.*")
+    # Parsed once and written, as each step that reads the documents would parse them anew.
+    path = work_path(spark, "scenarios")
+    table(spark, folder, "part", spread=True).select(F.from_json(text, schemas.SCENARIO).alias("doc")).select("doc.*").write.parquet(path)
+    return spark.read.schema(schemas.SCENARIO).parquet(path)
 
 
 def _findings_at_level(spark, folder):
