@@ -35,6 +35,17 @@ def test_salted_join(sides, how, on, rows_per_task):
     assert rows(got) == rows(want)
 
 
+def test_right_side_is_not_broadcast(spark):
+    """Spark takes what is exploded from five rows for five rows."""
+    right = spark.range(5).select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"))
+    left = spark.range(50).select(F.col("id").cast("int").alias("k"), "id")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = skew.salted_join(left, right, ["k"], how, ["id"])
+        lines = joined._jdf.queryExecution().executedPlan().toString().split("\n")
+        salted = [line for line in lines if "Join" in line and "__salt" in line]
+        assert salted and all("SortMergeJoin" in line for line in salted)
+
+
 def test_hot_key_is_dealt_out(sides):
     left, right = sides
     hot = skew.hot_keys(left.dropna(subset=["k"]), ["k"], 10)

@@ -69,6 +69,9 @@ def salted_join(
     Rows are dealt by the hash of the ``spread`` columns and the number of the
     partition they come from: copies of a row differ in the latter, and a task
     that runs again deals its rows in the same way.
+
+    The right side is never broadcast: Spark's estimate of a derived table (exploded,
+    parsed from text) may be a small part of what it holds.
     """
     on = list(on)
     # Bounded by rows / rows_per_task, see hot_keys.
@@ -91,7 +94,7 @@ def salted_join(
     )
     return (
         salted.drop("__splits")
-        .join(repeated.drop("__splits"), [*on, "__salt"], how)
+        .join(repeated.drop("__splits").hint("merge"), [*on, "__salt"], how)
         .drop("__salt")
     )
 
