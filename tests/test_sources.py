@@ -386,3 +386,11 @@ def test_writers_leave_other_runs(spark, tmp_path):
         sources.write_ground_truth(spark.createDataFrame([(name, "s", result, cleanup)], kind), path, cleanup="cleanup")
     back = spark.read.schema("run_id string, scenario_id string, result struct<name: string>").json(path)
     assert rows(back, "run_id", "result.name") == [("r1", "a"), ("r2", "b")]
+
+
+def test_a_document_is_parsed_once_for_each_question(spark, tmp_path):
+    """Whether it is one value, what it says, and (twice, but only if it is none) what it begins with."""
+    (tmp_path / "manifests.json").write_text('{"scenario_id": "a", "created_at": 1.5, "disk_image": {"path": "p", "segments": ["x"]}}\n')
+    for df in sources.read_manifests(spark, str(tmp_path), multi_line=False):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 4
+        assert df.count() == 1

@@ -51,7 +51,8 @@ def is_json(text: Column) -> Column:
     """
     mark = F.xxhash64(text).cast("string")
     pair = F.from_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")), "array<string>", LONG_STRINGS)
-    found = (F.size(pair) == 2) & (pair[1] == mark)
+    # Under a name, as Spark would parse the text again for each use.
+    found = F.exists(F.array(pair), lambda p: (F.size(p) == 2) & (F.get(p, F.lit(1)) == mark))
     return F.when(text.isNotNull(), (strip_space(text) != "") & F.coalesce(found, F.lit(False)))
 
 
